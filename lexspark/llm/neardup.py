@@ -11,8 +11,9 @@ of the link graph, so a pair whose classes are already connected needs no compar
 1. In each node every class is paired with the node's least class. A node of n classes makes n - 1 pairs, however
    alike its members are. Pairs whose MinHash values can't reach the threshold are left out, the others are
    confirmed on their full sets, and components are formed.
-2. Nodes that still hold several components are compared exhaustively across components; if larger than `limit`,
-   they branch again; at `depth` levels what is still larger is compared block by block.
+2. Nodes that still hold several components are compared exhaustively across components if that makes at most
+   `limit` comparisons of MinHash values; others branch again, by one token a level, since what is alike in part
+   then parts; at `depth` levels what is still larger is compared block by block.
 
 So no link between components is lost that the trees find, and a group of copies costs as many pairs as it has
 members. Two sets of similarity 0.85 meet in one tree with probability over 0.9, in four with over 0.9999.
@@ -94,7 +95,7 @@ def _sizes_allow(percent: int) -> Column:
 class Join:
     """One similarity join; see the module's text. percent: link when 100 * intersection >= percent * union."""
 
-    def __init__(self, df: DataFrame, id: str, text: str, words: int, percent: int, trees: int = 4, branch: int = 2, start: int = 2, limit: int = 128, depth: int = 8):
+    def __init__(self, df: DataFrame, id: str, text: str, words: int, percent: int, trees: int = 4, branch: int = 2, start: int = 2, limit: int = 1 << 18, depth: int = 8):
         self.words, self.percent, self.trees, self.branch, self.start, self.limit, self.depth = words, percent, trees, branch, start, limit, depth
         self.docs = df.select(F.col(id).alias("i"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
         self.least = POSITIONS * (percent / 100 - MARGIN)
@@ -162,36 +163,42 @@ class Join:
             if rest is not None and len(rest[0]):
                 yield pairs_in(*rest)
 
+        def alike(n, s, x, y):
+            y = y[np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent]
+            return y[(s[x] == s[y]).sum(axis=1) >= least]
+
         def pairs_in(g, k, c, n, s) -> pa.RecordBatch:
+            """Each row outside the node's largest component meets the rows of other components that follow it, and
+            those of the largest one; rows of the largest component begin no comparison."""
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for d in range(1, len(g)):
-                near = np.flatnonzero(g[:-d] == g[d:])
-                if not len(near):
-                    break
-                near = near[c[near] != c[near + d]]
-                near = near[np.minimum(n[near], n[near + d]) * 100 >= np.maximum(n[near], n[near + d]) * percent]
-                near = near[(s[near] == s[near + d]).sum(axis=1) >= least]
-                a.append(np.minimum(k[near], k[near + d]))
-                b.append(np.maximum(k[near], k[near + d]))
+            edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = c[lo:hi]
+                values, counts = np.unique(own, return_counts=True)
+                order = lo + np.argsort(own == values[counts.argmax()], kind="stable")
+                for j in range(hi - lo - int(counts.max())):
+                    x = order[j]
+                    rest = order[j + 1 :]
+                    found = alike(n, s, x, rest[c[rest] != c[x]])
+                    a.append(np.minimum(k[x], k[found]))
+                    b.append(np.maximum(k[x], k[found]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
         signed_in = members.join(self.classes.select("k", "n", "s"), "k").select("g", "k", "c", "n", "s")
         return signed_in.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct()
 
     def deeper(self, members: DataFrame) -> DataFrame:
-        branch = self.branch
-
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes = choose(token_hashes(_matrix(batch.column(3))), np.asarray(batch.column(0)).view(np.uint64), branch)
-            k, c = (np.repeat(np.asarray(batch.column(j)), branch) for j in (1, 2))
-            return pa.RecordBatch.from_arrays([pa.array(signed(nodes.ravel())), pa.array(k), pa.array(c)], names=["g", "k", "c"])
+            nodes = choose(token_hashes(_matrix(batch.column(3))), np.asarray(batch.column(0)).view(np.uint64), 1)
+            return pa.RecordBatch.from_arrays([pa.array(signed(nodes.ravel())), batch.column(1), batch.column(2)], names=["g", "k", "c"])
 
         return map_arrow(members.join(self.classes.select("k", "s"), "k").select("g", "k", "c", "s"), run, "g long, k long, c long")
 
     def mixed(self, members: DataFrame) -> DataFrame:
-        """Of members (g, k, c) those in nodes with several components, with the node's size z."""
-        nodes = members.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("z")).where("lo < hi").select("g", "z")
-        return members.join(nodes, "g")
+        """Of members (g, k, c) those in nodes with several components, with the node's size z and its comparisons q."""
+        each = members.groupBy("g", "c").agg(F.count("*").alias("e"))
+        nodes = each.groupBy("g").agg(F.sum("e").alias("z"), F.sum(F.col("e") * F.col("e")).alias("w"), F.count("*").alias("n")).where("n > 1")
+        return members.join(nodes.select("g", "z", ((F.col("z") * F.col("z") - F.col("w")) / 2).alias("q")), "g")
 
     def run(self) -> DataFrame:
         """One row for each row of the input: i, t, n, c; c is the least id of its component, its own id without links."""
@@ -205,15 +212,15 @@ class Join:
         members = stage(self.mixed(members), "mixed")
         pairs, level = [], self.start
         while True:
-            pairs.append(stage(self.compare(members.where(F.col("z") <= self.limit).drop("z")), "across"))
-            large = members.where(F.col("z") > self.limit)
+            pairs.append(stage(self.compare(members.where(F.col("q") <= self.limit).select("g", "k", "c")), "across"))
+            large = members.where(F.col("q") > self.limit)
             if large.isEmpty():
                 break
             if level == self.depth:
                 pairs.append(stage(self.blocks(large), "across"))
                 break
             level += 1
-            members = stage(self.mixed(self.deeper(large.drop("z"))), "mixed")
+            members = stage(self.mixed(self.deeper(large)), "mixed")
         more = pairs[0]
         for p in pairs[1:]:
             more = more.union(p)
@@ -228,10 +235,10 @@ class Join:
         return self.base.join(owner, "k", "left").select("i", "t", "n", F.when(F.col("n") > 0, F.coalesce("o", "i")).otherwise(F.col("i")).alias("c"))
 
     def blocks(self, large: DataFrame) -> DataFrame:
-        """Nodes that no further tokens split, compared in pairs of blocks of about `limit` classes."""
-        count = F.ceil(F.col("z") / F.lit(self.limit // 2)).cast("int")
-        own = F.pmod(F.xxhash64("k", F.lit(11)), F.col("q")).cast("int")
-        dealt = large.withColumn("q", count).withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+        """Nodes that no further tokens split, compared in pairs of blocks of classes."""
+        size = max(1, int(self.limit**0.5) // 2)
+        dealt = large.withColumn("parts", F.ceil(F.col("z") / F.lit(size)).cast("int")).withColumn("x", F.pmod(F.xxhash64("k", F.lit(11)), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         return self.compare(dealt.select(F.xxhash64("g", F.least("x", "y"), F.greatest("x", "y")).alias("g"), "k", "c"))
 
 
