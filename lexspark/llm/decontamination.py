@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,13 +187,14 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
 
     small_batches(spark)
     for part in _parts(benchmark, item, item_text):
-        name = hashlib.sha256(repr((part, share)).encode()).hexdigest()
-        sent = spark.sparkContext.broadcast(part)
+        df = df.where(_clean(spark.sparkContext.broadcast(part), hashlib.sha256(repr((part, share)).encode()).hexdigest(), share)(F.col(text)))
+    return df
 
-        @F.arrow_udf("boolean")
-        def clean(texts: pa.Array, name=name, sent=sent) -> pa.Array:
-            matcher = _matcher(name, sent.value, share)
-            return pa.array([not matcher.match(fold(x)) if x else True for x in texts.to_pylist()], pa.bool_())
 
-        df = df.where(clean(F.col(text)))
-    return df
+def _clean(sent: Broadcast, name: str, share: float):
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        matcher = _matcher(name, sent.value, share)
+        return pa.array([not matcher.match(fold(x)) if x else True for x in texts.to_pylist()], pa.bool_())
+
+    return clean

@@ -79,8 +79,8 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", texts: tuple[tup
     Null and empty texts have the digest of the empty text and no licence. Rows repeated under one id each get
     their own. The known texts are a list in the code and bounded by it, so their digests are broadcast.
     """
-    names = known(df.sparkSession, texts)
-    digests = {r.digest: (r.size, r.license) for r in names.collect()} if texts else {}  # as many as known texts
+    names = known(df.sparkSession, texts) if texts else df.sparkSession.sql("select '' as digest, 0 as size, '' as license where false")
+    digests = {r.digest: (r.size, r.license) for r in names.collect()}  # as many as known texts
     sizes = sorted({n for n, _ in digests.values()})
     lines = F.transform(body(F.col(text)), canonical)
     rows = df.select(F.col(id).alias("doc_id"), lines.alias("__lines"))

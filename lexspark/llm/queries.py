@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, fingerprints, licenses, neardup, quality, sharding, substrings, toxicity
+from . import bpe, decontamination, fingerprints, licenses, neardup, quality, sharding, substrings, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op3_sparse_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -59,7 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_jump_sharding, op4_chosen_path_near_dedup, op5_minhash_fingerprints, op6_backtracking_bpe, op7_quality_gam, op8_toxicity_automata, op9_license_digests, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_jump_sharding, op3_sparse_suffix_arrays, op4_chosen_path_near_dedup, op5_minhash_fingerprints, op6_backtracking_bpe, op7_quality_gam, op8_toxicity_automata, op9_license_digests, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
