@@ -93,24 +93,24 @@ def test_repeated_rows_and_empty_tables(spark):
     assert sorted((r.doc_id, r.text) for r in neardup.drop_near_duplicates(df).collect()) == [(3, t.upper()), (5, rows[2][1])]
 
 
-def test_two_trees_find_what_one_may_miss():
+def test_further_trees_find_what_one_misses():
     draw = np.random.default_rng(1)
-    a = draw.integers(0, 1 << 16, (2000, 128)).astype(np.uint16)
-    b = np.where(draw.random((2000, 128)) < 0.85, a, draw.integers(0, 1 << 16, (2000, 128)).astype(np.uint16))
+    a = draw.integers(0, 1 << 16, (2000, 256)).astype(np.uint16)
+    b = np.where(draw.random((2000, 256)) < 0.8, a, draw.integers(0, 1 << 16, (2000, 256)).astype(np.uint16))
     met = np.zeros(2000, bool)
     rates = []
-    for tree in range(4):
+    for tree in range(6):
         x, y = (neardup.token_hashes(s) for s in (a, b))
         nodes = []
         for t in (x, y):
             at = np.full((2000, 1), tree + 1, np.uint64)
-            for _ in range(2):
-                at = np.concatenate([neardup.choose(t, at[:, c], 2) for c in range(at.shape[1])], axis=1)
+            for level in range(3):
+                at = np.concatenate([neardup.choose(t, at[:, c], 2 if level < 2 else 1) for c in range(at.shape[1])], axis=1)
             nodes.append(at)
         own = (nodes[0][:, :, None] == nodes[1][:, None, :]).any(axis=(1, 2))
         rates.append(own.mean())
         met |= own
-    assert min(rates) > 0.85 and met.mean() > 0.999
+    assert min(rates) > 0.7 and met.mean() > 0.998
 
 
 def test_components(spark):
