@@ -45,7 +45,7 @@ def paragraph_label(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces between white space that follows ``.``, ``!`` or ``?``; blank ones go."""
-    return F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def legal_sentences(text: Column) -> Column:
@@ -54,7 +54,7 @@ def legal_sentences(text: Column) -> Column:
     words = "|".join(hr.ABBREVIATIONS)
     guard = rf"(?<![0-9][.!?])(?<!(?:^|[ ])(?iu:{words})[.!?])(?<!(?:^|[ ])\S?[.!?])"
     split = F.split(F.regexp_replace(F.trim(text), rf"(?<=[.!?]){guard}\s+(?=[A-ZŠĐČĆŽ])", "\u0001"), "\u0001")
-    return F.filter(F.transform(split, F.trim), lambda x: x != "")
+    return F.filter(F.transform(split, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_date(text: Column) -> Column:
@@ -119,7 +119,7 @@ def strip_label(text: Column, label: Column) -> Column:
 
 def article_pieces(text: Column) -> Column:
     """A flat text cut before every ``Član N.``; each piece with its heading, '' for what precedes the first."""
-    cut = F.filter(F.transform(F.split(text, r"(?=Član\s+\d+\.)"), F.trim), lambda x: x != "")
+    cut = F.filter(F.transform(F.split(text, r"(?=Član\s+\d+\.)"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(cut, lambda x: F.struct(F.regexp_extract(x, r"^Član\s+\d+\.[^. ]*", 0).alias("heading"), F.trim(F.regexp_replace(x, r"^Član\s+\d+\.[^. ]*", "")).alias("body")))
 
 
@@ -155,5 +155,5 @@ def list_items(lines: Column) -> Column:
             .cast(f"array<{block}>")
         )
 
-    kept = F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(F.aggregate(kept, start, step), lambda b: F.struct(b["kind"].alias("kind"), b["items"].alias("items")))

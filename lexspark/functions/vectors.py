@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_WORDS = re.compile(r"[^\W_]+")
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -33,7 +40,19 @@ def mean(df: DataFrame, keys: list[str], vector: str, out: str = "mean") -> Data
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__d", "__m"))), lambda s: s["__m"]).alias(out))
 
 
-def hashed(words: Column, size: int = 64) -> Column:
-    """The default encoder: counts of words by hash, of length one."""
-    bins = F.transform(words, lambda w: F.pmod(F.crc32(F.encode(w, "UTF-8")), F.lit(size)))
-    return normalize(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(bins, lambda b: b == k)).cast("double")))
+def hashed(texts: Column, size: int = 64) -> Column:
+    """The default encoder, of an array of texts to an array of vectors: counts of words by hash, of length one."""
+
+    @F.arrow_udf("array<array<double>>")
+    def run(many: pa.Array) -> pa.Array:
+        out = []
+        for row in many.to_pylist():
+            vectors = []
+            for text in row or []:
+                bins = np.fromiter((zlib.crc32(w.encode()) % size for w in _WORDS.findall((text or "").lower())), np.int64)
+                counts = np.bincount(bins, minlength=size).astype(np.float64)
+                vectors.append(counts / (np.linalg.norm(counts) or 1.0))
+            out.append(vectors)
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+
+    return run(texts)

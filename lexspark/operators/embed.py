@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,18 @@ def chunks(text: Column, tokens: int = 512) -> Column:
 
 
 def embed(texts: DataFrame, keys: list[str], text: str, tokens: int = 512, encoder: Callable[[Column], Column] = encode) -> DataFrame:
-    """(keys, embedding): a fold over each row's chunks, so a document's chunks need no shuffle to meet again."""
-    each = F.transform(chunks(F.col(text), tokens), encoder)
-    total = F.aggregate(each, F.transform(F.get(each, F.lit(0)), lambda x: x * 0.0), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
-    return texts.select(*keys, V.normalize(total).alias("embedding"))
+    """(keys, embedding): a text's chunks stay in its row, so they need no shuffle to meet again."""
+    rows = texts.select(*keys, encoder(chunks(F.col(text), tokens)).alias("__e"))
+
+    @F.arrow_udf("array<double>")
+    def pooled(many: pa.Array) -> pa.Array:
+        out = []
+        for vectors in many:
+            total = np.sum([np.asarray(v.values) for v in vectors], axis=0)
+            out.append(total / (np.linalg.norm(total) or 1.0))
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return rows.select(*keys, pooled(F.col("__e")).alias("embedding"))
 
 
 def levels(documents: DataFrame, articles: DataFrame | None, id: str, summaries: list[str], title: str = "naslov", text: str = "doc_cleaned") -> DataFrame:

@@ -12,7 +12,7 @@ from lexspark.functions import text as T
 def dedupe(items: Column, longest: int) -> Column:
     """Trimmed items that are not blank, in order; of those whose first 60 characters agree whatever the case, the
     first. Items are cut at `longest` characters. One pass over places within the row: no shuffle."""
-    kept = F.filter(F.transform(items, F.trim), lambda x: F.coalesce(x, F.lit("")) != "")
+    kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
     keyed = F.transform(kept, lambda x: F.struct(F.lower(F.substring(x, 1, 60)).alias("k"), x.alias("v")))
     first = F.filter(keyed, lambda x, i: F.array_position(F.transform(keyed, lambda y: y["k"]), x["k"]) == i + 1)
     return F.transform(first, lambda x: F.left(x["v"], F.lit(longest)))
@@ -33,7 +33,7 @@ def deadlines(text: Column) -> Column:
 
 def bodies(text: Column, items: Column) -> Column:
     """Capitalised names in paragraphs that name an institution, then headers in capitals, in title case."""
-    named = F.flatten(F.transform(holding(items, hr.INSTITUTIONS), lambda s: F.transform(found(s, rf"(?U)\b(?:{hr.BODY})"), F.trim)))
+    named = F.flatten(F.transform(holding(items, hr.INSTITUTIONS), lambda s: F.transform(found(s, rf"(?U)\b(?:{hr.BODY})"), lambda x: F.trim(x))))
     institution = F.lit(hr.marked(hr.INSTITUTIONS).replace("(?i)", "(?iU)"))
     good = F.filter(named, lambda b: F.rlike(b, institution) | F.forall(F.filter(F.split(b, r"\s+"), lambda w: F.length(w) > 2), lambda w: F.rlike(w, F.lit(r"^\p{Lu}"))))
     heads = F.transform(F.filter(found(text, rf"(?U)\b{hr.HEADER}\b"), lambda h: F.rlike(h, institution)), lambda h: T.title_case(F.trim(h)))

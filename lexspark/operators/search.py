@@ -110,7 +110,7 @@ def fuzzy_score(query: str, weights: dict[str, float] = WEIGHTS) -> Column:
     return F.round(sum(parts[1:], parts[0]) / sum(weights.values()), 6)
 
 
-def fuzzy(index: DataFrame, query: str, least: float = 1 - THRESHOLD) -> DataFrame:
+def fuzzy(index: DataFrame, query: str, least: float = round(1 - THRESHOLD, 6)) -> DataFrame:
     return index.withColumn("score", fuzzy_score(query)).where(F.col("score") >= least)
 
 

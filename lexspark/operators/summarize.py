@@ -1,8 +1,8 @@
 """Extractive summaries by maximal marginal relevance, chunking and packing.
 
-The encoder is a parameter: a function of a Column of text to a Column of vectors. By default words are counted
-by hash (functions/vectors.py), so that every step stays within the JVM but the greedy selection itself, which
-looks back at what it has chosen and runs in numpy on Arrow batches.
+The encoder is a parameter: a function of a Column of arrays of texts to a Column of arrays of vectors. By default
+words are counted by hash (functions/vectors.py). Encoding and the greedy selection, which looks back at what it
+has chosen, run in numpy on Arrow batches; everything else stays within the JVM.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def encode(text: Column, size: int = 64) -> Column:
-    return V.hashed(words(text), size)
+def encode(texts: Column) -> Column:
+    return V.hashed(texts)
 
 
 def chosen(vectors: np.ndarray, query: np.ndarray, k: int, weight: float, digits: int | None = None) -> list[int]:
@@ -67,17 +67,34 @@ def mmr(vectors: Column, query: Column, k: int, weight: float, digits: int | Non
     return run(vectors, query)
 
 
+def _encoded(df: DataFrame, text: str, encoder: Callable[[Column], Column]) -> DataFrame:
+    """df with sentences __s, their vectors __v, and the vector of the whole text __q, all encoded in one call."""
+    plain = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumn("__s", T.sentences(plain)).withColumn("__e", encoder(F.concat(F.array(plain), "__s")))
+    return df.withColumn("__q", F.get("__e", F.lit(0))).withColumn("__v", F.slice("__e", F.lit(2), F.size("__s"))).drop("__e")
+
+
+def _joined(items: str, places: Column) -> Column:
+    """The items at the places, in order, joined by blanks."""
+
+    @F.arrow_udf("string")
+    def run(many: pa.Array, at: pa.Array) -> pa.Array:
+        return pa.array([" ".join(m[i] for i in p) for m, p in zip(many.to_pylist(), at.to_pylist(), strict=True)], pa.string())
+
+    return run(F.col(items), places)
+
+
 def summary(df: DataFrame, text: str, k: int = 3, weight: float = 0.7, out: str = "summary", encoder: Callable[[Column], Column] = encode) -> DataFrame:
     """df with a column of the k sentences that say most, in order; a text of no more than k sentences stays as it is."""
-    df = df.withColumn("__s", T.sentences(F.coalesce(F.col(text), F.lit("")))).withColumn("__v", F.transform("__s", encoder)).withColumn("__q", encoder(F.coalesce(F.col(text), F.lit(""))))
-    picked = F.array_join(F.transform(mmr(F.col("__v"), F.col("__q"), k, weight), lambda i: F.get("__s", i)), " ")
-    return df.withColumn(out, F.when(F.size("__s") <= k, F.col(text)).otherwise(picked)).drop("__s", "__v", "__q")
+    df = _encoded(df, text, encoder)
+    df = df.withColumn("__p", mmr(F.col("__v"), F.col("__q"), k, weight))
+    return df.withColumn(out, F.when(F.size("__s") <= k, F.col(text)).otherwise(_joined("__s", F.col("__p")))).drop("__s", "__v", "__q", "__p")
 
 
 def summaries(df: DataFrame, text: str, grid: tuple = GRID, limit: int = 100, encoder: Callable[[Column], Column] = encode) -> DataFrame:
     """df with one column for each row of the grid. Sentences are encoded once for all of them. A text of more than
     `limit` sentences is summed up in overlapping chunks of three sentences each first, and then once more."""
-    df = df.withColumn("__s", T.sentences(F.coalesce(F.col(text), F.lit("")))).withColumn("__v", F.transform("__s", encoder)).withColumn("__q", encoder(F.coalesce(F.col(text), F.lit(""))))
+    df = _encoded(df, text, encoder)
 
     @F.arrow_udf("array<array<int>>")
     def run(many: pa.Array, one: pa.Array) -> pa.Array:
@@ -97,7 +114,7 @@ def summaries(df: DataFrame, text: str, grid: tuple = GRID, limit: int = 100, en
 
     df = df.withColumn("__p", run(F.col("__v"), F.col("__q")))
     for j, (name, k, _) in enumerate(grid):
-        df = df.withColumn(name, F.when(F.size("__s") <= k, F.col(text)).otherwise(F.array_join(F.transform(F.get("__p", F.lit(j)), lambda i: F.get("__s", i)), " ")))
+        df = df.withColumn(name, F.when(F.size("__s") <= k, F.col(text)).otherwise(_joined("__s", F.get("__p", F.lit(j)))))
     return df.drop("__s", "__v", "__q", "__p")
 
 
