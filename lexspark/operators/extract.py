@@ -11,11 +11,13 @@ from lexspark.functions import text as T
 
 def dedupe(items: Column, longest: int) -> Column:
     """Trimmed items that are not blank, in order; of those whose first 60 characters agree whatever the case, the
-    first. Items are cut at `longest` characters. One pass over places within the row: no shuffle."""
+    first. Items are cut at `longest` characters. Sorted within the row: no shuffle."""
     kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
-    keyed = F.transform(kept, lambda x: F.struct(F.lower(F.substring(x, 1, 60)).alias("k"), x.alias("v")))
-    first = F.filter(keyed, lambda x, i: F.array_position(F.transform(keyed, lambda y: y["k"]), x["k"]) == i + 1)
-    return F.transform(first, lambda x: F.left(x["v"], F.lit(longest)))
+    keyed = F.array_sort(F.transform(kept, lambda x, i: F.struct(F.lower(F.substring(x, 1, 60)).alias("k"), i.alias("i"), x.alias("v"))))
+    # bound to a variable, so that the sorted array is made once and not for each of its elements
+    first = F.transform(F.array(keyed), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["k"] != x["k"])))
+    ordered = F.array_sort(F.transform(F.get(first, F.lit(0)), lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v"))))
+    return F.transform(ordered, lambda x: F.left(x["v"], F.lit(longest)))
 
 
 def found(text: Column, pattern: str) -> Column:
