@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_arrow, mix, signed, small_batches, stage
+from .common import Words, map_arrow, mix, signed, small_batches, stage, unused
 from .components import components
 from .minhash import Permutations, set_key, shingles
 
@@ -254,5 +254,6 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
 
 def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, **options) -> DataFrame:
     """df with the document of the least id of each component; all columns stay. Rows without an id stay."""
-    gone = Join(df, id, text, words, percent, **options).run().where("i <> c").select(F.col("i").alias("__i"), F.col("t").alias("__t")).distinct()
-    return df.join(gone, (df[id] == F.col("__i")) & (F.xxhash64(df[text]) == F.col("__t")), "left_anti")
+    i, t = unused(df, "__i", "__t")
+    gone = Join(df, id, text, words, percent, **options).run().where("i <> c").select(F.col("i").alias(i), F.col("t").alias(t)).distinct()
+    return df.join(gone, (F.col(id) == F.col(i)) & (F.xxhash64(F.col(text)) == F.col(t)), "left_anti")

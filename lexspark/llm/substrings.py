@@ -18,7 +18,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, hash_runs, lists, map_arrow, signed, stage
+from .common import Words, hash_runs, lists, map_arrow, signed, stage, unused
 
 
 def picks(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,12 +120,13 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window
 def strip_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, length: str | None = None) -> DataFrame:
     """df with repeated windows cut out of the text column; all other columns stay. Untouched texts stay as they are.
 
-    Of a changed text the kept words are joined by one space; `length` names a column to hold its new number
-    of characters. Documents of which no word is left are dropped.
+    Of a changed text the kept words are joined by one space; `length` names a column that holds the number of
+    characters, to be set anew. Documents of which no word is left are dropped.
     """
+    i, t, own = unused(df, "__i", "__t", "__cut")
     _, cut = repeated(df, id, text, window)
-    cut = cut.select(F.col("i").alias("__i"), F.col("t").alias("__t"), F.col("cut").alias("__cut"))
-    joined = df.join(cut, df[id].eqNullSafe(F.col("__i")) & (F.xxhash64(df[text]) == F.col("__t")), "left").drop("__i", "__t")
+    cut = cut.select(F.col("i").alias(i), F.col("t").alias(t), F.col("cut").alias(own))
+    joined = df.join(cut, (F.col(id) == F.col(i)) & (F.xxhash64(F.col(text)) == F.col(t)), "left").drop(i, t)
 
     @F.arrow_udf("string")
     def rest(texts: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -135,6 +136,8 @@ def strip_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window:
             out.append(_kept(words, data, k, cuts[k].values, window)[1].decode() if cuts[k].is_valid else None)
         return pa.array(out, pa.string())
 
-    changed = joined.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(rest(F.col(text), F.col("__cut"))))
-    changed = changed.where(F.col("__cut").isNull() | (F.col(text) != "")).drop("__cut")
-    return changed.withColumn(length, F.char_length(text).cast("long")) if length else changed
+    changed = joined.withColumn(text, F.when(F.col(own).isNull(), F.col(text)).otherwise(rest(F.col(text), F.col(own))))
+    changed = changed.where(F.col(own).isNull() | (F.col(text) != ""))
+    if length:
+        changed = changed.withColumn(length, F.when(F.col(own).isNull(), F.col(length)).otherwise(F.char_length(text).cast("long")))
+    return changed.drop(own)
