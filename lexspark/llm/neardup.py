@@ -8,10 +8,10 @@ nodes that are too large branch further.
 Documents of equal sets form one class, and classes are what the trees hold. What is sought are the components
 of the link graph, so a pair whose classes are already connected needs no comparison:
 
-1. In each node every class is paired with the node's least class. A node of n classes makes n - 1 pairs, however
+1. In each node of the first `STARS` trees every class is paired with the node's least class. A node of n classes makes n - 1 pairs, however
    alike its members are. Pairs whose MinHash values can't reach the threshold are left out, the others are
    confirmed on their full sets, and components are formed.
-2. Nodes that still hold several components are compared exhaustively across components if that makes at most
+2. Nodes of all trees that still hold several components are compared exhaustively across components if that makes at most
    `limit` comparisons of MinHash values; others branch again, by one token a level, since what is alike in part
    then parts; at `depth` levels what is still larger is compared block by block.
 
@@ -35,6 +35,8 @@ from .minhash import Permutations, set_key, shingles
 POSITIONS = 256
 #: By so much may the share of equal MinHash values fall short of the threshold: four standard deviations at 0.85.
 MARGIN = 0.09
+#: Trees whose nodes give the pairs of the first step; most components are found in them, and the rest by the second.
+STARS = 2
 
 
 def _matrix(column: pa.Array, n: int = POSITIONS) -> np.ndarray:
@@ -114,7 +116,7 @@ class Join:
                 at = mix(np.full((len(keys), 1), tree + 1, np.uint64))
                 for level in range(start):
                     at = np.concatenate([choose(tokens, at[:, c], branch if level < 2 else 1) for c in range(at.shape[1])], axis=1)
-                nodes.append(at)
+                nodes.append(at >> np.uint64(3) << np.uint64(3) | np.uint64(tree % 8))  # a node's last bits tell its tree
             nodes = np.concatenate(nodes, axis=1)
             return pa.RecordBatch.from_arrays([pa.array(signed(nodes.ravel())), pa.array(np.repeat(keys, nodes.shape[1]))], names=["g", "k"])
 
@@ -205,7 +207,7 @@ class Join:
         nodes = self.descend()
         leads = nodes.groupBy("g").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("g", "a")
         multi = stage(nodes.join(leads, "g"), "nodes")
-        tried = stage(multi.where("k <> a").select("a", F.col("k").alias("b")).distinct(), "pairs")
+        tried = stage(multi.where((F.col("k") != F.col("a")) & (F.pmod("g", F.lit(8)) < STARS)).select("a", F.col("k").alias("b")).distinct(), "pairs")
         links = self.confirm(tried)
         found = components(links)
         members = multi.join(found.withColumnRenamed("v", "k"), "k", "left").select("g", "k", F.coalesce("m", "k").alias("c"))
