@@ -28,8 +28,8 @@ from .quality import SAMPLE, held_out, labelled
 ENTRIES = 400
 #: Words on each side of a hit that count as its context.
 CONTEXT = 8
-FEATURES = ("exact", "near", "quoted", "close", "rate", "weight")
-PRIOR = np.array([1.5, 0.2, 0.0, 0.5, 0.2, 0.3])
+FEATURES = ("some", "exact", "near", "quoted", "close", "rate", "weight")
+PRIOR = np.array([1.5, 1.5, 0.2, 0.0, 0.5, 0.2, 0.3])
 _TABLE = 0x3000
 _OPEN, _LINE = 1, 2  # kinds beside letters
 
@@ -200,10 +200,11 @@ class Model:
             beside = (np.diff(at[plain]) <= CONTEXT) & (np.diff(text[plain]) == 0)
             close[plain[1:][beside]] = True
         counts = lambda mask, weights=None: np.bincount(text[mask], None if weights is None else weights[mask], len(out))
-        out[:, 0], out[:, 1], out[:, 2], out[:, 3] = (np.log1p(counts(m)) for m in (exact, near, quoted, close))
+        out[:, 0] = counts(exact) > 0
+        out[:, 1], out[:, 2], out[:, 3], out[:, 4] = (np.log1p(counts(m)) for m in (exact, near, quoted, close))
         words = np.maximum(np.diff(first), 1)
-        out[:, 4] = np.log1p(1000 * counts(exact) / words) / 3
-        out[:, 5] = np.log1p(counts(exact, self.weights[entry[at]]))
+        out[:, 5] = np.log1p(1000 * counts(exact) / words) / 3
+        out[:, 6] = np.log1p(counts(exact, self.weights[entry[at]]))
         return out
 
     @staticmethod
@@ -241,9 +242,12 @@ def learn_words(texts: DataFrame) -> list[tuple[str, float]]:
     terms = counts.select(F.explode(F.array_compact(F.concat(F.array("w"), stems))).alias("t"), "w", "k", "c")
     terms = terms.groupBy("t").agg(F.sum("k").alias("k"), F.sum("c").alias("c"), F.count("*").alias("forms"))
     ratio = ((F.col("k") + 0.5) / (bad + 1)) / ((F.col("c") + 0.5) / (good + 1))
-    evidence = F.col("k") * F.log(F.greatest(ratio, F.lit(1.0)))
+    # how far the split between toxic and other documents is from the sample's, as a binomial deviance: the chance of
+    # such a split is about exp(-14) at the bound, small against the number of different words
+    share, n = bad / (bad + good), F.col("k") + F.col("c")
+    off = F.col("k") * F.log(F.col("k") / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0.0)
     # a stem must come in several forms, else its one word is the better entry
-    kept = terms.where(((~F.col("t").endswith("*")) | (F.col("forms") > 2)) & (F.col("k") >= 8) & (ratio >= 8)).withColumn("e", evidence).where("e >= 40")
+    kept = terms.where(((~F.col("t").endswith("*")) | (F.col("forms") > 2)) & (F.col("k") >= 5) & (ratio >= 8) & (off >= 14)).withColumn("e", F.col("k") * F.log(ratio))
     found = kept.orderBy(F.desc("e"), "t").limit(ENTRIES).collect()
     chosen: list[tuple[str, float]] = []
     for r in sorted(found, key=lambda r: (len(r.t.removesuffix("*")), not r.t.endswith("*"))):
@@ -253,7 +257,7 @@ def learn_words(texts: DataFrame) -> list[tuple[str, float]]:
     return chosen
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, steps: int = 50) -> np.ndarray:
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50) -> np.ndarray:
     """Logistic weights drawn towards PRIOR, the base towards -3, by Newton's method."""
     prior = np.concatenate([PRIOR, [-3.0]])
     beta, full = prior.copy(), np.concatenate([x, np.ones((len(x), 1))], axis=1)
