@@ -41,7 +41,7 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], above: Column | None = None, parts: int | None = None) -> DataFrame:
-    """df with ids that follow the order, from 1 or above a one-row maximum, without one task seeing all rows: rows
+    """df with ids that follow the order, from 1 or above a maximum, without one task seeing all rows: rows
     are sorted in ranges, and each range starts where the counts of those before it end."""
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -73,8 +73,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], keep: tuple[st
     own = [F.col(f"s.{c}") if c in source.columns else F.lit(None).alias(c) for c in target.columns if c not in keep]
     hit = hit.select(*own, *[F.coalesce(F.col(f"__{c}"), F.col(f"s.{c}") if c in source.columns else F.lit(None)).alias(c) if c != "id" else F.col("__id").alias("id") for c in keep])
     if "id" in keep:
-        top = target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-        fresh = numbered(hit.where("id is null").drop("id").crossJoin(F.broadcast(top)), order or keys, F.col("__top")).drop("__top")
+        top = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        fresh = numbered(hit.where("id is null").drop("id"), order or keys, F.lit(top))
         hit = hit.where("id is not null").unionByName(fresh)
     return rest.select(*target.columns).unionByName(hit.select(*target.columns))
 
