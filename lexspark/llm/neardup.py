@@ -8,8 +8,8 @@ nodes that are too large branch further.
 Documents of equal sets form one class, and classes are what the trees hold. What is sought are the components
 of the link graph, so a pair whose classes are already connected needs no comparison:
 
-1. In each node of the first `STARS` trees every class is paired with the node's least class. A node of n classes makes n - 1 pairs, however
-   alike its members are. Pairs whose MinHash values can't reach the threshold are left out, the others are
+1. In the first `STARS` trees every class is paired with the least class of its smallest node and of its largest
+   one: so many pairs at most as classes, times four, however alike the members of a node are. Pairs whose MinHash values can't reach the threshold are left out, the others are
    confirmed on their full sets, and components are formed.
 2. Nodes of all trees that still hold several components are compared exhaustively across components if that makes at most
    `limit` comparisons of MinHash values; others branch again, by one token a level, since what is alike in part
@@ -205,9 +205,11 @@ class Join:
     def run(self) -> DataFrame:
         """One row for each row of the input: i, t, n, c; c is the least id of its component, its own id without links."""
         nodes = self.descend()
-        leads = nodes.groupBy("g").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("g", "a")
+        leads = nodes.groupBy("g").agg(F.min("k").alias("a"), F.max("k").alias("last"), F.count("*").alias("z")).where("a < last").select("g", "a", "z")
         multi = stage(nodes.join(leads, "g"), "nodes")
-        tried = stage(multi.where((F.col("k") != F.col("a")) & (F.pmod("g", F.lit(8)) < STARS)).select("a", F.col("k").alias("b")).distinct(), "pairs")
+        stars = multi.where(F.pmod("g", F.lit(8)) < STARS).groupBy("k", F.pmod("g", F.lit(8)).alias("tree")).agg(F.min(F.struct("z", "a")).alias("x"), F.max(F.struct("z", "a")).alias("y"))
+        stars = stars.select(F.col("k").alias("b"), F.explode(F.array("x.a", "y.a")).alias("a")).where("a <> b")
+        tried = stage(stars.select("a", "b").distinct(), "pairs")
         links = self.confirm(tried)
         found = components(links)
         members = multi.join(found.withColumnRenamed("v", "k"), "k", "left").select("g", "k", F.coalesce("m", "k").alias("c"))
