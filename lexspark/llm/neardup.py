@@ -12,11 +12,13 @@ of the link graph, so a pair whose classes are already connected needs no compar
    one: so many pairs at most as classes, times four, however alike the members of a node are. Pairs whose MinHash values can't reach the threshold are left out, the others are
    confirmed on their full sets, and components are formed.
 2. Nodes of all trees that still hold several components are compared exhaustively across components if that makes at most
-   `limit` comparisons of MinHash values; others branch again, by one token a level, since what is alike in part
-   then parts; at `depth` levels what is still larger is compared block by block.
+   `limit` comparisons of MinHash values. Others branch again, by one token a level down to `depth`, only to connect
+   early what is most alike: each level loses pairs.
+3. So the large nodes themselves are then compared across the components that are left, block by block where there
+   still are more than `limit` comparisons.
 
-So no link between components is lost that the trees find, and a group of copies costs as many pairs as it has
-members. Two sets of similarity 0.8 meet in one tree with probability 0.75, in six with 0.9997; two of 0.85 with 0.85 and 0.99999.
+So no link between components is lost that the trees find at `start` levels, whatever a node's size, and a group of
+copies costs as many pairs as it has members; n classes that share a node without being linked cost n * n / 2 comparisons. Two sets of similarity 0.8 meet in one tree with probability 0.75, in six with 0.9997; two of 0.85 with 0.85 and 0.99999.
 """
 
 from __future__ import annotations
@@ -149,13 +151,14 @@ class Join:
         return stage(map_arrow(both.select("a", "b", "x1", "x2"), check, "a long, b long"), "links")
 
     def compare(self, members: DataFrame) -> DataFrame:
-        """Distinct likely pairs (a, b) across components (c) inside the nodes (g), all against all; nodes are small."""
+        """Distinct likely pairs (a, b) across components (c) inside the nodes (g), all against all; nodes are small.
+        Where f is 0 or 1, rows meet those of the other value only."""
         least, percent = self.least, self.percent
 
         def run(batches) -> Iterator[pa.RecordBatch]:
             rest = None
             for batch in batches:
-                part = [np.asarray(batch.column(j)) for j in range(4)] + [_matrix(batch.column(4))]
+                part = [np.asarray(batch.column(j)) for j in range(5)] + [_matrix(batch.column(5))]
                 part = part if rest is None else [np.concatenate(x) for x in zip(rest, part, strict=True)]
                 g = part[0]
                 last = int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
@@ -169,7 +172,7 @@ class Join:
             y = y[np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent]
             return y[(s[x] == s[y]).sum(axis=1) >= least]
 
-        def pairs_in(g, k, c, n, s) -> pa.RecordBatch:
+        def pairs_in(g, k, c, f, n, s) -> pa.RecordBatch:
             """Each row outside the node's largest component meets the rows of other components that follow it, and
             those of the largest one; rows of the largest component begin no comparison."""
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -181,12 +184,12 @@ class Join:
                 for j in range(hi - lo - int(counts.max())):
                     x = order[j]
                     rest = order[j + 1 :]
-                    found = alike(n, s, x, rest[c[rest] != c[x]])
+                    found = alike(n, s, x, rest[(c[rest] != c[x]) & ((f[rest] != f[x]) | (f[x] < 0))])
                     a.append(np.minimum(k[x], k[found]))
                     b.append(np.maximum(k[x], k[found]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-        signed_in = members.join(self.classes.select("k", "n", "s"), "k").select("g", "k", "c", "n", "s")
+        signed_in = members.join(self.classes.select("k", "n", "s"), "k").select("g", "k", "c", "f", "n", "s")
         return signed_in.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct()
 
     def deeper(self, members: DataFrame) -> DataFrame:
@@ -197,10 +200,11 @@ class Join:
         return map_arrow(members.join(self.classes.select("k", "s"), "k").select("g", "k", "c", "s"), run, "g long, k long, c long")
 
     def mixed(self, members: DataFrame) -> DataFrame:
-        """Of members (g, k, c) those in nodes with several components, with the node's size z and its comparisons q."""
+        """Of members (g, k, c) those in nodes with several components, with the node's size z and its comparisons q, and the
+        size le and name lc of its largest component."""
         each = members.groupBy("g", "c").agg(F.count("*").alias("e"))
-        nodes = each.groupBy("g").agg(F.sum("e").alias("z"), F.sum(F.col("e") * F.col("e")).alias("w"), F.count("*").alias("n")).where("n > 1")
-        return members.join(nodes.select("g", "z", ((F.col("z") * F.col("z") - F.col("w")) / 2).alias("q")), "g")
+        nodes = each.groupBy("g").agg(F.sum("e").alias("z"), F.sum(F.col("e") * F.col("e")).alias("w"), F.count("*").alias("n"), F.max(F.struct("e", "c")).alias("l")).where("n > 1")
+        return members.join(nodes.select("g", "z", ((F.col("z") * F.col("z") - F.col("w")) / 2).alias("q"), F.col("l.e").alias("le"), F.col("l.c").alias("lc")), "g")
 
     def run(self) -> DataFrame:
         """One row for each row of the input: i, t, n, c; c is the least id of its component, its own id without links."""
@@ -212,38 +216,58 @@ class Join:
         tried = stage(stars.select("a", "b").distinct(), "pairs")
         links = self.confirm(tried)
         found = components(links)
-        members = multi.join(found.withColumnRenamed("v", "k"), "k", "left").select("g", "k", F.coalesce("m", "k").alias("c"))
-        members = stage(self.mixed(members), "mixed")
-        pairs, level = [], self.start
-        while True:
-            pairs.append(stage(self.compare(members.where(F.col("q") <= self.limit).select("g", "k", "c")), "across"))
-            large = members.where(F.col("q") > self.limit)
-            if large.isEmpty():
-                break
-            if level == self.depth:
-                pairs.append(stage(self.blocks(large), "across"))
-                break
+        members = stage(self.mixed(self.named(multi, found)), "mixed")
+        small, large = F.col("q") <= self.limit, members.where(F.col("q") > self.limit).select("g", "k")
+        nodes, level = members, self.start
+        pairs = [stage(self.compare(whole(members.where(small))), "across")]
+        much = not large.isEmpty()
+        while much and level < self.depth:
             level += 1
-            members = stage(self.mixed(self.deeper(large)), "mixed")
-        more = pairs[0]
-        for p in pairs[1:]:
-            more = more.union(p)
-        more = stage(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            links = links.union(self.confirm(more))
-            found = components(links)
+            nodes = stage(self.mixed(self.deeper(nodes.where(~small))), "mixed")
+            pairs.append(stage(self.compare(whole(nodes.where(small))), "across"))
+            if nodes.where(~small).isEmpty():
+                break
+        links, found, tried = self.further(links, found, tried, pairs)
+        if much:
+            members = stage(self.mixed(self.named(large, found)), "mixed")
+            pairs = [stage(self.compare(whole(members.where(small))), "across"), stage(self.compare(self.blocks(members.where(~small))), "across")]
+            links, found, tried = self.further(links, found, tried, pairs)
         self.links = links
         named = self.classes.select("k", "m").join(found.withColumnRenamed("v", "k").withColumnRenamed("m", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
         least = named.groupBy("c").agg(F.min("m").alias("o"))
         owner = named.join(least, "c").select("k", "o")
         return self.base.join(owner, "k", "left").select("i", "t", "n", F.when(F.col("n") > 0, F.coalesce("o", "i")).otherwise(F.col("i")).alias("c"))
 
+    def named(self, nodes: DataFrame, found: DataFrame) -> DataFrame:
+        return nodes.join(found.withColumnRenamed("v", "k"), "k", "left").select("g", "k", F.coalesce("m", "k").alias("c"))
+
+    def further(self, links: DataFrame, found: DataFrame, tried: DataFrame, pairs: list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """links, components and tried pairs after these pairs too."""
+        more = pairs[0]
+        for p in pairs[1:]:
+            more = more.union(p)
+        more = stage(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
+        if more.isEmpty():
+            return links, found, tried
+        links = links.union(self.confirm(more))
+        return links, components(links), tried.union(more)
+
     def blocks(self, large: DataFrame) -> DataFrame:
-        """Nodes that no further tokens split, compared in pairs of blocks of classes."""
-        size = max(1, int(self.limit**0.5) // 2)
-        dealt = large.withColumn("parts", F.ceil(F.col("z") / F.lit(size)).cast("int")).withColumn("x", F.pmod(F.xxhash64("k", F.lit(11)), F.col("parts")).cast("int"))
-        dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return self.compare(dealt.select(F.xxhash64("g", F.least("x", "y"), F.greatest("x", "y")).alias("g"), "k", "c"))
+        """Large nodes as pairs of blocks of classes, such that each two classes of different components meet once. Blocks
+        of a node's largest component meet those of the rest only; what goes into the same block is free."""
+        size = max(1, 2 * int(self.limit**0.5))
+        count = lambda n: F.ceil(n / F.lit(size)).cast("int")
+        dealt = large.withColumns({"big": F.col("c") == F.col("lc"), "rest": count(F.col("z") - F.col("le")), "most": count(F.col("le"))})
+        dealt = dealt.withColumn("x", F.pmod(F.xxhash64("k", F.lit(11)), F.when(F.col("big"), F.col("most")).otherwise(F.col("rest"))).cast("int"))
+        dealt = dealt.withColumn("x", F.when(F.col("big"), F.col("x") + F.col("rest")).otherwise(F.col("x")))
+        partners = F.when(F.col("big"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("most") - 1))
+        dealt = dealt.withColumn("y", F.explode(partners))
+        side = F.when(F.col("x") == F.col("y"), F.lit(-1)).otherwise((F.col("x") > F.col("y")).cast("int"))
+        return dealt.select(F.xxhash64("g", F.least("x", "y"), F.greatest("x", "y")).alias("g"), "k", "c", side.alias("f"))
+
+
+def whole(members: DataFrame) -> DataFrame:
+    return members.select("g", "k", "c", F.lit(-1).alias("f"))
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, **options) -> DataFrame:

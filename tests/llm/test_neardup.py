@@ -83,6 +83,16 @@ def test_large_nodes_branch_and_end_in_blocks(spark):
     assert rows_of(neardup.near_duplicates(documents(spark, texts), words=3, percent=85, start=0, limit=4, depth=1)) == brute(rows, 3, 85)
 
 
+def test_large_nodes_lose_no_links(spark):
+    """Pairs of similarity 0.802 among texts that share most of their words with all others."""
+    texts = []
+    for j in range(80):
+        own = [f"t{x}" for x in range(78)] + [f"o{j}x{x}" for x in range(22)]
+        texts += [" ".join(own), " ".join([*own[:89], *(f"e{j}x{x}" for x in range(11))])]
+    out = rows_of(neardup.near_duplicates(documents(spark, texts), words=1, percent=80, limit=4))
+    assert out == brute(list(enumerate(texts)), 1, 80)
+
+
 def test_repeated_rows_and_empty_tables(spark):
     t = "one two three four five six seven eight nine ten"
     rows = [(5, t), (5, t), (5, "quite another text stands under this same id"), (3, t.upper())]
