@@ -13,6 +13,11 @@ Suffixes whose first half window occurs in one document only are dropped before
 beginnings can hold a third of all rows: groups of more than `limit` are sorted in parts, the parts being formed
 by id, and where a part has no neighbour of another document on one side, the suffix of the group's least or
 greatest id stands in.
+
+The neighbours in that order need not be the documents that share most to the left, so they alone do not find every
+repeat. Where more than two suffixes begin alike, each window of `window` words around one is therefore also looked up by
+its hash (64 bits, on whole words): a window that stands in two documents is found in both, whatever sorts between them and however groups are
+split. The aggregates of a window are combined before the shuffle, so a very common one is no large group.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, lists, map_arrow, signed, stage
+from .common import Words, hash_runs, lists, map_arrow, signed, stage
 from .substrings import picks
 
 LIMIT = 4096
@@ -39,7 +44,9 @@ def _context(words: np.ndarray, places: np.ndarray, left: int, right: int) -> li
 
 
 def suffixes(df: DataFrame, id: str, text: str, window: int) -> DataFrame:
-    """(h, z, i, p, s): kept suffixes that begin alike in several documents; z: how many begin so; s: their words."""
+    """(h, z, i, p, s, a, w, q): kept suffixes that begin alike in several documents; z: how many begin so; s: their
+    words. Where they are more than two, w has the hashes of the windows that keep the suffix, which start at a, a + 1
+    and so on; q has where each first starts in the text, null if all do so at their own place."""
     docs = df.where(F.col(id).isNotNull()).select(F.col(id).alias("i"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
     half = (window + 1) // 2
 
@@ -58,25 +65,61 @@ def suffixes(df: DataFrame, id: str, text: str, window: int) -> DataFrame:
     alive = stage(alive.select("i", "t", "e.p", "e.h", "e.z"), "alive")
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, out = Words(batch.column(1)), []
+        words, out, starts, hashes, firsts = Words(batch.column(1)), [], [], [], []
         for k in range(len(words)):
             places = np.asarray(batch.column(2)[k].values).astype(np.int64)
             out += _context(words.of(k), places, window - half + 1, window + 1)
+            each, full = picks(words.of(k), window)[0], hash_runs(words.of(k), window)
+            lo, hi = np.searchsorted(each, places, "left"), np.searchsorted(each, places, "right")
+            hi[np.asarray(batch.column(4)[k].values) <= 2] = 0
+            _, at, back = np.unique(full, return_index=True, return_inverse=True)
+            first = None if len(at) == len(full) else at[back].astype(np.int32)
+            starts.append(lo)
+            hashes += [signed(full[x:y]) for x, y in zip(lo, hi, strict=True)]
+            firsts += [None if first is None else first[x:y] for x, y in zip(lo, hi, strict=True)]
         sizes = np.array([len(x) for x in batch.column(2)])
         flat = [batch.column(j).flatten() for j in (3, 4, 2)]
-        return pa.RecordBatch.from_arrays([flat[0], flat[1], pa.array(np.repeat(np.asarray(batch.column(0)), sizes)), flat[2], pa.array(out, pa.binary())], names=["h", "z", "i", "p", "s"])
+        columns = [flat[0], flat[1], pa.array(np.repeat(np.asarray(batch.column(0)), sizes)), flat[2], pa.array(out, pa.binary())]
+        columns += [pa.array(np.concatenate(starts).astype(np.int32)), lists(hashes, pa.int64()), pa.array(firsts, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["h", "z", "i", "p", "s", "a", "w", "q"])
 
     # a document repeated under one id is read once
     rows = docs.join(alive, ["i", "t"]).dropDuplicates(["i", "t"]).select("i", "x", "p", "h", "z")
-    return map_arrow(rows, read, "h long, z long, i long, p int, s binary")
+    return map_arrow(rows, read, "h long, z long, i long, p int, s binary, a int, w array<long>, q array<int>")
+
+
+def shared(rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, start, end, other_id, other_start): runs of following windows that stand in other documents too, with
+    the least other id and a place of the window there."""
+    full = rows.where("z > 2").select("i", "a", "q", F.posexplode("w").alias("n", "w"))
+    full = full.select("i", (F.col("a") + F.col("n")).alias("p"), "w", F.coalesce(F.get("q", F.col("n")), F.col("a") + F.col("n")).alias("q"))
+    # equal windows of a text have one q, so it does not matter which of them these take
+    ends = full.groupBy("w").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.min_by("q", "i").alias("p1"), F.max_by("q", "i").alias("p2")).where("lo < hi")
+    # of the least id the partner is the greatest, of others the least
+    other = lambda least, greatest: F.when(F.col("i") > F.col("lo"), F.col(least)).otherwise(F.col(greatest))
+    found = full.select("i", "p", "w").join(ends, "w").select("i", "p", other("lo", "hi").alias("i2"), (other("p1", "p2") - F.col("p")).alias("d"))
+    # windows that follow each other here and there are one match
+    found = found.groupBy("i", "i2", "d").agg(F.array_sort(F.collect_set("p")).alias("p"))
+
+    def join(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in batch.column(3)])
+        row, p = np.repeat(np.arange(len(sizes)), sizes), np.asarray(batch.column(3).flatten()).astype(np.int64)
+        first = np.concatenate([[True], (row[1:] != row[:-1]) | (p[1:] > p[:-1] + window)])
+        last = np.concatenate([first[1:], [True]])
+        i, i2, d = (np.asarray(batch.column(j)).astype(np.int64)[row[first]] for j in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (i, p[first], p[last] + window, i2, p[first] + d)], names=["doc_id", "start", "end", "other_id", "other_start"])
+
+    return map_arrow(found, join, "doc_id long, start long, end long, other_id long, other_start long")
 
 
 def matches(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, start, end, other_id, other_start): each suffix's matches of `window` words or more with its neighbours."""
+    """(doc_id, start, end, other_id, other_start): each suffix's matches of `window` words or more with its neighbours,
+    and the matches of windows by their hashes."""
     left, right = window - (window + 1) // 2 + 1, window + 1
     rows = suffixes(df, id, text, window)
     part = F.when(F.col("z") > limit, 1 + F.pmod(F.xxhash64("i"), F.ceil(F.col("z") / F.lit(limit)))).otherwise(F.lit(0)).cast("int")
     rows = stage(rows.withColumn("b", part), "sorted")
+    windows, rows = shared(rows, window), rows.drop("a", "w", "q")
     heads = rows.where("b > 0").groupBy("h").agg(F.min(F.struct("i", "p", "s")).alias("head"), F.max(F.struct("i", "p", "s")).alias("tail"))
     # only the large groups take part in this join, and before neighbours are added to their rows
     none = F.lit(None).cast(heads.schema["head"].dataType)
@@ -101,17 +144,16 @@ def matches(df: DataFrame, id: str = "doc_id", text: str = "text", window: int =
         before, after = before[keep], after[keep]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (i, p - before, p + after, i2, p2 - before)], names=["doc_id", "start", "end", "other_id", "other_start"])
 
-    return map_arrow(own, extend, "doc_id long, start long, end long, other_id long, other_start long")
+    return map_arrow(own, extend, "doc_id long, start long, end long, other_id long, other_start long").unionByName(windows)
 
 
 def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, limit: int = LIMIT) -> DataFrame:
     """One row for each passage of a document that stands in another document too: doc_id, start, n_words, other_id,
     other_start (places and lengths in words, from 0).
 
-    Overlapping matches of a document are one passage, so a passage is as long as repetition goes on. Its ends are
-    those of matches with neighbours: a document that is no neighbour of any of its suffixes and happens to share
-    a further word beside the common passage does not lengthen it. other_id is
-    the least id among the neighbours that it was matched with, other_start where that match begins there. Null
+    Overlapping matches of a document are one passage, so a passage is as long as repetition goes on: its words are those
+    of all windows that stand in another document. other_id is
+    the least id that it was matched with, other_start where that match begins there. Null
     and empty texts, and texts of fewer words than a window, have no passages; nor do rows without an id. Rows of
     one id are not compared with each other. Empty tables give no rows.
     """

@@ -59,3 +59,34 @@ def test_awkward_rows(spark):
     out = {(r.doc_id, r.start, r.n_words, r.other_id, r.other_start) for r in suffixes.repeated_passages(df).collect()}
     assert {(5, 0, 90, 9, 1), (9, 1, 90, 5, 0)} == {r for r in out if r[0] < 10 and r[0] != 8} and {r[:3] for r in out if r[0] in (8, 10)} == {(8, 0, 20_000), (10, 0, 300)}
     assert suffixes.repeated_passages(df.limit(0)).count() == 0
+
+
+def exact(out, rows, window):
+    """The share of documents with repeats whose covered words are just those of all repeated windows."""
+    where, wanted, covered = windows(rows, window), {}, {}
+    for i, text in rows:
+        words = WORD.findall(text)
+        for p in range(len(words) - window + 1):
+            if len(where[tuple(words[p : p + window])]) > 1:
+                wanted.setdefault(i, set()).update(range(p, p + window))
+    for r in out:
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    assert wanted and covered.keys() <= wanted.keys()
+    return sum(covered.get(i) == w for i, w in wanted.items()) / len(wanted)
+
+
+def hot(before, common, after, n):
+    """n documents that share a run of words; pairs of them also share words before and after it."""
+    texts = []
+    for j in range(n):
+        own = lambda side: " ".join(f"{side}{j}o{x}" for x in range(40))
+        pair = lambda side, k: " ".join(f"{side}{j // 2}p{x}" for x in range(k))
+        texts.append(" ".join([own("l"), pair("a", before), " ".join(f"c{x}" for x in range(common)), pair("z", after), own("r")]))
+    return texts
+
+
+def test_pairs_inside_a_common_passage(spark):
+    texts = hot(15, 40, 0, 40) + [t.replace("c", "d") for t in hot(8, 45, 0, 40)]
+    out = suffixes.repeated_passages(documents(spark, texts)).collect()
+    assert exact(out, list(enumerate(texts)), 50) == 1
+    held(out, list(enumerate(texts)), 50)
