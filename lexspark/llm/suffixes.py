@@ -12,7 +12,7 @@ so their union is the whole passage, however long. No row holds more than that,
 Suffixes whose first half window occurs in one document only are dropped before sorting. A group of equal
 beginnings can hold a third of all rows: groups of more than `limit` are sorted in parts, the parts being formed
 by id, and where a part has no neighbour of another document on one side, the suffix of the group's least or
-greatest id stands in.
+greatest id stands in. Neighbours then depend on the parts; what is found does not, by the windows below.
 
 The neighbours in that order need not be the documents that share most to the left, so they alone do not find every
 repeat. Where more than two suffixes begin alike, each window of `window` words around one is therefore also looked up by

@@ -90,3 +90,10 @@ def test_pairs_inside_a_common_passage(spark):
     out = suffixes.repeated_passages(documents(spark, texts)).collect()
     assert exact(out, list(enumerate(texts)), 50) == 1
     held(out, list(enumerate(texts)), 50)
+
+
+def test_pairs_inside_a_split_group(spark):
+    texts = hot(0, 40, 15, 40) + [t.replace("c", "d") for t in hot(0, 45, 8, 40)]
+    for limit in (4096, 5):
+        out = suffixes.repeated_passages(documents(spark, texts), limit=limit).collect()
+        assert exact(out, list(enumerate(texts)), 50) == 1, limit
