@@ -127,14 +127,13 @@ def with_next(df: DataFrame, id: str = "doc_id", text: str = "text", blocks: int
     return dealt.select("doc_id", "x", "guest").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def similar(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, bands: int = 16) -> DataFrame:
+def similar(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, bands: int = 32) -> DataFrame:
     """One row for each input row: doc_id, class_id, links: documents whose shingle sets reach the similarity.
 
-    Fingerprints are cut into bands. Documents of equal fingerprints and equal texts form one class; in each band
-    a class is joined with the least class of its band value, a line of pairs as long as the band's members, and
-    each pair is verified on its full sets. class_id is the least id that links reach; links counts the verified
-    pairs of the row's class. At 0.8 a pair shares one of 16 bands of 8 values with probability 0.95, at 0.9 with
-    0.9999; neardup.py is the operator of guaranteed recall.
+    Fingerprints are cut into bands. Documents of equal texts form one class; classes that share a band value are
+    paired, each with each, and each pair is verified on its full sets: n classes of one band value cost n * n / 2
+    verifications. class_id is the least id that links reach; links counts the verified pairs of the row's class. At
+    0.8 a pair shares one of 32 bands of 4 values with probability 0.9999999; neardup.py compares across components only.
     """
     permutations, width = Permutations(POSITIONS), POSITIONS // bands
     docs = df.select(F.col(id).alias("i"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
@@ -151,8 +150,7 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int
     full = base.where("i is not null").join(docs.where(F.length(F.trim(F.coalesce("x", F.lit("")))) > 0).select("i", "t").distinct(), ["i", "t"], "left_semi")
     classes = stage(full.groupBy("t").agg(F.min("i").alias("m"), F.min("bands").alias("bands")), "classes")
     each = classes.select("t", F.explode("bands").alias("g"))
-    leads = each.groupBy("g").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("g", "a")
-    pairs = each.join(leads, "g").where("t <> a").select("a", F.col("t").alias("b")).distinct()
+    pairs = each.select("g", F.col("t").alias("a")).join(each.select("g", F.col("t").alias("b")), "g").where("a < b").select("a", "b").distinct()
     texts = docs.join(classes.select(F.col("m").alias("i"), "t"), ["i", "t"]).dropDuplicates(["i", "t"]).select("t", "x")
     both = pairs.join(texts.select(F.col("t").alias("a"), F.col("x").alias("x1")), "a").join(texts.select(F.col("t").alias("b"), F.col("x").alias("x2")), "b")
 

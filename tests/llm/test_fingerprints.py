@@ -71,3 +71,9 @@ def test_bands_find_similar_documents(spark):
     assert [out[j][0] for j in range(12)] == [*range(6), *range(6)]
     assert out[12][0] == 0 and out[13] == (13, 0) and out[14] == (14, 0) and out[16][0] == 15
     assert out[1][1] == 1 and fingerprints.similar(df.limit(0)).count() == 0
+
+
+def test_all_pairs_of_a_band_are_linked(spark):
+    texts = [" ".join([*(f"v{i}" for i in range(200)), f"end{j}"]) for j in range(12)]
+    out = [(r.class_id, r.links) for r in fingerprints.similar(documents(spark, texts)).collect()]
+    assert out == [(0, 11)] * 12
