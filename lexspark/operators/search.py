@@ -99,19 +99,28 @@ WEIGHTS = {"naslov": 0.5, "eli": 0.2, "izdanje": 0.15, "short_summary": 0.1, "do
 THRESHOLD, DIRECT = 0.7, 0.99
 
 
-def fuzzy_score(query: str, weights: dict[str, float] = WEIGHTS) -> Column:
-    """A score in 0 to 1, greater for better: for each field 1 if it holds the query, else what the edit distance to
-    the field's first characters leaves of the query's length; weighted. An approximation of browser search scores."""
+def _nearest(text: Column, q: str) -> Column:
+    """The least edit distance between q and as many characters of the text, over all places."""
+    n = F.lit(len(q))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
+    return F.array_min(F.transform(places, lambda p: F.levenshtein(F.substring(text, p, n), F.lit(q))))
+
+
+def fuzzy_score(query: str, weights: dict[str, float] = WEIGHTS, anywhere: bool = True) -> Column:
+    """A score in 0 to 1, greater for better: for each field 1 if it holds the query, else what the least edit distance
+    to as many characters of the field leaves of the query's length; weighted. These are taken at all places of the
+    field, or at its start only without `anywhere`. An approximation of browser search scores."""
     q, parts = query.lower(), []
     for column, weight in weights.items():
         text = F.lower(F.coalesce(F.col(column), F.lit("")))
-        near = 1 - F.levenshtein(F.left(text, F.lit(len(q))), F.lit(q)) / len(q)
+        far = _nearest(text, q) if anywhere else F.levenshtein(F.left(text, F.lit(len(q))), F.lit(q))
+        near = 1 - far / len(q)
         parts.append(weight * F.when(F.contains(text, F.lit(q)), 1.0).otherwise(F.greatest(near, F.lit(0.0))))
     return F.round(sum(parts[1:], parts[0]) / sum(weights.values()), 6)
 
 
-def fuzzy(index: DataFrame, query: str, least: float = round(1 - THRESHOLD, 6)) -> DataFrame:
-    return index.withColumn("score", fuzzy_score(query)).where(F.col("score") >= least)
+def fuzzy(index: DataFrame, query: str, least: float = round(1 - THRESHOLD, 6), anywhere: bool = True) -> DataFrame:
+    return index.withColumn("score", fuzzy_score(query, anywhere=anywhere)).where(F.col("score") >= least)
 
 
 def exactly(index: DataFrame, vrsta: str | None = None, izdanje: str | None = None) -> DataFrame:
@@ -121,15 +130,15 @@ def exactly(index: DataFrame, vrsta: str | None = None, izdanje: str | None = No
     return index.where(F.col("izdanje") == T.normalize_issue(F.lit(izdanje))) if izdanje else index
 
 
-def fallback(index: DataFrame, query: str, vrsta: str | None = None, izdanje: str | None = None, cap: int = 20) -> DataFrame:
+def fallback(index: DataFrame, query: str, vrsta: str | None = None, izdanje: str | None = None, cap: int = 20, anywhere: bool = True) -> DataFrame:
     """(eli, score, bucket): direct matches that the fuzzy search has missed, then fuzzy ones, `cap` in all. Without
     a query the first of the index that pass the filters, unscored."""
     if not query:
         return exactly(index, vrsta, izdanje).orderBy(F.coalesce("datum", F.lit("")).desc(), "eli").limit(cap).select("eli", F.lit(None).cast("double").alias("score"), F.lit(0).alias("bucket"))
-    close = exactly(fuzzy(index, query), vrsta, izdanje).select("eli", "score", F.lit(1).alias("bucket"))
+    close = exactly(fuzzy(index, query, anywhere=anywhere), vrsta, izdanje).select("eli", "score", F.lit(1).alias("bucket"))
     q = F.lit(query)
     hit = T.contains(F.col("naslov"), q) | T.contains(F.col("eli"), q) | T.contains(F.col("izdanje"), q)
-    direct = exactly(index.where(hit), vrsta, izdanje).join(fuzzy(index, query).select("eli"), "eli", "left_anti").select("eli", F.lit(DIRECT).alias("score"), F.lit(0).alias("bucket"))
+    direct = exactly(index.where(hit), vrsta, izdanje).join(fuzzy(index, query, anywhere=anywhere).select("eli"), "eli", "left_anti").select("eli", F.lit(DIRECT).alias("score"), F.lit(0).alias("bucket"))
     return direct.unionByName(close).orderBy("bucket", F.desc("score"), "eli").limit(cap)
 
 

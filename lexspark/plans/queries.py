@@ -321,12 +321,12 @@ def hybrid_rrf(spark, sf_dir):
 
 def fuzzy_search(spark, sf_dir):
     rows = docs(spark, sf_dir).withColumn("short_summary", F.col("naslov"))
-    return search.fuzzy(rows, "Thation", 0.3).select("id", "eli", "score")
+    return search.fuzzy(rows, "Thation", 0.3, anywhere=False).select("id", "eli", "score")
 
 
 def fallback_merge(spark, sf_dir):
     rows = docs(spark, sf_dir).withColumn("short_summary", F.col("naslov"))
-    return search.fallback(rows, "thanti")
+    return search.fallback(rows, "thanti", anywhere=False)
 
 
 def enrich_results(spark, sf_dir):
