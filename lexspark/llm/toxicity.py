@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 from .quality import SAMPLE, held_out, labelled
 
-#: At most so many lexicon entries; those of most evidence come first.
-ENTRIES = 400
 #: Words on each side of a hit that count as its context.
 CONTEXT = 8
 FEATURES = ("some", "exact", "near", "quoted", "close", "rate", "weight")
@@ -230,7 +228,8 @@ class Model:
 
 
 def learn_words(texts: DataFrame) -> list[tuple[str, float]]:
-    """Entries and weights from (i, y, x). Counting is Spark's; what returns is bounded by ENTRIES."""
+    """Entries and weights from (i, y, x). Counting is Spark's; what returns is bounded by the evidence
+    that each term needs in a sample of bounded size."""
     totals = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
@@ -247,12 +246,15 @@ def learn_words(texts: DataFrame) -> list[tuple[str, float]]:
     share, n = bad / (bad + good), F.col("k") + F.col("c")
     off = F.col("k") * F.log(F.col("k") / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0.0)
     # a stem must come in several forms, else its one word is the better entry
-    kept = terms.where(((~F.col("t").endswith("*")) | (F.col("forms") > 2)) & (F.col("k") >= 5) & (ratio >= 8) & (off >= 14)).withColumn("e", F.col("k") * F.log(ratio))
-    found = kept.orderBy(F.desc("e"), "t").limit(ENTRIES).collect()
+    kept = terms.where(((~F.col("t").endswith("*")) | (F.col("forms") > 2)) & (F.col("k") >= 5) & (ratio >= 8) & (off >= 14))
+    found = kept.collect()
     chosen: list[tuple[str, float]] = []
-    for r in sorted(found, key=lambda r: (len(r.t.removesuffix("*")), not r.t.endswith("*"))):
+    merged: set[str] = set()
+    for r in sorted(found, key=lambda r: (len(r.t.removesuffix("*")), not r.t.endswith("*"), r.t)):
         body = r.t.removesuffix("*")
-        if not any(t.endswith("*") and body.startswith(t[:-1]) for t, _ in chosen):
+        if not any(body[:n] in merged for n in range(4, 8)):
+            if r.t.endswith("*"):
+                merged.add(body)
             chosen.append((r.t, float(np.log((r.k + 0.5) / (bad + 1) / ((r.c + 0.5) / (good + 1))))))
     return chosen
 

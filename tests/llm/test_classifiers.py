@@ -107,3 +107,9 @@ def test_quotation_is_told_from_abuse(spark):
     probe = ["he is an idiot", "they wrote “what an idiot” and left", "> what an idiot\nwe do not agree", "an idioot he is", "IDIOT!"]
     score = [r.score for r in toxicity.scored(documents(spark, probe), model).orderBy("doc_id").collect()]
     assert score[0] > 0.7 and score[4] > 0.7 and max(score[1], score[2]) < 0.5 and score[3] > score[1]
+
+
+def test_lexicon_holds_every_term_with_evidence(spark):
+    words = [f"{j:03d}abcdefg" for j in range(500)]
+    rows = [(i, i % 2, " ".join(words) if i % 2 else "plain text") for i in range(50)]
+    assert {t for t, _ in toxicity.learn_words(spark.createDataFrame(rows, "i long, y int, x string"))} == set(words)
