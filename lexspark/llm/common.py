@@ -6,6 +6,7 @@ longer character, so words are cut on the raw Arrow buffer without building one
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch handed to Python. Texts of some hundred KB then still make batches of moderate size.
-BATCH_ROWS = 1024
-#: Bytes of text hashed at once inside a batch.
-PIECE = 1 << 20
+#: Rows and bytes of an Arrow batch handed to Python.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+#: Words longer than so many bytes are hashed one at a time.
+LONG = 128
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -48,15 +49,28 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexspark_path = path
+    return out
+
+
+def unstage(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_lexspark_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the rows of an Arrow batch where the session allows more: texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Lower the rows and bytes of an Arrow batch where the session allows more: texts can be long."""
+    for key, most, default in (("maxRecordsPerBatch", rows, "10000"), ("maxBytesPerBatch", size, "67108864b")):
+        key = "spark.sql.execution.arrow." + key
+        now = int(spark.conf.get(key, default).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -89,10 +103,9 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 # --------------------------------------------------------------------------- hashes
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_S30, _S27, _S31, _S33 = (np.uint64(x) for x in (30, 27, 31, 33))
-_BYTE, _BYTE_INV = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
-_WORD, _WORD_INV = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_S30, _S27, _S31 = (np.uint64(x) for x in (30, 27, 31))
+_BOTH = np.uint64(0xD1342543DE82EF95)
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the low n bytes of eight
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -107,23 +120,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls up to a few pieces."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 4096)
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        done, step = 1, base
-        while done < size:
-            take = min(done, size - done)
-            have[done : done + take] = have[:take] * np.uint64(pow(base, done, 1 << 64))
-            done += take
-        if size <= 4 * PIECE:
-            _powers[base] = have
-    return have[:n]
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (one more than rows) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -161,43 +157,50 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word, in pieces of bounded size. lower: A-Z count as a-z."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE)))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        part = data[lo:hi]
-        if lower:
-            part = LOWER[part]
-        up, down = powers(_BYTE, hi - lo), powers(_BYTE_INV, hi - lo)
-        value = (part.astype(np.uint64) + np.uint64(1)) * up
-        total = np.cumsum(value, dtype=np.uint64)
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (total[e - 1] - total[s] + value[s]) * down[s]
-        i = j
-    return mix(out)
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: its length, then its bytes eight at a time, mixed after each step. Different seeds give
+    unrelated hashes. Words of more than LONG bytes go through BLAKE2, so a step serves many words or none."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    length = ends - starts
+    out = mix((length.astype(np.uint64) + np.uint64(seed)) * _BOTH)
+    live, at = np.flatnonzero(length <= LONG), 0
+    while len(live):
+        out[live] = mix(out[live] ^ (eight[starts[live] + at] & _TAIL[np.minimum(length[live] - at, 8)]))
+        at += 8
+        live = live[length[live] > at]
+    for j in np.flatnonzero(length > LONG).tolist():
+        raw = hashlib.blake2b(data[starts[j] : ends[j]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[j] = int.from_bytes(raw, "little")
+    return out
 
 
 def hash_runs(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every run of k consecutive words; runs across texts are the caller's to leave out."""
+    """A hash of every run of k consecutive words, put together of runs of doubled length, each step mixed; runs across
+    texts are the caller's to leave out."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.empty(len(words) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(words * powers(_WORD, len(words)), dtype=np.uint64, out=total[1:])
-    return mix((total[k:] - total[:-k]) * powers(_WORD_INV, n))
+    out, have, level, size = None, 0, words, 1
+    while True:
+        if k & size:
+            out = level[: len(words) - size + 1] if out is None else mix(out[: len(words) - have - size + 1] * _BOTH + level[have:])
+            have += size
+        if have == k:
+            return out[:n]
+        level, size = mix(level[:-size] * _BOTH + level[size:]), 2 * size
 
 
 class Words:
-    """Word hashes of the texts of one Arrow column."""
+    """Word hashes of the texts of one Arrow column. lower: A-Z count as a-z."""
 
     def __init__(self, column: pa.Array, lower: bool = False):
         self.data, self.offsets = buffers(column)
+        if lower:
+            self.data = LOWER[self.data]
         self.starts, self.ends, self.first = cut_words(self.data, self.offsets)
-        self.hashes = hash_words(self.data, self.starts, self.ends, lower)
+        self.hashes = hash_words(self.data, self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -208,10 +211,29 @@ class Words:
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.first[i] : self.first[i + 1]]
 
+    def numbers(self) -> np.ndarray:
+        """A number for each word, the same for the same bytes and for no others."""
+        solid = self.data[_SOLID[self.data]]
+        ends = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(self.ends - self.starts, out=ends[1:])
+        column = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends), pa.py_buffer(solid)])
+        return np.asarray(column.dictionary_encode().indices).astype(np.int64)
+
+    def joined(self, i: int) -> tuple[bytes, np.ndarray]:
+        """The words of a text joined by one space, and where each starts there; one more for the end and a space."""
+        data = self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
+        starts, ends = self.spans(i)
+        at = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends - starts + 1, out=at[1:])
+        return b" ".join(data.translate(_SPACES).split()), at
+
     def spans(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         return self.starts[self.first[i] : self.first[i + 1]], self.ends[self.first[i] : self.first[i + 1]]
 
 
+_SPACES = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

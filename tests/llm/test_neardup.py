@@ -133,3 +133,32 @@ def test_components(spark):
             up[a] = up[b] = min(up[a], up[b])
     touched = {v for a, b in edges if a != b for v in (a, b)}
     assert out == {v: m for v, m in up.items() if v in touched}
+
+
+def thue_morse(n):
+    """Two different words of 2**n letters that polynomials modulo 2**64 can't tell apart from n = 11 on."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_links_are_confirmed_on_words(spark):
+    a, b = thue_morse(11)
+    texts = [" ".join([a, "one", "two", *(f"x{j}" for j in range(9))]), " ".join([b, "one", "two", *(f"x{j}" for j in range(9))]), a, b]
+    for words, percent in ((3, 95), (5, 80)):
+        assert rows_of(neardup.near_duplicates(documents(spark, texts), words=words, percent=percent)) == brute(list(enumerate(texts)), words, percent)
+
+
+def test_exact_sets():
+    import pyarrow as pa
+
+    from lexspark.llm.common import Words
+    from lexspark.llm.minhash import Sets
+
+    texts = [*invented(20, 4), "A b  c\td\n", "", None, "x", "x y", "a b c d", "long" + "x" * 300 + " z"]
+    for k in (1, 2, 3, 5):
+        found, wanted = Sets(Words(pa.array(texts), lower=True), k), [sets(t, k) for t in texts]
+        one, two = np.divmod(np.arange(len(texts) ** 2), len(texts))
+        assert found.size.tolist() == [len(s) for s in wanted]
+        assert found.common(one, two).tolist() == [len(wanted[i] & wanted[j]) for i, j in zip(one, two, strict=True)]
