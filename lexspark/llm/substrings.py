@@ -1,11 +1,20 @@
 """Substring deduplication by level-wise doubling.
 
-Windows of ``window`` consecutive words that also start in a document with a smaller id are removed. Level one
-looks at windows of half that length; only what is repeated there is extended to twice the length. Level one
-need not list every half window: each full window picks the half window of the least hash inside it (a choice
-that depends on its words alone, so equal windows pick alike), about one word in fourteen in all. A full window
-can only be repeated when its pick is, so the next level hashes the windows around repeated picks and no others.
-Windows twice as long as ``window`` remove nothing that their halves do not, so the levels end there.
+Windows of ``window`` consecutive words that also start in a document with a smaller id are removed. Candidates are
+found level by level, and only what is repeated at one length is extended to twice that length:
+
+1. Half windows. They need not all be listed: each full window picks the half window of the least hash inside it (a choice
+   that depends on its words alone, so equal windows pick alike), about one word in fourteen in all. A full window can
+   only be repeated when its pick is.
+2. Full windows. Those that share a pick follow each other; together they are the pick's span, of a window's words or up to half a window
+   more. A span that stands in several documents settles all its windows with one row. Only where a repeated pick has several
+   spans, the single windows of each different span are listed, in the document of the least id that holds it, and compared.
+3. Two neighbouring spans, then four, eight and so on, until no candidate survives. These levels remove nothing that level two does not; they
+   measure how long repetition goes on (`longest`), and run where that is asked for.
+
+Spans and windows are compared by 128-bit digests of their words (BLAKE2), which stand for the words themselves; the 64-bit
+hashes of half windows only choose candidates. A very common passage makes one row per document and pick; such rows
+are counted before they are shuffled, and joins meet them with staged tables of one row a key, so that skew handling can split them.
 """
 
 from __future__ import annotations
@@ -18,7 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, hash_runs, lists, map_arrow, signed, stage, unused
+from .common import Words, hash_runs, lists, map_arrow, signed, stage, unstage, unused
 
 
 def picks(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,9 +48,16 @@ def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def repeated(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(base, cut): base has every row's key, number of words and digest; cut has the keys of documents with
-    repeated windows, and the starts of those windows.
+def digests(data: bytes, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits, as two numbers, of the words from starts[j] up to ends[j] of a joined text."""
+    spans = zip(at[starts].tolist(), (at[ends] - 1).tolist(), strict=True)
+    return np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in spans]), "<i8").reshape(-1, 2)
+
+
+def spans(df: DataFrame, id: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """(base, alive). base: each row's key (i, t), number of words n and digest d of its words. alive: the picks that several
+    documents hold: i, t, number j of the pick in its text, its span from word x to word y with digest a, b, the pick's hash h, and
+    whether it has more spans than one (many).
 
     The key is (id, xxhash64 of the text): rows repeated under one id share a result, and two texts under one id
     stay apart. Rows of one id never count as repetitions of each other.
@@ -49,72 +65,141 @@ def repeated(df: DataFrame, id: str = "doc_id", text: str = "text", window: int
     docs = df.select(F.col(id).alias("i"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
 
     def level_one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, places, hashes, digests = Words(batch.column(2)), [], [], []
-        data = words.data.tobytes()
+        words, whole, found = Words(batch.column(2)), [], []
         for k in range(len(words)):
-            if words.count(k) >= window:
-                _, p, h = picks(words.of(k), window)
-            else:
-                p, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            places.append(p.astype(np.int32))
-            hashes.append(signed(h))
-            digests.append(hashlib.sha256(b" ".join(data[int(words.offsets[k]) : int(words.offsets[k + 1])].translate(_SPACES).split())).hexdigest())
-        counts = pa.array(np.diff(words.first), pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, pa.array(digests), lists(places, pa.int32()), lists(hashes, pa.int64())], names=["i", "t", "n", "d", "p", "h"])
-
-    base = stage(map_arrow(docs, level_one, "i long, t long, n long, d string, p array<int>, h array<long>"), "windows")
-    half = base.where("i is not null").select("i", "t", F.explode(F.arrays_zip("p", "h")).alias("z")).select("i", "t", F.col("z.p").alias("p"), F.col("z.h").alias("h"))
-    twice = half.groupBy("h").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi").select("h")
-    alive = stage(half.join(twice, "h").groupBy("i", "t").agg(F.collect_set("p").alias("alive")), "alive")
+            data, at = words.joined(k)
+            whole.append(hashlib.sha256(data).hexdigest())
+            if words.count(k) < window:
+                found.append((np.zeros(0, np.int64),) * 5)
+                continue
+            each, places, h = picks(words.of(k), window)
+            x, y = np.searchsorted(each, places, "left"), np.searchsorted(each, places, "right") - 1 + window
+            own = digests(data, at, x, y)
+            found.append((signed(h), x, y, own[:, 0], own[:, 1]))
+        columns = [lists([f[c] for f in found], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(words.first), pa.int64()), pa.array(whole), *columns], names=["i", "t", "n", "d", "h", "x", "y", "a", "b"])
+
+    base = stage(map_arrow(docs, level_one, "i long, t long, n long, d string, h array<long>, x array<int>, y array<int>, a array<long>, b array<long>"), "picks")
+    half = base.where("i is not null").select("i", "t", F.posexplode(F.arrays_zip("h", "x", "y", "a", "b")).alias("j", "z")).select("i", "t", "j", "z.*")
+    twice = half.groupBy("h").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), (F.min("a") < F.max("a")).alias("many")).where("lo < hi")
+    twice = stage(twice.select("h", "many"), "twice")
+    alive = stage(half.join(twice, "h"), "alive")
+    unstage(twice)
+    return base.select("i", "t", "n", "d"), alive
+
+
+def windows(df: DataFrame, wanted: DataFrame, id: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """(i, t, s, a, b): starts and digests of the single windows of the picks wanted, (i, t, j); and the staged table below it."""
+    docs = df.select(F.col(id).alias("i"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
 
     def level_two(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, places, hashes = Words(batch.column(2)), [], []
+        words, found = Words(batch.column(2)), []
         for k in range(len(words)):
-            each, _, _ = picks(words.of(k), window)
-            at = np.flatnonzero(np.isin(each, np.asarray(batch.column(3)[k].values)))
-            places.append(at.astype(np.int32))
-            hashes.append(signed(hash_runs(words.of(k), window)[at]))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(places, pa.int32()), lists(hashes, pa.int64())], names=["i", "t", "p", "h"])
-
-    near = docs.join(alive, ["i", "t"]).select("i", "t", "x", "alive")
-    full = stage(map_arrow(near, level_two, "i long, t long, p array<int>, h array<long>"), "doubled")
-    full = full.select("i", "t", F.explode(F.arrays_zip("p", "h")).alias("z")).select("i", "t", F.col("z.p").alias("p"), F.col("z.h").alias("h"))
-    first = full.groupBy("h").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi").select("h", "lo")
-    cut = stage(full.join(first, "h").where("i > lo").groupBy("i", "t").agg(F.collect_set("p").alias("cut")), "cut")
-    return base, cut
-
-
-_SPACES = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
-
-
-def _kept(words: Words, data: bytes, k: int, cut: np.ndarray, window: int) -> tuple[int, bytes]:
-    gone = covered(np.asarray(cut, np.int64), window, words.count(k))
-    starts, ends = words.spans(k)
-    left = np.flatnonzero(~gone)
-    return int(gone.sum()), b" ".join(data[a:b] for a, b in zip(starts[left].tolist(), ends[left].tolist(), strict=True))
+            each, places, _ = picks(words.of(k), window)
+            at = np.flatnonzero(np.isin(each, places[np.asarray(batch.column(3)[k].values)]))
+            own = digests(*words.joined(k), at, at + window)
+            found.append((at, own[:, 0], own[:, 1]))
+        columns = [lists([f[c] for f in found], kind) for c, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["i", "t", "s", "a", "b"])
+
+    wanted = wanted.groupBy("i", "t").agg(F.collect_set("j").alias("js"))
+    near = docs.join(wanted, ["i", "t"]).dropDuplicates(["i", "t"]).select("i", "t", "x", "js")
+    full = stage(map_arrow(near, level_two, "i long, t long, s array<int>, a array<long>, b array<long>"), "windows")
+    return full.select("i", "t", F.explode(F.arrays_zip("s", "a", "b")).alias("z")).select("i", "t", "z.*"), full
+
+
+def repeated(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, measure: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(base, cut, longest): base as in spans(); cut has the keys of documents with repeated windows, the numbers js of the picks
+    whose windows all are repeated, and the starts s of other repeated windows. longest, if it is to be measured: keys and words of
+    the longest stretch found at the last level that it reaches."""
+    base, alive = spans(df, id, text, window)
+    first = stage(alive.groupBy("h", "a", "b").agg(F.min("i").alias("lo"), F.max("i").alias("hi")), "first")
+    found = alive.join(first, ["h", "a", "b"])
+    found = stage(found.select("i", "t", "j", "x", "y", "a", "b", (F.col("i") > F.col("lo")).alias("later"), (F.col("lo") < F.col("hi")).alias("several"), "many").where("many or several"), "found")
+    unstage(alive, first)
+    single, held = windows(df, found.where("many and not later").select("i", "t", "j"), id, text, window)
+    lo = stage(single.groupBy("a", "b").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi").select("a", "b", "lo"), "lo")
+    none = F.lit(None).cast("int")
+    single = single.join(lo, ["a", "b"]).where("i > lo").select("i", "t", none.alias("j"), "s")
+    cut = found.where("later").select("i", "t", "j", none.alias("s")).union(single).groupBy("i", "t").agg(F.collect_set("j").alias("js"), F.collect_set("s").alias("s"))
+    cut = stage(cut, "cut")
+    unstage(lo, held)
+    longest = doubled(found.where("several")) if measure else None
+    unstage(found)
+    return base, cut, longest
+
+
+def doubled(spans: DataFrame) -> DataFrame:
+    """(i, t, longest) from the repeated spans (i, t, j, x, y, a, b, later): neighbouring pairs of what is repeated at one level are the
+    next level's candidates; those that several documents hold survive, until none does."""
+    size, level, lengths = 1, stage(spans.select("i", "t", "j", "x", "y", "a", "b", "later"), "level"), []
+
+    def pair(size: int):
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sizes = np.array([len(v) for v in batch.column(2)])
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            j, x, y, a, b = (np.asarray(batch.column(c).flatten()) for c in range(2, 7))
+            key = row * (np.int64(1) << np.int64(32)) + j
+            order = np.argsort(key)
+            at = np.minimum(np.searchsorted(key, key + size, sorter=order), max(0, len(key) - 1))
+            one = np.flatnonzero(key[order[at]] == key + size)
+            two = order[at[one]]
+            names = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in np.stack([a[one], b[one], a[two], b[two]], axis=1)]
+            names = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[one])), batch.column(1).take(pa.array(row[one])), *map(pa.array, (j[one], x[one], y[two], names[:, 0], names[:, 1]))], names=["i", "t", "j", "x", "y", "a", "b"])
+
+        return run
+
+    while not level.isEmpty():
+        lengths.append(stage(level.where("later").groupBy("i", "t").agg(F.max(F.col("y") - F.col("x")).cast("long").alias("longest")), "lengths"))
+        each = level.drop("later").distinct().groupBy("i", "t").agg(*[F.collect_list(c).alias(c) for c in ("j", "x", "y", "a", "b")])
+        both = stage(map_arrow(each, pair(size), "i long, t long, j int, x int, y int, a long, b long"), "pairs")
+        lo = stage(both.groupBy("a", "b").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi").select("a", "b", "lo"), "lo")
+        after = stage(both.join(lo, ["a", "b"]).select("i", "t", "j", "x", "y", "a", "b", (F.col("i") > F.col("lo")).alias("later")), "level")
+        unstage(level, both, lo)
+        level, size = after, 2 * size
+    out = level.select("i", "t", F.lit(0).cast("long").alias("longest"))
+    for one in lengths:
+        out = out.union(one)
+    return out.groupBy("i", "t").agg(F.max("longest").alias("longest"))
+
+
+def _kept(words: Words, k: int, js: pa.Array, starts: pa.Array, window: int) -> tuple[int, bytes]:
+    """How many words of text k go, and what stays, joined by one space."""
+    each, places, _ = picks(words.of(k), window)
+    whole = np.flatnonzero(np.isin(each, places[np.asarray(js).astype(np.int64)]))
+    gone = covered(np.concatenate([whole, np.asarray(starts).astype(np.int64)]), window, words.count(k))
+    data, at = words.joined(k)
+    # runs of kept words are slices of the joined text
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
+    return int(gone.sum()), b" ".join(data[at[a] : at[b] - 1] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
-    """One row for each input row: id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space).
+    """One row for each input row: id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space), longest.
+
+    longest: words of the longest stretch that doubling found in a document of a smaller id as well; 0 where nothing is removed, and a
+    window's words at least where something is. A stretch is measured in runs of 1, 2, 4 ... neighbouring spans, so the
+    true one can be longer, up to twice.
 
     Null and empty texts have no words and lose none; texts shorter than a window lose none. Rows without an id
     are neither first nor later than any document and lose nothing. Empty tables give no rows.
     """
-    base, cut = repeated(df, id, text, window)
+    base, cut, longest = repeated(df, id, text, window, measure=True)
     docs = df.select(F.col(id).alias("i"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, gone, digests = Words(batch.column(2)), [], []
-        data = words.data.tobytes()
+        words, gone, found = Words(batch.column(2)), [], []
         for k in range(len(words)):
-            n, kept = _kept(words, data, k, batch.column(3)[k].values, window)
+            n, kept = _kept(words, k, batch.column(3)[k].values, batch.column(4)[k].values, window)
             gone.append(n)
-            digests.append(hashlib.sha256(kept).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(digests)], names=["i", "t", "r", "e"])
+            found.append(hashlib.sha256(kept).hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(found)], names=["i", "t", "r", "e"])
 
-    changed = map_arrow(docs.join(cut, ["i", "t"]).select("i", "t", "x", "cut"), digest, "i long, t long, r long, e string").dropDuplicates(["i", "t"])
-    out = base.select("i", "t", "n", "d").join(changed, ["i", "t"], "left")
-    return out.select(F.col("i").alias("doc_id"), F.col("n").alias("n_words"), F.coalesce("r", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("e", "d").alias("kept_sha256"))
+    changed = map_arrow(docs.join(cut, ["i", "t"]).select("i", "t", "x", "js", "s"), digest, "i long, t long, r long, e string").dropDuplicates(["i", "t"])
+    out = base.join(changed, ["i", "t"], "left").join(longest, ["i", "t"], "left")
+    removed, least = F.coalesce("r", F.lit(0)).cast("long"), F.greatest(F.coalesce("longest", F.lit(0)), F.lit(window)).cast("long")
+    return out.select(F.col("i").alias("doc_id"), F.col("n").alias("n_words"), removed.alias("n_removed"), F.coalesce("e", "d").alias("kept_sha256"), F.when(removed > 0, least).otherwise(F.lit(0).cast("long")).alias("longest"))
 
 
 def strip_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, length: str | None = None) -> DataFrame:
@@ -123,21 +208,18 @@ def strip_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window:
     Of a changed text the kept words are joined by one space; `length` names a column that holds the number of
     characters, to be set anew. Documents of which no word is left are dropped.
     """
-    i, t, own = unused(df, "__i", "__t", "__cut")
-    _, cut = repeated(df, id, text, window)
-    cut = cut.select(F.col("i").alias(i), F.col("t").alias(t), F.col("cut").alias(own))
+    i, t, js, s = unused(df, "__i", "__t", "__js", "__s")
+    cut = repeated(df, id, text, window)[1]
+    cut = cut.select(F.col("i").alias(i), F.col("t").alias(t), F.col("js").alias(js), F.col("s").alias(s))
     joined = df.join(cut, (F.col(id) == F.col(i)) & (F.xxhash64(F.col(text)) == F.col(t)), "left").drop(i, t)
 
     @F.arrow_udf("string")
-    def rest(texts: pa.Array, cuts: pa.Array) -> pa.Array:
-        words, out = Words(texts), []
-        data = words.data.tobytes()
-        for k in range(len(words)):
-            out.append(_kept(words, data, k, cuts[k].values, window)[1].decode() if cuts[k].is_valid else None)
-        return pa.array(out, pa.string())
+    def rest(texts: pa.Array, whole: pa.Array, starts: pa.Array) -> pa.Array:
+        words = Words(texts)
+        return pa.array([_kept(words, k, whole[k].values, starts[k].values, window)[1].decode() if whole[k].is_valid else None for k in range(len(words))], pa.string())
 
-    changed = joined.withColumn(text, F.when(F.col(own).isNull(), F.col(text)).otherwise(rest(F.col(text), F.col(own))))
-    changed = changed.where(F.col(own).isNull() | (F.col(text) != ""))
+    changed = joined.withColumn(text, F.when(F.col(js).isNull(), F.col(text)).otherwise(rest(F.col(text), F.col(js), F.col(s))))
+    changed = changed.where(F.col(js).isNull() | (F.col(text) != ""))
     if length:
-        changed = changed.withColumn(length, F.when(F.col(own).isNull(), F.col(length)).otherwise(F.char_length(text).cast("long")))
-    return changed.drop(own)
+        changed = changed.withColumn(length, F.when(F.col(js).isNull(), F.col(length)).otherwise(F.char_length(text).cast("long")))
+    return changed.drop(js, s)

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 
 from lexspark.llm import queries, substrings
 
-from .helpers import WORD, documents, invented, rows_of
+from .helpers import WORD, documents, invented
+from .test_neardup import thue_morse
 
 
 def brute(rows, window):
@@ -31,6 +32,11 @@ def brute(rows, window):
     return sorted(out, key=str)
 
 
+def rows_of(df):
+    """The columns of the contract; longest is held against the words of the texts by test_longest."""
+    return sorted(map(tuple, df.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
+
+
 def planted(seed=3):
     draw = random.Random(seed)
     texts = invented(60, seed, 160)
@@ -81,3 +87,28 @@ def test_equal_windows_pick_alike(letters, window):
     for p in range(len(letters) - window + 1):
         assert seen.setdefault(tuple(letters[p : p + window]), each[p] - p) == each[p] - p
     assert set(places) == set(each) and len(set(places)) == len(places)
+
+
+def test_longest(spark):
+    """At least half of the longest stretch that stands in a smaller document too, but for spans at its edges, and never more."""
+    texts = planted(4) + [" ".join(f"z{i}" for i in range(a, b)) for a, b in ((0, 900), (300, 700), (350, 1200), (880, 940), (100, 1190))]
+    words = [WORD.findall(t or "") for t in texts]
+    for r in substrings.remove_repeats(documents(spark, texts)).collect():
+        own, true = words[r.doc_id], 0
+        for other in words[: r.doc_id]:
+            if set(own) & set(other):
+                before = [0] * (len(other) + 1)
+                for w in own:
+                    row = [0] * (len(other) + 1)
+                    for q, v in enumerate(other):
+                        if v == w:
+                            row[q + 1] = before[q] + 1
+                    true, before = max(true, max(row)), row
+        true = true if true >= 50 else 0
+        assert (r.longest > 0) == (true > 0) == (r.n_removed > 0) and true / 2 - 75 <= r.longest <= true, (r, true)
+
+
+def test_windows_are_compared_by_their_words(spark):
+    a, b = thue_morse(11)
+    texts = [" ".join([w, *(f"x{i}" for i in range(58))]) for w in (a, b)] + [" ".join([w] * 60) for w in (a, b)]
+    assert rows_of(substrings.remove_repeats(documents(spark, texts))) == brute(list(enumerate(texts)), 50)
