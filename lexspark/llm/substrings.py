@@ -9,8 +9,9 @@ found level by level, and only what is repeated at one length is extended to twi
 2. Full windows. Those that share a pick follow each other; together they are the pick's span, of a window's words or up to half a window
    more. A span that stands in several documents settles all its windows with one row. Only where a repeated pick has several
    spans, the single windows of each different span are listed, in the document of the least id that holds it, and compared.
-3. Two neighbouring spans, then four, eight and so on, until no candidate survives. These levels remove nothing that level two does not; they
-   measure how long repetition goes on (`longest`), and run where that is asked for.
+3. Runs of neighbouring repeated spans, then runs of such runs, twice as long each time on average, until no candidate survives. A run begins
+   where a digest is less than the one before it, so equal stretches are cut alike and half as many candidates go on from level to
+   level. These levels remove nothing that level two does not; they measure how long repetition goes on (`longest`), and run where that is asked for.
 
 Spans and windows are compared by 128-bit digests of their words (BLAKE2), which stand for the words themselves; the 64-bit
 hashes of half windows only choose candidates. A very common passage makes one row per document and pick; such rows
@@ -130,34 +131,40 @@ def repeated(df: DataFrame, id: str = "doc_id", text: str = "text", window: int
 
 
 def doubled(spans: DataFrame) -> DataFrame:
-    """(i, t, longest) from the repeated spans (i, t, j, x, y, a, b, later): neighbouring pairs of what is repeated at one level are the
+    """(i, t, longest) from the repeated spans (i, t, j, x, y, a, b, later): neighbours that are repeated at one level are joined to the
     next level's candidates; those that several documents hold survive, until none does."""
-    size, level, lengths = 1, stage(spans.select("i", "t", "j", "x", "y", "a", "b", "later"), "level"), []
-
-    def pair(size: int):
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes = np.array([len(v) for v in batch.column(2)])
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            j, x, y, a, b = (np.asarray(batch.column(c).flatten()) for c in range(2, 7))
-            key = row * (np.int64(1) << np.int64(32)) + j
-            order = np.argsort(key)
-            at = np.minimum(np.searchsorted(key, key + size, sorter=order), max(0, len(key) - 1))
-            one = np.flatnonzero(key[order[at]] == key + size)
-            two = order[at[one]]
-            names = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in np.stack([a[one], b[one], a[two], b[two]], axis=1)]
-            names = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[one])), batch.column(1).take(pa.array(row[one])), *map(pa.array, (j[one], x[one], y[two], names[:, 0], names[:, 1]))], names=["i", "t", "j", "x", "y", "a", "b"])
-
-        return run
+    level, lengths = stage(spans.select("i", "t", "j", "x", "y", "a", "b", "later"), "level"), []
+
+    def extend(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = np.array([len(v) for v in batch.column(2)])
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        j, x, y, a, b = (np.asarray(batch.column(c).flatten()) for c in range(2, 7))
+        order = np.lexsort((j, row))
+        row, j, x, y, a, b = (v[order] for v in (row, j, x, y, a, b))
+        apart = np.concatenate([[True], (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1)])
+        # what has no neighbour can't be extended
+        alone = apart & np.concatenate([apart[1:], [True]])
+        # the second of a stretch begins no run, so every stretch gets shorter
+        head = np.flatnonzero((apart | np.concatenate([[False], (a[1:] < a[:-1]) & ~apart[:-1]])) & ~alone)
+        end = np.concatenate([head[1:], [len(row)]])
+        stops = np.flatnonzero(apart)
+        at = np.searchsorted(stops, head, side="right")  # a run ends where its stretch does
+        end = np.minimum(end, np.concatenate([stops, [len(row)]])[at])
+        names = np.stack([a, b], axis=1)
+        names = np.frombuffer(b"".join([hashlib.blake2b(names[p:q].tobytes(), digest_size=16).digest() for p, q in zip(head.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+        # neighbours stay neighbours, stretches stay apart
+        number = (np.arange(len(head)) + np.cumsum(apart[head])).astype(np.int32)
+        keys = [batch.column(c).take(pa.array(row[head])) for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([*keys, *map(pa.array, (number, x[head], y[end - 1], names[:, 0], names[:, 1]))], names=["i", "t", "j", "x", "y", "a", "b"])
 
     while not level.isEmpty():
         lengths.append(stage(level.where("later").groupBy("i", "t").agg(F.max(F.col("y") - F.col("x")).cast("long").alias("longest")), "lengths"))
         each = level.drop("later").distinct().groupBy("i", "t").agg(*[F.collect_list(c).alias(c) for c in ("j", "x", "y", "a", "b")])
-        both = stage(map_arrow(each, pair(size), "i long, t long, j int, x int, y int, a long, b long"), "pairs")
-        lo = stage(both.groupBy("a", "b").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi").select("a", "b", "lo"), "lo")
-        after = stage(both.join(lo, ["a", "b"]).select("i", "t", "j", "x", "y", "a", "b", (F.col("i") > F.col("lo")).alias("later")), "level")
-        unstage(level, both, lo)
-        level, size = after, 2 * size
+        runs = stage(map_arrow(each, extend, "i long, t long, j int, x int, y int, a long, b long"), "runs")
+        lo = stage(runs.groupBy("a", "b").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi").select("a", "b", "lo"), "lo")
+        after = stage(runs.join(lo, ["a", "b"]).select("i", "t", "j", "x", "y", "a", "b", (F.col("i") > F.col("lo")).alias("later")), "level")
+        unstage(level, runs, lo)
+        level = after
     out = level.select("i", "t", F.lit(0).cast("long").alias("longest"))
     for one in lengths:
         out = out.union(one)
@@ -178,9 +185,8 @@ def _kept(words: Words, k: int, js: pa.Array, starts: pa.Array, window: int) ->
 def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
     """One row for each input row: id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space), longest.
 
-    longest: words of the longest stretch that doubling found in a document of a smaller id as well; 0 where nothing is removed, and a
-    window's words at least where something is. A stretch is measured in runs of 1, 2, 4 ... neighbouring spans, so the
-    true one can be longer, up to twice.
+    longest: words of the longest run that doubling found in a document of a smaller id as well; 0 where nothing is removed, and a
+    window's words at least where something is. Runs are cut by content, so the true stretch can be longer.
 
     Null and empty texts have no words and lose none; texts shorter than a window lose none. Rows without an id
     are neither first nor later than any document and lose nothing. Empty tables give no rows.
