@@ -8,8 +8,10 @@ side when merging their joined symbols leaves exactly these two; such verdicts a
 whose neighbours are all compatible is the one that merging by rank produces, so no pair is ever merged one by
 one in a word. Each place is left for good once no token fits there, which bounds the work by the length.
 
-Categories of characters are unicodedata's; a character that its version of Unicode does not assign counts as a
-symbol and has no lower case.
+That rests on every token being what merging makes of its own symbols; reading a vocabulary fails where one is not.
+
+Categories of characters are those of Unicode 16 and small letters those of Unicode 17, as the tokenizers library has them: unicodedata's,
+and what these versions have added to its own. Composition (NFC) is unicodedata's.
 
 Decoding gathers bytes out of one array of all tokens' bytes by their offsets.
 """
@@ -45,12 +47,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+# Letters and numbers that Unicode 16 added to 15.1, and capitals that 16 and 17 added, with their small letters.
+NEW = {
+    "L": [
+        (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+        (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+        (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+    ],
+    "N": [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)],
+}
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+
+
 @lru_cache(8)
 def char_ranges(kind: str, below: int) -> str:
-    """The characters of a category, as unicodedata knows them, for use inside a class: newer tables know more letters."""
+    """The characters of a category below a code point, for use inside a class."""
     has = [unicodedata.category(chr(c))[0] == kind for c in range(below)] + [False]
     edges = [c for c in range(below + 1) if has[c] != (c > 0 and has[c - 1])]
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+    runs = [(a, b - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)] + [run for run in NEW[kind] if run[1] < below]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
 class Memory(dict):
@@ -107,6 +124,9 @@ class Codec:
         for s, i in self.tokens.items():
             self.shorter[i] = next((self.tokens[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in self.tokens), -1)
         self.length = {i: len(s) for s, i in self.tokens.items()}
+        odd = next((s for s, i in self.tokens.items() if self.merged(s) != [i]), None)
+        if odd is not None:
+            raise ValueError(f"merging does not lead to the token {odd!r}")
         self.compatible = lru_cache(PAIRS)(self._compatible)
         self.word = Memory(self._word)
         # the offset table; the file names no decoder, so tokens are spelled as the vocabulary spells them, a blank between
@@ -137,9 +157,6 @@ class Codec:
     def _word(self, word: str) -> tuple[int, ...]:
         raw = word.encode()
         symbols = raw[:-1].decode("latin-1") + chr(raw[-1] + 256)
-        whole = self.tokens.get(symbols)
-        if whole is not None and len(symbols) > 1 and self.merged(symbols) == [whole]:
-            return (whole,)
         n = len(symbols)
         longest = [-1] * n
         for end, token in self.automaton.iter(symbols[::-1]):
@@ -168,8 +185,12 @@ class Codec:
 
     def words(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
+        if not text.isascii() and _CAPITAL.search(text):
+            text = text.translate(SMALL)
         text = "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()  # each by itself: no final sigma
-        return (self.pattern if _HIGH.search(text) else self.low_pattern).findall(text)
+        if not _HIGH.search(text):
+            return self.low_pattern.findall(text)
+        return self.pattern.findall(text)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; strings of special tokens in it become those tokens."""
@@ -200,7 +221,8 @@ def codec(path: str) -> Codec:
 
 
 def encode(df: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, ids array<int>. Null texts count as empty, which have no ids."""
+    """One row for each input row: doc_id, ids array<int>. Null texts count as empty, which have no ids; rows of a null id
+    or repeated under one id each have their own. Empty tables give no rows."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -223,7 +245,8 @@ def decode(df: DataFrame, path: str, id: str = "doc_id", ids: str = "ids") -> Da
 
 
 def round_trip(df: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, n_tokens, ids_sha256 (little-endian 32-bit), decoded_sha256 (UTF-8)."""
+    """One row for each input row: doc_id, n_tokens, ids_sha256 (little-endian 32-bit), decoded_sha256 (UTF-8). Null texts count as
+    empty, which have no ids; rows of a null id or repeated under one id each have their own. Empty tables give no rows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, counts, ids_sha, text_sha = codec(path), [], [], []

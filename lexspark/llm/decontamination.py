@@ -2,8 +2,12 @@
 
 A benchmark item of n letters may differ from a passage by `budget(n)` edits. It is cut into one piece more than
 that, so in any passage within the budget one piece at least stands unchanged. All pieces of all items form one
-Aho-Corasick automaton that each document runs through once; around each piece that is met, Myers' bit-parallel
-distance (semi-global: the item against any stretch of the window) decides.
+Aho-Corasick automaton that each document runs through once; around the pieces that are met, Myers' bit-parallel
+distance (semi-global: the item against any stretch of the window) decides. Windows of an item that overlap are one
+stretch, which is run through once, so a text costs its length for each item at most, however often pieces repeat.
+
+The budget is a share of the item's letters, but a piece has PIECE letters at least: an item of n letters may differ by
+n // PIECE - 1 edits where that is less, with a share of 6 % below some 400 letters.
 
 Letters are code points after folding: runs of white space become one blank, A-Z become a-z.
 """
@@ -14,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -25,6 +30,8 @@ from .common import map_arrow
 
 #: Benchmark text of more bytes than this is not broadcast in one part but matched in several, each within the bound.
 PART_BYTES = 8 << 20
+#: A worker keeps the automata of parts of so many bytes in all.
+KEPT_BYTES = 4 * PART_BYTES
 #: Shortest piece; items too short for budget + 1 such pieces get a smaller budget.
 PIECE = 16
 _BLANK = re.compile(r"[\x20\x09-\x0d]+")
@@ -99,73 +106,94 @@ class Matcher:
         self.backward = lru_cache(4096)(lambda k: Pattern(self.items[k][1][::-1]))
 
     def match(self, folded: str) -> list[tuple[int, int, int, int]]:
-        """(item's index, distance, start, end) of the best passage of each item that the text holds."""
+        """(item's index, distance, start, end) of the best passage of each item in each stretch of the text that holds it."""
         if not self.some:
             return []
-        found: dict[int, tuple[int, int, int]] = {}
-        tried: dict[int, tuple[int, int]] = {}  # the last window looked at for an item
+        stretches: dict[int, list[list[int]]] = {}
         for end, (length, hits) in self.automaton.iter(folded):
-            begin = end + 1 - length
             for k, offset in hits:
                 m = len(self.items[k][1])
                 most = budget(m, self.share)
-                if k in found and found[k][0] == 0:
-                    continue
-                lo, hi = max(0, begin - offset - most), min(len(folded), begin - offset + m + most)
-                last = tried.get(k, (0, -1))
-                if last[0] <= lo and hi <= last[1]:  # wholly inside a window already looked at
-                    continue
-                tried[k] = lo, hi
-                hit = self.pattern(k).best(folded[lo:hi], most if k not in found else found[k][0] - 1)
+                lo = end + 1 - length - offset - most
+                hi = lo + m + 2 * most
+                own = stretches.setdefault(k, [])
+                # a piece's windows begin in order but for the offsets of an item's pieces
+                while own and lo <= own[-1][1] and hi >= own[-1][0]:
+                    lo, hi = min(lo, own[-1][0]), max(hi, own[-1][1])
+                    own.pop()
+                own.append([lo, hi])
+        out = []
+        for k, own in stretches.items():
+            m = len(self.items[k][1])
+            most = budget(m, self.share)
+            own.sort()
+            merged = [own[0]]
+            for lo, hi in own[1:]:
+                if lo <= merged[-1][1]:
+                    merged[-1][1] = max(hi, merged[-1][1])
+                else:
+                    merged.append([lo, hi])
+            for lo, hi in merged:
+                lo = max(0, lo)
+                hit = self.pattern(k).best(folded[lo:hi], most)
                 if hit:
                     stop = lo + hit[1]
                     head = self.backward(k).best(folded[max(0, stop - m - most) : stop][::-1], hit[0])
-                    found[k] = (hit[0], stop - (head[1] if head else m), stop)
-        return [(k, *v) for k, v in sorted(found.items())]
+                    out.append((k, hit[0], stop - (head[1] if head else m), stop))
+        return sorted(out)
 
 
-def _parts(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[int, str]]]:
-    """The items on the driver, in parts of bounded size. The set to keep out is a stated list, never the corpus."""
-    rows = [(r[0], r[1]) for r in benchmark.select(F.col(item), F.col(text)).where(F.col(text).isNotNull()).orderBy(item, text).collect()]
-    parts: list[list[tuple[int, str]]] = []
-    size = PART_BYTES
-    for i, t in rows:
-        if size + len(t) > PART_BYTES:
-            parts.append([])
-            size = 0
-        parts[-1].append((i, t))
-        size += len(t)
-    return parts
+def _parts(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in parts of bounded size, one after the other: the driver never holds more than one."""
+    part, size = [], 0
+    for r in benchmark.select(F.col(item), F.col(text)).where(F.col(text).isNotNull()).orderBy(item, text).toLocalIterator():
+        more = len(r[1].encode())
+        if part and size + more > PART_BYTES:
+            yield part
+            part, size = [], 0
+        part.append((r[0], r[1]))
+        size += more
+    if part:
+        yield part
 
 
-_matchers: dict[str, Matcher] = {}
+_matchers: dict[str, tuple[int, Matcher]] = {}
 
 
-def _matcher(name: str, items: list[tuple[int, str]], share: float) -> Matcher:
-    if name not in _matchers:
-        _matchers.clear()
-        _matchers[name] = Matcher(items, share)
-    return _matchers[name]
+def _matcher(name: str, sent: Broadcast, share: float) -> Matcher:
+    """The matcher of a part, kept by this worker; those used longest ago give way."""
+    if name in _matchers:
+        _matchers[name] = found = _matchers.pop(name)
+        return found[1]
+    items = sent.value
+    size = sum(len(t) for _, t in items)
+    while _matchers and sum(n for n, _ in _matchers.values()) + size > KEPT_BYTES:
+        del _matchers[next(iter(_matchers))]
+    _matchers[name] = size, Matcher(items, share)
+    return _matchers[name][1]
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.06) -> DataFrame:
-    """(doc_id, item_id, distance, allowed, start, end, passage) of the best passage of each item in each document.
+    """(doc_id, item_id, distance, allowed, start, end, passage) of the passages of each item in each document: the best one of
+    each stretch in which passages of the item could overlap.
 
     share: the edits allowed, as a share of the item's letters. start and end are places in the folded text.
     Null and empty texts hold nothing and null or blank items are found nowhere; an item shorter than two pieces
     must stand unchanged. Rows repeated in either table are each reported. Empty tables give no rows. The items
-    reach executors in a broadcast of at most PART_BYTES letters; a longer list is matched part by part.
+    reach executors in a broadcast of at most PART_BYTES bytes; a longer list is matched part by part.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id).alias("i"), F.col(text).alias("x")).where(F.length("x") > 0)
     schema = "doc_id long, item_id long, distance int, allowed int, start int, end int, passage string"
     out = None
-    for part in _parts(benchmark, item, item_text) or [[]]:
+    for part in chain(_parts(benchmark, item, item_text), [[]]):
+        if out is not None and not part:  # an empty benchmark still needs a plan
+            break
         name = hashlib.sha256(repr((part, share)).encode()).hexdigest()
         sent = spark.sparkContext.broadcast(part)
 
         def run(batch: pa.RecordBatch, name=name, sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher, rows = _matcher(name, sent.value, share), []
+            matcher, rows = _matcher(name, sent, share), []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 folded = fold(x)
                 for k, distance, start, end in matcher.match(folded):
@@ -194,7 +222,7 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
 def _clean(sent: Broadcast, name: str, share: float):
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
-        matcher = _matcher(name, sent.value, share)
+        matcher = _matcher(name, sent, share)
         return pa.array([not matcher.match(fold(x)) if x else True for x in texts.to_pylist()], pa.bool_())
 
     return clean
