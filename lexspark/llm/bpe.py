@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 #: Of words already met and of pairs already judged, so many are remembered by a worker.
-WORDS, PAIRS = 400_000, 400_000
+WORDS, PAIRS = 200_000, 100_000
 LOW = 0x250
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # Unicode's White_Space; re's \s has four more
-_HIGH = re.compile(f"[^\\x00-{chr(LOW - 1)}]")
+_HIGH = re.compile("[^\\x00-\u012f]")  # the small letters of all others lie below LOW
 
 
 def byte_letters() -> dict[str, int]:
@@ -185,11 +185,11 @@ class Codec:
 
     def words(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
-        if not text.isascii() and _CAPITAL.search(text):
+        if not _HIGH.search(text):
+            return self.low_pattern.findall(text.lower())
+        if _CAPITAL.search(text):
             text = text.translate(SMALL)
         text = "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()  # each by itself: no final sigma
-        if not _HIGH.search(text):
-            return self.low_pattern.findall(text)
         return self.pattern.findall(text)
 
     def encode(self, text: str) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch handed to Python.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 #: Words longer than so many bytes are hashed one at a time.
 LONG = 128
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, hash_runs, map_arrow, mix, small_batches, stage
-from .components import components
 from .minhash import Permutations
+from .neardup import Join
 
-POSITIONS, WORDS, LEAD = 128, 5, np.arange(1, 5, dtype=np.uint64)
+POSITIONS, WORDS, BANDS, LEAD = 128, 5, 32, np.arange(1, 5, dtype=np.uint64)
 
 
 def padded_shingles(words: np.ndarray, k: int = WORDS) -> np.ndarray:
@@ -55,7 +55,7 @@ def fingerprint(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     return map_arrow(df.select(F.col(id).alias("i"), F.col(text).alias("x")), run, "doc_id long, fingerprint string")
 
 
-def with_next(df: DataFrame, id: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, id: str = "doc_id", text: str = "text", blocks: int | None = None, classes: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
     Rows are ordered by descending id, then text; the next of the last is the first, of a lone row itself. Null
@@ -64,11 +64,13 @@ def with_next(df: DataFrame, id: str = "doc_id", text: str = "text", blocks: int
 
     The table is cut into blocks of ids at sampled quantiles and each text is shuffled once, to its block. What a
     block needs from the next one is that block's first row alone: these rows, one per block, are sent twice.
+
+    classes: (i, t, c), a class for ids and xxhash64 of texts, which becomes the column class_id; they travel in the same shuffle.
     """
     spark = df.sparkSession
     if blocks is None:
         blocks = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = df.select(F.coalesce(F.col(id), F.lit(-(2**63))).alias("i"), F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x"))
+    docs = df.select(F.coalesce(F.col(id), F.lit(-(2**63))).alias("i"), F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x"), F.xxhash64(F.col(text)).alias("t"))
     cuts = docs.select(F.percentile_approx("i", [j / blocks for j in range(1, blocks)] or [0.5], 100 * blocks)).first()[0] or []
     cuts = sorted(set(cuts))
     edges = np.array(cuts, np.int64)
@@ -93,14 +95,27 @@ def with_next(df: DataFrame, id: str = "doc_id", text: str = "text", blocks: int
     tops = docs.withColumn("lead", leads(F.col("b"), F.col("i"))).where("lead >= 0")
     # of rows that share a block's largest id, the first in order leads
     first = tops.groupBy(F.col("lead").alias("b")).agg(F.min("x").alias("x"))
-    guests = first.select(F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("doc_id"), "x", "b", F.lit(1).alias("guest"))
-    rows = docs.withColumn("guest", F.lit(0)).unionByName(guests)
-    dealt = rows.repartitionByRange(max(1, len(order)), "b").sortWithinPartitions(F.col("b").desc(), "guest", F.col("i").desc(), "x")
+    none = F.lit(None).cast("long")
+    guests = first.select(none.alias("i"), none.alias("doc_id"), "x", none.alias("t"), none.alias("c"), "b", F.lit(1).alias("guest"))
+    rows = docs.withColumns({"guest": F.lit(0), "c": none}).unionByName(guests)
+    if classes is not None:
+        rows = rows.unionByName(classes.select("i", none.alias("doc_id"), F.lit("").alias("x"), "t", "c", block_of(F.col("i")).alias("b"), F.lit(0).alias("guest")))
+    # an id's classes come before its texts
+    dealt = rows.repartitionByRange(max(1, len(order)), "b").sortWithinPartitions(F.col("b").desc(), "guest", F.col("i").desc(), F.col("c").isNull(), "x")
     permutations = Permutations(POSITIONS)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         rest = None  # the last row seen, which waits for its next; batches of one block follow each other
+        known: dict[tuple[int, int], int] = {}
         for batch in batches:
+            given = np.flatnonzero(batch.column(5).is_valid())
+            ids, keys = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            known = {x: v for x, v in known.items() if ids and x[0] == ids[0]}
+            known |= {(ids[j], keys[j]): batch.column(5)[j].as_py() for j in given.tolist()}
+            own = pa.array([known.get(x) for x in zip(ids, keys, strict=True)], pa.int64())
+            batch = pa.RecordBatch.from_arrays([*batch.columns[:3], own], names=["doc_id", "x", "guest", "class_id"]).filter(batch.column(5).is_null())
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             if table.num_rows > 1:
                 yield pairs(table.combine_chunks())
@@ -121,50 +136,44 @@ def with_next(df: DataFrame, id: str = "doc_id", text: str = "text", blocks: int
         changed = signatures(pa.array(edited, pa.string()), permutations)
         columns = [table.column("doc_id").combine_chunks().take(pa.array(real)), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(spelled(own[real]), pa.string()), pa.array(spelled(changed), pa.string())]
         columns += [pa.array(likeness(own[real], changed), pa.float64()), pa.array(likeness(own[real], own[real + 1]), pa.float64())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        columns += [table.column("class_id").combine_chunks().take(pa.array(real))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"])
 
     small_batches(spark, 256)
-    return dealt.select("doc_id", "x", "guest").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = dealt.select("doc_id", "x", "guest", "i", "t", "c").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
+    return out.drop("class_id") if classes is None else out
+
+
+class Bands(Join):
+    """The similarity join of neardup.py, with the bands of fingerprints in place of nodes: texts whose signatures agree in a band
+    meet, and links between what has met are verified on the full sets of shingles."""
+
+    positions, margin, lower, lead = POSITIONS, 0.13, False, WORDS - 1
 
+    def nodes(self):
+        bands, width = BANDS, POSITIONS // BANDS
 
-def similar(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, bands: int = 32) -> DataFrame:
-    """One row for each input row: doc_id, class_id, links: documents whose shingle sets reach the similarity.
+        def run(signatures: np.ndarray) -> np.ndarray:
+            parts = signatures.astype(np.uint64).reshape(-1, bands, width)
+            keys = mix(np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64)[None, :], parts.shape[:2]))
+            for j in range(width):
+                keys = mix(keys ^ parts[:, :, j])
+            return keys >> np.uint64(3) << np.uint64(3) | (np.arange(bands, dtype=np.uint64) % np.uint64(8))[None, :]
 
-    Fingerprints are cut into bands. Documents of equal texts form one class; classes that share a band value are
-    paired, each with each, and each pair is verified on its full sets: n classes of one band value cost n * n / 2
-    verifications. class_id is the least id that links reach; links counts the verified pairs of the row's class. At
-    0.8 a pair shares one of 32 bands of 4 values with probability 0.9999999; neardup.py compares across components only.
+        return run
+
+
+def similar(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, **options) -> DataFrame:
+    """One row for each input row: doc_id, class_id, the least id that links between texts of that similarity reach.
+
+    Fingerprints are cut into BANDS bands; at 0.8 a pair shares one with probability 0.9999999. Texts that share a band are
+    compared across the classes found so far, and links are verified on the full sets, word by word, so none is wrong. Null and empty
+    texts have no links; rows without an id have a null class. Empty tables give no rows.
     """
-    permutations, width = Permutations(POSITIONS), POSITIONS // bands
-    docs = df.select(F.col(id).alias("i"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
+    return Bands(df, id, text, WORDS, percent, depth=0, **options).run().select(F.col("i").alias("doc_id"), F.col("c").alias("class_id"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = signatures(batch.column(2), permutations).astype(np.uint64).reshape(-1, bands, width)
-        keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64)[None, :], s.shape[:2])
-        for j in range(width):
-            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + s[:, :, j])
-        keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(s) * bands + 1, bands, dtype=np.int32)), pa.array(np.ascontiguousarray(keys).view(np.int64).ravel()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], names=["i", "t", "bands"])
-
-    base = stage(map_arrow(docs, run, "i long, t long, bands array<long>"), "bands")
-    full = base.where("i is not null").join(docs.where(F.length(F.trim(F.coalesce("x", F.lit("")))) > 0).select("i", "t").distinct(), ["i", "t"], "left_semi")
-    classes = stage(full.groupBy("t").agg(F.min("i").alias("m"), F.min("bands").alias("bands")), "classes")
-    each = classes.select("t", F.explode("bands").alias("g"))
-    pairs = each.select("g", F.col("t").alias("a")).join(each.select("g", F.col("t").alias("b")), "g").where("a < b").select("a", "b").distinct()
-    texts = docs.join(classes.select(F.col("m").alias("i"), "t"), ["i", "t"]).dropDuplicates(["i", "t"]).select("t", "x")
-    both = pairs.join(texts.select(F.col("t").alias("a"), F.col("x").alias("x1")), "a").join(texts.select(F.col("t").alias("b"), F.col("x").alias("x2")), "b")
-
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        one, two, good = Words(batch.column(2)), Words(batch.column(3)), []
-        for j in range(len(one)):
-            p, q = padded_shingles(one.of(j)), padded_shingles(two.of(j))
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            good.append(100 * common >= percent * (len(p) + len(q) - common) > 0)
-        return batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    links = stage(map_arrow(both.select("a", "b", "x1", "x2"), verify, "a long, b long"), "links")
-    ends = links.select(F.col("a").alias("t")).union(links.select(F.col("b").alias("t"))).groupBy("t").agg(F.count("*").alias("links"))
-    named = classes.select("t", "m").join(components(links).withColumnRenamed("v", "t").withColumnRenamed("m", "c"), "t", "left").withColumn("c", F.coalesce("c", "t"))
-    owner = named.join(named.groupBy("c").agg(F.min("m").alias("class_id")), "c").join(ends, "t", "left").select("t", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return base.select("i", "t").join(owner, "t", "left").select(F.col("i").alias("doc_id"), F.when(F.col("i").isNotNull(), F.coalesce("class_id", "i")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
+def with_classes(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, **options) -> DataFrame:
+    """with_next() and the class_id that similar() gives each row."""
+    found = Bands(df, id, text, WORDS, percent, depth=0, **options).run()
+    return with_next(df, id, text, classes=stage(found.where("i is not null").select("i", "t", "c").distinct(), "similar"))

@@ -45,12 +45,13 @@ STARS = 2
 _SECOND = 0x5851F42D4C957F2D
 
 
-def _matrix(column: pa.Array, n: int = POSITIONS) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Signatures, rows x positions; all of a column are of one length."""
     if not len(column):
-        return np.zeros((0, n), np.uint16)
+        return np.zeros((0, 1), np.uint16)
     at, data = column.buffers()[1:]
     offsets = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint16).reshape(len(column), n)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint16).reshape(len(column), -1)
 
 
 def choose(tokens: np.ndarray, nodes: np.ndarray, branch: int) -> np.ndarray:
@@ -64,26 +65,28 @@ def token_hashes(signatures: np.ndarray) -> np.ndarray:
     return mix(signatures.astype(np.uint64) | (np.arange(1, signatures.shape[1] + 1, dtype=np.uint64) << np.uint64(16))[None, :])
 
 
-def classes_of(df: DataFrame, id: str, text: str, words: int) -> tuple[DataFrame, DataFrame]:
+def classes_of(df: DataFrame, id: str, text: str, words: int, positions: int = POSITIONS, lower: bool = True, lead: int = 0) -> tuple[DataFrame, DataFrame]:
     """(base, classes): base has i, t, n (set size) and k (class) of each row; classes has k, n, signature s, the
     least id m, and the i and t of one member. Rows without an id or without words are in no class.
 
     A class are the rows of one set, known by two keys of 64 bits from unrelated hashes of the words. k is the first
-    key; should two classes share it, the keys of all such are drawn anew from both."""
+    key; should two classes share it, the keys of all such are drawn anew from both. lower: A-Z count as a-z. lead: so many
+    blank words stand before each text."""
     docs = df.select(F.col(id).alias("i"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
-    permutations = Permutations(POSITIONS)
+    permutations, blank = Permutations(positions), np.arange(1, lead + 1, dtype=np.uint64)
 
     def embed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = Words(batch.column(2), lower=True)
+        w = Words(batch.column(2), lower)
         second = hash_words(w.data, w.starts, w.ends, _SECOND)
-        sizes, keys, signatures = np.zeros(len(w), np.int64), np.zeros((2, len(w)), np.uint64), np.empty((len(w), POSITIONS), np.uint16)
+        sizes, keys, signatures = np.zeros(len(w), np.int64), np.zeros((2, len(w)), np.uint64), np.empty((len(w), positions), np.uint16)
         for j in range(len(w)):
-            k, n = min(words, w.count(j)), w.count(j)
-            own, at = np.unique(hash_runs(w.of(j), k), return_index=True) if n else (w.of(j), [])
+            n = w.count(j)
+            k = min(words, n + lead)
+            own, at = np.unique(hash_runs(np.concatenate([blank, w.of(j)]), k), return_index=True) if n else (w.of(j), [])
             sizes[j], signatures[j] = len(own), permutations.least(own)
             keys[0, j] = set_key(own, len(own) * words + k)
-            keys[1, j] = set_key(hash_runs(second[w.first[j] : w.first[j + 1]], k)[at], len(own)) if n else 0
-        ends = pa.array(np.arange(len(w) + 1, dtype=np.int32) * (2 * POSITIONS))
+            keys[1, j] = set_key(hash_runs(np.concatenate([blank, second[w.first[j] : w.first[j + 1]]]), k)[at], len(own)) if n else 0
+        ends = pa.array(np.arange(len(w) + 1, dtype=np.int32) * (2 * positions))
         binary = pa.Array.from_buffers(pa.binary(), len(w), [None, ends.buffers()[1], pa.py_buffer(signatures.tobytes())])
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(signed(keys[0])), pa.array(signed(keys[1])), binary], names=["i", "t", "n", "k", "l", "s"])
 
@@ -95,7 +98,10 @@ def classes_of(df: DataFrame, id: str, text: str, words: int) -> tuple[DataFrame
         base = stage(anew.withColumn("k", F.when(F.col("anew"), F.xxhash64("l", "k")).otherwise(F.col("k"))).drop("anew").select(*base.columns), "sets")
         members = base.where("n > 0 and i is not null")
     one = members.groupBy("k").agg(F.min(F.struct("i", "t", "n", "s")).alias("z"))
-    return base.drop("s", "l"), stage(one.select("k", "z.n", "z.s", F.col("z.i").alias("m"), "z.i", "z.t"), "classes")
+    classes = stage(one.select("k", "z.n", "z.s", F.col("z.i").alias("m"), "z.i", "z.t"), "classes")
+    rows = stage(base.drop("s", "l"), "rows")
+    unstage(base)
+    return rows, classes
 
 
 def _alike(least: float):
@@ -147,25 +153,36 @@ def outside(c: np.ndarray) -> np.ndarray:
 class Join:
     """One similarity join; see the module's text. percent: link when 100 * intersection >= percent * union."""
 
+    positions, margin, lower, lead = POSITIONS, MARGIN, True, 0
+
     def __init__(self, df: DataFrame, id: str, text: str, words: int, percent: int, trees: int = 6, branch: int = 2, start: int = 3, limit: int = 1 << 22, room: int = 1 << 22, depth: int = 8):
         self.words, self.percent, self.trees, self.branch, self.start, self.limit, self.room, self.depth = words, percent, trees, branch, start, limit, room, depth
         self.docs = df.select(F.col(id).alias("i"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
-        self.least = POSITIONS * (percent / 100 - MARGIN)
-        self.base, self.classes = classes_of(df, id, text, words)
+        self.least = self.positions * (percent / 100 - self.margin)
+        self.base, self.classes = classes_of(df, id, text, words, self.positions, self.lower, self.lead)
 
-    def descend(self) -> DataFrame:
-        """(g, k, n): each class, with its size, in its nodes `start` levels below the roots; nothing so near the root is small."""
+    def nodes(self):
+        """A function from signatures to the nodes of each (rows x nodes), `start` levels below the roots; nothing so near the root is
+        small. A node's last three bits tell its tree."""
         trees, branch, start = self.trees, self.branch, self.start
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tokens = token_hashes(_matrix(batch.column(2)))
-            nodes = []
+        def run(signatures: np.ndarray) -> np.ndarray:
+            tokens, nodes = token_hashes(signatures), []
             for tree in range(trees):
                 at = mix(np.full((len(tokens), 1), tree + 1, np.uint64))
                 for level in range(start):
                     at = np.concatenate([choose(tokens, at[:, c], branch if level < 2 else 1) for c in range(at.shape[1])], axis=1)
-                nodes.append(at >> np.uint64(3) << np.uint64(3) | np.uint64(tree % 8))  # a node's last bits tell its tree
-            nodes = np.concatenate(nodes, axis=1)
+                nodes.append(at >> np.uint64(3) << np.uint64(3) | np.uint64(tree % 8))
+            return np.concatenate(nodes, axis=1)
+
+        return run
+
+    def descend(self) -> DataFrame:
+        """(g, k, n): each class, with its size, in its nodes."""
+        nodes_of = self.nodes()
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nodes = nodes_of(_matrix(batch.column(2)))
             each = [pa.array(np.repeat(np.asarray(batch.column(j)), nodes.shape[1])) for j in (0, 1)]
             return pa.RecordBatch.from_arrays([pa.array(signed(nodes.ravel())), *each], names=["g", "k", "n"])
 
@@ -178,7 +195,7 @@ class Join:
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) of classes whose full sets are similar enough."""
-        percent, words, cls = self.percent, self.words, self.classes
+        percent, words, cls, lower, lead = self.percent, self.words, self.classes, self.lower, self.lead
         side = lambda n: cls.select(F.col("k").alias("ab"[n - 1]), F.col("n").alias(f"n{n}"), F.col("s").alias(f"s{n}"))
         likely = pairs.join(side(1), "a").join(side(2), "b").where(_sizes_allow(percent))
         likely = stage(likely.where(_alike(self.least)(F.col("s1"), F.col("s2"))).select("a", "b"), "likely")
@@ -186,7 +203,7 @@ class Join:
         both = likely.join(texts.select(F.col("k").alias("a"), F.col("x").alias("x1")), "a").join(texts.select(F.col("k").alias("b"), F.col("x").alias("x2")), "b")
 
         def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = Sets(Words(pa.concat_arrays([batch.column(2), batch.column(3)]), lower=True), words)
+            sets = Sets(Words(pa.concat_arrays([batch.column(2), batch.column(3)]), lower), words, lead)
             one = np.arange(batch.num_rows)
             two = one + len(one)
             return batch.select([0, 1]).filter(pa.array(reach(sets.common(one, two), sets.size[one], sets.size[two], percent)))
@@ -198,7 +215,7 @@ class Join:
     def inside(self, members: DataFrame) -> DataFrame:
         """Links (a, b) that connect the components (c) inside the nodes (g) as far as any links do. Where f is 0 or 1,
         rows meet those of the other value only."""
-        least, percent, words = self.least, self.percent, self.words
+        least, percent, words, lower, lead = self.least, self.percent, self.words, self.lower, self.lead
 
         def may(g, k, c, f, n, s) -> pa.RecordBatch:
             """The rows that may have a partner in another component, by MinHash values."""
@@ -215,7 +232,7 @@ class Join:
         def link(g, k, c, f, x) -> pa.RecordBatch:
             """A forest of links, confirmed on the full sets."""
             g, k, c, f = (np.array(v) for v in (g, k, c, f))
-            sets, a, b = Sets(Words(x, lower=True), words), [], []
+            sets, a, b = Sets(Words(x, lower), words, lead), [], []
             mark = np.zeros(sets.kinds, bool)
             for lo, hi in edges_of(g):
                 first, codes, size = sets.first[lo:hi] - sets.first[lo], sets.codes[sets.first[lo] : sets.first[hi]], sets.size[lo:hi]

@@ -37,7 +37,7 @@ def op4_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+    return fingerprints.with_classes(table(spark, sf_dir, "documents"))
 
 
 def op6_backtracking_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

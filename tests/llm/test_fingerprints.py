@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 
@@ -63,17 +64,50 @@ def test_whole_table(spark, sf_dir):
     held(queries.op5_minhash_fingerprints(spark, sf_dir).collect(), rows)
 
 
-def test_bands_find_similar_documents(spark):
-    base = [" ".join(f"v{j}q{i}" for i in range(200)) for j in range(6)]
-    near = [t.replace(f"v{j}q199", "other") for j, t in enumerate(base)]
-    df = documents(spark, [*base, *near, base[0], "", None, "a", "a"], extra={"t": "t", "bands": "b"})
-    out = {r.doc_id: (r.class_id, r.links) for r in fingerprints.similar(df).collect()}
-    assert [out[j][0] for j in range(12)] == [*range(6), *range(6)]
-    assert out[12][0] == 0 and out[13] == (13, 0) and out[14] == (14, 0) and out[16][0] == 15
-    assert out[1][1] == 1 and fingerprints.similar(df.limit(0)).count() == 0
-
-
-def test_all_pairs_of_a_band_are_linked(spark):
-    texts = [" ".join([*(f"v{i}" for i in range(200)), f"end{j}"]) for j in range(12)]
-    out = [(r.class_id, r.links) for r in fingerprints.similar(documents(spark, texts)).collect()]
-    assert out == [(0, 11)] * 12
+def classes(rows, percent=80):
+    """The least id that links of texts reach, by comparing all pairs."""
+    up = list(range(len(rows)))
+
+    def root(j):
+        while up[j] != j:
+            j = up[j]
+        return j
+
+    sets = [plain_shingles(t) for _, t in rows]
+    for j in range(len(rows)):
+        for q in range(j):
+            common = len(sets[j] & sets[q])
+            if rows[j][0] is not None and rows[q][0] is not None and common and 100 * common >= percent * (len(sets[j]) + len(sets[q]) - common):
+                up[root(j)] = root(q)
+    least = {}
+    for j, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(j)] = min(i, least.get(root(j), i))
+    return [None if i is None else least[root(j)] for j, (i, _) in enumerate(rows)]
+
+
+def near_families():
+    """Families whose members are alike by 0.75 to 0.95, so that links and near misses lie side by side."""
+    draw, texts = random.Random(6), []
+    for f in range(40):
+        base = [f"f{f}w{x}" for x in range(160)]
+        for _ in range(5):
+            own = list(base)
+            for at in draw.sample(range(160), draw.randrange(0, 7)):
+                own[at] = f"e{draw.random()}"
+            texts.append(" ".join(own))
+    return texts
+
+
+def test_classes_are_those_of_all_pairs(spark):
+    """Recall against brute force: every class of 200 texts about the threshold, and of awkward rows."""
+    texts = [*near_families(), "", None, "a", "a", "A", *("w " * n for n in (3, 4, 90)), *(" ".join([*(f"v{i}" for i in range(200)), f"end{j}"]) for j in range(12))]
+    ids = [*range(len(texts) - 3), 7, 7, None]
+    df = documents(spark, texts, ids, extra={"t": "t", "c": "c", "class_id": "b"})
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    want = sorted(zip((i for i, _ in rows), classes(rows), strict=True), key=str)
+    assert sorted(((r.doc_id, r.class_id) for r in fingerprints.similar(df).collect()), key=str) == want
+    out = fingerprints.with_classes(df).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in out), key=str) == want
+    held(out, rows)
+    assert fingerprints.similar(df.limit(0)).count() == 0 and fingerprints.with_classes(df.limit(0)).count() == 0
