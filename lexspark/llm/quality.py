@@ -206,7 +206,8 @@ def score(model: Model, text: Column) -> Column:
 
 def scored(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """One row for each input row: doc_id, held_out, score, predicted. Null and empty texts get a score as well;
-    a null id is not held out. Neither id nor label is an input of a score."""
+    a null id is not held out; rows repeated under one id each have a score. Neither id nor label is an input of a score. Empty tables give
+    no rows."""
     from .common import small_batches
 
     small_batches(df.sparkSession)
@@ -215,7 +216,7 @@ def scored(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
 
 
 def keep_good(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """df without the rows that the model rejects; all columns stay."""
+    """df without the rows that the model rejects; all columns stay, and repeated rows are judged alike. Empty tables give no rows."""
     from .common import small_batches
 
     small_batches(df.sparkSession)

@@ -47,9 +47,9 @@ def shard(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", p
 
     law is ``key``: the key and the number of shards decide. slot numbers the rows of a shard from 0 without
     gaps, in the order of (bucket, key, crc). A shard is a sixteenth of all rows or more, so its rows are never
-    sorted in one task: each shard is cut into `parts` buckets by a hash of the key and the crc (rows repeated
-    under one key are spread by a salt below the hash when many), buckets are numbered apart, and the counts of
-    at most shards * parts buckets, bounded by those two parameters, shift them.
+    sorted in one task: each shard is cut into `parts` buckets by a hash of the key and the crc, buckets are numbered apart, and
+    the counts of at most shards * parts buckets, bounded by those two parameters, shift them. Rows of one key and one
+    text share a bucket, of three small columns a row.
 
     Null keys: shard of key 0. Empty tables give no rows. Repeated rows each get a slot of their own.
     """

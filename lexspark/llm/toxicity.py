@@ -28,19 +28,15 @@ from .quality import SAMPLE, held_out, labelled
 CONTEXT = 8
 FEATURES = ("some", "exact", "near", "quoted", "close", "rate", "weight")
 PRIOR = np.array([1.5, 1.5, 0.2, 0.0, 0.5, 0.2, 0.3])
-_TABLE = 0x3000
-_OPEN, _LINE = 1, 2  # kinds beside letters
-
-
-def _char_kinds() -> np.ndarray:
-    """0: apart, 1: letter or digit. Characters from 0x3000 on count as letters."""
-    return np.array([chr(c).isalnum() for c in range(_TABLE)], bool)
-
-
-_ALNUM = _char_kinds()
-_FOLD = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(_TABLE)], np.uint32)
-_QUOTES = np.zeros(_TABLE, bool)
-_QUOTES[[ord(c) for c in '"“”„«»‹›']] = True
+_ALL = 0x110000
+#: Letters and digits, by the categories of all of Unicode: one cut of words for learning and for scoring.
+_ALNUM = np.frombuffer(bytes(map(str.isalnum, map(chr, range(_ALL)))), bool)
+_FOLD = np.arange(_ALL, dtype=np.uint32)
+for _c in range(_ALL):
+    if _ALNUM[_c] and len(_low := chr(_c).lower()) == 1:
+        _FOLD[_c] = ord(_low)
+_QUOTES = np.zeros(_ALL, bool)
+_QUOTES[[ord(c) for c in '"“”„«»‹›「」『』＂']] = True
 
 
 def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +52,7 @@ def words_in(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(points)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = np.where(points < _TABLE, _ALNUM[np.minimum(points, _TABLE - 1)], True)
+    solid = _ALNUM[points]
     edge = offsets[(offsets > 0) & (offsets < n)]
     before = np.concatenate([[False], solid[:-1]])
     before[edge] = False
@@ -66,9 +62,19 @@ def words_in(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def distinct_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(y, w): the different words of each text, folded as the automaton folds them."""
+    points, offsets = characters(batch.column(1))
+    starts, ends, first = words_in(points, offsets)
+    folded = _FOLD[points].tobytes().decode("utf-32-le", "surrogatepass")
+    words = [sorted({folded[a:b] for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)}) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    labels = np.repeat(np.asarray(batch.column(0)), [len(w) for w in words])
+    return pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array([w for own in words for w in own], pa.string())], names=["y", "w"])
+
+
 @dataclass
 class Automaton:
-    letters: np.ndarray  # class of each folded code point below the table's size; 0: a letter of no entry
+    letters: np.ndarray  # the code points of the entries' letters in order: the first is of class 1; 0: a letter of no entry
     moves: np.ndarray  # states x classes; state 0 is dead
     hit: np.ndarray  # 0: none, 1: exact, 2: one edit; of words that end in a state
     entry: np.ndarray  # the entry that is met
@@ -80,8 +86,9 @@ class Automaton:
             return self.hit[state], self.entry[state]
         live, step = np.arange(len(starts)), 0
         while len(live):
-            c = points[starts[live] + step]
-            c = np.where(c < _TABLE, self.letters[_FOLD[np.minimum(c, _TABLE - 1)]], 0)
+            c = _FOLD[points[starts[live] + step]]
+            at = np.searchsorted(self.letters, c)
+            c = np.where(self.letters[np.minimum(at, len(self.letters) - 1)] == c, at + 1, 0) if len(self.letters) else 0
             state[live] = moved = self.moves[state[live], c]
             step += 1
             live = live[(moved > 0) & (starts[live] + step < ends[live])]
@@ -91,10 +98,7 @@ class Automaton:
 def build(entries: list[str]) -> Automaton:
     """The product of the entries' trie with Levenshtein automata. An entry that ends in ``*`` is a stem."""
     alphabet = {c: k + 1 for k, c in enumerate(sorted({c for e in entries for c in e.removesuffix("*")}))}
-    letters = np.zeros(_TABLE, np.int32)
-    for c, k in alphabet.items():
-        if ord(c) < _TABLE:
-            letters[ord(c)] = k
+    letters = np.array(sorted(map(ord, alphabet)), np.uint32)
     # trie nodes: children, and the entry that ends there; edits allowed depend on the entry, so there are two tries
     tries: list[list[dict]] = []
     for edits in (0, 1):
@@ -209,7 +213,7 @@ class Model:
     def _quoted(points, offsets, starts, ends, text) -> np.ndarray:
         """Whether each hit stands between marks of quotation of its line, or in a line that begins with ``>``."""
         out = np.zeros(len(starts), bool)
-        marks = np.flatnonzero((points < _TABLE) & _QUOTES[np.minimum(points, _TABLE - 1)])
+        marks = np.flatnonzero(_QUOTES[points])
         breaks = np.flatnonzero(points == 10)
         left = np.searchsorted(breaks, starts) - 1
         line = np.where(left >= 0, breaks[np.maximum(left, 0)] + 1 if len(breaks) else 0, 0)
@@ -234,8 +238,7 @@ def learn_words(texts: DataFrame) -> list[tuple[str, float]]:
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return []
-    folded = F.regexp_extract_all(F.lower(F.coalesce("x", F.lit(""))), F.lit(r"[\p{L}\p{N}]{3,40}"), F.lit(0))
-    each = texts.select("y", F.explode(F.array_distinct(folded)).alias("w"))
+    each = map_arrow(texts.select("y", "x"), distinct_words, "y int, w string")
     counts = each.groupBy("w").agg(F.sum("y").alias("k"), F.sum(1 - F.col("y")).alias("c"))
     stems = F.transform(F.sequence(F.lit(4), F.lit(7)), lambda n: F.when(F.length("w") > n, F.concat(F.substring("w", F.lit(1), n), F.lit("*"))))
     terms = counts.select(F.explode(F.array_compact(F.concat(F.array("w"), stems))).alias("t"), "w", "k", "c")
@@ -305,7 +308,8 @@ def train(df: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
 
 def scored(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", least: float = 0.7) -> DataFrame:
     """One row for each input row: doc_id, held_out, score, predicted. Null and empty texts have no hits and the
-    base score; a null id is not held out. Without labels of both kinds the lexicon is empty and all score alike."""
+    base score; a null id is not held out; rows repeated under one id each have a score. Without labels of both kinds the lexicon is
+    empty and all score alike. Empty tables give no rows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(model.features(batch.column(2))))], names=["doc_id", "held_out", "score"])

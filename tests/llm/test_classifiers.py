@@ -48,6 +48,7 @@ def test_awkward_rows_and_missing_labels(spark):
             assert len(out) == len(AWKWARD)
             assert all(0 <= r.score <= 1 and r.predicted == (r.score >= least) and r.held_out is not None for r in out)
             assert module.scored(df.limit(0), module.train(df.limit(0), labels)).count() == 0
+    assert quality.keep_good(df.limit(0), quality.train(df, none)).count() == 0
     kept = quality.keep_good(df, quality.train(df, none))
     assert kept.columns == df.columns and kept.count() == len(AWKWARD)
 
@@ -106,6 +107,11 @@ def test_quotation_is_told_from_abuse(spark):
     assert "idiot" in model.entries
     probe = ["he is an idiot", "they wrote “what an idiot” and left", "> what an idiot\nwe do not agree", "an idioot he is", "IDIOT!"]
     score = [r.score for r in toxicity.scored(documents(spark, probe), model).orderBy("doc_id").collect()]
+    beside = ["😀😀idiot", "idiot。ok", "idiot！！", "idiot😀", "you idiot"]
+    apart = [r.score for r in toxicity.scored(documents(spark, beside), model).collect()]
+    assert min(apart) > 0.7
+    again = documents(spark, [probe[0], probe[0], ""], ids=[1, 1, None])
+    assert sorted(r.score for r in toxicity.scored(again, model).collect())[1:] == [score[0]] * 2
     assert score[0] > 0.7 and score[4] > 0.7 and max(score[1], score[2]) < 0.5 and score[3] > score[1]
 
 
