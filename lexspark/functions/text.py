@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules_hr as hr
 
 
-
 def squeeze(text: Column) -> Column:
     """Runs of white space, no-break spaces included, as one blank; none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-#: Entities that are decoded; '&amp;' last, so that what it uncovers stays as it is.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Character references of HTML by name, from the standard library; '&amp;' is treated apart.
+_NAMED = {name.removesuffix(";"): text for name, text in html.entities.html5.items() if name.endswith(";") and name != "amp;"}
+
+
+def decode_references(text: Column) -> Column:
+    """The text with character references decoded once, by name or number: those of the ampersand last, so what they uncover
+    stays as it is. Unknown names and numbers that are no character stay too."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+    names = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+
+    def meaning(x: Column) -> Column:
+        number = F.when(F.rlike(x, F.lit("^#[xX]")), F.conv(F.substr(x, F.lit(3)), 16, 10)).when(x.startswith("#"), F.substr(x, F.lit(2))).cast("int")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(valid, char).otherwise(F.try_element_at(names, x))
+
+    def step(done: Column, x: Column) -> Column:
+        return F.coalesce(F.when(meaning(x) != "&", F.replace(done, F.concat(F.lit("&"), x, F.lit(";")), meaning(x))), done)
+
+    out = F.when(F.size(found) > 0, F.aggregate(found, text, step)).otherwise(text)
+    return F.regexp_replace(out, "&(amp|#0*38|#[xX]0*26);", "&")
 
 
 def clean_html(html: Column) -> Column:
@@ -24,9 +45,7 @@ def clean_html(html: Column) -> Column:
     for tag in ("script", "style", "template"):
         out = F.regexp_replace(out, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", " ")
     out = F.regexp_replace(out, r"(?s)</?[A-Za-z][^>]*>", " ")
-    for a, b in ENTITIES:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return squeeze(out)
+    return squeeze(decode_references(out))
 
 
 def is_chapter(text: Column, strict: bool = False) -> Column:
@@ -126,27 +145,28 @@ def article_pieces(text: Column) -> Column:
 def list_items(lines: Column) -> Column:
     """Blocks of lines: numbered lists, dashed items and plain paragraphs, as (kind, items).
 
-    ``N.`` continues an open numbered list when it is the next number (or the list has no number yet) and opens one
-    otherwise; ``- `` makes a list of one item; another line joins the open list if the list is empty, or the line
-    begins with a lower-case letter, and is a paragraph otherwise. A fold over the row's array: no shuffle.
+    ``N.`` goes on with an open numbered list when it is the next number, or when the list's last item was no number, and opens
+    a list otherwise; ``-`` makes a list of its own; blanks after either may be absent. Another line is an item of the open list if it is blank or
+    begins with a lower-case letter, and a paragraph otherwise, which closes the list. A fold over the row's array: no shuffle.
     """
-    block = "struct<kind:string,items:array<string>,last:int>"
+    block = "struct<kind:string,items:array<string>,last:double>"
     start = F.array().cast(f"array<{block}>")
 
     def make(kind: str, item: Column, last: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.array(item).alias("items"), last.cast("int").alias("last"))
+        return F.struct(F.lit(kind).alias("kind"), F.array(item).alias("items"), last.cast("double").alias("last"))
 
     def step(done: Column, line: Column) -> Column:
         n = F.size(done)
         tail = F.try_element_at(done, F.when(n > 0, n).otherwise(F.lit(1)))
         front = F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0)))
-        number = F.try_to_number(F.regexp_extract(line, r"^(\d{1,6})\.\s+", 1), F.lit("999999")).cast("int")
-        body = F.regexp_replace(line, r"^(\d+\.|-)\s+", "")
-        numbered, dashed = F.rlike(line, F.lit(r"^\d{1,6}\.\s+")), F.rlike(line, F.lit(r"^-\s+"))
-        open_ = F.coalesce(tail["kind"] == "decimal", F.lit(False))
-        goes_on = numbered & open_ & (number == tail["last"] + 1)
-        joins = ~numbered & ~dashed & F.coalesce(tail["kind"] != "paragraph", F.lit(False)) & F.rlike(line, F.lit(r"^(da |[a-zäöü])"))
-        grown = F.struct(tail["kind"].alias("kind"), F.concat(tail["items"], F.array(body)).alias("items"), F.when(numbered, number).otherwise(tail["last"]).alias("last"))
+        own = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+        numbered, dashed = F.rlike(own, F.lit(r"^[0-9]+\.(?U:\s*).")), F.rlike(own, F.lit(r"^-(?U:\s*)."))
+        number = F.when(numbered, F.regexp_extract(own, r"^([0-9]+)\.", 1)).cast("double")
+        body = F.regexp_replace(own, r"^([0-9]+\.|-)(?U:\s*)", "")
+        listed = F.coalesce(tail["kind"] != "paragraph", F.lit(False))
+        goes_on = numbered & F.coalesce(tail["kind"] == "decimal", F.lit(False)) & ((number == tail["last"] + 1) | (tail["last"] == 0))
+        joins = ~numbered & ~dashed & listed & F.rlike(own, F.lit(r"^([a-zäöü]|$)"))
+        grown = F.struct(tail["kind"].alias("kind"), F.concat(tail["items"], F.array(F.when(numbered, body).otherwise(own))).alias("items"), F.coalesce(number, F.lit(0.0)).alias("last"))
         return (
             F.when(goes_on | joins, F.concat(front, F.array(grown)))
             .when(numbered, F.concat(done, F.array(make("decimal", body, number))))
@@ -155,5 +175,5 @@ def list_items(lines: Column) -> Column:
             .cast(f"array<{block}>")
         )
 
-    kept = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
+    kept = F.filter(lines, lambda x: x.isNotNull())
     return F.transform(F.aggregate(kept, start, step), lambda b: F.struct(b["kind"].alias("kind"), b["items"].alias("items")))

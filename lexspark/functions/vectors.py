@@ -40,19 +40,21 @@ def mean(df: DataFrame, keys: list[str], vector: str, out: str = "mean") -> Data
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__d", "__m"))), lambda s: s["__m"]).alias(out))
 
 
+def encoded(texts: list[str], size: int = 64) -> np.ndarray:
+    """The default encoder: a matrix with one row for each text, counts of words by hash, of length one."""
+    out = np.zeros((len(texts), size))
+    for row, text in zip(out, texts, strict=True):
+        bins = [zlib.crc32(w.encode()) % size for w in _WORDS.findall((text or "").lower())]
+        row += np.bincount(np.array(bins, np.int64), minlength=size)
+    lengths = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(lengths > 0, lengths, 1.0)
+
+
 def hashed(texts: Column, size: int = 64) -> Column:
-    """The default encoder, of an array of texts to an array of vectors: counts of words by hash, of length one."""
+    """encoded() as a Column, of an array of texts to an array of vectors."""
 
     @F.arrow_udf("array<array<double>>")
     def run(many: pa.Array) -> pa.Array:
-        out = []
-        for row in many.to_pylist():
-            vectors = []
-            for text in row or []:
-                bins = np.fromiter((zlib.crc32(w.encode()) % size for w in _WORDS.findall((text or "").lower())), np.int64)
-                counts = np.bincount(bins, minlength=size).astype(np.float64)
-                vectors.append(counts / (np.linalg.norm(counts) or 1.0))
-            out.append(vectors)
-        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+        return pa.array([encoded(row or [], size).tolist() for row in many.to_pylist()], pa.list_(pa.list_(pa.float64())))
 
     return run(texts)

@@ -6,8 +6,6 @@ at most `tokens` words; a text's vector is the mean of its chunks' vectors, of l
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,9 +14,9 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 from lexspark.functions import vectors as V
 
-from .summarize import encode, packed, words
+from .summarize import Encoder, packed, words
 
-#: Names of stored vectors by key; any other key is stored as summary_<key>.
+# Names of stored vectors by key; any other key is stored as summary_<key>.
 TYPES = {
     "short": "summary_short", "detailed": "summary_detailed", "sto_zakon_ureduje": "summary_structured_sto_zakon_ureduje",
     "na_koga_se_odnosi": "summary_structured_na_koga_se_odnosi", "sto_uvodi_ili_mijenja": "summary_structured_sto_uvodi_ili_mijenja",
@@ -36,19 +34,18 @@ def chunks(text: Column, tokens: int = 512) -> Column:
     return F.when(F.size(cut) > 0, cut).otherwise(F.array(F.coalesce(text, F.lit(""))))
 
 
-def embed(texts: DataFrame, keys: list[str], text: str, tokens: int = 512, encoder: Callable[[Column], Column] = encode) -> DataFrame:
-    """(keys, embedding): a text's chunks stay in its row, so they need no shuffle to meet again."""
-    rows = texts.select(*keys, encoder(chunks(F.col(text), tokens)).alias("__e"))
+def embed(texts: DataFrame, keys: list[str], text: str, tokens: int = 512, encoder: Encoder = V.encoded) -> DataFrame:
+    """(keys, embedding): a text's chunks stay in its row, so they need no shuffle to meet again, and are encoded and pooled in one pass."""
 
     @F.arrow_udf("array<double>")
     def pooled(many: pa.Array) -> pa.Array:
         out = []
-        for vectors in many:
-            total = np.sum([np.asarray(v.values) for v in vectors], axis=0)
-            out.append(total / (np.linalg.norm(total) or 1.0))
+        for row in many.to_pylist():
+            total = encoder(row).sum(axis=0)
+            out.append((total / (np.linalg.norm(total) or 1.0)).tolist())
         return pa.array(out, pa.list_(pa.float64()))
 
-    return rows.select(*keys, pooled(F.col("__e")).alias("embedding"))
+    return texts.select(*keys, pooled(chunks(F.col(text), tokens)).alias("embedding"))
 
 
 def levels(documents: DataFrame, articles: DataFrame | None, id: str, summaries: list[str], title: str = "naslov", text: str = "doc_cleaned") -> DataFrame:

@@ -1,8 +1,8 @@
 """Extractive summaries by maximal marginal relevance, chunking and packing.
 
-The encoder is a parameter: a function of a Column of arrays of texts to a Column of arrays of vectors. By default
-words are counted by hash (functions/vectors.py). Encoding and the greedy selection, which looks back at what it
-has chosen, run in numpy on Arrow batches; everything else stays within the JVM.
+The encoder is a parameter: a function of a list of texts to a matrix of vectors. By default words are counted by hash
+(functions/vectors.py). Encoding and the greedy selection, which looks back at what it has chosen, run in numpy on Arrow
+batches, in one pass from sentences to summaries; everything else stays within the JVM.
 """
 
 from __future__ import annotations
@@ -17,16 +17,15 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 from lexspark.functions import vectors as V
 
-#: (name, sentences, lambda) of the summaries that a document gets; scope is of the scope text.
+# Name, number of sentences and lambda of the summaries that a document gets; the third is of the scope text.
 GRID = (("short", 3, 0.75), ("detailed", 8, 0.65), ("sto_zakon_ureduje", 2, 0.80), ("na_koga_se_odnosi", 2, 0.45), ("sto_uvodi_ili_mijenja", 2, 0.60))
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
+Encoder = Callable[[list[str]], np.ndarray]
 
 
-def encode(texts: Column) -> Column:
-    return V.hashed(texts)
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def chosen(vectors: np.ndarray, query: np.ndarray, k: int, weight: float, digits: int | None = None) -> list[int]:
@@ -67,55 +66,47 @@ def mmr(vectors: Column, query: Column, k: int, weight: float, digits: int | Non
     return run(vectors, query)
 
 
-def _encoded(df: DataFrame, text: str, encoder: Callable[[Column], Column]) -> DataFrame:
-    """df with sentences __s, their vectors __v, and the vector of the whole text __q, all encoded in one call."""
-    plain = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("__s", T.sentences(plain)).withColumn("__e", encoder(F.concat(F.array(plain), "__s")))
-    return df.withColumn("__q", F.get("__e", F.lit(0))).withColumn("__v", F.slice("__e", F.lit(2), F.size("__s"))).drop("__e")
-
-
-def _joined(items: str, places: Column) -> Column:
-    """The items at the places, in order, joined by blanks."""
-
-    @F.arrow_udf("string")
-    def run(many: pa.Array, at: pa.Array) -> pa.Array:
-        return pa.array([" ".join(m[i] for i in p) for m, p in zip(many.to_pylist(), at.to_pylist(), strict=True)], pa.string())
-
-    return run(F.col(items), places)
-
-
-def summary(df: DataFrame, text: str, k: int = 3, weight: float = 0.7, out: str = "summary", encoder: Callable[[Column], Column] = encode) -> DataFrame:
+def summary(df: DataFrame, text: str, k: int = 3, weight: float = 0.7, out: str = "summary", encoder: Encoder = V.encoded) -> DataFrame:
     """df with a column of the k sentences that say most, in order; a text of no more than k sentences stays as it is."""
-    df = _encoded(df, text, encoder)
-    df = df.withColumn("__p", mmr(F.col("__v"), F.col("__q"), k, weight))
-    return df.withColumn(out, F.when(F.size("__s") <= k, F.col(text)).otherwise(_joined("__s", F.col("__p")))).drop("__s", "__v", "__q", "__p")
+    return summaries(df, text, ((out, k, weight),), 1 << 31, encoder)
 
 
-def summaries(df: DataFrame, text: str, grid: tuple = GRID, limit: int = 100, encoder: Callable[[Column], Column] = encode) -> DataFrame:
+def summaries(df: DataFrame, text: str, grid: tuple = GRID, limit: int = 100, encoder: Encoder = V.encoded) -> DataFrame:
     """df with one column for each row of the grid. Sentences are encoded once for all of them. A text of more than
-    `limit` sentences is summed up in overlapping chunks of three sentences each first, and then once more."""
-    df = _encoded(df, text, encoder)
+    `limit` sentences is summed up in overlapping chunks first, three sentences each that say most of the chunk, and then
+    once more: what these say together is what the sentences are then held against."""
 
-    @F.arrow_udf("array<array<int>>")
-    def run(many: pa.Array, one: pa.Array) -> pa.Array:
-        out = []
-        for vs, q in zip(many, one, strict=True):
-            n = len(vs.values) if vs.is_valid else 0
-            flat = np.asarray(vs.values.flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, 1))
-            own, row = np.asarray(q.values, np.float64) if n else np.zeros(1), []
-            for _, k, weight in grid:
-                places = np.arange(n)
-                if n > limit:
-                    parts = [np.arange(a, min(a + limit, n)) for a in range(0, n, max(1, limit - 5))]
-                    places = np.concatenate([p[chosen(flat[p], flat[p].sum(axis=0), 3, weight)] for p in parts])
-                row.append(places[chosen(flat[places], own, k, weight)].tolist() if n > k else places.tolist())
-            out.append(row)
-        return pa.array(out, pa.list_(pa.list_(pa.int32())))
-
-    df = df.withColumn("__p", run(F.col("__v"), F.col("__q")))
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array, many: pa.Array) -> pa.Array:
+        return pa.array([_summed(t or "", s or [], grid, limit, encoder) for t, s in zip(texts.to_pylist(), many.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+    df = df.withColumn("__s", T.sentences(F.coalesce(F.col(text), F.lit("")))).withColumn("__p", run(F.col(text), F.col("__s")))
     for j, (name, k, _) in enumerate(grid):
-        df = df.withColumn(name, F.when(F.size("__s") <= k, F.col(text)).otherwise(_joined("__s", F.get("__p", F.lit(j)))))
-    return df.drop("__s", "__v", "__q", "__p")
+        df = df.withColumn(name, F.when(F.size("__s") <= k, F.col(text)).otherwise(F.get("__p", F.lit(j))))
+    return df.drop("__s", "__p")
+
+
+def _summed(text: str, items: list[str], grid: tuple, limit: int, encoder: Encoder) -> list[str | None]:
+    """A summary for each row of the grid; None where the text stays as it is."""
+    n = len(items)
+    if all(n <= k for _, k, _ in grid):
+        return [None] * len(grid)
+    joined = lambda places: " ".join(items[p] for p in places)
+    vectors = encoder([text, *items])
+    whole, vectors = vectors[0], vectors[1:]
+    parts = [np.arange(a, min(a + limit, n)) for a in range(0, n, max(1, limit - 5))] if n > limit else []
+    of_parts = encoder([joined(p) for p in parts]) if parts else None
+    out: list[str | None] = []
+    for _, k, weight in grid:
+        places, query = np.arange(n), whole
+        if parts and n > k:
+            places = np.concatenate([p[chosen(vectors[p], q, 3, weight)] for p, q in zip(parts, of_parts, strict=True)])
+            query = encoder([joined(places)])[0]
+        if n <= k:
+            out.append(None)
+        else:
+            out.append(joined(places if len(places) <= k else places[chosen(vectors[places], query, k, weight)]))
+    return out
 
 
 def overlapping(items: Column, size: int = 100, overlap: int = 5) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from lexspark.functions import rules_hr as hr
-from lexspark.functions.text import ENTITIES
 from lexspark.operators.search import WEIGHTS
 
 DOCS = """docs as (select doc_id as id, '/eli/sluzbeni/' || (1990 + doc_id % 30) || '/' || (1 + doc_id % 120) || '/' || doc_id as eli, lang as vrsta,
@@ -31,6 +30,10 @@ def _page(n: int) -> str:
     return f"with {DOCS} select id, eli, null::double as score, 'lexical' as match_type from docs where {FOUND} {NEWEST} limit 10 offset {10 * (n - 1)}"
 
 
+# Character references that occur in the test pages, and what they stand for.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
 def _html(x: str) -> str:
     x = f"regexp_replace({x}, '(?s)<!--.*?-->|<![^>]*>', ' ', 'g')"
     for tag in ("script", "style", "template"):
@@ -125,7 +128,7 @@ def oracle_sql() -> dict[str, str]:
         "short_summary_join": docs + "select id, eli, 'q' || quality as short_summary from docs left join labels on doc_id = id",
         "clean_html": f"select page_id, {_html('html')} as text from pages",
         "page_links": f"""select page_id, {_html("regexp_extract(html, pat, 2)")} as text, nullif(regexp_extract(html, pat, 1), '') as href from (select *, '(?is)<a\\s[^>]*?href\\s*=\\s*["''](' || '[^"'']*' || ')["''][^>]*>(.*?)</a>' as pat from pages)""".replace("regexp_extract(html, pat,", r"""regexp_extract(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>',"""),
-        "sitemap_locations": "select page_id, replace(url, '&', '&amp;') as loc from pages where url like 'http%' and url like '%.html'",
+        "sitemap_locations": "select page_id, url as loc from pages where url like 'http%' and url like '%.html'",
         "sentence_split": f"with {SENTENCES} select doc_id, pos, s as sentence from sentences",
         "parse_dates": docs + r"select id, datum, try_strptime(regexp_extract(datum, '\d{1,2}\.\d{1,2}\.\d{4}'), '%d.%m.%Y')::date as publication_date from docs",
         "normalize_issue": docs + r"""select id, case when regexp_matches(t, '^\d{1,3}/\d{4}$') then 'NN ' || t when regexp_matches(t, '(?i)^nn\s+\d{1,3}/\d{4}$') then 'NN ' || regexp_extract(t, '\d{1,3}/\d{4}$') else t end as izdanje

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.functions.text import clean_html, decode_references
+
 RAW = "dio string, vrsta string, izdanje string, izdanjeUrl string, brojDokumenta string, stranica string, donositelj string, datum string, eli string, eliUrl string, naslov string, doc string"
 
 
@@ -18,10 +20,11 @@ def site_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def locations(df: DataFrame, xml: Column, *keep: str) -> DataFrame:
-    """The texts of all second-level elements whose name ends in ``loc``, whatever its namespace prefix."""
+    """The texts of all elements named ``loc``, whatever the namespace prefix: character references are decoded, and CDATA is read."""
     kind = F.when(F.rlike(xml, F.lit(r"<(?:[A-Za-z]+:)?sitemapindex\b")), "index").otherwise("page")
-    found = F.regexp_extract_all(xml, F.lit(r"<(?:[A-Za-z]+:)?loc>\s*([^<]*?)\s*</"), F.lit(1))
-    return df.select(*keep, kind.alias("kind"), F.explode(found).alias("loc"))
+    found = F.regexp_extract_all(xml, F.lit(r"<(?:[A-Za-z]+:)?loc>\s*((?:<!\[CDATA\[(?:(?!\]\]>)[\s\S])*\]\]>|[^<])*?)\s*</"), F.lit(1))
+    plain = F.transform(found, lambda x: F.when(x.startswith("<![CDATA["), F.trim(F.regexp_replace(x, r"^<!\[CDATA\[|\]\]>$", ""))).otherwise(decode_references(x)))
+    return df.select(*keep, kind.alias("kind"), F.explode(plain).alias("loc"))
 
 
 def wanted(locs: DataFrame, map_prefix: str, page_prefix: str) -> DataFrame:
@@ -56,18 +59,19 @@ def act(spark: SparkSession, path: str, eli: str, form: str = "parquet") -> Data
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
-SILENT = frozenset(("script", "style", "template"))
+SILENT = frozenset(("head", "script", "style", "template"))
 
 
 class _Blocks(HTMLParser):
     """Texts of the direct children of the first container element; a block tag ends an open paragraph."""
 
-    def __init__(self, container: str):
+    def __init__(self, container: str | None):
+        """Without a container the children are those of the page itself."""
         super().__init__(convert_charrefs=True)
-        self.container, self.depth, self.stack, self.out, self.text, self.done = container, None, [], [], [], False
+        self.container, self.depth, self.stack, self.out, self.text, self.done = container, None if container else 0, [], [], [], False
 
     def handle_starttag(self, tag, attrs):
-        if self.done:
+        if self.done or not self.container and tag in ("html", "body"):
             return
         if tag in BLOCK and "p" in self.stack and (self.depth is None or self.stack.index("p") >= self.depth):
             self.handle_endtag("p")
@@ -103,15 +107,19 @@ class _Blocks(HTMLParser):
 
 
 def html_blocks(html: Column, container: str = "div") -> Column:
-    """The texts of the container's direct children that are not blank; bare text beside them is left out."""
+    """The texts of the container's direct children that are not blank; bare text beside them is left out. The container is
+    the first element of that name, else the page's body, else the page itself."""
 
     @F.arrow_udf("array<string>")
     def run(pages: pa.Array) -> pa.Array:
         out = []
         for page in pages.to_pylist():
-            parser = _Blocks(container)
-            parser.feed(page or "")
-            parser.close()
+            for name in (container, "body", None):
+                parser = _Blocks(name)
+                parser.feed(page or "")
+                parser.close()
+                if parser.depth is not None:
+                    break
             if parser.depth is not None and not parser.done:
                 parser._close()
             out.append(parser.out)
@@ -122,8 +130,6 @@ def html_blocks(html: Column, container: str = "div") -> Column:
 
 def field(html: Column, label: str) -> Column:
     """The text of the first table row whose first cell holds the label, without the label; null if blank or absent."""
-    from lexspark.functions.text import clean_html
-
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)))
     hit = F.try_element_at(F.filter(cells, lambda c: F.coalesce(F.contains(F.try_element_at(c, F.lit(1)), F.lit(label)), F.lit(False))), F.lit(1))
@@ -132,7 +138,5 @@ def field(html: Column, label: str) -> Column:
 
 def link(html: Column) -> Column:
     """(text, href) of the first link."""
-    from lexspark.functions.text import clean_html
-
     href = F.regexp_extract(html, r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", 1)
     return F.struct(clean_html(F.regexp_extract(html, r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", 2)).alias("text"), F.nullif(href, F.lit("")).alias("href"))

@@ -62,3 +62,7 @@ def test_site_maps(spark, tmp_path):
     (tmp_path / "b.xml").write_text("<n:urlset xmlns:n='x'><n:url><n:loc>https://h/clanci/sluzbeni/1.html</n:loc></n:url><n:url><n:loc>https://h/x.pdf</n:loc></n:url></n:urlset>")
     found = acts.wanted(acts.site_map(spark, str(tmp_path)), "https://h/sitemap_", "https://h/clanci/sluzbeni/")
     assert sorted((r.kind, r["loc"]) for r in found.collect()) == [("index", "https://h/sitemap_1.xml"), ("page", "https://h/clanci/sluzbeni/1.html")]
+    cdata = '<urlset><url><loc><![CDATA[https://h/a?b=1&c=2.html]]></loc></url><url><loc>https://h/x?y=1&amp;z=2</loc></url></urlset>'
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "c.xml").write_text(cdata)
+    assert sorted(r["loc"] for r in acts.site_map(spark, str(tmp_path / "c")).collect()) == ["https://h/a?b=1&c=2.html", "https://h/x?y=1&z=2"]

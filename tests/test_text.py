@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
+from lexspark.functions import vectors as V
 from lexspark.operators import evaluate, extract, search, store, summarize
 from lexspark.sources import acts
 
@@ -29,6 +30,8 @@ def test_scalars(spark):
     assert one(spark, "II. OPĆE", T.strip_numeral) == "OPĆE" and one(spark, "/eli/sluzbeni/1990/3/7", T.eli_path) == "1990/3/7"
     html = "<!-- a --><p>b&amp;c</p><script>if (a) { '</p>' }</script><b>d</b>&nbsp;<style>x</style> e"
     assert one(spark, html, T.clean_html) == "b&c d e"
+    assert one(spark, "&#353;&scaron;&#x161; a&ndash;b &amp;lt; &lt;&#38;gt; &nope; &#0; &#9999999; &euro;", T.clean_html) == "ššš a–b &lt; <&gt; &nope; &#0; &#9999999; €"
+    assert one(spark, None, T.clean_html) is None
     assert [one(spark, x, lambda c: T.contains(c, F.lit("B"))) for x in ("abc", "", None)] == [True, False, False]
 
 
@@ -36,7 +39,11 @@ def test_lists_and_articles(spark):
     out = one(spark, ["1. a", "2. b", "- c", "- d", "Tekst"], T.list_items, "array<string>")
     assert [(r.kind, r["items"]) for r in out] == [("decimal", ["a", "b"]), ("disc", ["c"]), ("disc", ["d"]), ("paragraph", ["Tekst"])]
     out = one(spark, ["1. a", "da je", "3. c"], T.list_items, "array<string>")
-    assert [(r.kind, r["items"]) for r in out] == [("decimal", ["a", "da je"]), ("decimal", ["c"])]
+    assert [(r.kind, r["items"]) for r in out] == [("decimal", ["a", "da je", "c"])]
+    lines = ["4.d", "-e", "1. a", "2. b", "", "9. c", "11. x", " Paragraf ", "12345678. big", "12345679.next", "1.", "- ", "tail"]
+    out = one(spark, lines, T.list_items, "array<string>")
+    want = [("decimal", ["d"]), ("disc", ["e"]), ("decimal", ["a", "b", "", "c"]), ("decimal", ["x"]), ("paragraph", [" Paragraf "]), ("decimal", ["big", "next"])]
+    assert [(r.kind, r["items"]) for r in out] == want + [("paragraph", ["1."]), ("paragraph", ["- "]), ("paragraph", ["tail"])]
     out = one(spark, "uvod Član 1. prvi Član 2. drugi", T.article_pieces)
     assert [tuple(r) for r in out] == [("", "uvod"), ("Član 1.", "prvi"), ("Član 2.", "drugi")]
 
@@ -44,7 +51,8 @@ def test_lists_and_articles(spark):
 def test_blocks_of_a_page(spark):
     html = "<body><div class=x>bare<p>one <b>two</b><p>three<br>four</p><script>'</p>'</script><ul><li>a<li>b</ul> tail </div><div>no</div></body>"
     assert one(spark, html, acts.html_blocks) == ["one two", "three four", "a b"]
-    assert one(spark, None, acts.html_blocks) == [] and one(spark, "<p>x</p>", acts.html_blocks) == []
+    assert one(spark, None, acts.html_blocks) == [] and one(spark, "<p>x</p>y<p>z &scaron;</p>", acts.html_blocks) == ["x", "z š"]
+    assert one(spark, "<html><head><title>t</title></head><body>w<p>x</p><ul><li>y</ul></body></html>", acts.html_blocks) == ["x", "y"]
     table = "<table><tr><td>Vrsta:</td><td>Zakon</td></tr><tr><td>ELI</td><td><a href='/e'>x &amp; y</a></td></tr></table>"
     assert one(spark, table, lambda c: acts.field(c, "Vrsta:")) == "Zakon" and one(spark, table, lambda c: acts.field(c, "none")) is None
     assert tuple(one(spark, table, acts.link)) == ("x & y", "/e")
@@ -87,6 +95,14 @@ def test_summaries(spark):
     df = spark.createDataFrame([(1, "Jedan. Dva."), (2, long), (3, ""), (4, None), (5, "A b. C d! E f? G h. I j.")], "id long, x string")
     out = {r.id: r for r in summarize.summaries(df, "x").collect()}
     assert out[1].short == "Jedan. Dva." and out[3].short == "" and out[4].short is None and len(out[2].detailed.split(". ")) == 8
+    # chunks are held against their own texts, and what is left against the text that it makes
+    items = [f"Word{i} thing{i % 7} other." for i in range(250)]
+    vectors, places = V.encoded(items), []
+    for a in range(0, 250, 95):
+        part = np.arange(a, min(a + 100, 250))
+        places += part[summarize.chosen(vectors[part], V.encoded([" ".join(items[p] for p in part)])[0], 3, 0.65)].tolist()
+    query = V.encoded([" ".join(items[p] for p in places)])[0]
+    assert out[2].detailed == " ".join(items[places[p]] for p in summarize.chosen(vectors[places], query, 8, 0.65))
     one_ = {r.id: r.summary for r in summarize.summary(df, "x", 2).collect()}
     assert one_[1] == "Jedan. Dva." and len(one_[5].split()) == 4
 
