@@ -12,7 +12,8 @@ so their union is the whole passage, however long. No row holds more than that,
 Suffixes whose first half window occurs in one document only are dropped before sorting. A group of equal
 beginnings can hold a third of all rows: groups of more than `limit` are sorted in parts, the parts being formed
 by id, and where a part has no neighbour of another document on one side, the suffix of the group's least or
-greatest id stands in. Neighbours then depend on the parts; what is found does not, by the windows below.
+greatest id stands in. Neighbours then depend on the parts; what is found does not, by the windows below, and neither does the
+partner that is reported, which is theirs wherever more than two suffixes begin alike.
 
 The neighbours in that order need not be the documents that share most to the left, so they alone do not find every
 repeat. Where more than two suffixes begin alike, each window of `window` words around one is therefore also looked up by
@@ -34,7 +35,8 @@ LIMIT = 4096
 
 
 def _context(words: np.ndarray, places: np.ndarray, left: int, right: int) -> list[bytes]:
-    """32 bits of each word around the places, 0 where the text has ended: `left` words before, `right` from there on."""
+    """32 bits of each word around the places, 0 where the text has ended: `left` words before, `right` from there on. One of them
+    marks a word, so a match goes on past its true end with probability 2**-31."""
     short = np.zeros(left + len(words) + right, np.uint32)
     short[left : left + len(words)] = (words >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     rows = short[places[:, None] + np.arange(left + right)[None, :]].astype(">u4")
@@ -113,8 +115,8 @@ def shared(rows: DataFrame, window: int) -> DataFrame:
 
 
 def matches(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, start, end, other_id, other_start): each suffix's matches of `window` words or more with its neighbours,
-    and the matches of windows by their hashes."""
+    """(doc_id, start, end, other_id, other_start, later): each suffix's matches of `window` words or more with its neighbours,
+    and the matches of windows by their hashes. later: 1 for neighbours in groups whose windows are looked up as well."""
     left, right = window - (window + 1) // 2 + 1, window + 1
     rows = suffixes(df, id, text, window)
     part = F.when(F.col("z") > limit, 1 + F.pmod(F.xxhash64("i"), F.ceil(F.col("z") / F.lit(limit)))).otherwise(F.lit(0)).cast("int")
@@ -131,7 +133,7 @@ def matches(df: DataFrame, id: str = "doc_id", text: str = "text", window: int =
         rows = rows.withColumn("n", beside).withColumn("n", F.when(F.col("n.i") != F.col("i"), F.col("n")))
         rows = rows.withColumn(name, F.last("n", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("n")
     own = rows.withColumn("o", F.explode(F.array_compact(F.array(F.coalesce("prev", "head"), F.coalesce("next", "tail")))))
-    own = own.where("o.i <> i").select("i", "p", "s", F.col("o.i").alias("i2"), F.col("o.p").alias("p2"), F.col("o.s").alias("s2"))
+    own = own.where("o.i <> i").select("i", "p", "s", F.col("o.i").alias("i2"), F.col("o.p").alias("p2"), F.col("o.s").alias("s2"), (F.col("z") > 2).cast("int").alias("later"))
 
     def extend(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
@@ -142,9 +144,9 @@ def matches(df: DataFrame, id: str = "doc_id", text: str = "text", window: int =
         keep = before + after >= window
         i, p, i2, p2 = (np.asarray(batch.column(j))[keep].astype(np.int64) for j in (0, 1, 3, 4))
         before, after = before[keep], after[keep]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (i, p - before, p + after, i2, p2 - before)], names=["doc_id", "start", "end", "other_id", "other_start"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (i, p - before, p + after, i2, p2 - before)] + [batch.column(6).filter(pa.array(keep))], names=["doc_id", "start", "end", "other_id", "other_start", "later"])
 
-    return map_arrow(own, extend, "doc_id long, start long, end long, other_id long, other_start long").unionByName(windows)
+    return map_arrow(own, extend, "doc_id long, start long, end long, other_id long, other_start long, later int").unionByName(windows.withColumn("later", F.lit(0)))
 
 
 def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, limit: int = LIMIT) -> DataFrame:
@@ -153,7 +155,7 @@ def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", win
 
     Overlapping matches of a document are one passage, so a passage is as long as repetition goes on: its words are those
     of all windows that stand in another document. other_id is
-    the least id that it was matched with, other_start where that match begins there. Null
+    the least id that it was matched with, other_start where that match begins there; neither depends on `limit`. Null
     and empty texts, and texts of fewer words than a window, have no passages; nor do rows without an id. Rows of
     one id are not compared with each other. Empty tables give no rows.
     """
@@ -161,5 +163,5 @@ def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", win
     reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     found = matches(df, id, text, window, limit).distinct()
     found = found.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int")).withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = found.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("other_id", "other_start")).alias("o"))
+    runs = found.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("later", "other_id", "other_start")).alias("o"))
     return runs.select("doc_id", "start", (F.col("end") - F.col("start")).alias("n_words"), "o.other_id", "o.other_start")
