@@ -79,6 +79,56 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], keep: tuple[st
     return rest.select(*target.columns).unionByName(hit.select(*target.columns))
 
 
+def _now() -> Column:
+    return F.current_timestamp().cast("timestamp_ntz")
+
+
+def upsert_documents(target: DataFrame, source: DataFrame, now: Column | None = None) -> DataFrame:
+    """Merge by eli: all fields of a known act are replaced but its id and time of creation; both times of new ones are set."""
+    stamp = _now() if now is None else now
+    return upsert(target, source.withColumns({"created_at": stamp, "updated_at": stamp}), KEYS["documents"])
+
+
+def upsert_segments(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Merge by document and place: a known segment gets the new label and keeps its text."""
+    return upsert(target, source, KEYS["document_segments"], ("id", "text"))
+
+
+def upsert_summaries(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Merge by document and kind; an empty text changes nothing."""
+    return upsert(target, source.where(F.coalesce(F.col("text"), F.lit("")) != ""), KEYS["document_summaries"])
+
+
+def upsert_key_information(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Merge by document; lists that the source lacks become empty."""
+    lists = [c for c, kind in target.dtypes if kind.startswith("array")]
+    own = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in source.columns else F.array().cast("array<string>") for c in lists}
+    return upsert(target, source.withColumns(own), KEYS["document_key_information"])
+
+
+def upsert_embeddings(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Merge by document, segment, kind and model; vectors without a segment are equal in that key. Empty vectors are left out."""
+    return upsert(target, source.where(F.size("embedding") > 0), KEYS["document_embeddings"])
+
+
+def upsert_summary(target: DataFrame, document_id: int, summary_type: str, text: str, model_name: str | None = None) -> DataFrame:
+    """One summary merged; without a model's name a known summary keeps the one it has."""
+    one = target.sparkSession.createDataFrame([(document_id, summary_type, text, model_name or None)], "document_id long, summary_type string, text string, model_name string")
+    own = target.where((F.col("document_id") == document_id) & (F.col("summary_type") == summary_type)).select("document_id", F.col("model_name").alias("__had"))
+    one = one.join(own, "document_id", "left").withColumn("model_name", F.coalesce("model_name", "__had")).drop("__had")
+    return upsert(target, one, KEYS["document_summaries"])
+
+
+def upsert_key_fields(target: DataFrame, document_id: int, **fields: list[str]) -> DataFrame:
+    """One document's key information merged: the lists given are replaced, others stay, and are empty in a new row."""
+    lists = [c for c, kind in target.dtypes if kind.startswith("array")]
+    schema = ", ".join(["document_id long", *[f"{c} array<string>" for c in lists]])
+    one = target.sparkSession.createDataFrame([(document_id, *[fields.get(c) for c in lists])], schema)
+    had = target.where(F.col("document_id") == document_id).select("document_id", *[F.col(c).alias(f"__{c}") for c in lists])
+    one = one.join(had, "document_id", "left").select("document_id", *[F.coalesce(c, f"__{c}").alias(c) for c in lists])
+    return upsert_key_information(target, one)
+
+
 def delete(target: DataFrame, gone: DataFrame, column: str, by: str = "id") -> DataFrame:
     return target.join(gone.select(F.col(by).alias("__gone")), F.col(column) == F.col("__gone"), "left_anti")
 

@@ -80,8 +80,11 @@ def _panel() -> str:
 
 
 def _fuzzy(query: str) -> str:
-    q, n = _quoted(query.lower()), len(query)
-    parts = [f"{w} * case when contains(lower(coalesce({c}, '')), {q}) then 1.0 else greatest(1 - levenshtein(left(lower(coalesce({c}, '')), {n}), {q}) / {n}, 0) end" for c, w in WEIGHTS.items()]
+    q, n, parts = _quoted(query.lower()), len(query), []
+    for c, w in WEIGHTS.items():
+        text = f"lower(coalesce({c}, ''))"
+        least = f"list_min(list_transform(range(1, greatest(length({text}) - {n} + 1, 1) + 1), lambda p: levenshtein(substring({text}, p, {n}), {q})))"
+        parts.append(f"{w} * case when contains({text}, {q}) then 1.0 else greatest(1 - {least} / {n}, 0) end")
     return f"round(({' + '.join(parts)}) / {sum(WEIGHTS.values())}, 6)"
 
 
@@ -124,7 +127,7 @@ def oracle_sql() -> dict[str, str]:
         "search_total_pages": docs + f"select count(*) as total, greatest(1, ceil(count(*) / 10))::bigint as pages from docs where {FOUND}",
         "suggest_titles": docs + f"select id, eli, naslov from docs where naslov ilike '%an%' {NEWEST} limit 8",
         "doc_detail_nested": docs + "select id, eli, 'short=' || naslov || '|title=' || eli as summaries, len(string_split(doc_cleaned, chr(10)))::bigint as n_segments, sha256(doc_cleaned) as digest, quality, toxic from docs left join labels on doc_id = id",
-        "summaries_pivot": docs + "select id as document_id, naslov as short, left(doc_cleaned, 300) as detailed from docs",
+        "summaries_pivot": docs + "select id as document_id, naslov as short, doc_cleaned as detailed from docs",
         "short_summary_join": docs + "select id, eli, 'q' || quality as short_summary from docs left join labels on doc_id = id",
         "clean_html": f"select page_id, {_html('html')} as text from pages",
         "page_links": f"""select page_id, {_html("regexp_extract(html, pat, 2)")} as text, nullif(regexp_extract(html, pat, 1), '') as href from (select *, '(?is)<a\\s[^>]*?href\\s*=\\s*["''](' || '[^"'']*' || ')["''][^>]*>(.*?)</a>' as pat from pages)""".replace("regexp_extract(html, pat,", r"""regexp_extract(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>',"""),

@@ -92,7 +92,7 @@ def doc_detail_nested(spark, sf_dir):
 
 def summaries_pivot(spark, sf_dir):
     d = docs(spark, sf_dir)
-    rows = d.select(F.col("id").alias("document_id"), F.explode(F.array(F.struct(F.lit("short").alias("summary_type"), F.col("naslov").alias("text")), F.struct(F.lit("detailed").alias("summary_type"), F.left("doc_cleaned", F.lit(300)).alias("text")))).alias("z")).select("document_id", "z.*")
+    rows = d.select(F.col("id").alias("document_id"), F.explode(F.array(F.struct(F.lit("short").alias("summary_type"), F.col("naslov").alias("text")), F.struct(F.lit("detailed").alias("summary_type"), F.col("doc_cleaned").alias("text")))).alias("z")).select("document_id", "z.*")
     return search.summaries_by_type(rows, ["short", "detailed"])
 
 
@@ -321,12 +321,12 @@ def hybrid_rrf(spark, sf_dir):
 
 def fuzzy_search(spark, sf_dir):
     rows = docs(spark, sf_dir).withColumn("short_summary", F.col("naslov"))
-    return search.fuzzy(rows, "Thation", 0.3, anywhere=False).select("id", "eli", "score")
+    return search.fuzzy(rows, "Thation", 0.3).select("id", "eli", "score")
 
 
 def fallback_merge(spark, sf_dir):
     rows = docs(spark, sf_dir).withColumn("short_summary", F.col("naslov"))
-    return search.fallback(rows, "thanti", anywhere=False)
+    return search.fallback(rows, "thanti")
 
 
 def enrich_results(spark, sf_dir):

@@ -51,6 +51,12 @@ def write_acts(df: DataFrame, path: str, form: str = "parquet") -> None:
     located(df).write.mode("overwrite").partitionBy("year", "issue").format(form).save(path)
 
 
+def write_act_files(df: DataFrame, path: str) -> None:
+    """A folder for each act, year/issue/document, with one JSON file; whatever stood under the path before is removed."""
+    parts = ["year", "issue", "document"]
+    located(df).repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*parts).json(path)
+
+
 def act(spark: SparkSession, path: str, eli: str, form: str = "parquet") -> DataFrame:
     """One act, read from the one partition that its identifier names."""
     year, issue = eli.removeprefix("/").removeprefix("eli/sluzbeni/").split("/")[:2]

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from lexspark.config import Config
 from lexspark.operators import index, store
 from lexspark.plans import pipeline
@@ -66,3 +68,40 @@ def test_site_maps(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "c.xml").write_text(cdata)
     assert sorted(r["loc"] for r in acts.site_map(spark, str(tmp_path / "c")).collect()) == ["https://h/a?b=1&c=2.html", "https://h/x?y=1&z=2"]
+
+
+def test_import_semantics(spark):
+    import datetime
+
+    held = lambda df: spark.createDataFrame(df.collect(), df.schema)  # noqa: E731  each version is written before the next one
+    one, two = (F.lit(datetime.datetime(2020, 1, d)).cast("timestamp_ntz") for d in (1, 2))
+    docs = held(store.upsert_documents(store.empty(spark, "documents"), spark.createDataFrame([("a", "A"), ("b", "B")], "eli string, naslov string"), one))
+    docs = held(store.upsert_documents(docs, spark.createDataFrame([("b", "B2"), ("c", "C")], "eli string, naslov string"), two))
+    rows = {r.eli: (r.id, r.naslov, r.created_at.day, r.updated_at.day) for r in docs.collect()}
+    assert rows == {"a": (1, "A", 1, 1), "b": (2, "B2", 1, 2), "c": (3, "C", 2, 2)}
+    kind = "document_id long, segment_order int, clanak_label string, text string"
+    segments = held(store.upsert_segments(store.empty(spark, "document_segments"), spark.createDataFrame([(1, 0, "x", "old")], kind)))
+    segments = held(store.upsert_segments(segments, spark.createDataFrame([(1, 0, "y", "new"), (1, 1, "z", "more")], kind)))
+    assert sorted((r.segment_order, r.clanak_label, r.text) for r in segments.collect()) == [(0, "y", "old"), (1, "z", "more")]
+    kind = "document_id long, summary_type string, text string, model_name string"
+    found = held(store.upsert_summaries(store.empty(spark, "document_summaries"), spark.createDataFrame([(1, "short", "s", "m"), (2, "short", "", "m")], kind)))
+    found = held(store.upsert_summaries(found, spark.createDataFrame([(1, "short", "", "n")], kind)))
+    found = held(store.upsert_summary(found, 1, "short", "t"))
+    assert [(r.document_id, r.text, r.model_name) for r in found.collect()] == [(1, "t", "m")]
+    assert store.upsert_summary(found, 1, "short", "u", "k").first().model_name == "k"
+    info = held(store.upsert_key_information(store.empty(spark, "document_key_information"), spark.createDataFrame([(1, ["o"])], "document_id long, obligations array<string>")))
+    info = store.upsert_key_fields(info, 1, scope=["s"]).first()
+    assert (info.obligations, info.scope, info.deadlines) == (["o"], ["s"], [])
+    kind = "document_id long, segment_id long, embedding_type string, model_name string, embedding_dim int, embedding array<float>"
+    vectors = held(store.upsert_embeddings(store.empty(spark, "document_embeddings"), spark.createDataFrame([(1, None, "title", "m", 1, [1.0]), (1, None, "short", "m", 0, [])], kind)))
+    vectors = held(store.upsert_embeddings(vectors, spark.createDataFrame([(1, None, "title", "m", 1, [2.0])], kind)))
+    assert [(r.id, r.embedding) for r in vectors.collect()] == [(1, [2.0])]
+
+
+def test_one_file_an_act(spark, tmp_path):
+    path = tmp_path / "out"
+    rows = [("/eli/sluzbeni/1990/3/7", "x"), ("/eli/sluzbeni/1990/3/8", "y")]
+    acts.write_act_files(spark.createDataFrame([*rows, ("/eli/sluzbeni/1991/1/1", "old")], "eli string, naslov string"), str(path))
+    acts.write_act_files(spark.createDataFrame(rows, "eli string, naslov string"), str(path))
+    found = sorted(str(p.relative_to(path).parent) for p in path.rglob("*.json"))
+    assert found == ["year=1990/issue=3/document=7", "year=1990/issue=3/document=8"]
