@@ -99,11 +99,18 @@ WEIGHTS = {"naslov": 0.5, "eli": 0.2, "izdanje": 0.15, "short_summary": 0.1, "do
 THRESHOLD, DIRECT = 0.7, 0.99
 
 
-def _nearest(text: Column, q: str) -> Column:
-    """The least edit distance between q and as many characters of the text, over all places."""
+def _nearest(text: Column, q: str, size: int = 256) -> Column:
+    """The least edit distance between q and as many characters of the text, over all places. The text is cut into overlapping
+    pieces first, for finding a place costs its distance from the start."""
     n = F.lit(len(q))
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
-    return F.array_min(F.transform(places, lambda p: F.levenshtein(F.substring(text, p, n), F.lit(q))))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - n), F.lit(size))
+    pieces = F.transform(starts, lambda a: F.substring(text, a + 1, n + (size - 1)))
+
+    def least(piece: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(piece) - n + 1))
+        return F.array_min(F.transform(places, lambda p: F.levenshtein(F.substring(piece, p, n), F.lit(q))))
+
+    return F.array_min(F.transform(pieces, least))
 
 
 def fuzzy_score(query: str, weights: dict[str, float] = WEIGHTS, anywhere: bool = True) -> Column:
