@@ -14,7 +14,8 @@ found level by level, and only what is repeated at one length is extended to twi
    level. These levels remove nothing that level two does not; they measure how long repetition goes on (`longest`), and run where that is asked for.
 
 Spans and windows are compared by 128-bit digests of their words (BLAKE2), which stand for the words themselves; the 64-bit
-hashes of half windows only choose candidates. A very common passage makes one row per document and pick; such rows
+hashes of half windows only choose candidates. Equal spans, windows or runs of one document are one row with all its places, so a document
+that repeats a line a thousand times sends it once. A very common passage makes one row per document and pick; such rows
 are counted before they are shuffled, and joins meet them with staged tables of one row a key, so that skew handling can split them.
 """
 
@@ -55,10 +56,29 @@ def digests(data: bytes, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
     return np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in spans]), "<i8").reshape(-1, 2)
 
 
+def alike(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys together, each in the order it had, and where in it each distinct key begins."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        own = key[order]
+        new[1:] |= own[1:] != own[:-1]
+    return order, np.flatnonzero(new)
+
+
+def nested(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    """A column of lists of lists from each row's values and where in them each inner list begins."""
+    sizes = [np.diff(np.append(first, len(values))) for values, first in rows]
+    ends = np.cumsum(np.concatenate([[0], *sizes]))
+    inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([values for values, _ in rows]), pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sizes)]), pa.int32()), inner)
+
+
 def spans(df: DataFrame, id: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
     """(base, alive). base: each row's key (i, t), number of words n and digest d of its words. alive: the picks that several
-    documents hold: i, t, number j of the pick in its text, its span from word x to word y with digest a, b, the pick's hash h, and
-    whether it has more spans than one (many).
+    documents hold, one row for each different span of a document: i, t, the span's length l in words and digest a, b, the numbers j of its
+    picks in the text and the words x that it starts at, the pick's hash h, and whether that has more spans than one (many).
 
     The key is (id, xxhash64 of the text): rows repeated under one id share a result, and two texts under one id
     stay apart. Rows of one id never count as repetitions of each other.
@@ -71,17 +91,20 @@ def spans(df: DataFrame, id: str, text: str, window: int) -> tuple[DataFrame, Da
             data, at = words.joined(k)
             whole.append(hashlib.sha256(data).hexdigest())
             if words.count(k) < window:
-                found.append((np.zeros(0, np.int64),) * 5)
+                found.append((np.zeros(0, np.int64),) * 7)
                 continue
             each, places, h = picks(words.of(k), window)
             x, y = np.searchsorted(each, places, "left"), np.searchsorted(each, places, "right") - 1 + window
             own = digests(data, at, x, y)
-            found.append((signed(h), x, y, own[:, 0], own[:, 1]))
-        columns = [lists([f[c] for f in found], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(words.first), pa.int64()), pa.array(whole), *columns], names=["i", "t", "n", "d", "h", "x", "y", "a", "b"])
-
-    base = stage(map_arrow(docs, level_one, "i long, t long, n long, d string, h array<long>, x array<int>, y array<int>, a array<long>, b array<long>"), "picks")
-    half = base.where("i is not null").select("i", "t", F.posexplode(F.arrays_zip("h", "x", "y", "a", "b")).alias("j", "z")).select("i", "t", "j", "z.*")
+            order, first = alike(own[:, 0], own[:, 1])  # equal spans have equal picks
+            one = order[first]
+            found.append((signed(h)[one], (y - x)[one], own[one, 0], own[one, 1], order, x[order], first))
+        columns = [lists([f[c] for f in found], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+        columns += [nested([(f[c], f[6]) for f in found]) for c in (4, 5)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(words.first), pa.int64()), pa.array(whole), *columns], names=["i", "t", "n", "d", "h", "l", "a", "b", "j", "x"])
+
+    base = stage(map_arrow(docs, level_one, "i long, t long, n long, d string, h array<long>, l array<int>, a array<long>, b array<long>, j array<array<int>>, x array<array<int>>"), "picks")
+    half = base.where("i is not null").select("i", "t", F.explode(F.arrays_zip("h", "l", "a", "b", "j", "x")).alias("z")).select("i", "t", "z.*")
     twice = half.groupBy("h").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), (F.min("a") < F.max("a")).alias("many")).where("lo < hi")
     twice = stage(twice.select("h", "many"), "twice")
     alive = stage(half.join(twice, "h"), "alive")
@@ -90,7 +113,7 @@ def spans(df: DataFrame, id: str, text: str, window: int) -> tuple[DataFrame, Da
 
 
 def windows(df: DataFrame, wanted: DataFrame, id: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """(i, t, s, a, b): starts and digests of the single windows of the picks wanted, (i, t, j); and the staged table below it."""
+    """(i, t, s, a, b): all starts and the digest of each different single window of the picks wanted, (i, t, j); and the staged table below it."""
     docs = df.select(F.col(id).alias("i"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
 
     def level_two(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -99,13 +122,14 @@ def windows(df: DataFrame, wanted: DataFrame, id: str, text: str, window: int) -
             each, places, _ = picks(words.of(k), window)
             at = np.flatnonzero(np.isin(each, places[np.asarray(batch.column(3)[k].values)]))
             own = digests(*words.joined(k), at, at + window)
-            found.append((at, own[:, 0], own[:, 1]))
-        columns = [lists([f[c] for f in found], kind) for c, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+            order, first = alike(own[:, 0], own[:, 1])
+            found.append((own[order[first], 0], own[order[first], 1], at[order], first))
+        columns = [nested([(f[2], f[3]) for f in found]), *[lists([f[c] for f in found], pa.int64()) for c in (0, 1)]]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["i", "t", "s", "a", "b"])
 
-    wanted = wanted.groupBy("i", "t").agg(F.collect_set("j").alias("js"))
+    wanted = wanted.groupBy("i", "t").agg(F.flatten(F.collect_set("j")).alias("js"))
     near = docs.join(wanted, ["i", "t"]).dropDuplicates(["i", "t"]).select("i", "t", "x", "js")
-    full = stage(map_arrow(near, level_two, "i long, t long, s array<int>, a array<long>, b array<long>"), "windows")
+    full = stage(map_arrow(near, level_two, "i long, t long, s array<array<int>>, a array<long>, b array<long>"), "windows")
     return full.select("i", "t", F.explode(F.arrays_zip("s", "a", "b")).alias("z")).select("i", "t", "z.*"), full
 
 
@@ -116,13 +140,13 @@ def repeated(df: DataFrame, id: str = "doc_id", text: str = "text", window: int
     base, alive = spans(df, id, text, window)
     first = stage(alive.groupBy("h", "a", "b").agg(F.min("i").alias("lo"), F.max("i").alias("hi")), "first")
     found = alive.join(first, ["h", "a", "b"])
-    found = stage(found.select("i", "t", "j", "x", "y", "a", "b", (F.col("i") > F.col("lo")).alias("later"), (F.col("lo") < F.col("hi")).alias("several"), "many").where("many or several"), "found")
+    found = stage(found.select("i", "t", "j", "x", "l", "a", "b", (F.col("i") > F.col("lo")).alias("later"), (F.col("lo") < F.col("hi")).alias("several"), "many").where("many or several"), "found")
     unstage(alive, first)
     single, held = windows(df, found.where("many and not later").select("i", "t", "j"), id, text, window)
     lo = stage(single.groupBy("a", "b").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi").select("a", "b", "lo"), "lo")
-    none = F.lit(None).cast("int")
+    none = F.lit(None).cast("array<int>")
     single = single.join(lo, ["a", "b"]).where("i > lo").select("i", "t", none.alias("j"), "s")
-    cut = found.where("later").select("i", "t", "j", none.alias("s")).union(single).groupBy("i", "t").agg(F.collect_set("j").alias("js"), F.collect_set("s").alias("s"))
+    cut = found.where("later").select("i", "t", "j", none.alias("s")).union(single).groupBy("i", "t").agg(F.flatten(F.collect_set("j")).alias("js"), F.flatten(F.collect_set("s")).alias("s"))
     cut = stage(cut, "cut")
     unstage(lo, held)
     longest = doubled(found.where("several")) if measure else None
@@ -131,14 +155,18 @@ def repeated(df: DataFrame, id: str = "doc_id", text: str = "text", window: int
 
 
 def doubled(spans: DataFrame) -> DataFrame:
-    """(i, t, longest) from the repeated spans (i, t, j, x, y, a, b, later): neighbours that are repeated at one level are joined to the
+    """(i, t, longest) from the repeated spans (i, t, j, x, l, a, b, later): neighbours that are repeated at one level are joined to the
     next level's candidates; those that several documents hold survive, until none does."""
-    level, lengths = stage(spans.select("i", "t", "j", "x", "y", "a", "b", "later"), "level"), []
+    level, lengths = stage(spans.select("i", "t", "j", "x", "l", "a", "b", "later"), "level"), []
 
     def extend(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes = np.array([len(v) for v in batch.column(2)])
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        j, x, y, a, b = (np.asarray(batch.column(c).flatten()) for c in range(2, 7))
+        # one entry for each span of a row, then one for each of its places
+        entries = np.asarray(batch.column(4).value_lengths())
+        places = np.asarray(batch.column(2).flatten().value_lengths())
+        row = np.repeat(np.repeat(np.arange(len(entries)), entries), places)
+        j, x = (np.asarray(batch.column(c).flatten().flatten()) for c in (2, 3))
+        length, a, b = (np.repeat(np.asarray(batch.column(c).flatten()), places) for c in (4, 5, 6))
+        y = x + length
         order = np.lexsort((j, row))
         row, j, x, y, a, b = (v[order] for v in (row, j, x, y, a, b))
         apart = np.concatenate([[True], (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1)])
@@ -154,15 +182,19 @@ def doubled(spans: DataFrame) -> DataFrame:
         names = np.frombuffer(b"".join([hashlib.blake2b(names[p:q].tobytes(), digest_size=16).digest() for p, q in zip(head.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
         # neighbours stay neighbours, stretches stay apart
         number = (np.arange(len(head)) + np.cumsum(apart[head])).astype(np.int32)
-        keys = [batch.column(c).take(pa.array(row[head])) for c in (0, 1)]
-        return pa.RecordBatch.from_arrays([*keys, *map(pa.array, (number, x[head], y[end - 1], names[:, 0], names[:, 1]))], names=["i", "t", "j", "x", "y", "a", "b"])
+        of, x, length = row[head], x[head], y[end - 1] - x[head]
+        order, first = alike(length, names[:, 0], names[:, 1], of)
+        one, ends = order[first], pa.array(np.append(first, len(order)), pa.int32())
+        keys = [batch.column(c).take(pa.array(of[one])) for c in (0, 1)]
+        where = [pa.ListArray.from_arrays(ends, pa.array(v[order], pa.int32())) for v in (number, x)]
+        return pa.RecordBatch.from_arrays([*keys, *where, pa.array(length[one], pa.int32()), pa.array(names[one, 0]), pa.array(names[one, 1])], names=["i", "t", "j", "x", "l", "a", "b"])
 
     while not level.isEmpty():
-        lengths.append(stage(level.where("later").groupBy("i", "t").agg(F.max(F.col("y") - F.col("x")).cast("long").alias("longest")), "lengths"))
-        each = level.drop("later").distinct().groupBy("i", "t").agg(*[F.collect_list(c).alias(c) for c in ("j", "x", "y", "a", "b")])
-        runs = stage(map_arrow(each, extend, "i long, t long, j int, x int, y int, a long, b long"), "runs")
+        lengths.append(stage(level.where("later").groupBy("i", "t").agg(F.max("l").cast("long").alias("longest")), "lengths"))
+        each = level.drop("later").distinct().groupBy("i", "t").agg(*[F.collect_list(c).alias(c) for c in ("j", "x", "l", "a", "b")])
+        runs = stage(map_arrow(each, extend, "i long, t long, j array<int>, x array<int>, l int, a long, b long"), "runs")
         lo = stage(runs.groupBy("a", "b").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi").select("a", "b", "lo"), "lo")
-        after = stage(runs.join(lo, ["a", "b"]).select("i", "t", "j", "x", "y", "a", "b", (F.col("i") > F.col("lo")).alias("later")), "level")
+        after = stage(runs.join(lo, ["a", "b"]).select("i", "t", "j", "x", "l", "a", "b", (F.col("i") > F.col("lo")).alias("later")), "level")
         unstage(level, runs, lo)
         level = after
     out = level.select("i", "t", F.lit(0).cast("long").alias("longest"))
