@@ -10,6 +10,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -200,7 +201,10 @@ class Words:
         if lower:
             self.data = LOWER[self.data]
         self.starts, self.ends, self.first = cut_words(self.data, self.offsets)
-        self.hashes = hash_words(self.data, self.starts, self.ends)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return hash_words(self.data, self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -217,7 +221,7 @@ class Words:
         ends = np.zeros(len(self.starts) + 1, np.int64)
         np.cumsum(self.ends - self.starts, out=ends[1:])
         column = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends), pa.py_buffer(solid)])
-        return np.asarray(column.dictionary_encode().indices).astype(np.int64)
+        return np.asarray(column.dictionary_encode().indices)
 
     def joined(self, i: int) -> tuple[bytes, np.ndarray]:
         """The words of a text joined by one space, and where each starts there; one more for the end and a space."""

@@ -30,13 +30,14 @@ class Sets:
         count = np.diff(words.first)
         size = np.where(count > 0, np.maximum(count + lead, k), 0)  # texts of fewer words are filled up with a word of its own
         first = np.concatenate([[0], np.cumsum(size)])
-        text = np.repeat(np.arange(len(size)), size)
-        ids = np.zeros(first[-1], np.int64)
+        text = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        ids = np.zeros(first[-1], np.int32)
         ids[np.arange(len(words.starts)) + np.repeat(first[:-1] + np.where(count > 0, lead, 0) - words.first[:-1], count)] = words.numbers() + 1
         codes, kinds = ids, int(ids.max(initial=0)) + 1
         for j in range(1, min(k, len(ids))):
             found = pa.array(codes[:-1] * np.int64(kinds) + ids[j:]).dictionary_encode()
-            codes = np.asarray(found.indices).astype(np.int64)
+            codes = np.asarray(found.indices)
+            del found
         codes = codes[: max(0, len(ids) - k + 1)]
         own = text[: len(codes)]
         inside = np.arange(len(codes)) + k <= first[1:][own]

@@ -155,7 +155,7 @@ class Join:
 
     positions, margin, lower, lead = POSITIONS, MARGIN, True, 0
 
-    def __init__(self, df: DataFrame, id: str, text: str, words: int, percent: int, trees: int = 6, branch: int = 2, start: int = 3, limit: int = 1 << 22, room: int = 1 << 22, depth: int = 8):
+    def __init__(self, df: DataFrame, id: str, text: str, words: int, percent: int, trees: int = 6, branch: int = 2, start: int = 3, limit: int = 1 << 22, room: int = 1 << 21, depth: int = 8):
         self.words, self.percent, self.trees, self.branch, self.start, self.limit, self.room, self.depth = words, percent, trees, branch, start, limit, room, depth
         self.docs = df.select(F.col(id).alias("i"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
         self.least = self.positions * (percent / 100 - self.margin)
