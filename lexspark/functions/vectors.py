@@ -40,6 +40,15 @@ def mean(df: DataFrame, keys: list[str], vector: str, out: str = "mean") -> Data
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__d", "__m"))), lambda s: s["__m"]).alias(out))
 
 
+def masked_mean(vectors: Column, mask: Column) -> Column:
+    """The mean of those of an array of vectors whose mask is not 0; zeros if none is. A shorter mask ends in zeros."""
+    pairs = F.filter(F.zip_with(vectors, mask, lambda v, m: F.struct(v.alias("v"), F.coalesce(m, F.lit(0)).cast("double").alias("m"))), lambda p: p["v"].isNotNull())
+    zero = F.transform(F.get(vectors, F.lit(0)), lambda x: x.cast("double") * 0)
+    total = F.aggregate(pairs, zero, lambda s, p: F.zip_with(s, p["v"], lambda a, b: a + b.cast("double") * p["m"]))
+    count = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["m"])
+    return F.transform(total, lambda x: x / F.greatest(count, F.lit(1e-9)))
+
+
 def encoded(texts: list[str], size: int = 64) -> np.ndarray:
     """The default encoder: a matrix with one row for each text, counts of words by hash, of length one."""
     out = np.zeros((len(texts), size))

@@ -59,6 +59,17 @@ def levels(documents: DataFrame, articles: DataFrame | None, id: str, summaries:
     return rows.unionByName(articles.select(id, F.lit("segment").alias("embedding_type"), F.col("segment_order").cast("int"), "text"))
 
 
+def without_vector(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """What is known of stored vectors, not the vectors, so a scan does not read them."""
+    return vectors.drop(vector)
+
+
+def with_segments(vectors: DataFrame, segments: DataFrame) -> DataFrame:
+    """Vectors with the segment that both their keys name; null fields where there is none."""
+    own = segments.select("document_id", F.col("id").alias("segment_id"), "segment_order", "clanak_label", F.col("text").alias("segment_text"))
+    return vectors.join(own, ["document_id", "segment_id"], "left")
+
+
 def nearest(df: DataFrame, vector: str, query: Column | list[float], k: int, digits: int = 6, tie: str = "vec_id") -> DataFrame:
     """The k rows of greatest cosine with the query, by a top-k that sorts no more than k rows of a partition."""
     q = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])

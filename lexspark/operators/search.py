@@ -7,7 +7,9 @@ first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +76,17 @@ def results(df: DataFrame, kind: str = "lexical", score: Column | None = None) -
     return df.select("id", "eli", (F.lit(None).cast("double") if score is None else score).alias("score"), F.lit(kind).alias("match_type"))
 
 
+def by_eli(df: DataFrame, eli: str) -> DataFrame:
+    """The act of an identifier as it stands in an address, percent-encoded or not."""
+    return df.where(F.col("eli") == unquote(eli))
+
+
+def preview(info: DataFrame) -> DataFrame:
+    """Of each document's key information the first three subjects and the first two deadlines; none are empty lists."""
+    first = lambda name, n: F.slice(F.coalesce(name, F.array().cast("array<string>")), 1, n).alias(name)
+    return info.select("document_id", F.struct(first("subjects", 3), first("deadlines", 2)).alias("key_info_preview"))
+
+
 def suggest(df: DataFrame, query: str, limit: int = 8) -> DataFrame:
     if not query or not 1 <= limit <= 20:
         raise ValueError("a query of one character at least, and a limit of 1 to 20")
@@ -154,6 +167,20 @@ def enriched(found: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(F.broadcast(found), "eli")
 
 
+def dispatched(request: Request, backend: Callable[[Request], DataFrame] | None, index: DataFrame, cap: int = 20) -> tuple[DataFrame, bool]:
+    """(results joined to the index, whether they come from the index alone). Without a backend, or when it fails, the
+    index is searched. The backend's page is run here, for its failure must show; a page has 100 rows at most."""
+    if backend is not None:
+        try:
+            found = backend(request)
+            rows = found.limit(request.page_size).collect()
+        except Exception:
+            pass
+        else:
+            return enriched(index.sparkSession.createDataFrame(rows, found.schema), index), False
+    return enriched(fallback(index, request.query, request.vrsta, request.izdanje, cap), index), True
+
+
 def highlights(text: Column, query: str, most: int = 3) -> Column:
     import re
 

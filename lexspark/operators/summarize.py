@@ -71,6 +71,32 @@ def summary(df: DataFrame, text: str, k: int = 3, weight: float = 0.7, out: str
     return summaries(df, text, ((out, k, weight),), 1 << 31, encoder)
 
 
+def ranked(df: DataFrame, text: str, k: int = 3, weight: float = 0.7, out: str = "summary", encoder: Encoder = V.encoded) -> DataFrame:
+    """df with the summary of k sentences, however short the text, and all sentences as `ranked` (idx, sentence, score) by
+    their cosine with the whole text, the greatest first and equal ones in order. A text without sentences has an empty summary."""
+
+    @F.arrow_udf("struct<summary string, ranked array<struct<idx int, sentence string, score double>>>")
+    def run(texts: pa.Array, many: pa.Array) -> pa.Array:
+        rows = []
+        for whole, items in zip(texts.to_pylist(), many.to_pylist(), strict=True):
+            vectors = encoder([whole or "", *items])
+            query, vectors = vectors[0], vectors[1:]
+            lengths = np.linalg.norm(vectors, axis=1) * np.linalg.norm(query)
+            scores = (vectors @ query) / np.where(lengths > 0, lengths, 1)
+            order = np.argsort(-scores, kind="stable").tolist()
+            best = " ".join(items[p] for p in chosen(vectors, query, k, weight))
+            rows.append({"summary": best, "ranked": [{"idx": p, "sentence": items[p], "score": float(scores[p])} for p in order]})
+        return pa.array(rows, pa.struct([("summary", pa.string()), ("ranked", pa.list_(pa.struct([("idx", pa.int32()), ("sentence", pa.string()), ("score", pa.float64())])))]))
+
+    done = run(F.col(text), T.sentences(F.coalesce(F.col(text), F.lit(""))))
+    return df.withColumn("__r", done).withColumn(out, F.col("__r.summary")).withColumn("ranked", F.col("__r.ranked")).drop("__r")
+
+
+def relevant(df: DataFrame, text: str, k: int = 3, weight: float = 0.75) -> DataFrame:
+    """summary() with more weight on relevance than on difference."""
+    return summary(df, text, k, weight)
+
+
 def summaries(df: DataFrame, text: str, grid: tuple = GRID, limit: int = 100, encoder: Encoder = V.encoded) -> DataFrame:
     """df with one column for each row of the grid. Sentences are encoded once for all of them. A text of more than
     `limit` sentences is summed up in overlapping chunks first, three sentences each that say most of the chunk, and then

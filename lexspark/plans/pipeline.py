@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.config import Config
+from lexspark.encoders import encoder
 from lexspark.functions import text as T
 from lexspark.operators import embed, extract, segment, summarize
 from lexspark.sources import acts
@@ -54,7 +55,7 @@ def embedded(df: DataFrame, id: str = "eli", config: Config = Config()) -> DataF
     text = F.transform(flat, lambda a: F.trim(F.array_join(F.flatten(F.transform(a["stavci"], lambda s: s["točke"])), " ")))
     articles = rows.select(id, F.posexplode(F.filter(text, lambda x: x != "")).alias("segment_order", "text"))
     texts = embed.levels(rows, articles, id, [g[0] for g in summarize.GRID])
-    out = embed.embed(texts, [id, "embedding_type", "segment_order"], "text", config.max_tokens)
+    out = embed.embed(texts, [id, "embedding_type", "segment_order"], "text", config.max_tokens, encoder(config.encoder))
     return out.withColumns({"model_name": F.lit(config.encoder), "embedding_dim": F.size("embedding"), "embedding": F.col("embedding").cast("array<float>")})
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,15 @@ def wanted(locs: DataFrame, map_prefix: str, page_prefix: str) -> DataFrame:
     return locs.where(index | page)
 
 
+def cached_addresses(spark: SparkSession, path: str, collect: Callable[[], DataFrame]) -> DataFrame:
+    """The addresses (loc) kept below path; where nothing is kept yet, those that collect() gives, written there first."""
+    try:
+        return spark.read.schema("loc string").json(path)
+    except AnalysisException:
+        collect().select("loc").write.json(path)
+    return spark.read.schema("loc string").json(path)
+
+
 def read_acts(spark: SparkSession, path: str, schema: str = RAW, tolerant: bool = True) -> DataFrame:
     """A tree of JSON files, one act each, with its path; unreadable ones have a _corrupt_record, or stop the job."""
     own = schema + (", _corrupt_record string" if tolerant else "")
