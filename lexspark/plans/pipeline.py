@@ -62,12 +62,12 @@ def embedded(df: DataFrame, id: str = "eli", config: Config = Config()) -> DataF
 STAGES: tuple[tuple[str, Callable], ...] = (("normalize", normalize), ("summarize", summarized), ("extract", extracted))
 
 
-def run(raw: DataFrame, save: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> tuple[DataFrame, DataFrame]:
+def run(raw: DataFrame, save: Callable[[DataFrame, str], DataFrame] = lambda df, _: df, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(documents, vectors). save may write a stage's result and read it again; a stage that fails stops the run."""
     df = raw
     for name, stage in STAGES:
         try:
-            df = save(stage(df), name)
+            df = save(stage(df, config=config) if stage is summarized else stage(df), name)
         except Exception as error:
             raise RuntimeError(f"stage {name} failed") from error
-    return df, save(embedded(df), "embed")
+    return df, save(embedded(df, config=config), "embed")
