@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, fingerprints, licenses, neardup, quality, sharding, substrings, suffixes, toxicity
+from . import bpe, conversations, decontamination, fingerprints, licenses, neardup, quality, sharding, substrings, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_jump_sharding, op3_sparse_suffix_arrays, op4_chosen_path_near_dedup, op5_minhash_fingerprints, op6_backtracking_bpe, op7_quality_gam, op8_toxicity_automata, op9_license_digests, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_jump_sharding, op3_sparse_suffix_arrays, op4_chosen_path_near_dedup, op5_minhash_fingerprints, op6_backtracking_bpe, op7_quality_gam, op8_toxicity_automata, op9_license_digests, op10_substring_dedup, op12_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_digests": licenses.sql()}
+    return {"op9_license_digests": licenses.sql(), "op12_conversation_repair": conversations.sql()}
