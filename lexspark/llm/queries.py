@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, clustering, conversations, decontamination, fingerprints, licenses, neardup, quality, sharding, substrings, suffixes, toxicity
+from . import bpe, clustering, conversations, decontamination, fingerprints, licenses, neardup, pivots, quality, sharding, substrings, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,9 +70,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
 
+def op13_pivot_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_jump_sharding, op3_sparse_suffix_arrays, op4_chosen_path_near_dedup, op5_minhash_fingerprints, op6_backtracking_bpe, op7_quality_gam, op8_toxicity_automata, op9_license_digests, op10_substring_dedup, op11_drake_clustering, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_jump_sharding, op3_sparse_suffix_arrays, op4_chosen_path_near_dedup, op5_minhash_fingerprints, op6_backtracking_bpe, op7_quality_gam, op8_toxicity_automata, op9_license_digests, op10_substring_dedup, op11_drake_clustering, op12_conversation_repair, op13_pivot_top_products)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_digests": licenses.sql(), "op11_drake_clustering": clustering.sql(), "op12_conversation_repair": conversations.sql()}
+    return {"op9_license_digests": licenses.sql(), "op11_drake_clustering": clustering.sql(), "op12_conversation_repair": conversations.sql(), "op13_pivot_top_products": pivots.sql()}
