@@ -131,6 +131,16 @@ def oracle_sql() -> dict[str, str]:
         "short_summary_join": docs + "select id, eli, 'q' || quality as short_summary from docs left join labels on doc_id = id",
         "clean_html": f"select page_id, {_html('html')} as text from pages",
         "page_links": f"""select page_id, {_html("regexp_extract(html, pat, 2)")} as text, nullif(regexp_extract(html, pat, 1), '') as href from (select *, '(?is)<a\\s[^>]*?href\\s*=\\s*["''](' || '[^"'']*' || ')["''][^>]*>(.*?)</a>' as pat from pages)""".replace("regexp_extract(html, pat,", r"""regexp_extract(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>',"""),
+        "page_rows": """with p as (select page_id, page_id::varchar as s, replace(url, '&', '&amp;') as u, case when page_id % 13 = 5 then 'no details' when page_id % 5 = 0 then 'link without address' when page_id % 17 = 3 then 'no title' when page_id % 5 = 1 then 'no identifier' end as refused from pages),
+ f as (select *, case when page_id % 2 = 0 then 'Zakon' when page_id % 3 = 0 then 'Stranica tiskanog izdanja: 7' end as v, page_id % 2 <> 0 and page_id % 3 = 0 as nested from p)
+ select page_id, refused, case when refused is null then 'Služ' || 'beni' end as dio, case when refused is null then v end as vrsta,
+ case when refused is null then case when page_id % 3 = 1 then 'NN ' || s || '/1990' else 'NN ' || s || '/1990' end end as izdanje, case when refused is null and page_id % 3 <> 1 then '/izdanje?a=1&b=' || s end as "izdanjeUrl", null::varchar as "brojDokumenta",
+ case when refused is null and nested then 'Vrsta dokumenta: 7' end as stranica, case when refused is null then 'Sabor <RH>' end as donositelj, case when refused is null then '13.2.1990.' end as datum,
+ case when refused is null then case when page_id % 5 = 2 then '' else '/eli/sluzbeni/1990/1/' || s end end as eli, case when refused is null then case when page_id % 5 = 2 then 'https://example.org/eli/sluzbeni/1990/' || s || '/9' else '/eli/sluzbeni/1990/1/' || s end end as "eliUrl",
+ case when refused is null then 'Naslovš' || s end as naslov, case when refused is null and page_id % 7 <> 2 then '<div class="article-column a"><p>' || u || '<br/>"</p><!-- c --></div>' end as doc,
+ case when refused is null then '1990' else refused end as year, case when refused is null then case when page_id % 5 = 2 then '9' else s end end as document from f""",
+        "page_headings": r"""select page_id, trim(h) as heading, regexp_extract(html, '<nav><ul><li><a[^>]*>([^<]*)</a>', 1) as first_item, '<h1>' || replace(replace(replace(h, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</h1>' as markup
+ from (select page_id, html, replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as h from pages)""",
         "sitemap_locations": "select page_id, url as loc from pages where url like 'http%' and url like '%.html'",
         "sentence_split": f"with {SENTENCES} select doc_id, pos, s as sentence from sentences",
         "parse_dates": docs + r"select id, datum, try_strptime(regexp_extract(datum, '\d{1,2}\.\d{1,2}\.\d{4}'), '%d.%m.%Y')::date as publication_date from docs",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 from lexspark.functions import vectors as V
 from lexspark.operators import embed, evaluate, extract, index, search, segment, store, summarize
-from lexspark.sources import acts
+from lexspark.sources import acts, pages
 
 QUERY = "the"
 
@@ -114,6 +114,35 @@ def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", acts.link(F.col("html")).alias("z")).select("page_id", "z.text", "z.href")
 
 
+def act_pages(spark, sf_dir) -> DataFrame:
+    """The pages table as pages of acts: details, title and body are put before each page's own mark-up, with what
+    varies on such pages (links or plain values, references, nested tables, missing parts) by the id."""
+    n, s = F.col("page_id"), F.col("page_id").cast("string")
+    url = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    case = lambda *pairs: F.coalesce(*[F.when(n % k == r, x) for k, r, x in pairs], F.lit(""))
+    head = F.concat(F.lit('<!DOCTYPE html><html><head><title>t</title></head><body><div id="sticky">'), F.when(n % 17 != 3, F.concat(F.lit("<h2> Naslov <i>&scaron;</i> "), s, F.lit("\n</h2>"))).otherwise("<p><h2>x</h2></p>"), F.lit("</div>"))
+    table_ = F.concat(
+        F.lit('<div id="article-details-scroll"><table class="wide '), F.when(n % 13 != 5, "detailsTable").otherwise("other"), F.lit('"><tbody><tr><td> Dio&#32;NN: <b>Slu&zcaron;</b>beni </td><td>drugo</td></tr>'),
+        case((2, 0, F.lit("<tr><td>Vrsta dokumenta:<span> Zakon</span></td></tr>")), (3, 0, F.lit("<tr><td>Vrsta dokumenta: <table><tbody><tr><td>Stranica tiskanog izdanja: 7</td></tr></tbody></table></td></tr>"))),
+        F.lit("<tr><td>Izdanje:"), F.when(n % 3 == 1, F.concat(F.lit("&nbsp;NN&nbsp;"), s, F.lit("/1990 "))).otherwise(F.concat(F.lit(' <a class="i" href="/izdanje?a=1&amp;b='), s, F.lit('"> NN '), s, F.lit("/1990</a>"))), F.lit("</td></tr>"),
+        case((5, 0, F.lit("<tr><td>ELI: <a>nothing</a></td></tr>")), (5, 1, F.lit("<tr><td>ELI:&nbsp;</td></tr>")), (5, 2, F.concat(F.lit('<tr><td>ELI: <a href="https://example.org/eli/sluzbeni/1990/'), s, F.lit('/9"></a></td></tr>'))), (1, 0, F.concat(F.lit('<tr><td>ELI: <a href="/eli/sluzbeni/1990/1/'), s, F.lit('">/eli/sluzbeni/1990/1/'), s, F.lit("</a></td></tr>")))),
+        F.lit("<tr><td>Donositelj: Sabor &lt;RH&gt;<script>var d = 'Datum tiskanog izdanja:';</script></td></tr><tr><th>Datum tiskanog izdanja: x</th><td>Datum tiskanog izdanja: 13.2.1990.</td></tr></tbody></table></div>"),
+    )
+    body = F.when(n % 7 != 2, F.concat(F.lit('<div id="html-content-frame"><div class="sl-content big"><div class="doc"><div  class="article-column  a"><p>'), url, F.lit('<br>&quot;</p><!-- c --></div></div></div></div>'))).otherwise('<div id="html-content-frame"><div class="doc"><div class="article-column">x</div></div></div>')
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(head, table_, body, "html").alias("html"))
+
+
+def page_rows(spark, sf_dir):
+    """The twelve fields of each page, or why it gives none."""
+    return acts.located(pages.outcomes(act_pages(spark, sf_dir)).withColumn("eli", F.coalesce("eli", "refused"))).withColumn("eli", F.when(F.col("refused").isNull(), F.col("eli"))).drop("issue")
+
+
+def page_headings(spark, sf_dir):
+    """Text and mark-up of the first heading of each page's article, found in the page's tree."""
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", pages.text_of(html, "body > article > h1").alias("heading"), pages.text_of(html, "nav ul > li").alias("first_item"), pages.markup_of(html, "article h1").alias("markup"))
+
+
 def sitemap_locations(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>"))
@@ -395,7 +424,7 @@ def eval_separation(spark, sf_dir):
 
 ALL: tuple[Callable, ...] = (
     lexical_search, lexical_search_page2, list_filtered, search_total_pages, suggest_titles, doc_detail_nested, summaries_pivot, short_summary_join,
-    clean_html, html_blocks, page_links, sitemap_locations, sentence_split, legal_sentence_split, parse_dates, normalize_issue, eli_paths,
+    clean_html, html_blocks, page_links, page_rows, page_headings, sitemap_locations, sentence_split, legal_sentence_split, parse_dates, normalize_issue, eli_paths,
     title_subjects, title_case, list_items, article_fallback, text_hash_join, segment_paragraphs, segment_articles, segment_preamble, stavak_groups,
     segment_nested, extract_deadlines, extract_obligations, extract_scope, extract_sanctions, extract_subjects, extract_bodies, keyinfo_panel,
     dedupe_ordered, overlap_chunks, token_pack, l2_normalize, cosine_topk, centroid_by_label, mmr_select, extractive_summary, summary_grid,

@@ -52,10 +52,13 @@ def read_acts(spark: SparkSession, path: str, schema: str = RAW, tolerant: bool
 
 
 def located(df: DataFrame) -> DataFrame:
-    """Acts with an identifier or its address, and the parts of the path that the identifier names."""
-    parts = F.split(F.regexp_replace(F.col("eli"), "^/?eli/sluzbeni/", ""), "/")
-    rows = df.where(F.col("eli").isNotNull() | F.col("eliUrl").isNotNull() if "eliUrl" in df.columns else F.col("eli").isNotNull())
-    return rows.withColumns({"year": F.try_element_at(parts, F.lit(1)), "issue": F.try_element_at(parts, F.lit(2)), "document": F.try_element_at(parts, F.lit(3))})
+    """Acts with an identifier or its address, neither of them blank, and the parts of the path that it names: the
+    identifier's, else that of the address. What lies between the issue and the last part belongs to no folder here."""
+    name = F.nullif(F.col("eli"), F.lit(""))
+    if "eliUrl" in df.columns:
+        name = F.coalesce(name, F.nullif(F.col("eliUrl"), F.lit("")))
+    parts = F.split(F.regexp_replace(name, "^(?:https?://[^/]+)?/?eli/sluzbeni/", ""), "/")
+    return df.where(name.isNotNull()).withColumns({"year": F.try_element_at(parts, F.lit(1)), "issue": F.try_element_at(parts, F.lit(2)), "document": F.try_element_at(parts, F.when(F.size(parts) > 2, -1).otherwise(F.lit(3)))})
 
 
 def write_acts(df: DataFrame, path: str, form: str = "parquet") -> None:
@@ -145,14 +148,6 @@ def html_blocks(html: Column, container: str = "div") -> Column:
     return run(html)
 
 
-def field(html: Column, label: str) -> Column:
-    """The text of the first table row whose first cell holds the label, without the label; null if blank or absent."""
-    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)))
-    hit = F.try_element_at(F.filter(cells, lambda c: F.coalesce(F.contains(F.try_element_at(c, F.lit(1)), F.lit(label)), F.lit(False))), F.lit(1))
-    return F.nullif(F.trim(F.replace(clean_html(F.array_join(hit, " ")), F.lit(label), F.lit(""))), F.lit(""))
-
-
 def link(html: Column) -> Column:
     """(text, href) of the first link."""
     href = F.regexp_extract(html, r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", 1)

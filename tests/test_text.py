@@ -54,7 +54,6 @@ def test_blocks_of_a_page(spark):
     assert one(spark, None, acts.html_blocks) == [] and one(spark, "<p>x</p>y<p>z &scaron;</p>", acts.html_blocks) == ["x", "z š"]
     assert one(spark, "<html><head><title>t</title></head><body>w<p>x</p><ul><li>y</ul></body></html>", acts.html_blocks) == ["x", "y"]
     table = "<table><tr><td>Vrsta:</td><td>Zakon</td></tr><tr><td>ELI</td><td><a href='/e'>x &amp; y</a></td></tr></table>"
-    assert one(spark, table, lambda c: acts.field(c, "Vrsta:")) == "Zakon" and one(spark, table, lambda c: acts.field(c, "none")) is None
     assert tuple(one(spark, table, acts.link)) == ("x & y", "/e")
 
 
