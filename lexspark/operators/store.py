@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
+from lexspark.staging import staged
+
 SCHEMAS = {
     "documents": "id long not null, eli string not null, eli_url string, broj_dokumenta string, dio string, vrsta string, izdanje string, izdanje_url string, donositelj string, datum string, publication_date timestamp_ntz, naslov string not null, opis string, doc_cleaned string, created_at timestamp_ntz not null, updated_at timestamp_ntz not null",
     "document_segments": "id long not null, document_id long not null, segment_order int not null, clanak_label string, text string not null",
@@ -41,16 +43,16 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], above: Column | None = None, parts: int | None = None) -> DataFrame:
-    """df with ids that follow the order, from 1 or above a maximum, without one task seeing all rows: rows
-    are sorted in ranges, and each range starts where the counts of those before it end."""
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    """df with ids that follow the order, from 1 or above a maximum, without one task seeing all rows: rows are
+    sorted in ranges and staged, so ranges are formed once, and each starts where the counts of those before it end."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()  # a range's number, and below 33 bits the row's place in it
+    rows = staged(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", at), "numbered")
+    rows = rows.withColumns({"__p": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = rows.groupBy("__p").agg(F.count("*").alias("__n"))  # as many rows as ranges
     starts = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    at = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
     base = F.lit(0) if above is None else above
-    return rows.withColumn("__at", at).join(F.broadcast(starts), "__p").withColumn("id", (F.col("__start") + F.col("__at") + base).cast("long")).drop("__p", "__n", "__at", "__start")
+    return rows.join(F.broadcast(starts), "__p").withColumn("id", (F.col("__start") + F.col("__at") + 1 + base).cast("long")).drop("__p", "__at", "__start")
 
 
 def last_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -187,6 +187,13 @@ def oracle_sql() -> dict[str, str]:
         "latest_documents": f"with {INDEX} select eli, datum, naslov from idx order by datum desc, eli limit 6",
         "upsert_documents": f"""with {DOCS}, top as (select max(id) as m from docs) select id, eli, coalesce('label-' || quality, vrsta) as vrsta, naslov from docs left join labels on doc_id = id
  union all select m + row_number() over (order by page_id), '/eli/pages/' || lpad(page_id::varchar, 12, '0'), 'page', url from pages, top""",
+        "import_store": rf"""with {DOCS}, kept as (select * from docs where id % 50 <> 7), ls as (select id, unnest(range(len(l)))::int as p, unnest(l) as x from (select id, string_split(doc_cleaned, chr(10)) as l from kept)),
+ placed as (select id, row_number() over (partition by id order by p) - 1 as o, 'Član ' || p || '.' as label, regexp_replace(x, '^\s+|\s+$', '', 'g') as text from ls where regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''),
+ seg as (select p.id, o, case when o = 0 and doc_id is not null then 'Nov' else label end as label, text from placed p left join labels on doc_id = p.id
+  union all select k.id, 0, 'Nov', 'novi tekst' from kept k join labels on doc_id = k.id where k.id not in (select id from placed)),
+ per as (select id, count(*) as n, sha256(string_agg(o || '|' || label || '|' || text, chr(10) order by o)) as digest from seg group by id)
+ select eli, coalesce('label-' || quality, naslov) as naslov, coalesce(n, 0) as n_segments, digest, nullif(naslov, '') as short, case when naslov <> '' then case when quality is not null then '' else 'm' end end as model_name,
+ vrsta as subjects, (vec_id is not null)::bigint as n_vectors, case when vec_id is not null then 64 end::bigint as dim from kept k left join labels l on l.doc_id = k.id left join per using (id) left join embeddings on vec_id = k.id""",
         "delete_cascade": f"with {LINES}, gone as (select doc_id from labels where toxic = 1) select 'documents' as name, count(*) as n from documents where doc_id not in (select doc_id from gone) union all select 'document_segments', count(*) from lines where doc_id not in (select doc_id from gone)",
         "incremental_skip": docs + "select id, eli from docs where id not in (select doc_id from labels)",
         "unique_violations": "select source, left(sha256(text), 12) as h, count(*) as n from documents group by all having count(*) > 1",

@@ -6,6 +6,7 @@ text are its paragraphs. Where an operator looks for the marks of legal prose, t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 from lexspark.functions import vectors as V
-from lexspark.operators import embed, evaluate, extract, index, search, segment, store, summarize
+from lexspark.operators import embed, evaluate, extract, imports, index, search, segment, store, summarize
+from lexspark.operators.versions import Versions
 from lexspark.sources import acts, pages
+from lexspark.staging import shared_folder
 
 QUERY = "the"
 
@@ -387,6 +390,46 @@ def upsert_documents(spark, sf_dir):
     return store.upsert(target, known.unionByName(new), ["eli"])
 
 
+def enriched_acts(spark, sf_dir) -> DataFrame:
+    """The documents as enriched acts: a line is an article, the title the short summary; vectors of `embeddings` are their titles'.
+    Acts of every fiftieth id lack the identifier."""
+    d = docs(spark, sf_dir)
+    article = lambda x, p: F.struct(F.concat(F.lit("Član "), p.cast("string"), F.lit(".")).alias("članak"), F.array(F.struct(F.lit(None).cast("string").alias("stavak"), F.array(x).alias("točke"))).alias("stavci"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("title_embedding"))
+    own = d.join(vectors, "id", "left").withColumn("missing", F.col("id") % 50 == 7)
+    none = lambda kind: F.lit(None).cast(kind)
+    return own.select(
+        F.concat(F.lit("in/"), F.col("id").cast("string"), F.lit(".json")).alias("path"), F.when(~F.col("missing"), F.col("eli")).alias("eli"), none("string").alias("eliUrl"), none("string").alias("brojDokumenta"), F.lit("Službeni").alias("dio"), "vrsta", "izdanje", none("string").alias("izdanjeUrl"),
+        "donositelj", "datum", "naslov", none("string").alias("opis"), "doc_cleaned", F.array(F.struct(F.lit("I. SVE").alias("glava"), F.transform(F.split("doc_cleaned", "\n", -1), article).alias("članci"))).cast(imports.SEGMENTED).alias("doc_segmented"),
+        F.struct(F.col("naslov").alias("short"), none("string").alias("detailed"), F.create_map(F.lit("sto_zakon_ureduje"), F.col("vrsta")).alias("structured")).alias("summaries"),
+        F.struct(*[F.array("vrsta").alias(c) if c == "subjects" else none("array<string>").alias(c) for c in imports.LISTS]).alias("key_information"),
+        F.struct(F.lit("m").alias("model_name"), F.lit(64).alias("embedding_dim"), none("array<float>").alias("document_embedding"), F.col("title_embedding").cast("array<float>").alias("title_embedding"), none("map<string, array<float>>").alias("summary_embeddings"), none(f"array<struct<`glava`: string, `članak`: string, text: string, embedding: {imports.VECTOR}>>").alias("segment_embeddings")).alias("embeddings"),
+    )
+
+
+def import_store(spark, sf_dir):
+    """Acts imported into an empty store, then those with labels again without a model's name, so their segments keep their texts; one row
+    for each stored document, with what belongs to it."""
+    versions = Versions(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    acts_ = enriched_acts(spark, sf_dir)
+    imports.import_acts(spark, versions, acts_, 64)
+    labels = table(spark, sf_dir, "labels").select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".json")).alias("path"), "quality")
+    again = acts_.join(labels, "path").withColumn("naslov", F.concat(F.lit("label-"), F.col("quality").cast("string"))).drop("quality")
+    article = F.array(F.struct(F.lit("Nov").alias("članak"), F.array(F.struct(F.lit(None).cast("string").alias("stavak"), F.array(F.lit("novi tekst")).alias("točke"))).alias("stavci")))
+    again = again.withColumn("doc_segmented", F.array(F.struct(F.lit("g").alias("glava"), article.alias("članci"))).cast(imports.SEGMENTED)).withColumn("embeddings", F.lit(None).cast(acts_.schema["embeddings"].dataType))
+    imports.import_acts(spark, versions, again, 64)
+    t = versions.tables()
+    segments = t["document_segments"].groupBy("document_id").agg(F.count("*").alias("n_segments"), F.array_sort(F.collect_list(F.struct("segment_order", "clanak_label", "text"))).alias("z"))
+    segments = segments.select("document_id", "n_segments", F.sha2(F.array_join(F.transform("z", lambda s: F.concat_ws("|", s["segment_order"].cast("string"), s["clanak_label"], s["text"])), "\n"), 256).alias("digest"))
+    short = t["document_summaries"].where("summary_type = 'short'").select("document_id", F.col("text").alias("short"), "model_name")
+    info = t["document_key_information"].select("document_id", F.array_join("subjects", "|").alias("subjects"))
+    vectors = t["document_embeddings"].groupBy("document_id").agg(F.count("*").alias("n_vectors"), F.max("embedding_dim").cast("long").alias("dim"))
+    out = t["documents"].withColumnRenamed("id", "document_id")
+    for other in (segments, short, info, vectors):
+        out = out.join(other, "document_id", "left")
+    return out.select("eli", "naslov", F.coalesce("n_segments", F.lit(0)).alias("n_segments"), "digest", "short", "model_name", "subjects", F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"), "dim")
+
+
 def delete_cascade(spark, sf_dir):
     d = docs(spark, sf_dir).select("id", "vrsta")
     segments = lines(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.explode("lines").alias("text"))
@@ -429,7 +472,7 @@ ALL: tuple[Callable, ...] = (
     segment_nested, extract_deadlines, extract_obligations, extract_scope, extract_sanctions, extract_subjects, extract_bodies, keyinfo_panel,
     dedupe_ordered, overlap_chunks, token_pack, l2_normalize, cosine_topk, centroid_by_label, mmr_select, extractive_summary, summary_grid,
     multi_level_embedding, hybrid_rrf, fuzzy_search, fallback_merge, enrich_results, search_highlights, search_index, index_manifest,
-    latest_documents, upsert_documents, delete_cascade, incremental_skip, unique_violations, stage_counters, eval_prf, eval_separation,
+    latest_documents, upsert_documents, import_store, delete_cascade, incremental_skip, unique_violations, stage_counters, eval_prf, eval_separation,
 )
 
 
