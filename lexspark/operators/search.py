@@ -7,15 +7,22 @@ first.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
+from lexspark.functions import fuzzy as fuzzy_texts
 from lexspark.functions import text as T
 
+from .deadline import within
+
 
 @dataclass(frozen=True)
 class Request:
@@ -107,40 +114,35 @@ def fused(*ranked: DataFrame, key: str = "id", k: int = 60) -> DataFrame:
     return rows.groupBy(key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"))
 
 
-# Fields of the fuzzy search and their weights, the threshold, and the score of a direct match.
+# Fields of the fuzzy search and their weights, the threshold, the shortest run and the number of highlights, the score of
+# a direct match, how many results are shown and suggested, and for how many seconds a backend is waited for.
 WEIGHTS = {"naslov": 0.5, "eli": 0.2, "izdanje": 0.15, "short_summary": 0.1, "donositelj": 0.05}
-THRESHOLD, DIRECT = 0.7, 0.99
+THRESHOLD, RUN, MARKS, DIRECT = 0.7, 2, 3, 0.99
+SHOWN, SUGGESTED, WAIT, WAIT_SUGGEST = 20, 8, 5.0, 3.0
 
 
-def _nearest(text: Column, q: str, size: int = 256) -> Column:
-    """The least edit distance between q and as many characters of the text, over all places. The text is cut into overlapping
-    pieces first, for finding a place costs its distance from the start."""
-    n = F.lit(len(q))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - n), F.lit(size))
-    pieces = F.transform(starts, lambda a: F.substring(text, a + 1, n + (size - 1)))
+def fuzzy_match(query: str, weights: dict[str, float] = WEIGHTS, threshold: float = THRESHOLD) -> Column:
+    """A struct of score and highlights. The score is null without a match, else from 0 to 1, greater for better: one run over the letters of each field
+    gives the errors with which the query stands in it and the runs of the query's letters (functions/fuzzy)."""
+    names, values, total = list(weights), list(weights.values()), sum(weights.values())
 
-    def least(piece: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(piece) - n + 1))
-        return F.array_min(F.transform(places, lambda p: F.levenshtein(F.substring(piece, p, n), F.lit(q))))
+    @F.arrow_udf("score double, highlights array<string>")
+    def run(*columns: pa.Array) -> pa.Array:
+        scores, marks = fuzzy_texts.weighted([c.to_pylist() for c in columns], [w / total for w in values], query, threshold, RUN, MARKS)
+        found = pa.array(1 - scores, pa.float64(), mask=np.isnan(scores))
+        return pa.StructArray.from_arrays([found, pa.array(marks, pa.list_(pa.string()))], ["score", "highlights"])
 
-    return F.array_min(F.transform(pieces, least))
+    return run(*[F.col(n) for n in names])
 
 
-def fuzzy_score(query: str, weights: dict[str, float] = WEIGHTS, anywhere: bool = True) -> Column:
-    """A score in 0 to 1, greater for better: for each field 1 if it holds the query, else what the least edit distance
-    to as many characters of the field leaves of the query's length; weighted. These are taken at all places of the
-    field, or at its start only without `anywhere`. An approximation of browser search scores."""
-    q, parts = query.lower(), []
-    for column, weight in weights.items():
-        text = F.lower(F.coalesce(F.col(column), F.lit("")))
-        far = _nearest(text, q) if anywhere else F.levenshtein(F.left(text, F.lit(len(q))), F.lit(q))
-        near = 1 - far / len(q)
-        parts.append(weight * F.when(F.contains(text, F.lit(q)), 1.0).otherwise(F.greatest(near, F.lit(0.0))))
-    return F.round(sum(parts[1:], parts[0]) / sum(weights.values()), 6)
+def fuzzy(index: DataFrame, query: str, threshold: float = THRESHOLD, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """The rows of the index that match the query in some field, with score (to six digits) and highlights."""
+    own = index.withColumn("__m", fuzzy_match(query, weights, threshold))
+    return own.where("__m.score is not null").withColumns({"score": F.round("__m.score", 6), "highlights": F.col("__m.highlights")}).drop("__m")
 
 
-def fuzzy(index: DataFrame, query: str, least: float = round(1 - THRESHOLD, 6), anywhere: bool = True) -> DataFrame:
-    return index.withColumn("score", fuzzy_score(query, anywhere=anywhere)).where(F.col("score") >= least)
+def in_index_order() -> list[Column]:
+    return [F.coalesce("datum", F.lit("")).desc(), F.col("eli")]
 
 
 def exactly(index: DataFrame, vrsta: str | None = None, izdanje: str | None = None) -> DataFrame:
@@ -150,40 +152,77 @@ def exactly(index: DataFrame, vrsta: str | None = None, izdanje: str | None = No
     return index.where(F.col("izdanje") == T.normalize_issue(F.lit(izdanje))) if izdanje else index
 
 
-def fallback(index: DataFrame, query: str, vrsta: str | None = None, izdanje: str | None = None, cap: int = 20, anywhere: bool = True) -> DataFrame:
-    """(eli, score, bucket): direct matches that the fuzzy search has missed, then fuzzy ones, `cap` in all. Without
-    a query the first of the index that pass the filters, unscored."""
-    if not query:
-        return exactly(index, vrsta, izdanje).orderBy(F.coalesce("datum", F.lit("")).desc(), "eli").limit(cap).select("eli", F.lit(None).cast("double").alias("score"), F.lit(0).alias("bucket"))
-    close = exactly(fuzzy(index, query, anywhere=anywhere), vrsta, izdanje).select("eli", "score", F.lit(1).alias("bucket"))
-    q = F.lit(query)
-    hit = T.contains(F.col("naslov"), q) | T.contains(F.col("eli"), q) | T.contains(F.col("izdanje"), q)
-    direct = exactly(index.where(hit), vrsta, izdanje).join(fuzzy(index, query, anywhere=anywhere).select("eli"), "eli", "left_anti").select("eli", F.lit(DIRECT).alias("score"), F.lit(0).alias("bucket"))
-    return direct.unionByName(close).orderBy("bucket", F.desc("score"), "eli").limit(cap)
+def normalized_query(query: str) -> str:
+    """The query without blanks at its ends; a bare or prefixed issue number as issues are written."""
+    issue = re.fullmatch(r"(?:nn\s+)?(\d{1,3}/\d{4})", query.strip(), re.IGNORECASE | re.ASCII)
+    return f"NN {issue[1]}" if issue else query.strip()
+
+
+def fallback(index: DataFrame, query: str, vrsta: str | None = None, izdanje: str | None = None, cap: int = SHOWN) -> DataFrame:
+    """(eli, rank, score, bucket, highlights) of the first `cap` results of a search in the index alone: rows whose title or summary holds the query
+    though the fuzzy search passes them over (bucket 0), then what it finds, best first (bucket 1), ties in the order of the index. A blank query lists the index, unscored. The
+    query is normalised first. Each row is scored once."""
+    rows, q = exactly(index, vrsta, izdanje), normalized_query(query)
+    none = F.array().cast("array<string>")
+    if not q:
+        first = rows.orderBy(*in_index_order()).limit(cap).withColumns({"score": F.lit(None).cast("double"), "bucket": F.lit(0), "highlights": none})
+    else:
+        scored = rows.withColumn("__m", fuzzy_match(q)).withColumn("__close", F.col("__m.score").isNotNull())
+        direct = F.coalesce(T.contains(F.col("naslov"), F.lit(q)), F.lit(False)) | F.coalesce(T.contains(F.col("short_summary"), F.lit(q)), F.lit(False))
+        found = scored.where(F.col("__close") | direct).withColumns({"score": F.when(F.col("__close"), F.round("__m.score", 6)).otherwise(DIRECT), "bucket": F.col("__close").cast("int"), "highlights": F.when(F.col("__close"), F.col("__m.highlights")).otherwise(none)})
+        first = found.orderBy("bucket", F.desc("score"), *in_index_order()).limit(cap)
+    order = Window.orderBy("bucket", F.desc("score"), *in_index_order())  # over `cap` rows
+    return first.select("eli", F.row_number().over(order).alias("rank"), "score", "bucket", "highlights")
 
 
 def enriched(found: DataFrame, index: DataFrame) -> DataFrame:
-    """Results joined to the index by eli; those it lacks are dropped. Results are a page, so they are the small side."""
-    return index.join(F.broadcast(found), "eli")
+    """Results joined to the index by eli, in their own order (`rank`, or else that in which they stand); those that the index lacks are dropped. highlights, match_score and match_type are
+    theirs, or empty, null and 'hybrid'. Spark chooses the join by the sizes it finds."""
+    own = found if "rank" in found.columns else found.withColumn("rank", F.monotonically_increasing_id())
+    pick = lambda names, default: F.coalesce(*[F.col(n) for n in names if n in own.columns], default)
+    cards = own.select("eli", "rank", pick(["highlights"], F.array().cast("array<string>")).alias("highlights"), pick(["match_score", "score"], F.lit(None).cast("double")).alias("match_score"), pick(["match_type"], F.lit("hybrid")).alias("match_type"))
+    return index.join(cards, "eli").orderBy("rank")
+
 
+def dispatched(request: Request, backend: Callable[[Request], DataFrame] | None, index: DataFrame, cap: int = SHOWN, seconds: float = WAIT) -> tuple[DataFrame, bool]:
+    """(results joined to the index, whether they come from the index alone). Without a backend, or when it fails or has no
+    answer within `seconds`, the index is searched. The backend's page is run here, for its failure must show; a page has 100 rows at most."""
+    return search_documents(request.query, index, backend, request.vrsta, request.izdanje, request.page_size, cap, seconds, request.page, request.search_type)
 
-def dispatched(request: Request, backend: Callable[[Request], DataFrame] | None, index: DataFrame, cap: int = 20) -> tuple[DataFrame, bool]:
-    """(results joined to the index, whether they come from the index alone). Without a backend, or when it fails, the
-    index is searched. The backend's page is run here, for its failure must show; a page has 100 rows at most."""
+
+def search_documents(query: str, index: DataFrame, backend: Callable[[Request], DataFrame] | None = None, vrsta: str | None = None, izdanje: str | None = None, page_size: int = SHOWN, cap: int = SHOWN, seconds: float = WAIT, page: int = 1, search_type: str = "hybrid") -> tuple[DataFrame, bool]:
+    """dispatched for any query: one that no backend takes, such as a blank one, is answered from the index."""
+    spark = index.sparkSession
     if backend is not None:
         try:
-            found = backend(request)
-            rows = found.limit(request.page_size).collect()
+
+            def answer() -> tuple[list, StructType]:
+                found = backend(Request(query, search_type, vrsta, izdanje, page, page_size))
+                return found.limit(page_size).collect(), found.schema
+
+            rows, schema = within(spark, seconds, answer)
         except Exception:
             pass
         else:
-            return enriched(index.sparkSession.createDataFrame(rows, found.schema), index), False
-    return enriched(fallback(index, request.query, request.vrsta, request.izdanje, cap), index), True
+            ranked = StructType([f for f in schema if f.name != "rank"]).add("rank", LongType())
+            at = [i for i, f in enumerate(schema) if f.name != "rank"]
+            return enriched(spark.createDataFrame([(*[r[i] for i in at], n) for n, r in enumerate(rows)], ranked), index), False
+    return enriched(fallback(index, query, vrsta, izdanje, cap).withColumn("match_type", F.lit("fallback")), index), True
 
 
-def highlights(text: Column, query: str, most: int = 3) -> Column:
-    import re
+def suggestions(query: str, index: DataFrame, backend: Callable[[str], DataFrame] | None = None, limit: int = SUGGESTED, seconds: float = WAIT_SUGGEST) -> DataFrame:
+    """(eli, naslov) of the backend within `seconds`, else of the best fuzzy matches in the index."""
+    spark = index.sparkSession
+    if backend is not None:
+        try:
+            rows = within(spark, seconds, lambda: backend(query).select("eli", "naslov").limit(limit).collect())
+            return spark.createDataFrame([tuple(r) for r in rows], "eli string, naslov string")
+        except Exception:
+            pass
+    return fuzzy(index, query).orderBy(F.desc("score"), *in_index_order()).limit(limit).select("eli", "naslov")
+
 
+def highlights(text: Column, query: str, most: int = 3) -> Column:
     return F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)" + re.sub(r"([^\w\s])", r"\\\1", query)), F.lit(0)), 1, most)
 
 

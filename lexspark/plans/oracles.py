@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from lexspark.functions import rules_hr as hr
-from lexspark.operators.search import WEIGHTS
 
 DOCS = """docs as (select doc_id as id, '/eli/sluzbeni/' || (1990 + doc_id % 30) || '/' || (1 + doc_id % 120) || '/' || doc_id as eli, lang as vrsta,
  'NN ' || (1 + doc_id % 120) || '/' || (1990 + doc_id % 30) as izdanje, source as donositelj,
@@ -79,13 +78,27 @@ def _panel() -> str:
  select doc_id, has_key_info, section, least(n, 5)::bigint as shown, greatest(n - 5, 0)::bigint as more from found join keyed using (doc_id)"""
 
 
-def _fuzzy(query: str) -> str:
-    q, n, parts = _quoted(query.lower()), len(query), []
-    for c, w in WEIGHTS.items():
-        text = f"lower(coalesce({c}, ''))"
-        least = f"list_min(list_transform(range(1, greatest(length({text}) - {n} + 1, 1) + 1), lambda p: levenshtein(substring({text}, p, {n}), {q})))"
-        parts.append(f"{w} * case when contains({text}, {q}) then 1.0 else greatest(1 - {least} / {n}, 0) end")
-    return f"round(({' + '.join(parts)}) / {sum(WEIGHTS.values())}, 6)"
+# Fields of the fuzzy search and their weights.
+FUZZY = {"naslov": 0.5, "eli": 0.2, "izdanje": 0.15, "short_summary": 0.1, "donositelj": 0.05}
+
+
+def _scored(query: str, rows: str = "own") -> str:
+    """rows with score (null without a match) and marks, for a query of ASCII letters: each field's least distance between the query and any piece of it. What is not ASCII is
+    one byte first, for distances here are of bytes."""
+    q, n = query.lower(), len(query)
+    far = int(0.7 * n)
+    letters = "[" + "".join(sorted(set(q + q.upper()))) + "]{2,}"
+    factors, marks = [], []
+    for c, w in FUZZY.items():
+        plain = f"lower(regexp_replace(coalesce({c}, ''), '[^\\x00-\\x7F]', chr(1), 'g'))"
+        least = f"least({n}, coalesce(list_min(flatten(list_transform(range(1, length({plain}) + 1), lambda p: list_transform(range({max(1, n - far)}, {n + far + 1}), lambda k: levenshtein(substr({plain}, p, k), {_quoted(q)}))))), {n}))"
+        fits = f"({least} <= {far} and regexp_matches({plain}, '{letters}') or lower({c}) = {_quoted(q)})"
+        norm = f"floor(1000 / sqrt(len(regexp_extract_all({c}, '[^ ]+'))) + 0.5) / 1000"
+        factors.append(f"case when trim(coalesce({c}, '')) <> '' and {fits} then pow(case when lower({c}) = {_quoted(q)} then {2.0**-52!r} else greatest({least} / {n}, 0.001) end, {w} * {norm}) end")
+        marks.append(f"case when trim(coalesce({c}, '')) <> '' and {fits} then case when lower({c}) = {_quoted(q)} then [{c}] else regexp_extract_all({c}, '{letters}')[1:3] end else [] end")
+    names = [f"f{i}" for i in range(len(FUZZY))]
+    return f"""select *, case when coalesce({', '.join(names)}) is not null then round(1 - {' * '.join(f'coalesce({x}, 1)' for x in names)}, 6) end as score, array_to_string(m[1:3], '|') as marks
+ from (select *, {', '.join(f'{x} as {y}' for x, y in zip(factors, names, strict=True))}, list_concat({', '.join(marks)}) as m from {rows})"""
 
 
 _COS = "list_cosine_similarity({}::double[], {}::double[])"
@@ -104,6 +117,15 @@ def _mmr() -> str:
  select label, vec_id, 0 as pick from p0 union all select label, vec_id, 1 from p1 union all select label, vec_id, 2 from p2"""
 
 
+OWN = "own as (select *, donositelj || ': ' || naslov as short_summary from docs)"
+
+
+def _fallback(query: str, scored: str) -> str:
+    q = _quoted(query)
+    return f"""select eli, (row_number() over (order by bucket, s desc, datum desc, eli))::int as rank, s as score, bucket, case when bucket = 1 then marks else '' end as highlights from
+ (select eli, datum, marks, (score is not null)::int as bucket, coalesce(score, 0.99) as s from {scored} where score is not null or contains(lower(naslov), {q}) or contains(lower(short_summary), {q}) order by bucket, s desc, datum desc, eli limit 20)"""
+
+
 INDEX = f"""{DOCS}, idx as (select eli, izdanje, naslov, vrsta, datum, donositelj, null::varchar as "brojDokumenta", left(naslov, 40) as short_summary from docs)"""
 
 
@@ -176,11 +198,12 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_rrf": f"""with {DOCS}, words as (select id, row_number() over ({NEWEST}) as rank from docs where {FOUND}), scored as (select vec_id as id, round({_COS.format('embedding', '(select embedding from embeddings where vec_id = 0)')}, 6) as score from embeddings),
  near as (select id, row_number() over (order by score desc, id) as rank from scored)
  select id, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from words where rank <= 50 union all select * from near where rank <= 50) group by id""",
-        "fuzzy_search": f"with {DOCS}, own as (select *, naslov as short_summary from docs) select * from (select id, eli, {_fuzzy('Thation')} as score from own) where score >= 0.3",
-        "fallback_merge": f"""with {DOCS}, own as (select *, naslov as short_summary from docs), scored as (select *, {_fuzzy('thanti')} as score from own), close as (select eli, score, 1 as bucket from scored where score >= 0.3),
- direct as (select eli, 0.99 as score, 0 as bucket from own where (contains(lower(naslov), 'thanti') or contains(lower(eli), 'thanti') or contains(lower(izdanje), 'thanti')) and eli not in (select eli from close))
- select eli, score::double as score, bucket from (select * from direct union all select * from close) order by bucket, score desc, eli limit 20""",
-        "enrich_results": docs + f"select eli, naslov, vrsta, izdanje, datum from docs where {FOUND} {NEWEST} limit 20",
+        "fuzzy_search": f"with {DOCS}, {OWN} select id, eli, score, marks from ({_scored('Thation')}) where score is not null",
+        "fallback_merge": f"with {DOCS}, {OWN}, scored as ({_scored('thanti')}) {_fallback('thanti', 'scored')}",
+        "fallback_cases": f"""with {DOCS}, {OWN}, one as ({_scored('q')}), two as ({_scored('NN 5/1994')}) select 'direct' as asked, * from ({_fallback('q', 'one')}) union all select 'issue', * from ({_fallback('nn 5/1994', 'two')})
+ union all select 'blank', eli, (row_number() over (order by datum desc, eli))::int, null, 0, '' from (select * from own where vrsta = 'en' order by datum desc, eli limit 20)""",
+        "suggest_fallback": f"with {DOCS}, {OWN} select eli, naslov from ({_scored('ereathand')}) where score is not null order by score desc, datum desc, eli limit 8",
+        "enrich_results": docs + f"select (row_number() over ({NEWEST}))::int as place, eli, naslov, vrsta, izdanje, datum, null::double as match_score, 'lexical' as match_type from (select * from docs where {FOUND} {NEWEST} limit 20)",
         "search_highlights": docs + "select id, array_to_string(regexp_extract_all(doc_cleaned, '(?i)tion')[1:3], '|') as marks from docs",
         "search_index": f"with {INDEX} select * from idx",
         "index_manifest": _manifest(),

@@ -351,19 +351,36 @@ def hybrid_rrf(spark, sf_dir):
     return search.fused(words, near)
 
 
+def _indexed(spark, sf_dir) -> DataFrame:
+    return docs(spark, sf_dir).withColumn("short_summary", F.concat("donositelj", F.lit(": "), "naslov"))
+
+
 def fuzzy_search(spark, sf_dir):
-    rows = docs(spark, sf_dir).withColumn("short_summary", F.col("naslov"))
-    return search.fuzzy(rows, "Thation", 0.3).select("id", "eli", "score")
+    found = search.fuzzy(_indexed(spark, sf_dir), "Thation")
+    return found.select("id", "eli", "score", F.array_join("highlights", "|").alias("marks"))
 
 
 def fallback_merge(spark, sf_dir):
-    rows = docs(spark, sf_dir).withColumn("short_summary", F.col("naslov"))
-    return search.fallback(rows, "thanti")
+    return search.fallback(_indexed(spark, sf_dir), "thanti").withColumn("highlights", F.array_join("highlights", "|"))
+
+
+def fallback_cases(spark, sf_dir):
+    """A query that only direct matches answer, one for an issue, and a blank one with a filter."""
+    rows = _indexed(spark, sf_dir)
+    asked = [("direct", search.fallback(rows, " q ")), ("issue", search.fallback(rows, "nn 5/1994")), ("blank", search.fallback(rows, "  ", "en"))]
+    cases = [df.select(F.lit(name).alias("asked"), "eli", "rank", "score", "bucket", F.array_join("highlights", "|").alias("highlights")) for name, df in asked]
+    return cases[0].unionByName(cases[1]).unionByName(cases[2])
+
+
+def suggest_fallback(spark, sf_dir):
+    return search.suggestions("ereathand", _indexed(spark, sf_dir))
 
 
 def enrich_results(spark, sf_dir):
-    found = search.results(search.page_of(search.lexical(docs(spark, sf_dir), QUERY), 1, 20, search.newest())).select("eli", "score")
-    return search.enriched(found, search_index(spark, sf_dir)).select("eli", "naslov", "vrsta", "izdanje", "datum")
+    found = search.results(search.page_of(search.lexical(docs(spark, sf_dir), QUERY), 1, 20, search.newest()))
+    place = F.row_number().over(Window.orderBy(F.desc("rank")))
+    ranked = found.withColumn("rank", F.monotonically_increasing_id())
+    return search.enriched(ranked, search_index(spark, sf_dir)).withColumn("place", 21 - place).select("place", "eli", "naslov", "vrsta", "izdanje", "datum", "match_score", "match_type")
 
 
 def search_highlights(spark, sf_dir):
@@ -471,7 +488,7 @@ ALL: tuple[Callable, ...] = (
     title_subjects, title_case, list_items, article_fallback, text_hash_join, segment_paragraphs, segment_articles, segment_preamble, stavak_groups,
     segment_nested, extract_deadlines, extract_obligations, extract_scope, extract_sanctions, extract_subjects, extract_bodies, keyinfo_panel,
     dedupe_ordered, overlap_chunks, token_pack, l2_normalize, cosine_topk, centroid_by_label, mmr_select, extractive_summary, summary_grid,
-    multi_level_embedding, hybrid_rrf, fuzzy_search, fallback_merge, enrich_results, search_highlights, search_index, index_manifest,
+    multi_level_embedding, hybrid_rrf, fuzzy_search, fallback_merge, fallback_cases, suggest_fallback, enrich_results, search_highlights, search_index, index_manifest,
     latest_documents, upsert_documents, import_store, delete_cascade, incremental_skip, unique_violations, stage_counters, eval_prf, eval_separation,
 )
 
