@@ -88,17 +88,18 @@ def _scored(query: str, rows: str = "own") -> str:
     q, n = query.lower(), len(query)
     far = int(0.7 * n)
     letters = "[" + "".join(sorted(set(q + q.upper()))) + "]{2,}"
-    factors, marks = [], []
-    for c, w in FUZZY.items():
-        plain = f"lower(regexp_replace(coalesce({c}, ''), '[^\\x00-\\x7F]', chr(1), 'g'))"
-        least = f"least({n}, coalesce(list_min(flatten(list_transform(range(1, length({plain}) + 1), lambda p: list_transform(range({max(1, n - far)}, {n + far + 1}), lambda k: levenshtein(substr({plain}, p, k), {_quoted(q)}))))), {n}))"
-        fits = f"({least} <= {far} and regexp_matches({plain}, '{letters}') or lower({c}) = {_quoted(q)})"
-        norm = f"floor(1000 / sqrt(len(regexp_extract_all({c}, '[^ ]+'))) + 0.5) / 1000"
-        factors.append(f"case when trim(coalesce({c}, '')) <> '' and {fits} then pow(case when lower({c}) = {_quoted(q)} then {2.0**-52!r} else greatest({least} / {n}, 0.001) end, {w} * {norm}) end")
-        marks.append(f"case when trim(coalesce({c}, '')) <> '' and {fits} then case when lower({c}) = {_quoted(q)} then [{c}] else regexp_extract_all({c}, '{letters}')[1:3] end else [] end")
+    plains, leasts, factors, marks = [], [], [], []
+    for i, (c, w) in enumerate(FUZZY.items()):
+        plains.append(f"lower(regexp_replace(coalesce({c}, ''), '[^\\x00-\\x7F]', chr(1), 'g')) as p{i}")
+        windows = f"list_transform(range(1, length(p{i}) + 1), lambda p: least({', '.join(f'levenshtein(substr(p{i}, p, {k}), {_quoted(q)})' for k in range(max(1, n - far), n + far + 1))}))"
+        leasts.append(f"least({n}, coalesce(list_min({windows}), {n})) as l{i}")
+        same = f"lower({c}) = {_quoted(q)}"
+        fits = f"trim(coalesce({c}, '')) <> '' and (l{i} <= {far} and regexp_matches(p{i}, '{letters}') or {same})"
+        factors.append(f"case when {fits} then pow(case when {same} then {2.0**-52!r} else greatest(l{i} / {n}, 0.001) end, {w} * floor(1000 / sqrt(len(regexp_extract_all({c}, '[^ ]+'))) + 0.5) / 1000) end as f{i}")
+        marks.append(f"case when {fits} then case when {same} then [{c}] else regexp_extract_all({c}, '{letters}')[1:3] end else [] end")
     names = [f"f{i}" for i in range(len(FUZZY))]
     return f"""select *, case when coalesce({', '.join(names)}) is not null then round(1 - {' * '.join(f'coalesce({x}, 1)' for x in names)}, 6) end as score, array_to_string(m[1:3], '|') as marks
- from (select *, {', '.join(f'{x} as {y}' for x, y in zip(factors, names, strict=True))}, list_concat({', '.join(marks)}) as m from {rows})"""
+ from (select *, {', '.join(factors)}, list_concat({', '.join(marks)}) as m from (select *, {', '.join(leasts)} from (select *, {', '.join(plains)} from {rows})))"""
 
 
 _COS = "list_cosine_similarity({}::double[], {}::double[])"
