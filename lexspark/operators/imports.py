@@ -142,8 +142,9 @@ def merged(tables: dict[str, DataFrame], acts: DataFrame, now: Column | None = N
     return out
 
 
-def import_acts(spark: SparkSession, versions: Versions, acts: DataFrame, dim: int, now: Column | None = None, base: int | None = None) -> Outcome:
-    """Import acts (ENRICHED, with `path`) into the store in one commit. Its notes hold the counts, which are observed while outcomes are written.
+def import_acts(spark: SparkSession, versions: Versions, acts: DataFrame, dim: int, now: Column | None = None, base: int | None = None, notes: dict | None = None) -> Outcome:
+    """Import acts (ENRICHED, with `path`) into the store in one commit. Its notes hold the counts, which are observed while outcomes are written, and what
+    `notes` adds; notes under `streams` are kept from commit to commit.
 
     Without a valid act there is no commit, and the version stays. A run that fails leaves the store as it was.
     """
@@ -151,21 +152,22 @@ def import_acts(spark: SparkSession, versions: Versions, acts: DataFrame, dim: i
     if not base:
         versions.create(dim)
         base = versions.commit_of()["version"]
-    tables = versions.tables(base)
+    tables, changed = versions.tables(base), {}
     counts = Observation("import")
     good = F.col("message").isNull()
     rows = staged(judged(acts, dim).observe(counts, F.count(F.when(good, 1)).alias("processed"), F.count(F.when(~good, 1)).alias("errors")), "acts")
     found = counts.get
     name = F.element_at(F.split("path", "/"), -1)
     outcomes = rows.select("path", "eli", F.when(good, "processed").otherwise("error").alias("status"), F.when(~good, F.concat_ws(": ", name, "message")).alias("message"))
-    if not found["processed"]:
+    if not found["processed"] and not notes:
         return Outcome(base, 0, found["errors"], outcomes)
     # paths are ordered part by part
     turn = Window.partitionBy("eli").orderBy(F.split("path", "/"))
     valid = staged(rows.where(good).withColumn("turn", F.row_number().over(turn)), "turns")
-    for k in range(1, valid.agg(F.max("turn")).first()[0] + 1):
-        tables = merged(tables, valid.where(F.col("turn") == k).drop("turn"), now)
-    version = versions.commit(tables, base, dim, {"processed": found["processed"], "errors": found["errors"]})
+    for k in range(1, (valid.agg(F.max("turn")).first()[0] or 0) + 1):
+        tables = changed = merged(tables, valid.where(F.col("turn") == k).drop("turn"), now)
+    kept = {"streams": versions.commit_of(base)["notes"].get("streams", {})} if base else {}
+    version = versions.commit(changed, base, dim, kept | {"processed": found["processed"], "errors": found["errors"]} | (notes or {}))
     return Outcome(version, found["processed"], found["errors"], outcomes)
 
 

@@ -165,6 +165,7 @@ def oracle_sql() -> dict[str, str]:
         "page_headings": r"""select page_id, trim(h) as heading, regexp_extract(html, '<nav><ul><li><a[^>]*>([^<]*)</a>', 1) as first_item, '<h1>' || replace(replace(replace(h, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</h1>' as markup
  from (select page_id, html, replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as h from pages)""",
         "sitemap_locations": "select page_id, url as loc from pages where url like 'http%' and url like '%.html'",
+        "sitemap_pages": "select url as loc, min('http://h/sitemap_m' || (page_id // 100) || '.xml') as via from pages where url like 'http%' and url like '%.html' group by url",
         "sentence_split": f"with {SENTENCES} select doc_id, pos, s as sentence from sentences",
         "parse_dates": docs + r"select id, datum, try_strptime(regexp_extract(datum, '\d{1,2}\.\d{1,2}\.\d{4}'), '%d.%m.%Y')::date as publication_date from docs",
         "normalize_issue": docs + r"""select id, case when regexp_matches(t, '^\d{1,3}/\d{4}$') then 'NN ' || t when regexp_matches(t, '(?i)^nn\s+\d{1,3}/\d{4}$') then 'NN ' || regexp_extract(t, '\d{1,3}/\d{4}$') else t end as izdanje

@@ -16,7 +16,7 @@ from lexspark.functions import text as T
 from lexspark.functions import vectors as V
 from lexspark.operators import embed, evaluate, extract, imports, index, search, segment, store, summarize
 from lexspark.operators.versions import Versions
-from lexspark.sources import acts, pages
+from lexspark.sources import acts, pages, sitemaps
 from lexspark.staging import shared_folder
 
 QUERY = "the"
@@ -152,6 +152,20 @@ def sitemap_locations(spark, sf_dir):
     return acts.wanted(acts.locations(pages.withColumn("xml", xml), F.col("xml"), "page_id"), "http", "http").select("page_id", "loc")
 
 
+def sitemap_pages(spark, sf_dir):
+    """The pages' addresses as site maps of 100 pages, indexes of 100 maps that also name the top, and a top, expanded from the top."""
+    host, n = "http://h/sitemap_", F.col("page_id")
+    element = lambda outer, loc: F.concat(F.lit(f"<{outer}><loc>"), F.replace(loc, F.lit("&"), F.lit("&amp;")), F.lit(f"</loc></{outer}>"))
+    whole = lambda outer, parts: F.concat(F.lit(f'<{outer} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.array_sort(F.collect_list(parts)), ""), F.lit(f"</{outer}>"))
+    name = lambda kind, k: F.concat(F.lit(host + kind), k.cast("string"), F.lit(".xml"))
+    of = table(spark, sf_dir, "pages").withColumns({"map": F.floor(n / 100), "index": F.floor(n / 10000)})
+    maps = of.groupBy("map").agg(whole("urlset", element("url", F.col("url"))).alias("xml")).select(name("m", F.col("map")).alias("loc"), "xml")
+    each = of.select("map", "index").distinct()
+    indexes = each.groupBy("index").agg(F.concat(whole("sitemapindex", F.concat(element("sitemap", name("m", F.col("map"))), element("sitemap", F.lit("http://h/sitemap_top.xml"))))).alias("xml")).select(name("i", F.col("index")).alias("loc"), "xml")
+    top = each.select("index").distinct().agg(whole("sitemapindex", element("sitemap", name("i", F.col("index")))).alias("xml")).select(F.lit("http://h/sitemap_top.xml").alias("loc"), "xml")
+    return sitemaps.expanded(maps.unionByName(indexes).unionByName(top), "http://h/sitemap_top.xml", host, "http")[0]
+
+
 def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -484,7 +498,7 @@ def eval_separation(spark, sf_dir):
 
 ALL: tuple[Callable, ...] = (
     lexical_search, lexical_search_page2, list_filtered, search_total_pages, suggest_titles, doc_detail_nested, summaries_pivot, short_summary_join,
-    clean_html, html_blocks, page_links, page_rows, page_headings, sitemap_locations, sentence_split, legal_sentence_split, parse_dates, normalize_issue, eli_paths,
+    clean_html, html_blocks, page_links, page_rows, page_headings, sitemap_locations, sitemap_pages, sentence_split, legal_sentence_split, parse_dates, normalize_issue, eli_paths,
     title_subjects, title_case, list_items, article_fallback, text_hash_join, segment_paragraphs, segment_articles, segment_preamble, stavak_groups,
     segment_nested, extract_deadlines, extract_obligations, extract_scope, extract_sanctions, extract_subjects, extract_bodies, keyinfo_panel,
     dedupe_ordered, overlap_chunks, token_pack, l2_normalize, cosine_topk, centroid_by_label, mmr_select, extractive_summary, summary_grid,
