@@ -25,7 +25,7 @@ class Config:
     batch_size: int = 32
     embedding_dim: int = 64
     encoder: str = "hashed-64"
-    summarizer: str = "mmr"
+    summarizer: str = "hashed-64"
     #: The models on offer.
     encoders: tuple[str, ...] = ()
     summarizers: tuple[str, ...] = ()

@@ -1,33 +1,108 @@
-"""Encoders by name: functions from texts to a matrix with one row for each, registered on the driver and sent with the tasks."""
+"""Encoders: from texts to a matrix with one row of length one for each.
+
+An encoder by tokens gives token ids with their places in the text, and a vector for each token; `pooled` cuts texts at the
+greatest number of tokens, fills batches up to their longest text, and takes the mean of the tokens' vectors under the mask. Any function from texts
+to a matrix is an encoder as well. Encoders are registered by name on the driver and sent with the tasks.
+"""
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
+from functools import partial
+from typing import Protocol
 
 import numpy as np
 
 from lexspark.config import Config
-from lexspark.functions import vectors as V
 
 Encoder = Callable[[list[str]], np.ndarray]
 
-_KNOWN: dict[str, Encoder] = {"hashed-64": V.encoded}
 
+class TokenEncoder(Protocol):
+    dimension: int
+
+    def tokens(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        """Ids of the text's tokens, and where each begins and ends."""
+
+    def vectors(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """texts x tokens x dimension, for ids and mask of texts x tokens; what stands where the mask is 0 does not count."""
+
+
+class HashedWords:
+    """Words without case as tokens, each a unit vector by its hash: no weights are needed."""
+
+    _words = re.compile(r"[^\W_]+")
+
+    def __init__(self, dimension: int = 64):
+        self.dimension = dimension
+
+    def tokens(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        found = [(m[0].lower(), m.span()) for m in self._words.finditer(text)]
+        return [zlib.crc32(w.encode()) % self.dimension for w, _ in found], [s for _, s in found]
+
+    def vectors(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return np.eye(self.dimension)[ids]
+
+    def means(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """What pooling the vectors gives, by counting."""
+        n = len(ids)
+        cells = (np.arange(n)[:, None] * self.dimension + ids)[mask > 0]
+        return np.bincount(cells, minlength=n * self.dimension).reshape(n, self.dimension) / np.maximum(mask.sum(axis=1, keepdims=True), 1e-9)
 
-def register(name: str, encoder: Encoder) -> None:
+
+def truncated(text: str, encoder: TokenEncoder, most: int) -> str:
+    """The text up to the end of its `most`-th token."""
+    spans = encoder.tokens(text)[1]
+    return text if len(spans) <= most else text[: spans[most - 1][1]]
+
+
+def pooled(texts: list[str | None], encoder: TokenEncoder, most: int = 512, batch: int = 32) -> np.ndarray:
+    """A row for each text: the mean of its first `most` tokens' vectors, of length one; zeros without tokens. `batch` texts are encoded at a time."""
+    out = np.zeros((len(texts), encoder.dimension))
+    for lo in range(0, len(texts), batch):
+        many = [encoder.tokens(t or "")[0][:most] for t in texts[lo : lo + batch]]
+        width = max(map(len, many), default=0)
+        ids, mask = np.zeros((len(many), width), np.int64), np.zeros((len(many), width))
+        for i, row in enumerate(many):
+            ids[i, : len(row)], mask[i, : len(row)] = row, 1
+        if hasattr(encoder, "means"):
+            out[lo : lo + batch] = encoder.means(ids, mask)
+        else:
+            out[lo : lo + batch] = (encoder.vectors(ids, mask) * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1, keepdims=True), 1e-9)
+    lengths = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(lengths > 0, lengths, 1.0)
+
+
+#: The encoder that needs no registration.
+DEFAULT = "hashed-64"
+_KNOWN: dict[str, Encoder | TokenEncoder] = {DEFAULT: HashedWords(64)}
+
+
+def register(name: str, encoder: Encoder | TokenEncoder) -> None:
     _KNOWN[name] = encoder
 
 
-def encoder(name: str) -> Encoder:
+def encoder(name: str, most: int = 512, batch: int = 32) -> Encoder:
+    """The encoder of a name, as a function of texts; one by tokens cuts texts at `most` tokens and takes `batch` texts at a time."""
     if name not in _KNOWN:
         raise ValueError(f"no encoder is registered as {name}")
-    return _KNOWN[name]
+    found = _KNOWN[name]
+    return partial(pooled, encoder=found, most=most, batch=batch) if hasattr(found, "tokens") else found
+
+
+def check_dimension(config: Config) -> None:
+    """An error where the encoder of the vectors is known to be of another dimension than the one configured."""
+    found = getattr(_KNOWN.get(config.encoder), "dimension", config.embedding_dim)
+    if found != config.embedding_dim:
+        raise ValueError(f"{config.encoder} gives {found} dimensions, {config.embedding_dim} are configured")
 
 
 def warm_up(config: Config) -> list[str]:
     """Run every encoder on offer once; the names of those that are not there or fail. One failure stops no other."""
     failed = []
-    for name in dict.fromkeys([config.encoder, *config.encoders]):
+    for name in dict.fromkeys([config.encoder, config.summarizer, *config.encoders, *config.summarizers]):
         try:
             encoder(name)([""])
         except Exception:

@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.encoders import DEFAULT, Encoder
+from lexspark.encoders import encoder as encoder_of
 from lexspark.functions import text as T
 from lexspark.functions import vectors as V
 
-from .summarize import Encoder, packed, words
+from .summarize import packed, words
 
 # Names of stored vectors by key; any other key is stored as summary_<key>.
 TYPES = {
@@ -34,8 +36,13 @@ def chunks(text: Column, tokens: int = 512) -> Column:
     return F.when(F.size(cut) > 0, cut).otherwise(F.array(F.coalesce(text, F.lit(""))))
 
 
-def embed(texts: DataFrame, keys: list[str], text: str, tokens: int = 512, encoder: Encoder = V.encoded) -> DataFrame:
-    """(keys, embedding): a text's chunks stay in its row, so they need no shuffle to meet again, and are encoded and pooled in one pass."""
+#: Kinds of texts that are encoded in chunks; others are encoded as they stand, up to what the encoder takes.
+LONG = ("document", "segment")
+
+
+def embed(texts: DataFrame, keys: list[str], text: str, tokens: int = 512, encoder: Encoder = encoder_of(DEFAULT), long: Column | None = None) -> DataFrame:
+    """(keys, embedding): a text's chunks stay in its row, so they need no shuffle to meet again, and are encoded and pooled in one pass.
+    Texts for which `long` does not hold are one chunk."""
 
     @F.arrow_udf("array<double>")
     def pooled(many: pa.Array) -> pa.Array:
@@ -45,7 +52,8 @@ def embed(texts: DataFrame, keys: list[str], text: str, tokens: int = 512, encod
             out.append((total / (np.linalg.norm(total) or 1.0)).tolist())
         return pa.array(out, pa.list_(pa.float64()))
 
-    return texts.select(*keys, pooled(chunks(F.col(text), tokens)).alias("embedding"))
+    cut = chunks(F.col(text), tokens)
+    return texts.select(*keys, pooled(cut if long is None else F.when(long, cut).otherwise(F.array(F.coalesce(text, F.lit(""))))).alias("embedding"))
 
 
 def levels(documents: DataFrame, articles: DataFrame | None, id: str, summaries: list[str], title: str = "naslov", text: str = "doc_cleaned") -> DataFrame:

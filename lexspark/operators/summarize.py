@@ -1,7 +1,7 @@
 """Extractive summaries by maximal marginal relevance, chunking and packing.
 
 The encoder is a parameter: a function of a list of texts to a matrix of vectors. By default words are counted by hash
-(functions/vectors.py). Encoding and the greedy selection, which looks back at what it has chosen, run in numpy on Arrow
+(lexspark/encoders.py). Encoding and the greedy selection, which looks back at what it has chosen, run in numpy on Arrow
 batches, in one pass from sentences to summaries; everything else stays within the JVM.
 """
 
@@ -14,16 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.encoders import DEFAULT, Encoder
+from lexspark.encoders import encoder as encoder_of
 from lexspark.functions import text as T
-from lexspark.functions import vectors as V
 
 # Name, number of sentences and lambda of the summaries that a document gets; the third is of the scope text.
 GRID = (("short", 3, 0.75), ("detailed", 8, 0.65), ("sto_zakon_ureduje", 2, 0.80), ("na_koga_se_odnosi", 2, 0.45), ("sto_uvodi_ili_mijenja", 2, 0.60))
 
 
-Encoder = Callable[[list[str]], np.ndarray]
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -66,12 +64,12 @@ def mmr(vectors: Column, query: Column, k: int, weight: float, digits: int | Non
     return run(vectors, query)
 
 
-def summary(df: DataFrame, text: str, k: int = 3, weight: float = 0.7, out: str = "summary", encoder: Encoder = V.encoded) -> DataFrame:
+def summary(df: DataFrame, text: str, k: int = 3, weight: float = 0.7, out: str = "summary", encoder: Encoder = encoder_of(DEFAULT)) -> DataFrame:
     """df with a column of the k sentences that say most, in order; a text of no more than k sentences stays as it is."""
     return summaries(df, text, ((out, k, weight),), 1 << 31, encoder)
 
 
-def ranked(df: DataFrame, text: str, k: int = 3, weight: float = 0.7, out: str = "summary", encoder: Encoder = V.encoded) -> DataFrame:
+def ranked(df: DataFrame, text: str, k: int = 3, weight: float = 0.7, out: str = "summary", encoder: Encoder = encoder_of(DEFAULT)) -> DataFrame:
     """df with the summary of k sentences, however short the text, and all sentences as `ranked` (idx, sentence, score) by
     their cosine with the whole text, the greatest first and equal ones in order. A text without sentences has an empty summary."""
 
@@ -97,7 +95,7 @@ def relevant(df: DataFrame, text: str, k: int = 3, weight: float = 0.75) -> Data
     return summary(df, text, k, weight)
 
 
-def summaries(df: DataFrame, text: str, grid: tuple = GRID, limit: int = 100, encoder: Encoder = V.encoded) -> DataFrame:
+def summaries(df: DataFrame, text: str, grid: tuple = GRID, limit: int = 100, encoder: Encoder = encoder_of(DEFAULT)) -> DataFrame:
     """df with one column for each row of the grid. Sentences are encoded once for all of them. A text of more than
     `limit` sentences is summed up in overlapping chunks first, three sentences each that say most of the chunk, and then
     once more: what these say together is what the sentences are then held against."""

@@ -195,6 +195,8 @@ def oracle_sql() -> dict[str, str]:
  select doc_id, chunk, string_agg(s, ' ' order by pos) as text from fold group by doc_id, chunk""",
         "l2_normalize": "select vec_id, d::int as dim, round(x / n, 6) as x from (select vec_id, unnest(range(len(embedding))) as d, unnest(embedding)::double as x, sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))) as n from embeddings)",
         "cosine_topk": f"with scored as (select vec_id, label, round({_COS.format('embedding', '(select embedding from embeddings where vec_id = 0)')}, 6) as score from embeddings) select * from scored order by score desc, vec_id limit 10",
+        "exact_neighbours": f"""with pairs as (select a.vec_id as query_id, b.vec_id as id, round({_COS.format('a.embedding', 'b.embedding')}, 6) as score from embeddings a join embeddings b on b.vec_id <> a.vec_id where a.vec_id % 100 = 0)
+ select query_id, rank::int as rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as rank from pairs) where rank <= 10""",
         "centroid_by_label": "select label, d::int as dim, round(avg(x::double), 6) as x from (select label, unnest(range(len(embedding))) as d, unnest(embedding) as x from embeddings) group by all",
         "mmr_select": _mmr(),
         "hybrid_rrf": f"""with {DOCS}, words as (select id, row_number() over ({NEWEST}) as rank from docs where {FOUND}), scored as (select vec_id as id, round({_COS.format('embedding', '(select embedding from embeddings where vec_id = 0)')}, 6) as score from embeddings),

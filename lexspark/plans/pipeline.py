@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.config import Config
-from lexspark.encoders import encoder
+from lexspark.encoders import check_dimension, encoder
 from lexspark.functions import text as T
 from lexspark.operators import embed, extract, segment, summarize
 from lexspark.sources import acts
@@ -34,11 +34,11 @@ def summarized(df: DataFrame, config: Config = Config()) -> DataFrame:
     grid = tuple(g for g in summarize.GRID if g[0] != "sto_zakon_ureduje")
     scope = tuple(g for g in summarize.GRID if g[0] == "sto_zakon_ureduje")
     rows = with_text(df).withColumn("__scope", segment.scope_text(F.col("opis"), F.col("doc_segmented"), F.col("doc_cleaned")))
-    rows = summarize.summaries(summarize.summaries(rows, "doc_cleaned", grid, config.chunk_sentence_limit), "__scope", scope, config.chunk_sentence_limit)
+    own, limit = encoder(config.summarizer, config.max_tokens, config.embed_batch_size), config.chunk_sentence_limit
+    rows = summarize.summaries(summarize.summaries(rows, "doc_cleaned", grid, limit, own), "__scope", scope, limit, own)
     names = [g[0] for g in summarize.GRID[2:]]
     structured = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
-    own = F.struct(F.col("short"), F.col("detailed"), structured.alias("structured"))
-    return rows.withColumn("summaries", own).drop("__scope", *[g[0] for g in summarize.GRID])
+    return rows.withColumn("summaries", F.struct(F.col("short"), F.col("detailed"), structured.alias("structured"))).drop("__scope", *[g[0] for g in summarize.GRID])
 
 
 def extracted(df: DataFrame) -> DataFrame:
@@ -55,7 +55,9 @@ def embedded(df: DataFrame, id: str = "eli", config: Config = Config()) -> DataF
     text = F.transform(flat, lambda a: F.trim(F.array_join(F.flatten(F.transform(a["stavci"], lambda s: s["točke"])), " ")))
     articles = rows.select(id, F.posexplode(F.filter(text, lambda x: x != "")).alias("segment_order", "text"))
     texts = embed.levels(rows, articles, id, [g[0] for g in summarize.GRID])
-    out = embed.embed(texts, [id, "embedding_type", "segment_order"], "text", config.max_tokens, encoder(config.encoder))
+    check_dimension(config)
+    own = encoder(config.encoder, config.max_tokens, config.batch_size)
+    out = embed.embed(texts, [id, "embedding_type", "segment_order"], "text", config.max_tokens, own, F.col("embedding_type").isin(*embed.LONG))
     return out.withColumns({"model_name": F.lit(config.encoder), "embedding_dim": F.size("embedding"), "embedding": F.col("embedding").cast("array<float>")})
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 from lexspark.functions import vectors as V
-from lexspark.operators import embed, evaluate, extract, imports, index, search, segment, store, summarize
+from lexspark.operators import ann, embed, evaluate, extract, imports, index, search, segment, store, summarize
 from lexspark.operators.versions import Versions
 from lexspark.sources import acts, pages, sitemaps
 from lexspark.staging import shared_folder
@@ -317,6 +317,17 @@ def cosine_topk(spark, sf_dir):
     return embed.nearest(rows, "embedding", list(query), 10).select("vec_id", "label", "score")
 
 
+def hyperplane_neighbours(spark, sf_dir):
+    """For every hundredth vector its ten nearest by random-hyperplane buckets over all rows."""
+    rows, planes = table(spark, sf_dir, "embeddings"), ann.Planes(64)
+    return ann.nearest_in(ann.hyperplane_index(rows, planes), rows.where("vec_id % 100 = 0"), planes)
+
+
+def exact_neighbours(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.exact_nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
 def centroid_by_label(spark, sf_dir):
     rows = V.mean(table(spark, sf_dir, "embeddings"), ["label"], "embedding").select("label", F.posexplode("mean").alias("dim", "x"))
     return rows.select("label", "dim", F.round("x", 6).alias("x"))
@@ -352,7 +363,7 @@ def summary_grid(spark, sf_dir):
 def multi_level_embedding(spark, sf_dir):
     d = docs(spark, sf_dir).withColumn("short", F.col("naslov"))
     articles = segment.articles(carried(spark, sf_dir), "doc_id").withColumnRenamed("doc_id", "id")
-    out = embed.embed(embed.levels(d, articles, "id", ["short"]), ["id", "embedding_type", "segment_order"], "text")
+    out = embed.embed(embed.levels(d, articles, "id", ["short"]), ["id", "embedding_type", "segment_order"], "text", long=F.col("embedding_type").isin(*embed.LONG))
     return out.select("id", "embedding_type", "segment_order", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 6).alias("length"))
 
 
@@ -501,7 +512,7 @@ ALL: tuple[Callable, ...] = (
     clean_html, html_blocks, page_links, page_rows, page_headings, sitemap_locations, sitemap_pages, sentence_split, legal_sentence_split, parse_dates, normalize_issue, eli_paths,
     title_subjects, title_case, list_items, article_fallback, text_hash_join, segment_paragraphs, segment_articles, segment_preamble, stavak_groups,
     segment_nested, extract_deadlines, extract_obligations, extract_scope, extract_sanctions, extract_subjects, extract_bodies, keyinfo_panel,
-    dedupe_ordered, overlap_chunks, token_pack, l2_normalize, cosine_topk, centroid_by_label, mmr_select, extractive_summary, summary_grid,
+    dedupe_ordered, overlap_chunks, token_pack, l2_normalize, cosine_topk, hyperplane_neighbours, exact_neighbours, centroid_by_label, mmr_select, extractive_summary, summary_grid,
     multi_level_embedding, hybrid_rrf, fuzzy_search, fallback_merge, fallback_cases, suggest_fallback, enrich_results, search_highlights, search_index, index_manifest,
     latest_documents, upsert_documents, import_store, delete_cascade, incremental_skip, unique_violations, stage_counters, eval_prf, eval_separation,
 )

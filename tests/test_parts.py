@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lexspark import encoders
 from lexspark.config import Config
 from lexspark.functions import vectors as V
-from lexspark.operators import embed, search, summarize
+from lexspark.operators import ann, embed, search, summarize
+from lexspark.plans import pipeline
 from lexspark.sources import acts
 
 
@@ -92,3 +93,68 @@ def test_search_falls_back(spark):
     for backend in (fails, None):
         found, offline = search.dispatched(request, backend, index)
         assert offline and found.first()["eli"] == "a"
+
+
+class Letters:
+    """Letters as tokens, with vectors that depend on the letter, and no counting of its own."""
+
+    dimension = 3
+
+    def tokens(self, text):
+        return [ord(c) % 7 for c in text], [(i, i + 1) for i in range(len(text))]
+
+    def vectors(self, ids, mask):
+        return np.stack([ids, ids**2, np.ones_like(ids)], axis=2) * 1.0
+
+
+def test_token_encoders_cut_pad_and_pool():
+    texts = ["", None, "a", "abc", "x" * 40 + "y" * 1000, "Riječ riječi " * 400]
+    for known, most in ((Letters(), 40), (encoders.HashedWords(16), 512)):
+        encoders.register("tokens", known)
+        whole = encoders.encoder("tokens", most, 4)(texts)
+        assert whole.shape == (6, known.dimension) and (whole[:2] == 0).all()
+        for batch in (1, 2, 100):
+            assert np.allclose(encoders.encoder("tokens", most, batch)(texts), whole)
+        cut = [encoders.truncated(t or "", known, most) for t in texts]
+        assert len(cut[4]) == (40 if most == 40 else 1040) and np.allclose(encoders.encoder("tokens", 10**6)(cut), whole)
+        for text, row in zip(texts, whole, strict=True):
+            ids = np.array(known.tokens(text or "")[0][:most], np.int64)[None, :]
+            mean = known.vectors(ids, np.ones(ids.shape))[0].mean(axis=0) if ids.size else np.zeros(known.dimension)
+            assert np.allclose(row, mean / (np.linalg.norm(mean) or 1))
+
+
+def test_default_encoder_counts_words_as_before():
+    texts = ["Porez je porez.", "", "Šuma 12 šuma_b", "a " * 600]
+    assert np.allclose(encoders.encoder(encoders.DEFAULT)(texts), V.encoded(texts))
+    assert not np.allclose(encoders.encoder(encoders.DEFAULT)(["a " * 512 + "b"]), V.encoded(["a " * 512 + "b"]))
+
+
+def test_configured_encoders_make_summaries_and_vectors(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(texts):
+        calls.add(len(texts))
+        return np.arange(len(texts))[:, None] * np.ones((1, 2)) + 1
+
+    encoders.register("counting", counting)
+    df = spark.createDataFrame([("e", "T", "Jedan. Dva. Tri. Četiri. Pet.", "", "x")], "eli string, naslov string, doc_cleaned string, opis string, doc string")
+    none = "array<struct<`glava`: string, `članci`: array<struct<`članak`: string, stavci: array<struct<stavak: string, `točke`: array<string>>>>>>>"
+    df = df.withColumn("doc_segmented", F.lit(None).cast(none))
+    pipeline.summarized(df, Config(summarizer="counting")).collect()
+    assert calls.value > 0
+    with pytest.raises(ValueError, match="dimensions"):
+        pipeline.embedded(df.withColumn("summaries", F.struct(F.lit("s").alias("short"), F.lit("d").alias("detailed"), F.lit(None).cast("map<string,string>").alias("structured"))), config=Config(embedding_dim=384))
+
+
+def test_hyperplane_buckets_find_nine_of_ten(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    more = spark.createDataFrame([(10**6 + i, [1.0] * 64) for i in range(40)] + [(2 * 10**6, None), (2 * 10**6 + 1, [1.0]), (2 * 10**6 + 2, [0.0] * 64), (None, [1.0] * 64)], "vec_id long, embedding array<float>")
+    rows, planes = rows.unionByName(more), ann.Planes(64)
+    asked = rows.where("vec_id % 20 = 0 and vec_id < 1000001")
+    found, exact = ann.nearest_in(ann.hyperplane_index(rows, planes), asked, planes), ann.exact_nearest(rows.where("size(embedding) = 64"), asked)
+    got = ann.recall(found, exact).collect()
+    assert sum(r["found"] for r in got) >= 0.9 * sum(r["wanted"] for r in got) and len(got) == 26
+    copies = [r for r in found.collect() if r["query_id"] == 10**6]
+    assert [(r["id"], r["score"]) for r in sorted(copies, key=lambda r: r["rank"])] == [(10**6 + i, 1.0) for i in range(1, 11)]
+    with pytest.raises(ValueError):
+        ann.Planes(64, bits=4, probes=5)
