@@ -119,9 +119,15 @@ def strip_numeral(text: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    """Every letter that follows a letter in lower case, every other one in upper case."""
+    """Every letter that follows a letter in lower case, every other one in upper case; of a letter that has several
+    capitals, such as ß, the first alone."""
     marks = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(marks, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
+
+    def cased(x: Column) -> Column:
+        head = F.upper(F.substring(x, 1, 1))
+        return F.concat(F.substring(head, 1, 1), F.lower(F.concat(F.substr(head, F.lit(2)), F.substr(x, F.lit(2)))))
+
+    return F.array_join(F.transform(marks, cased), "")
 
 
 def title_subjects(title: Column) -> Column:

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("eli", "izdanje", "naslov", "vrsta", "datum", "donositelj", "brojDokumenta", "short_summary")
 
 
-def search_index(df: DataFrame) -> DataFrame:
+#: The collation by which dates are ordered as strings: that of Unicode's root, as browsers compare strings.
+COLLATION = "UNICODE"
+
+
+def newest_first(collation: str = COLLATION) -> list[Column]:
+    """The order of the index: `datum` as a string of the collation, descending, then eli. UTF8_BINARY orders by bytes."""
+    return [F.collate(F.coalesce("datum", F.lit("")), collation).desc(), F.col("eli")]
+
+
+def search_index(df: DataFrame, collation: str = COLLATION) -> DataFrame:
     """Eight fields of each document, newest `datum` first as strings go; missing titles are ''."""
     own = [F.coalesce(F.col(c), F.lit("")).alias(c) if c == "naslov" else F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in FIELDS]
-    return df.where(F.col("eli").isNotNull()).select(*own).orderBy(F.coalesce("datum", F.lit("")).desc(), "eli")
+    return df.where(F.col("eli").isNotNull()).select(*own).orderBy(*newest_first(collation))
 
 
-def latest(index: DataFrame, n: int = 6) -> DataFrame:
-    return index.orderBy(F.coalesce("datum", F.lit("")).desc(), "eli").limit(n)
+def latest(index: DataFrame, n: int = 6, collation: str = COLLATION) -> DataFrame:
+    return index.orderBy(*newest_first(collation)).limit(n)
 
 
 def row_digest(df: DataFrame):
@@ -32,12 +41,25 @@ def manifest(index: DataFrame) -> DataFrame:
     return sums.select(F.left(F.sha2(text, 256), F.lit(16)).alias("hash"), "count").select(F.concat(F.lit("search-index."), "hash", F.lit(".json")).alias("file"), "hash", "count")
 
 
+def _files(spark, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def write_index(index: DataFrame, root: str) -> str:
-    """Write the index under the name of its fingerprint, then the manifest; readers go by the manifest."""
-    one = manifest(index)
+    """Write the index under the name of its fingerprint, then the manifest; readers go by the manifest. Indexes of other names are removed last, so one
+    that is being loaded is there until the manifest names another. An index that is there already is not written again."""
+    spark, one = index.sparkSession, manifest(index)
     name = one.first()["file"]
-    index.write.mode("overwrite").json(f"{root}/{name}")
+    files, path = _files(spark, f"{root}/{name}/_SUCCESS")
+    if not files.exists(path):
+        index.write.mode("overwrite").json(f"{root}/{name}")
     one.withColumn("generatedAt", F.current_timestamp().cast("string")).coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+    files, path = _files(spark, root)
+    for status in files.listStatus(path):
+        other = status.getPath().getName()
+        if other.startswith("search-index.") and other != name:
+            files.delete(status.getPath(), True)
     return f"{root}/{name}"
 
 

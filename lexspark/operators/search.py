@@ -22,6 +22,7 @@ from lexspark.functions import fuzzy as fuzzy_texts
 from lexspark.functions import text as T
 
 from .deadline import within
+from .index import newest_first
 
 
 @dataclass(frozen=True)
@@ -141,10 +142,6 @@ def fuzzy(index: DataFrame, query: str, threshold: float = THRESHOLD, weights: d
     return own.where("__m.score is not null").withColumns({"score": F.round("__m.score", 6), "highlights": F.col("__m.highlights")}).drop("__m")
 
 
-def in_index_order() -> list[Column]:
-    return [F.coalesce("datum", F.lit("")).desc(), F.col("eli")]
-
-
 def exactly(index: DataFrame, vrsta: str | None = None, izdanje: str | None = None) -> DataFrame:
     """The browser's filters, which are exact."""
     if vrsta:
@@ -165,13 +162,13 @@ def fallback(index: DataFrame, query: str, vrsta: str | None = None, izdanje: st
     rows, q = exactly(index, vrsta, izdanje), normalized_query(query)
     none = F.array().cast("array<string>")
     if not q:
-        first = rows.orderBy(*in_index_order()).limit(cap).withColumns({"score": F.lit(None).cast("double"), "bucket": F.lit(0), "highlights": none})
+        first = rows.orderBy(*newest_first()).limit(cap).withColumns({"score": F.lit(None).cast("double"), "bucket": F.lit(0), "highlights": none})
     else:
         scored = rows.withColumn("__m", fuzzy_match(q)).withColumn("__close", F.col("__m.score").isNotNull())
         direct = F.coalesce(T.contains(F.col("naslov"), F.lit(q)), F.lit(False)) | F.coalesce(T.contains(F.col("short_summary"), F.lit(q)), F.lit(False))
         found = scored.where(F.col("__close") | direct).withColumns({"score": F.when(F.col("__close"), F.round("__m.score", 6)).otherwise(DIRECT), "bucket": F.col("__close").cast("int"), "highlights": F.when(F.col("__close"), F.col("__m.highlights")).otherwise(none)})
-        first = found.orderBy("bucket", F.desc("score"), *in_index_order()).limit(cap)
-    order = Window.orderBy("bucket", F.desc("score"), *in_index_order())  # over `cap` rows
+        first = found.orderBy("bucket", F.desc("score"), *newest_first()).limit(cap)
+    order = Window.orderBy("bucket", F.desc("score"), *newest_first())  # over `cap` rows
     return first.select("eli", F.row_number().over(order).alias("rank"), "score", "bucket", "highlights")
 
 
@@ -219,7 +216,7 @@ def suggestions(query: str, index: DataFrame, backend: Callable[[str], DataFrame
             return spark.createDataFrame([tuple(r) for r in rows], "eli string, naslov string")
         except Exception:
             pass
-    return fuzzy(index, query).orderBy(F.desc("score"), *in_index_order()).limit(limit).select("eli", "naslov")
+    return fuzzy(index, query).orderBy(F.desc("score"), *newest_first()).limit(limit).select("eli", "naslov")
 
 
 def highlights(text: Column, query: str, most: int = 3) -> Column:

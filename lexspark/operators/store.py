@@ -191,7 +191,10 @@ def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
 
 
 def drop_if_resized(vectors: DataFrame, dim: int) -> DataFrame:
-    """The vectors, or none at all when they are of another dimension than the one configured."""
+    """The vectors, or none at all when they are of another dimension than the one configured. Where the column's metadata says the dimension, no vector is read."""
+    known = vectors.schema["embedding"].metadata.get("dim")
+    if known is not None:
+        return vectors if known == dim else vectors.limit(0)
     other = vectors.where(F.size("embedding") != dim).take(1)
     return vectors.limit(0) if other else vectors
 
@@ -206,13 +209,17 @@ def purge(spark: SparkSession, key: str | None, given: str | None) -> dict[str,
 
 
 def write_version(df: DataFrame, root: str, version: int) -> str:
-    """Write a table's next version and point to it; the one before stays until it is no longer read."""
+    """Write a table's next version, then one empty file that names it: readers go by the greatest name, so there is no moment without a version. The
+    one before stays until it is no longer read. Several tables that change together: operators/versions."""
     path = f"{root}/v={version}"
     df.write.mode("overwrite").parquet(path)
-    df.sparkSession.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{root}/_current")
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    mark = jvm.org.apache.hadoop.fs.Path(f"{root}/_current/{version:020d}")
+    mark.getFileSystem(conf).create(mark, True).close()
     return path
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.parquet(f"{root}/_current").first()[0]
-    return spark.read.parquet(f"{root}/v={version}")
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
+    found = [s.getPath().getName() for s in marks.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(marks)]
+    return spark.read.parquet(f"{root}/v={max(int(n) for n in found if n.isdigit())}")

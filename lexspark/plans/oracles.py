@@ -69,13 +69,41 @@ def _deadlines(text: str, keep: str = "doc_id") -> str:
 
 def _panel() -> str:
     added = ("dužan je", "primjenjuje se na sve", "novčana kazna u roku od 8 dana")
-    parts = [f"select 'obligations' as section, doc_id from ({_deduped(f'select doc_id, p as ord, x from phrased where {_holding(hr.OBLIGATION)}', 250)})"]
-    parts += [f"select 'scope', doc_id from ({_deduped(f'select doc_id, p as ord, x from phrased where {_holding(hr.SCOPE)}', 250)})", f"select 'sanctions', doc_id from ({_deduped(f'select doc_id, p as ord, x from phrased where {_holding(hr.SANCTION)}', 250)})"]
-    parts += [f"select 'deadlines', doc_id from ({_deadlines('x')})"]
+    parts = [f"select '{name}' as section, doc_id, pos, item from ({_deduped(f'select doc_id, p as ord, x from phrased where {_holding(phrases)}', 250)})" for name, phrases in (("obligations", hr.OBLIGATION), ("scope", hr.SCOPE), ("sanctions", hr.SANCTION))]
+    parts += [f"select 'deadlines', doc_id, pos, item from ({_deadlines('x')})"]
     return f"""with {_phrased(*added)}, texts as (select doc_id, string_agg(x, chr(10) order by p) as x from phrased group by doc_id),
- found as (select section, doc_id, count(*) as n from ({' union all '.join(parts)}) group by all),
+ found as (select section, doc_id, count(*) as n, sha256(string_agg(item, chr(10) order by pos) filter (pos < 5)) as digest from ({' union all '.join(parts)}) group by all),
  keyed as (select doc_id, bool_or(section in ('obligations', 'deadlines')) as has_key_info from found group by doc_id)
- select doc_id, has_key_info, section, least(n, 5)::bigint as shown, greatest(n - 5, 0)::bigint as more from found join keyed using (doc_id)"""
+ select doc_id, has_key_info, section, least(n, 5)::bigint as shown, digest, greatest(n - 5, 0)::bigint as more from found join keyed using (doc_id)"""
+
+
+def _titled(t: str) -> str:
+    """The text with a capital at the start of each run of letters; ß has two."""
+    cs = f"string_split({t}, '')"
+    return f"(select array_to_string(list_transform(range(1, len(q.cs) + 1), lambda i: case when i > 1 and regexp_matches(q.cs[i - 1], '^\\p{{L}}') then lower(q.cs[i]) when q.cs[i] = 'ß' then 'Ss' else upper(q.cs[i]) end), '') from (select {cs} as cs) q)"
+
+
+def _list_items() -> str:
+    blank = r"'^\s+|\s+$'"
+    return rf"""with recursive {LINES}, marked as (select doc_id, p, case p % 4 when 1 then '1. ' || x when 2 then '2. ' || x when 3 then '- ' || x else x end as line from lines),
+ own as (select *, regexp_replace(line, {blank}, '', 'g') as o from marked),
+ flagged as materialized (select doc_id, p, line, o, regexp_matches(o, '^[0-9]+\.\s*.') as numbered, regexp_matches(o, '^-\s*.') as dashed, case when regexp_matches(o, '^[0-9]+\.\s*.') then regexp_extract(o, '^([0-9]+)\.', 1)::double end as number,
+  regexp_replace(o, '^([0-9]+\.|-)\s*', '') as body, regexp_matches(o, '^([a-zäöü]|$)') as small from own),
+ fold as (select doc_id, p, 0 as block, case when numbered then 'decimal' when dashed then 'disc' else 'paragraph' end as kind, coalesce(number, 0) as last, case when numbered or dashed then body else line end as item from flagged where p = 0
+  union all select doc_id, p, case when same then block else block + 1 end, case when same then kind when numbered then 'decimal' when dashed then 'disc' else 'paragraph' end, coalesce(number, 0), case when numbered or dashed and not same then body when same then o else line end
+  from (select f.doc_id, g.p, f.block, f.kind, g.line, g.o, g.numbered, g.dashed, g.number, g.body, g.numbered and f.kind = 'decimal' and (g.number = f.last + 1 or f.last = 0) or not g.numbered and not g.dashed and f.kind <> 'paragraph' and g.small as same
+   from fold f join flagged g on g.doc_id = f.doc_id and g.p = f.p + 1))
+ select doc_id, block as pos, any_value(kind) as kind, count(*)::int as n, sha256(string_agg(item, chr(10) order by p)) as digest from fold group by doc_id, block"""
+
+
+def _legal_sentences() -> str:
+    words = "|".join(hr.ABBREVIATIONS)
+    return rf"""with cut as (select doc_id, string_split(regexp_replace(trim(text), '([.!?])(\s+)([A-ZŠĐČĆŽ])', '\1' || chr(1) || '\2\3', 'g'), chr(1)) as ps from documents),
+ pieces as (select doc_id, unnest(range(len(ps))) as i, unnest(ps) as x from cut),
+ told as (select *, regexp_matches(x, '[0-9][.!?]$') or regexp_matches(x, {_quoted(f'(?i)(?:^|[ ])(?:{words})[.!?]$')}) or regexp_matches(x, '(?:^|[ ])\S?[.!?]$') as goes_on from pieces),
+ runs as (select *, coalesce(sum((not goes_on)::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as run from told),
+ whole as (select doc_id, run, string_agg(x, '' order by i) as x from runs group by doc_id, run)
+ select doc_id, (row_number() over (partition by doc_id order by run) - 1)::int as pos, s as sentence from (select doc_id, run, trim(case when run > 0 then regexp_replace(x, '^\s+', '') else x end) as s from whole) where s <> ''"""
 
 
 # Fields of the fuzzy search and their weights.
@@ -127,7 +155,7 @@ def _fallback(query: str, scored: str) -> str:
  (select eli, datum, marks, (score is not null)::int as bucket, coalesce(score, 0.99) as s from {scored} where score is not null or contains(lower(naslov), {q}) or contains(lower(short_summary), {q}) order by bucket, s desc, datum desc, eli limit 20)"""
 
 
-INDEX = f"""{DOCS}, idx as (select eli, izdanje, naslov, vrsta, datum, donositelj, null::varchar as "brojDokumenta", left(naslov, 40) as short_summary from docs)"""
+INDEX = f"""{DOCS}, idx as (select eli, izdanje, naslov, vrsta, datum, donositelj, null::varchar as "brojDokumenta", donositelj || ': ' || naslov as short_summary from docs)"""
 
 
 def _manifest() -> str:
@@ -172,6 +200,12 @@ def oracle_sql() -> dict[str, str]:
  from (select id, trim(case when id % 3 = 0 then replace(izdanje, 'NN ', '') when id % 3 = 1 then replace(izdanje, 'NN ', ' nn  ') else 'x ' || izdanje end) as t from docs)""",
         "eli_paths": docs + "select id, replace(eli, '/eli/sluzbeni/', '') as path, '/documents' || eli as page, '/data' || eli || '.json' as url, string_split(eli, '/')[4] as year, string_split(eli, '/')[5] as issue, string_split(eli, '/')[6] as document from docs",
         "title_subjects": docs + f"select id, array_to_string({titled}, '|') as subjects from (select id, 'Zakon o ' || naslov || ' (prečišćeni tekst) i dopunama' as t from docs)",
+        "title_case": docs + f"select id, {_titled('naslov')} as title from docs",
+        "list_items": _list_items(),
+        "legal_sentence_split": _legal_sentences(),
+        "extract_subjects": f"""with {_phrased('')}, firsts as (select doc_id, x as h, 'Zakon o ' || x as t from phrased where p = 0), titled as (select doc_id, {titled} as s from firsts)
+ {_deduped(f"""select doc_id, j as ord, x from (select doc_id, unnest(range(len(s))) as j, unnest(s) as x from titled) union all select doc_id, 1000000, trim(regexp_replace('IV. ' || h, '^[IVX]+[.]?[ \\t\\r\\n\\f]+', '')) from firsts
+ union all select doc_id, 2000000 + p, {_titled("trim(regexp_replace(x, '^[IVXLC]+[.]' || chr(92) || 's+', ''))")} from phrased where regexp_matches(x, {_quoted(hr.CAPITAL_HEADING)})""", hr.LENGTHS['subjects'])}""",
         "article_fallback": rf"""with {LINES}, marked as (select doc_id, p, trim(case when p % 21 = 20 then 'IV. NASLOV ' || p when p % 7 = 3 then 'Član ' || p || '.' when p % 3 = 1 then '(' || p || ') ' || trim(x) else x end) as x from lines),
  pieces as (select doc_id, list_filter(list_transform(string_split(regexp_replace(string_agg(x, ' ' order by p), '(Član\s+\d+\.)', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as ps from marked group by doc_id)
  select doc_id, pos, regexp_extract(x, '^Član\s+\d+\.[^. ]*') as heading, trim(regexp_replace(x, '^Član\s+\d+\.[^. ]*', '')) as body from (select doc_id, unnest(range(len(ps)))::int as pos, unnest(ps) as x from pieces)""",
@@ -181,7 +215,10 @@ def oracle_sql() -> dict[str, str]:
  select doc_id, (row_number() over (partition by doc_id order by article_run) - 1)::int as segment_order, chapter, article, text from arts where text <> ''""",
         "segment_preamble": carried + "select doc_id, string_agg(text, ' ' order by pos) as opis from carried where article is null group by doc_id",
         "stavak_groups": carried + "select doc_id, article_run::bigint as article_run, label_run::bigint as label_run, max(label) as label, count(*) as n from carried where article is not null group by doc_id, article_run, label_run",
-        "segment_nested": carried + "select doc_id, count(distinct chapter_run)::bigint as n_chapters, count(distinct article_run)::bigint as n_articles, count(*)::bigint as n_items from carried where article is not null group by doc_id",
+        "segment_nested": carried + """, g as (select doc_id, chapter_run, article_run, label_run, any_value(chapter) as ch, any_value(article) as art, '$' || coalesce(max(label), '') || '|' || string_agg(text, '|' order by pos) as x, count(*) as n from carried where article is not null group by all),
+ a as (select doc_id, chapter_run, article_run, any_value(ch) as ch, '@' || any_value(art) || string_agg(x, '' order by label_run) as x, sum(n) as n from g group by doc_id, chapter_run, article_run),
+ c as (select doc_id, chapter_run, '#' || coalesce(any_value(ch), '') || string_agg(x, '' order by article_run) as x, count(*) as articles, sum(n) as n from a group by doc_id, chapter_run)
+ select doc_id, sha256(string_agg(x, '' order by chapter_run)) as digest, count(*)::bigint as n_chapters, sum(articles)::bigint as n_articles, sum(n)::bigint as n_items from c group by doc_id""",
         "extract_deadlines": f"with texts as (select doc_id, text || ' najkasnije u roku od ' || (doc_id % 60) || ' dana. Do 31. prosinca 1985. godine; u roku 15 dana.' as x from documents) {_deadlines('x')}",
         "extract_obligations": _extracted("obligations", hr.OBLIGATION, "dužan je", "MORAJU SE"),
         "extract_scope": _extracted("scope", hr.SCOPE, "primjenjuje se na sve", "ovim zakonom uređuje se"),

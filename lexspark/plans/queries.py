@@ -237,7 +237,9 @@ def stavak_groups(spark, sf_dir):
 
 def segment_nested(spark, sf_dir):
     out = segment.nested(carried(spark, sf_dir), "doc_id")
-    return out.select("doc_id", F.size("doc_segmented").cast("long").alias("n_chapters"), F.size(segment.article_previews(F.col("doc_segmented"))).cast("long").alias("n_articles"), F.size(segment.items(F.lit(""), F.col("doc_segmented"))).cast("long").alias("n_items"))
+    groups = lambda a: F.transform(a["stavci"], lambda s: F.concat(F.lit("$"), F.coalesce(s["stavak"], F.lit("")), F.lit("|"), F.array_join(s["točke"], "|")))
+    chapter = lambda c: F.concat(F.lit("#"), F.coalesce(c["glava"], F.lit("")), F.array_join(F.transform(c["članci"], lambda a: F.concat(F.lit("@"), a["članak"], F.array_join(groups(a), ""))), ""))
+    return out.select("doc_id", F.sha2(F.array_join(F.transform("doc_segmented", chapter), ""), 256).alias("digest"), F.size("doc_segmented").cast("long").alias("n_chapters"), F.size(segment.article_previews(F.col("doc_segmented"))).cast("long").alias("n_articles"), F.size(segment.items(F.lit(""), F.col("doc_segmented"))).cast("long").alias("n_items"))
 
 
 def _phrased(spark, sf_dir, *phrases: str) -> DataFrame:
@@ -290,7 +292,7 @@ def key_info(spark, sf_dir) -> DataFrame:
 
 def keyinfo_panel(spark, sf_dir):
     rows = key_info(spark, sf_dir).select("doc_id", extract.has_key_info(F.col("info")).alias("has_key_info"), F.explode(extract.panel(F.col("info"))).alias("z"))
-    return rows.select("doc_id", "has_key_info", "z.section", F.size("z.items").cast("long").alias("shown"), F.col("z.more").cast("long").alias("more"))
+    return rows.select("doc_id", "has_key_info", "z.section", F.size("z.items").cast("long").alias("shown"), F.sha2(F.array_join("z.items", "\n"), 256).alias("digest"), F.col("z.more").cast("long").alias("more"))
 
 
 def dedupe_ordered(spark, sf_dir):
@@ -414,7 +416,7 @@ def search_highlights(spark, sf_dir):
 
 
 def search_index(spark, sf_dir):
-    return index.search_index(docs(spark, sf_dir).withColumn("short_summary", F.left("naslov", F.lit(40))))
+    return index.search_index(docs(spark, sf_dir).withColumn("short_summary", F.concat("donositelj", F.lit(": "), "naslov")))
 
 
 def index_manifest(spark, sf_dir):

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.operators import search
+from lexspark.operators import index, search
 from lexspark.operators.deadline import within
 
 
@@ -25,24 +25,24 @@ def test_fuzzy_finds_misspelled_words_inside_fields(spark):
 
 
 def test_direct_matches_and_issues_and_blank_queries(spark):
-    index = index_of(spark, ROWS)
-    direct = search.fallback(index, " q ").collect()  # one letter has no run of two, but stands in a summary
+    own = index_of(spark, ROWS)
+    direct = search.fallback(own, " q ").collect()  # one letter has no run of two, but stands in a summary
     assert [(r.eli, r.rank, r.score, r.bucket, r.highlights) for r in direct] == [("d", 1, 0.99, 0, [])]
-    assert search.fallback(index, "10/1990").first()["eli"] == "a" and search.fallback(index, "nn  11/1990").first()["eli"] == "b"
-    assert [r.eli for r in search.fallback(index, " \t").orderBy("rank").collect()] == ["d", "b", "a", "c"]
-    assert [r.eli for r in search.fallback(index, "", izdanje="12/1990").collect()] == ["c"]
-    assert search.fallback(index, "zakon", vrsta="Uredba").collect() == []
+    assert search.fallback(own, "10/1990").first()["eli"] == "a" and search.fallback(own, "nn  11/1990").first()["eli"] == "b"
+    assert [r.eli for r in search.fallback(own, " \t").orderBy("rank").collect()] == ["d", "b", "a", "c"]
+    assert [r.eli for r in search.fallback(own, "", izdanje="12/1990").collect()] == ["c"]
+    assert search.fallback(own, "zakon", vrsta="Uredba").collect() == []
     assert search.normalized_query(" NN 7/2001 ") == "NN 7/2001" and search.normalized_query("NN 7/20011") == "NN 7/20011"
 
 
 def test_results_keep_the_backends_order(spark):
-    index = index_of(spark, ROWS)
+    own = index_of(spark, ROWS)
     backend = lambda _: spark.createDataFrame([("b", 0.5), ("gone", 0.45), ("a", 0.4)], "eli string, score double").coalesce(1)
-    found, offline = search.search_documents("zakon", index, backend)
+    found, offline = search.search_documents("zakon", own, backend, seconds=90)
     assert not offline and [(r.eli, r.match_score, r.match_type, r.highlights) for r in found.collect()] == [("b", 0.5, "hybrid", []), ("a", 0.4, "hybrid", [])]
     ranked = spark.createDataFrame([("a", 2), ("b", 1)], "eli string, rank int")
-    assert [r.eli for r in search.enriched(ranked, index).collect()] == ["b", "a"]
-    found, offline = search.search_documents("", index, backend)  # no backend takes a blank query
+    assert [r.eli for r in search.enriched(ranked, own).collect()] == ["b", "a"]
+    found, offline = search.search_documents("", own, backend)  # no backend takes a blank query
     assert offline and [r.eli for r in found.collect()] == ["d", "b", "a", "c"]
 
 
@@ -56,8 +56,8 @@ def running(spark):
 
 
 def test_a_slow_backend_falls_back_in_time_and_leaves_no_job(spark):
-    index = index_of(spark, ROWS)
-    for call in (lambda: search.search_documents("zakon", index, lambda _: slow(spark), seconds=1.5)[0].collect(), lambda: search.suggestions("zakon", index, lambda _: slow(spark).withColumn("naslov", F.lit("x")), seconds=1.5).collect()):
+    own = index_of(spark, ROWS)
+    for call in (lambda: search.search_documents("zakon", own, lambda _: slow(spark), seconds=1.5)[0].collect(), lambda: search.suggestions("zakon", own, lambda _: slow(spark).withColumn("naslov", F.lit("x")), seconds=1.5).collect()):
         began = time.monotonic()
         assert [r.eli for r in call()][0] == "a"
         assert time.monotonic() - began < 30
@@ -92,6 +92,25 @@ def test_a_call_that_goes_on_after_its_time_gets_no_more_jobs(spark):
 
 
 def test_suggestions(spark):
-    index = index_of(spark, ROWS)
-    assert [tuple(r) for r in search.suggestions("x", index, lambda q: spark.createDataFrame([("e", "t")], "eli string, naslov string")).collect()] == [("e", "t")]
-    assert search.suggestions("porez", index).first()["eli"] == "a"
+    own = index_of(spark, ROWS)
+    assert [tuple(r) for r in search.suggestions("x", own, lambda q: spark.createDataFrame([("e", "t")], "eli string, naslov string")).collect()] == [("e", "t")]
+    assert search.suggestions("porez", own).first()["eli"] == "a"
+
+
+def test_the_index_is_ordered_as_strings_are_compared(spark):
+    words = ["z", "ž", "s", "š", "c", "č", "cz", "ča", "Ž", "", None, "10.1.1990.", "9.1.1990.", "1.1.1990."]
+    df = spark.createDataFrame([(w, f"e{i}") for i, w in enumerate(words)], "datum string, eli string")
+    got = [r["datum"] for r in df.orderBy(*index.newest_first()).collect()]
+    assert got == ["Ž", "ž", "z", "š", "s", "cz", "ča", "č", "c", "9.1.1990.", "10.1.1990.", "1.1.1990.", None, ""]  # equal dates by eli
+    bytes_ = [r["datum"] for r in df.orderBy(*index.newest_first("UTF8_BINARY")).collect()]
+    assert bytes_[:6] == ["ž", "Ž", "š", "ča", "č", "z"]
+
+
+def test_old_indexes_are_removed(spark, tmp_path):
+    rows = spark.createDataFrame([(f"e{i}", "t", f"{i}.1.1990.") for i in range(4)], "eli string, naslov string, datum string")
+    first = index.write_index(index.search_index(rows), str(tmp_path))
+    again = index.write_index(index.search_index(rows), str(tmp_path))
+    assert first == again and index.load_index(spark, str(tmp_path)).count() == 4
+    second = index.write_index(index.search_index(rows.limit(2)), str(tmp_path))
+    assert second != first and index.load_index(spark, str(tmp_path)).count() == 2
+    assert sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == sorted(["manifest", second.split("/")[-1]])

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
+from lexspark.encoders import DEFAULT, encoder
 from lexspark.functions import vectors as V
 from lexspark.operators import evaluate, extract, search, store, summarize
 from lexspark.sources import acts
@@ -96,11 +97,12 @@ def test_summaries(spark):
     assert out[1].short == "Jedan. Dva." and out[3].short == "" and out[4].short is None and len(out[2].detailed.split(". ")) == 8
     # chunks are held against their own texts, and what is left against the text that it makes
     items = [f"Word{i} thing{i % 7} other." for i in range(250)]
-    vectors, places = V.encoded(items), []
+    encode = encoder(DEFAULT)
+    vectors, places = encode(items), []
     for a in range(0, 250, 95):
         part = np.arange(a, min(a + 100, 250))
-        places += part[summarize.chosen(vectors[part], V.encoded([" ".join(items[p] for p in part)])[0], 3, 0.65)].tolist()
-    query = V.encoded([" ".join(items[p] for p in places)])[0]
+        places += part[summarize.chosen(vectors[part], encode([" ".join(items[p] for p in part)])[0], 3, 0.65)].tolist()
+    query = encode([" ".join(items[p] for p in places)])[0]
     assert out[2].detailed == " ".join(items[places[p]] for p in summarize.chosen(vectors[places], query, 8, 0.65))
     one_ = {r.id: r.summary for r in summarize.summary(df, "x", 2).collect()}
     assert one_[1] == "Jedan. Dva." and len(one_[5].split()) == 4
