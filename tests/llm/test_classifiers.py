@@ -119,3 +119,20 @@ def test_lexicon_holds_every_term_with_evidence(spark):
     words = [f"{j:03d}abcdefg" for j in range(500)]
     rows = [(i, i % 2, " ".join(words) if i % 2 else "plain text") for i in range(50)]
     assert {t for t, _ in toxicity.learn_words(spark.createDataFrame(rows, "i long, y int, x string"))} == set(words)
+
+
+def test_query_scores_equal_a_plain_loop_over_the_tables(spark, sf_dir):
+    import bisect
+    import math
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in queries.op7_quality_gam(spark, sf_dir).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        (row,) = quality.features(pa.array([text], pa.string())).tolist()
+        total = model.base + sum(t[bisect.bisect_right(e.tolist(), x)] for e, t, x in zip(model.edges, model.tables, row, strict=True))
+        places = [bisect.bisect_right(e.tolist(), x) for e, x in zip(model.coarse, row, strict=True)]
+        total += sum(plane[places[a], places[b]] for (a, b), plane in zip(model.pairs, model.planes, strict=True))
+        assert abs(got[i] - 1 / (1 + math.exp(-total))) < 1e-9

@@ -162,3 +162,36 @@ def test_exact_sets():
         one, two = np.divmod(np.arange(len(texts) ** 2), len(texts))
         assert found.size.tolist() == [len(s) for s in wanted]
         assert found.common(one, two).tolist() == [len(wanted[i] & wanted[j]) for i, j in zip(one, two, strict=True)]
+
+
+def test_the_query_misses_no_link_on_a_larger_table(spark):
+    """All pairs that share a shingle, by counting, over a table on which node sizes differ."""
+    import re
+    from collections import Counter, defaultdict
+
+    from lexspark.llm.queries import op4_chosen_path_near_dedup
+
+    sf_dir = "/root/testdata/sf0.01"
+    sets = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or ""))
+        sets[r["doc_id"]] = {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    holders = defaultdict(list)
+    for i, own in sets.items():
+        for s in own:
+            holders[s].append(i)
+    common = Counter((a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    least = {i: i for i in sets}
+
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for (a, b), n in common.items():
+        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((top(a), top(b)))
+            least[y] = x
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in op4_chosen_path_near_dedup(spark, sf_dir).collect()}
+    assert got == {i: (len(s), top(i), top(i) == i) for i, s in sets.items()}
+    assert sum(not kept for _, _, kept in got.values()) > 20

@@ -48,3 +48,18 @@ def test_slots_sizes_and_awkward_rows(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert Counter((r.size, r.text_crc32) for r in out) == Counter(((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in want.elements()))
     assert sharding.shard(df.limit(0), 16).count() == 0
+
+
+def test_the_query_places_every_document_as_the_loop_does(spark, sf_dir):
+    from lexspark.llm.queries import op2_jump_sharding
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = op2_jump_sharding(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    slots = defaultdict(list)
+    for r in rows:
+        body = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(body) + 1, zlib.crc32(body), "key")
+        assert r["shard"] == plain_jump(r["doc_id"], 16) and r["grown_shard"] == plain_jump(r["doc_id"], 17)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
