@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +27,18 @@ def separation(df: DataFrame, similarity: Column, label: Column, digits: int = 6
     """Mean similarity of all, similar (label 1) and other pairs, and the difference of the latter two."""
     rows = df.agg(F.avg(similarity).alias("m"), F.avg(F.when(label == 1, similarity)).alias("a"), F.avg(F.when(label == 0, similarity)).alias("b"))
     return rows.select(F.round("m", digits).alias("mean_all"), F.round("a", digits).alias("mean_similar"), F.round("b", digits).alias("mean_dissimilar"), F.round(F.col("a") - F.col("b"), digits).alias("separation"))
+
+
+def pair_similarity(a: Column, b: Column, encoder: Callable[[list[str]], np.ndarray]) -> Column:
+    """The cosine of the vectors of two texts, each encoded by itself, so no filling up of batches and no mask takes part; 0 if one has no length."""
+
+    @F.arrow_udf("double")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            u, v = encoder([x or ""])[0], encoder([y or ""])[0]
+            length = float(np.linalg.norm(u) * np.linalg.norm(v))
+            out.append(float(u @ v) / length if length else 0.0)
+        return pa.array(out, pa.float64())
+
+    return run(a, b)

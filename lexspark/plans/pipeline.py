@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexspark.config import Config
 from lexspark.encoders import check_dimension, encoder
 from lexspark.functions import text as T
-from lexspark.operators import embed, extract, segment, summarize
+from lexspark.operators import embed, extract, imports, segment, summarize
+from lexspark.operators.versions import Versions
 from lexspark.sources import acts
 
 
@@ -73,3 +75,25 @@ def run(raw: DataFrame, save: Callable[[DataFrame, str], DataFrame] = lambda df,
         except Exception as error:
             raise RuntimeError(f"stage {name} failed") from error
     return df, save(embedded(df, config=config), "embed")
+
+
+def enriched(documents: DataFrame, vectors: DataFrame, id: str = "eli") -> DataFrame:
+    """What run() gives as acts ready for the import: documents with their vectors as one struct, and a path made of the identifier. A document's vectors are
+    as many as its texts."""
+    flat = F.flatten(F.transform("doc_segmented", lambda c: c["članci"]))
+    text = F.filter(F.transform(flat, lambda a: F.trim(F.array_join(F.flatten(F.transform(a["stavci"], lambda s: s["točke"])), " "))), lambda x: x != "")
+    of = lambda kind: F.max(F.when(F.col("embedding_type") == kind, F.col("embedding")))
+    named = F.collect_list(F.when(F.col("embedding_type").startswith("summary_"), F.struct(F.expr("substring(embedding_type, 9)").alias("key"), F.col("embedding").alias("value"))))
+    parts = F.array_sort(F.collect_list(F.when(F.col("embedding_type") == "segment", F.struct("segment_order", "embedding"))))
+    own = vectors.groupBy(id).agg(F.max("model_name").alias("model_name"), F.max("embedding_dim").alias("embedding_dim"), of("document").alias("document_embedding"), of("title").alias("title_embedding"), F.map_from_entries(named).alias("summary_embeddings"), parts.alias("__parts"))
+    rows = documents.join(own, id, "left").withColumn("__texts", text)
+    segments = F.transform("__parts", lambda p: F.struct(F.lit(None).cast("string").alias("glava"), F.lit(None).cast("string").alias("članak"), F.get("__texts", p["segment_order"]).alias("text"), p["embedding"].alias("embedding")))
+    kinds = StructType.fromDDL(imports.ENRICHED)
+    made = {"path": F.concat(F.lit("acts"), F.col(id), F.lit(".json")), "embeddings": F.when(F.col("model_name").isNotNull(), F.struct("model_name", "embedding_dim", "document_embedding", "title_embedding", "summary_embeddings", segments.alias("segment_embeddings")))}
+    rows = rows.withColumns(made)
+    return rows.select("path", *[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+
+
+def store_acts(spark: SparkSession, root: str, documents: DataFrame, vectors: DataFrame, config: Config = Config()) -> imports.Outcome:
+    """Import what run() gives into the store below root, in one commit."""
+    return imports.import_acts(spark, Versions(spark, root), enriched(documents, vectors), config.embedding_dim)

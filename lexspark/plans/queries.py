@@ -335,23 +335,8 @@ def centroid_by_label(spark, sf_dir):
     return rows.select("label", "dim", F.round("x", 6).alias("x"))
 
 
-def mmr_groups(df: DataFrame, group: str, id: str, vector: str, k: int, weight: float, digits: int = 6) -> DataFrame:
-    """(group, id, pick): k rows of each group by marginal relevance to the group's mean. Each pick is one maximum per
-    group, combined before the shuffle, so groups may be of any size; ties go to the least id."""
-    rows = df.join(V.mean(df, [group], vector, "__c"), group).withColumn("__r", F.round(V.cosine(F.col(vector), F.col("__c")), digits)).drop("__c")
-    rows = rows.withColumn("__m", F.lit(None).cast("double"))
-    picks = None
-    for n in range(k):
-        score = F.round(F.col("__r") if n == 0 else weight * F.col("__r") - (1 - weight) * F.col("__m"), digits)
-        best = rows.withColumn("__s", score).groupBy(group).agg(F.min(F.struct((-F.col("__s")).alias("s"), id, vector)).alias("z")).select(group, F.col(f"z.{id}").alias("__id"), F.col(f"z.{vector}").alias("__v"))
-        own = best.select(group, F.col("__id").alias(id), F.lit(n).alias("pick"))
-        picks = own if picks is None else picks.unionByName(own)
-        rows = rows.join(best, group).where(F.col(id) != F.col("__id")).withColumn("__m", F.greatest("__m", F.round(V.cosine(F.col(vector), F.col("__v")), digits))).drop("__id", "__v")
-    return picks
-
-
 def mmr_select(spark, sf_dir):
-    return mmr_groups(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 3, 0.7)
+    return summarize.mmr_groups(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 3, 0.7)
 
 
 def extractive_summary(spark, sf_dir):

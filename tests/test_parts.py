@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexspark import encoders
 from lexspark.config import Config
 from lexspark.functions import vectors as V
-from lexspark.operators import ann, embed, search, summarize
+from lexspark.operators import ann, embed, evaluate, search, summarize
 from lexspark.plans import pipeline
 from lexspark.sources import acts
 
@@ -158,3 +158,11 @@ def test_hyperplane_buckets_find_nine_of_ten(spark, sf_dir):
     assert [(r["id"], r["score"]) for r in sorted(copies, key=lambda r: r["rank"])] == [(10**6 + i, 1.0) for i in range(1, 11)]
     with pytest.raises(ValueError):
         ann.Planes(64, bits=4, probes=5)
+
+
+def test_pairs_are_encoded_one_by_one(spark):
+    rows = [("Porez na dohodak", "dohodak i porez", 1), ("Porez", "Šuma je zelena", 0), ("", "x", 0), (None, None, 1)]
+    df = spark.createDataFrame(rows, "a string, b string, label int").withColumn("s", evaluate.pair_similarity(F.col("a"), F.col("b"), encoders.encoder(encoders.DEFAULT)))
+    want = [float(V.encoded([a or ""])[0] @ V.encoded([b or ""])[0]) for a, b, _ in rows]
+    assert [r.s for r in df.collect()] == pytest.approx(want)
+    assert evaluate.separation(df, F.col("s"), F.col("label")).first()["mean_similar"] == pytest.approx((want[0] + want[3]) / 2, abs=1e-6)

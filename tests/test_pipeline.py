@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexspark.config import Config
 from lexspark.operators import index, store
+from lexspark.operators.versions import Versions
 from lexspark.plans import pipeline
 from lexspark.sources import acts
 from lexspark.streaming.incremental import enrich_stream
@@ -34,6 +35,14 @@ def test_raw_acts_to_vectors(spark, tmp_path):
     assert set(r.summaries.structured) == {"sto_zakon_ureduje", "na_koga_se_odnosi", "sto_uvodi_ili_mijenja"}
     kinds = sorted(v.embedding_type for v in vectors.collect())
     assert kinds.count("segment") == 2 and "title" in kinds and "summary_structured_na_koga_se_odnosi" in kinds
+    done = pipeline.store_acts(spark, str(tmp_path / "store"), documents, vectors)
+    tables = {n: df.collect() for n, df in Versions(spark, str(tmp_path / "store")).tables().items()}
+    assert (done.processed, done.errors) == (1, 0) and [d["eli"] for d in tables["documents"]] == [eli.format(1)]
+    assert [(s["clanak_label"], s["segment_order"]) for s in sorted(tables["document_segments"], key=lambda s: s["segment_order"])] == [("Član 1.", 0), ("Član 2.", 1)]
+    assert sorted(v["embedding_type"] for v in tables["document_embeddings"]) == kinds and all(len(v["embedding"]) == 64 for v in tables["document_embeddings"])
+    assert {v["segment_id"] for v in tables["document_embeddings"] if v["embedding_type"] == "segment"} == {s["id"] for s in tables["document_segments"]}
+    assert tables["document_key_information"][0]["deadlines"] == ["u roku od 8 dana"]
+    assert {s["summary_type"] for s in tables["document_summaries"]} >= {"short", "detailed"}
 
 
 def test_sinks_streams_and_versions(spark, tmp_path):
