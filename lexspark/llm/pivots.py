@@ -25,7 +25,7 @@ from .common import lists, small_batches, stage, unstage
 
 #: Pivots, and the vectors, at most, of which they are chosen.
 PIVOTS, SAMPLE = 32, 2048
-#: Vectors of a block and of a chunk of queries at most; candidates looked at between two tests for the end.
+#: Vectors of a block and of a chunk of queries at most; candidates looked at before the first test for the end.
 BLOCK, CHUNK, STEP = 2048, 256, 64
 #: Scaled components stay below this, so products of up to 128 of them fit a long.
 LIMIT = 1 << 28
@@ -82,27 +82,47 @@ class Best:
             self.least = max(self.least, float(self.scores[-1]))
 
 
-def search(q: np.ndarray, to_pivots: np.ndarray, least: float, block: dict, top: int) -> tuple[Best, int]:
-    """The best of a block for one query, and how many candidates were looked at. block: v, d, norm, ids (lists), lo, hi."""
+class Block:
+    """Candidates v (rows of long) with their distances d to the pivots; candidate i bears the ids from ends[i] to ends[i + 1]."""
+
+    def __init__(self, v: np.ndarray, d: np.ndarray, ids: np.ndarray, ends: np.ndarray):
+        self.v, self.ids, self.ends = v, ids, ends
+        self.norm = (v.astype(np.float64) ** 2).sum(axis=1)
+        self.apart = np.ascontiguousarray(d.T)  # pivots x candidates
+        self.lo, self.hi = d.min(axis=0), d.max(axis=0)
+        self.most = int(np.abs(v).max(initial=0))
+        self.forms: dict[type, np.ndarray] = {}
+
+    def products(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact inner products with some candidates: in floating point where all sums are integers that it holds."""
+        top = self.most * int(np.abs(q).max(initial=0)) * len(q)
+        kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64
+        if kind not in self.forms:
+            self.forms[kind] = self.v.astype(kind)
+        v, q = self.forms[kind], q.astype(kind)
+        return ((v @ q)[rows] if 2 * len(rows) > len(v) else v[rows] @ q).astype(np.int64)
+
+
+def search(q: np.ndarray, to_pivots: np.ndarray, least: float, block: Block, top: int) -> tuple[Best, int]:
+    """The best of a block for one query, and how many candidates were looked at: in the order of their bounds, four times as many from step to step."""
     best, of = Best(top, least), float((q.astype(np.float64) ** 2).sum())
-    apart = np.maximum(block["lo"] - to_pivots, to_pivots - block["hi"]).max(initial=0.0)
-    if ceilings(block["norm"].max(), np.float64(apart), of) < best.least:
+    apart = np.maximum(block.lo - to_pivots, to_pivots - block.hi).max(initial=0.0)
+    if ceilings(block.norm.max(), np.float64(apart), of) < best.least:
         return best, 0
-    bound = ceilings(block["norm"], np.abs(block["d"] - to_pivots).max(axis=1), of)
-    order = np.argsort(-bound, kind="stable")
-    seen = 0
-    for at in range(0, len(order), STEP):
-        rows = order[at : at + STEP]
-        rows = rows[bound[rows] >= best.least]
+    bound = ceilings(block.norm, np.abs(block.apart - to_pivots[:, None]).max(axis=0), of)
+    order = np.argsort(-bound)
+    falling, at, size = -bound[order], 0, STEP
+    while at < len(order):
+        rows = order[at : min(at + size, int(np.searchsorted(falling, -best.least, side="right")))]
         if not len(rows):
             break
-        scores = block["v"][rows] @ q
-        seen += len(rows)
-        ends, flat = block["ends"], block["ids"]
-        counts = ends[rows + 1] - ends[rows]
-        first = np.repeat(ends[rows] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-        best.add(np.repeat(scores, counts), flat[first + np.arange(len(first))])
-    return best, seen
+        scores = block.products(q, rows)
+        at, size = at + len(rows), 4 * size
+        rows, scores = rows[good := scores >= best.least], scores[good]
+        counts = block.ends[rows + 1] - block.ends[rows]
+        first = np.repeat(block.ends[rows] - np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64), counts)
+        best.add(np.repeat(scores, counts), block.ids[first + np.arange(len(first))])
+    return best, at
 
 
 def _vectors(df: DataFrame, scale: int, id: str, vector: str) -> DataFrame:
@@ -176,8 +196,7 @@ def _pairs(dims: int, pivots: int, top: int):
         for batch in batches:
             out_v, out_id, out_score = [], [], []
             for row in batch.to_pylist():
-                v = np.frombuffer(row["v"], np.int32).reshape(-1, dims).astype(np.int64)
-                block = {"v": v, "d": np.frombuffer(row["d"], np.float64).reshape(-1, pivots), "norm": (v.astype(np.float64) ** 2).sum(axis=1), "ids": np.array(row["ids"], np.int64), "ends": np.array(row["ends"], np.int64), "lo": np.array(row["lo"]), "hi": np.array(row["hi"])}
+                block = Block(np.frombuffer(row["v"], np.int32).reshape(-1, dims).astype(np.int64), np.frombuffer(row["d"], np.float64).reshape(-1, pivots), np.array(row["ids"], np.int64), np.array(row["ends"], np.int64))
                 queries = np.frombuffer(row["q"], np.int32).reshape(-1, dims)
                 to = np.frombuffer(row["qd"], np.float64).reshape(-1, pivots)
                 for q, d, least in zip(queries, to, row["least"], strict=True):
@@ -253,7 +272,7 @@ def top_products(df: DataFrame, of: str = "vec_id % 50 = 0", top: int = 5, scale
 
     def meet(queries: DataFrame, known) -> DataFrame:
         chunks = queries.repartitionByRange("cell", "own", "v").sortWithinPartitions("cell", "own", "v").mapInArrow(_chunks(dims, count, known), _CHUNKS)
-        both = chunks.join(blocks.select("cell", "v", "d", "ids", "ends", "lo", "hi"), "cell")
+        both = chunks.join(blocks.select("cell", "v", "d", "ids", "ends"), "cell")
         return both.mapInArrow(_pairs(dims, count, top + 1), "v binary, vec_id long, score long")
 
     best = Window.partitionBy("v").orderBy(F.col("score").desc(), "vec_id")

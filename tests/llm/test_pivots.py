@@ -53,7 +53,7 @@ def test_bounds_rule_out_candidates_and_never_the_best():
     v = (draw.normal(0, 4, (1500, 24)) + draw.normal(0, 60, (12, 24))[draw.integers(0, 12, 1500)]).astype(np.int64)
     table = pivots.choose_pivots(v[:500], 16)
     d = pivots.distances(v, table)
-    block = {"v": v, "d": d, "norm": (v.astype(float) ** 2).sum(axis=1), "ids": np.arange(1500), "ends": np.arange(1501), "lo": d.min(axis=0), "hi": d.max(axis=0)}
+    block = pivots.Block(v, d, np.arange(1500), np.arange(1501))
     looked = 0
     for i in range(0, 1500, 30):
         best, seen = pivots.search(v[i], d[i], float("-inf"), block, 6)
@@ -62,6 +62,15 @@ def test_bounds_rule_out_candidates_and_never_the_best():
     assert looked < 50 * 1500 / 2
 
 
+def test_products_are_exact_in_whatever_form():
+    draw = np.random.default_rng(8)
+    for most in (9, 3000, 10**6, 2**28 - 1):
+        v = draw.integers(-most, most + 1, (300, 8)).astype(np.int64)
+        block = pivots.Block(v, np.zeros((300, 1)), np.arange(300), np.arange(301))
+        for rows in (np.arange(300), np.arange(0, 300, 7)):
+            assert block.products(v[3], rows).tolist() == [sum(int(a) * int(b) for a, b in zip(v[3], v[i], strict=True)) for i in rows]
+
+
 def test_the_table_in_whole_equals_its_sql(spark, sf_dir):
     from lexspark.llm.queries import op13_pivot_top_products
 
