@@ -6,6 +6,8 @@ at most `tokens` words; a text's vector is the mean of its chunks' vectors, of l
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,15 +47,32 @@ def embed(texts: DataFrame, keys: list[str], text: str, tokens: int = 512, encod
     Texts for which `long` does not hold are one chunk."""
 
     @F.arrow_udf("array<double>")
-    def pooled(many: pa.Array) -> pa.Array:
+    def pooled(whole: pa.Array, many: pa.Array) -> pa.Array:
         out = []
-        for row in many.to_pylist():
-            total = encoder(row).sum(axis=0)
+        for one, sentences in zip(whole.to_pylist(), many.to_pylist(), strict=True):
+            total = encoder(_packed(sentences, tokens) if sentences else [one]).sum(axis=0)
             out.append((total / (np.linalg.norm(total) or 1.0)).tolist())
         return pa.array(out, pa.list_(pa.float64()))
 
-    cut = chunks(F.col(text), tokens)
-    return texts.select(*keys, pooled(cut if long is None else F.when(long, cut).otherwise(F.array(F.coalesce(text, F.lit(""))))).alias("embedding"))
+    body = F.coalesce(text, F.lit(""))
+    cut = T.sentences(body) if long is None else F.when(long, T.sentences(body))
+    return texts.select(*keys, pooled(body, cut).alias("embedding"))
+
+
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _packed(sentences: list[str], tokens: int) -> list[str]:
+    """chunks() of sentences that are cut already: each is counted once."""
+    out, now, n = [], [], 0
+    for sentence in sentences:
+        own = sum(1 for _ in _WORD.finditer(sentence))
+        if now and n + own > tokens:
+            out.append(" ".join(now))
+            now, n = [], 0
+        now.append(sentence)
+        n += own
+    return [*out, " ".join(now)] if now else out
 
 
 def levels(documents: DataFrame, articles: DataFrame | None, id: str, summaries: list[str], title: str = "naslov", text: str = "doc_cleaned") -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.config import Config
 from lexspark.staging import staged
 
 #: Files of a crawl at most, as configured by default.
@@ -78,3 +79,10 @@ def not_fetched(pages: DataFrame, acts: DataFrame, limit: int | None = None) ->
     rows = pages.orderBy("loc").limit(limit) if limit else pages
     have = acts.select(F.concat_ws("/", "year", "issue", "document").alias("__key")).distinct()
     return rows.withColumn("__key", path_key(F.col("loc"))).join(have, "__key", "left_anti").drop("__key")
+
+
+def to_fetch(files: DataFrame, acts: DataFrame, start: str, map_prefix: str, page_prefix: str, config: Config = Config()) -> DataFrame:
+    """The addresses (loc, via) that a crawl fetches: those that the maps name within the configured number of requests, the first `document_limit` of
+    them (all without a limit), but for those whose act is there."""
+    pages, _ = expanded(files, start, map_prefix, page_prefix, config.max_requests_per_crawl)
+    return not_fetched(pages, acts, config.document_limit if config.document_limit > 0 else None)

@@ -71,3 +71,13 @@ def test_pages_that_are_fetched_are_left_out(spark):
     assert sorted(r["loc"] for r in sitemaps.not_fetched(pages, acts).collect()) == [H + "clanci/sluzbeni/1990_02_4_8.html", H + "other.html"]
     assert [r["loc"] for r in sitemaps.not_fetched(pages, acts, 2).collect()] == [H + "clanci/sluzbeni/1990_02_4_8.html"]
     assert [r["k"] for r in pages.select(sitemaps.path_key(F.col("loc")).alias("k")).collect()] == ["1990/3/7", "1990/4/8", "1991/5/9", None]
+
+
+def test_the_configuration_bounds_a_crawl(spark):
+    from lexspark.config import Config
+
+    files = spark.createDataFrame([(k, v) for k, v in FILES.items()], "loc string, xml string")
+    acts = spark.createDataFrame([], "year string, issue string, document string")
+    fetch = lambda **more: [r["loc"] for r in sitemaps.to_fetch(files, acts, H + "sitemap.xml", H + "sitemap_", H + "clanci/", Config(**more)).orderBy("loc").collect()]
+    want = sorted(plainly(H + "sitemap.xml")[0])
+    assert fetch() == fetch(document_limit=0) == want and fetch(document_limit=2) == want[:2] and fetch(max_requests_per_crawl=1) == []

@@ -158,3 +158,12 @@ def test_evaluation(spark):
     df = spark.createDataFrame([(1, 1), (1, 0), (0, 1), (0, 0)], "p int, a int")
     assert tuple(evaluate.precision_recall(df, [], F.col("p") == 1, F.col("a") == 1).first()) == (1, 1, 1, 1, 0.5, 0.5, 0.5)
     assert tuple(evaluate.precision_recall(df.where("p = 0 and a = 0"), [], F.col("p") == 1, F.col("a") == 1).first())[4:] == (0.0, 0.0, 0.0)
+
+
+def test_packing_in_one_pass_equals_the_chunks(spark):
+    from lexspark.operators import embed
+
+    texts = ["", "Jedna rečenica.", "A b c. D e? F! g h i j k. L.", "one_two three. 4 5 6 7 8 9. x.", " ".join(f"W{i} x y z." for i in range(60))]
+    for tokens in (1, 3, 7, 40):
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", embed.chunks(F.col("t"), tokens).alias("c"), T.sentences(F.col("t")).alias("s")).collect()
+        assert [r.c for r in rows] == [embed._packed(r.s, tokens) or [texts[r.i]] for r in rows]
