@@ -206,7 +206,7 @@ def oracle_sql() -> dict[str, str]:
         "extract_subjects": f"""with {_phrased('')}, firsts as (select doc_id, x as h, 'Zakon o ' || x as t from phrased where p = 0), titled as (select doc_id, {titled} as s from firsts)
  {_deduped(f"""select doc_id, j as ord, x from (select doc_id, unnest(range(len(s))) as j, unnest(s) as x from titled) union all select doc_id, 1000000, trim(regexp_replace('IV. ' || h, '^[IVX]+[.]?[ \\t\\r\\n\\f]+', '')) from firsts
  union all select doc_id, 2000000 + p, {_titled("trim(regexp_replace(x, '^[IVXLC]+[.]' || chr(92) || 's+', ''))")} from phrased where regexp_matches(x, {_quoted(hr.CAPITAL_HEADING)})""", hr.LENGTHS['subjects'])}""",
-        "extract_bodies": rf"""with {_phrased('Ministarstvo Pravosuđa.', 'Visoki Sud za prekršaje.')}, each as (select doc_id, p, regexp_extract_all(x, {_quoted(f'(?:^|[^\p{{L}}\p{{N}}_])({hr.BODY})')}, 1) as m from phrased where {_holding(hr.INSTITUTIONS)}),
+        "extract_bodies": rf"""with {_phrased('Ministarstvo Pravosuđa.', 'Visoki Sud za prekršaje.')}, each as (select doc_id, p, regexp_extract_all(x, {_quoted(rf'(?:^|[^\p{{L}}\p{{N}}_])({hr.BODY})')}, 1) as m from phrased where {_holding(hr.INSTITUTIONS)}),
  named as (select doc_id, p, unnest(range(len(m))) as j, trim(unnest(m)) as b from each)
  {_deduped(f"select doc_id, p * 1000000 + j as ord, b as x from named where regexp_matches(b, {_quoted(hr.marked(hr.INSTITUTIONS))}) or len(list_filter(string_split_regex(b, '[ ' || chr(9) || chr(10) || chr(13) || ']+'), lambda w: len(w) > 2 and not regexp_matches(w, '^' || chr(92) || 'p{{Lu}}'))) = 0", hr.LENGTHS['responsible_bodies'])}""",
         "article_fallback": rf"""with {LINES}, marked as (select doc_id, p, trim(case when p % 21 = 20 then 'IV. NASLOV ' || p when p % 7 = 3 then 'Član ' || p || '.' when p % 3 = 1 then '(' || p || ') ' || trim(x) else x end) as x from lines),
