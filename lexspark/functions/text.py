@@ -19,6 +19,9 @@ def squeeze(text: Column) -> Column:
 #: Character references of HTML by name, from the standard library; '&amp;' is treated apart.
 _NAMED = {name.removesuffix(";"): text for name, text in html.entities.html5.items() if name.endswith(";") and name != "amp;"}
 
+#: Names that pages use most: they are looked at before the whole list, which is read from its start.
+_USUAL = ("nbsp", "quot", "lt", "gt", "apos", "copy", "middot", "ndash", "mdash", "scaron", "zcaron")
+
 
 def decode_references(text: Column) -> Column:
     """The text with character references decoded once, by name or number: those of the ampersand last, so what they uncover
@@ -30,7 +33,10 @@ def decode_references(text: Column) -> Column:
         number = F.when(F.rlike(x, F.lit("^#[xX]")), F.conv(F.substr(x, F.lit(3)), 16, 10)).when(x.startswith("#"), F.substr(x, F.lit(2))).cast("int")
         valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        return F.when(valid, char).otherwise(F.try_element_at(names, x))
+        usual = F.when(x == _USUAL[0], _NAMED[_USUAL[0]])
+        for name in _USUAL[1:]:
+            usual = usual.when(x == name, _NAMED[name])
+        return F.when(valid, char).otherwise(usual.otherwise(F.try_element_at(names, x)))
 
     def step(done: Column, x: Column) -> Column:
         return F.coalesce(F.when(meaning(x) != "&", F.replace(done, F.concat(F.lit("&"), x, F.lit(";")), meaning(x))), done)
