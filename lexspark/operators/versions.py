@@ -46,22 +46,22 @@ def dimension(vectors: DataFrame) -> int | None:
     return vectors.schema["embedding"].metadata.get("dim")
 
 
-def broken(table: str, df: DataFrame, tables: dict[str, DataFrame]) -> str | None:
-    """What constraint the rows of a table break: columns that may not be null, unique keys, references. None if all hold."""
-    must = [f.name for f in schema(table) if not f.nullable]
-    found = df.where(F.array_contains(F.array(*[F.col(c).isNull() for c in must]), True)).take(1)
-    if found:
-        return f"{table}: null in one of {must}"
-    for keys in (["id"], store.KEYS[table]):
-        again = store.repeated_keys(df, keys).take(1)
-        if again:
-            return f"{table}: {keys} are not unique: {again[0].asDict()}"
-    for child, column, parent in REFERENCES:
-        if child == table:
-            lost = df.where(F.col(column).isNotNull()).join(tables[parent].select(F.col("id").alias("__id")), F.col(column) == F.col("__id"), "left_anti").take(1)
-            if lost:
-                return f"{table}: {column} names no row of {parent}: {lost[0][column]}"
-    return None
+def broken(names: list[str], tables: dict[str, DataFrame]) -> str | None:
+    """What constraint the rows of some tables break: columns that may not be null, unique keys, references. None if all hold. All are looked for in one job."""
+    found: DataFrame | None = None
+    for name in names:
+        df, must = tables[name], [f.name for f in schema(name) if not f.nullable]
+        own = [df.where(F.array_contains(F.array(*[F.col(c).isNull() for c in must]), True)).select(F.lit(f"{name}: null in one of {must}").alias("why"))]
+        for keys in (["id"], store.KEYS[name]):
+            own.append(store.repeated_keys(df, keys).select(F.concat(F.lit(f"{name}: {keys} are not unique: "), F.to_json(F.struct(*keys))).alias("why")))
+        for child, column, parent in REFERENCES:
+            if child == name:
+                lost = df.where(F.col(column).isNotNull()).join(tables[parent].select(F.col("id").alias("__id")), F.col(column) == F.col("__id"), "left_anti")
+                own.append(lost.select(F.concat(F.lit(f"{name}: {column} names no row of {parent}: "), F.col(column).cast("string")).alias("why")))
+        for each in own:
+            found = each if found is None else found.unionByName(each)
+    first = found.take(1) if found is not None else []
+    return first[0]["why"] if first else None
 
 
 class Versions:
@@ -119,11 +119,10 @@ class Versions:
             paths[name] = f"{self.root}/{name}/v={base + 1}-{uuid.uuid4().hex}"
             df.select(*[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema(name, dim)]).write.parquet(paths[name])
         after = {name: self.spark.read.parquet(paths[name]) if name in paths else self.spark.createDataFrame([], schema(name)) for name in store.SCHEMAS}
-        for name in store.SCHEMAS:
-            if name in changed or any(child == name and parent in changed for child, _, parent in REFERENCES):
-                why = broken(name, after[name], after)
-                if why:
-                    raise Violation(why)
+        parents = {parent for _, _, parent in REFERENCES if parent in changed}
+        why = broken([n for n in store.SCHEMAS if n in changed or any(c == n and p in parents for c, _, p in REFERENCES)], after)
+        if why:
+            raise Violation(why)
         self._publish({"version": base + 1, "tables": paths, "dim": dim, "notes": notes or {}})
         return base + 1
 
