@@ -16,6 +16,15 @@ from lexspark.sources import acts as sources
 DIM = 3
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """The tables here have a handful of rows, and an import runs many jobs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def plain_import(files):
     """The five tables by natural keys, and the messages, after files (path -> text) are imported one at a time."""
     docs, segments, summaries, info, vectors, messages = {}, {}, {}, {}, {}, {}

@@ -10,6 +10,15 @@ from lexspark.streaming import incremental
 from .test_imports import ACT, DIM, plain_import, stored, written
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """The tables here have a handful of rows, and an import runs many jobs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def acts(*keys, **more):
     return {f"{k}.json": json.dumps(ACT | {"eli": k} | more) for k in keys}
 
