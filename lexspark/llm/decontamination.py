@@ -6,8 +6,11 @@ Aho-Corasick automaton that each document runs through once; around the pieces t
 distance (semi-global: the item against any stretch of the window) decides. Windows of an item that overlap are one
 stretch, which is run through once, so a text costs its length for each item at most, however often pieces repeat.
 
-The budget is a share of the item's letters, but a piece has PIECE letters at least: an item of n letters may differ by
-n // PIECE - 1 edits where that is less, with a share of 6 % below some 400 letters.
+The budget is a share of the item's letters, but a piece has `piece` letters at least: an item of n letters may differ by
+n // piece - 1 edits where that is less, with a share of 6 % and pieces of 16 letters below some 400 letters. Shorter pieces are
+met more often and cost more; with `piece` no greater than 1 / (share + 1 / n) every item of n letters has its whole share.
+An item of fewer than WHOLE letters is no evidence inside a longer word, so it must stand as words of its own: not
+between letters with case or digits (scripts that do not part words have no case).
 
 Letters are code points after folding: runs of white space become one blank, A-Z become a-z.
 """
@@ -32,8 +35,10 @@ from .common import map_arrow
 PART_BYTES = 8 << 20
 #: A worker keeps the automata of parts of so many bytes in all.
 KEPT_BYTES = 4 * PART_BYTES
-#: Shortest piece; items too short for budget + 1 such pieces get a smaller budget.
+#: Shortest piece by default; items too short for budget + 1 such pieces get a smaller budget.
 PIECE = 16
+#: Items of fewer letters are found as whole words only.
+WHOLE = 16
 _BLANK = re.compile(r"[\x20\x09-\x0d]+")
 _ASCII = str.maketrans({c: c + 32 for c in range(65, 91)})
 
@@ -43,17 +48,22 @@ def fold(text: str) -> str:
     return _BLANK.sub(" ", text).strip(" ").translate(_ASCII)
 
 
-def budget(length: int, share: float) -> int:
-    return max(0, min(int(length * share), length // PIECE - 1))
+def budget(length: int, share: float, piece: int = PIECE) -> int:
+    return max(0, min(int(length * share), length // piece - 1))
 
 
-def pieces(text: str, share: float) -> list[tuple[int, str]]:
+def pieces(text: str, share: float, piece: int = PIECE) -> list[tuple[int, str]]:
     """budget + 1 pieces of nearly equal length, with their offsets."""
-    n = budget(len(text), share) + 1
+    n = budget(len(text), share, piece) + 1
     cuts = [len(text) * j // n for j in range(n + 1)]
     return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _in_word(text: str, at: int) -> bool:
+    """Whether the place stands between two letters of one word."""
+    return 0 < at < len(text) and all(c.isdigit() or c.lower() != c.upper() for c in text[at - 1 : at + 1])
+
+
 class Pattern:
     """Myers' bit vectors of a pattern, in Python integers of any width."""
 
@@ -89,16 +99,17 @@ class Pattern:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], share: float):
-        self.items, self.share = [(i, fold(t or "")) for i, t in items], share
+    def __init__(self, items: list[tuple[int, str]], share: float, piece: int = PIECE):
+        self.items = [(i, fold(t or "")) for i, t in items]
+        self.most = [budget(len(t), share, piece) for _, t in self.items]
         self.automaton = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(self.items):
             if text:
-                for at, piece in pieces(text, share):
-                    where.setdefault(piece, []).append((k, at))
-        for piece, hits in where.items():
-            self.automaton.add_word(piece, (len(piece), hits))
+                for at, part in pieces(text, share, piece):
+                    where.setdefault(part, []).append((k, at))
+        for part, hits in where.items():
+            self.automaton.add_word(part, (len(part), hits))
         self.some = bool(where)
         if self.some:
             self.automaton.make_automaton()
@@ -112,10 +123,11 @@ class Matcher:
         stretches: dict[int, list[list[int]]] = {}
         for end, (length, hits) in self.automaton.iter(folded):
             for k, offset in hits:
-                m = len(self.items[k][1])
-                most = budget(m, self.share)
+                m, most = len(self.items[k][1]), self.most[k]
                 lo = end + 1 - length - offset - most
                 hi = lo + m + 2 * most
+                if m < WHOLE and not most and (_in_word(folded, lo) or _in_word(folded, hi)):
+                    continue
                 own = stretches.setdefault(k, [])
                 # a piece's windows begin in order but for the offsets of an item's pieces
                 while own and lo <= own[-1][1] and hi >= own[-1][0]:
@@ -124,8 +136,7 @@ class Matcher:
                 own.append([lo, hi])
         out = []
         for k, own in stretches.items():
-            m = len(self.items[k][1])
-            most = budget(m, self.share)
+            m, most = len(self.items[k][1]), self.most[k]
             own.sort()
             merged = [own[0]]
             for lo, hi in own[1:]:
@@ -160,7 +171,11 @@ def _parts(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[in
 _matchers: dict[str, tuple[int, Matcher]] = {}
 
 
-def _matcher(name: str, sent: Broadcast, share: float) -> Matcher:
+def _named(part: list[tuple[int, str]], share: float, piece: int) -> str:
+    return hashlib.sha256(repr((part, share, piece)).encode()).hexdigest()
+
+
+def _matcher(name: str, sent: Broadcast, share: float, piece: int) -> Matcher:
     """The matcher of a part, kept by this worker; those used longest ago give way."""
     if name in _matchers:
         _matchers[name] = found = _matchers.pop(name)
@@ -169,17 +184,17 @@ def _matcher(name: str, sent: Broadcast, share: float) -> Matcher:
     size = sum(len(t) for _, t in items)
     while _matchers and sum(n for n, _ in _matchers.values()) + size > KEPT_BYTES:
         del _matchers[next(iter(_matchers))]
-    _matchers[name] = size, Matcher(items, share)
+    _matchers[name] = size, Matcher(items, share, piece)
     return _matchers[name][1]
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.06) -> DataFrame:
+def leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.06, piece: int = PIECE) -> DataFrame:
     """(doc_id, item_id, distance, allowed, start, end, passage) of the passages of each item in each document: the best one of
     each stretch in which passages of the item could overlap.
 
-    share: the edits allowed, as a share of the item's letters. start and end are places in the folded text.
-    Null and empty texts hold nothing and null or blank items are found nowhere; an item shorter than two pieces
-    must stand unchanged. Rows repeated in either table are each reported. Empty tables give no rows. The items
+    share: the edits allowed, as a share of the item's letters; piece: the fewest letters of a piece. start and end are places
+    in the folded text. Null and empty texts hold nothing and null or blank items are found nowhere; an item shorter than two
+    pieces must stand unchanged, and one of fewer than WHOLE letters that allows no edits as whole words. Rows repeated in either table are each reported. Empty tables give no rows. The items
     reach executors in a broadcast of at most PART_BYTES bytes; a longer list is matched part by part.
     """
     spark = df.sparkSession
@@ -189,16 +204,15 @@ def leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "
     for part in chain(_parts(benchmark, item, item_text), [[]]):
         if out is not None and not part:  # an empty benchmark still needs a plan
             break
-        name = hashlib.sha256(repr((part, share)).encode()).hexdigest()
+        name = _named(part, share, piece)
         sent = spark.sparkContext.broadcast(part)
 
         def run(batch: pa.RecordBatch, name=name, sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher, rows = _matcher(name, sent, share), []
+            matcher, rows = _matcher(name, sent, share, piece), []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 folded = fold(x)
                 for k, distance, start, end in matcher.match(folded):
-                    own, wanted = matcher.items[k]
-                    rows.append((i, own, distance, budget(len(wanted), share), start, end, folded[start:end]))
+                    rows.append((i, matcher.items[k][0], distance, matcher.most[k], start, end, folded[start:end]))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "distance", "allowed", "start", "end", "passage"])
@@ -208,21 +222,22 @@ def leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "
     return out
 
 
-def drop_leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.06) -> DataFrame:
-    """df without the documents that hold a benchmark passage; all columns stay, and so do null and empty texts."""
+def drop_leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.06, piece: int = PIECE) -> DataFrame:
+    """df without the documents that hold a benchmark passage; all columns stay, whatever their names, and so do null and
+    empty texts. Repeated rows go or stay together. An empty benchmark drops nothing, and empty tables give no rows."""
     spark = df.sparkSession
     from .common import small_batches
 
     small_batches(spark)
     for part in _parts(benchmark, item, item_text):
-        df = df.where(_clean(spark.sparkContext.broadcast(part), hashlib.sha256(repr((part, share)).encode()).hexdigest(), share)(F.col(text)))
+        df = df.where(_clean(spark.sparkContext.broadcast(part), _named(part, share, piece), share, piece)(F.col(text)))
     return df
 
 
-def _clean(sent: Broadcast, name: str, share: float):
+def _clean(sent: Broadcast, name: str, share: float, piece: int):
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
-        matcher = _matcher(name, sent, share)
+        matcher = _matcher(name, sent, share, piece)
         return pa.array([not matcher.match(fold(x)) if x else True for x in texts.to_pylist()], pa.bool_())
 
     return clean

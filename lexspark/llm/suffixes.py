@@ -151,17 +151,19 @@ def matches(df: DataFrame, id: str = "doc_id", text: str = "text", window: int =
 
 def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, limit: int = LIMIT) -> DataFrame:
     """One row for each passage of a document that stands in another document too: doc_id, start, n_words, other_id,
-    other_start (places and lengths in words, from 0).
+    other_start, match_start, match_words (places and lengths in words, from 0).
 
     Overlapping matches of a document are one passage, so a passage is as long as repetition goes on: its words are those
-    of all windows that stand in another document. other_id is
-    the least id that it was matched with, other_start where that match begins there; neither depends on `limit`. Null
-    and empty texts, and texts of fewer words than a window, have no passages; nor do rows without an id. Rows of
-    one id are not compared with each other. Empty tables give no rows.
+    of all windows that stand in another document. One of its matches is named as well: the match_words words from match_start on
+    are, word by word, those of other_id, the least id that the passage was matched with, from other_start on. None of these
+    depends on `limit`. Null and empty texts, and texts of fewer words than a window, have no passages; nor do rows without an id.
+    Rows of one id are not compared with each other; equal rows repeated under one id count once. Extra columns do not matter,
+    whatever their names. Empty tables give no rows.
     """
     line = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     found = matches(df, id, text, window, limit).distinct()
     found = found.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int")).withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = found.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("later", "other_id", "other_start")).alias("o"))
-    return runs.select("doc_id", "start", (F.col("end") - F.col("start")).alias("n_words"), "o.other_id", "o.other_start")
+    runs = found.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("later", "other_id", "other_start", F.col("start").alias("at"), F.col("end").alias("to"))).alias("o"))
+    own = (F.col("o.at").alias("match_start"), (F.col("o.to") - F.col("o.at")).alias("match_words"))
+    return runs.select("doc_id", "start", (F.col("end") - F.col("start")).alias("n_words"), "o.other_id", "o.other_start", *own)

@@ -99,3 +99,24 @@ def test_every_place_is_reported_and_repeated_pieces_cost_their_length_once(spar
         assert matcher.match("word " * n) == []
         times.append(time.perf_counter() - began)
     assert times[1] < 40 * max(times[0], 0.02), times
+
+
+def test_short_items_are_whole_words(spark):
+    items = spark.createDataFrame([(1, "the"), (2, "42."), (3, "北京")], "item_id long, text string")
+    texts = ["another bathe, then", "see The, end", "thethe the", "x42. 142.", "it is 42.", "在北京市", "the"]
+    found = {(r.doc_id, r.item_id, r.start) for r in d.leaks(documents(spark, texts), items).collect()}
+    assert found == {(1, 1, 4), (2, 1, 7), (4, 2, 6), (5, 3, 1), (6, 1, 0)}
+    assert {r.doc_id for r in d.drop_leaks(documents(spark, texts), items).collect()} == {0, 3}
+
+
+def test_shorter_pieces_allow_the_whole_share(spark):
+    draw = random.Random(8)
+    whole = d.fold(" ".join(invented(8, 21, 200, 3000)))
+    items = [(k, d.fold(whole[200 * k : 200 * k + 104])) for k in range(8)]
+    assert all(d.budget(len(t), 0.06) < int(0.06 * len(t)) == d.budget(len(t), 0.06, 6) for _, t in items)
+    texts = [f"before {edited(t, draw, int(0.06 * len(t)))} after" for _, t in items]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r.distance for r in d.leaks(documents(spark, texts), benchmark, piece=6).collect()}
+    want = {(i, k): distance(t, d.fold(x)) for i, x in enumerate(texts) for k, t in items}
+    assert out == {(i, k): n for (i, k), n in want.items() if n <= int(0.06 * len(items[k][1]))} and len(out) == 8
+    assert len({r.doc_id for r in d.leaks(documents(spark, texts), benchmark).collect()}) < 8

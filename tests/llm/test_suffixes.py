@@ -24,6 +24,8 @@ def held(out, rows, window):
         a, b = WORD.findall(texts[r.doc_id]), WORD.findall(texts[r.other_id])
         assert r.doc_id != r.other_id and r.n_words >= window and len(a) >= r.start + r.n_words
         assert " ".join(b[r.other_start : r.other_start + window]) in " ".join(a[r.start : r.start + r.n_words])
+        assert r.match_words >= window and r.start <= r.match_start and r.match_start + r.match_words <= r.start + r.n_words
+        assert a[r.match_start : r.match_start + r.match_words] == b[r.other_start : r.other_start + r.match_words]
         mine = covered.setdefault(r.doc_id, set())
         assert r.start not in mine and r.start - 1 not in mine  # passages are as long as they can be
         mine.update(p for p in range(r.start, r.start + r.n_words))
@@ -109,3 +111,10 @@ def test_pairs_inside_a_split_group(spark):
         assert exact(out, list(enumerate(texts)), 50) == 1, limit
         found.append(sorted(map(tuple, out)))
     assert found[0] == found[1]
+
+
+def test_a_passage_of_several_matches_names_one_of_them(spark):
+    run = lambda name, n: " ".join(f"{name}{x}" for x in range(n))
+    texts = [f"{run('q', 7)} {run('a', 60)} {run('b', 60)}", f"{run('r', 20)} {run('b', 60)}", f"{run('a', 60)} {run('s', 9)}"]
+    out = {tuple(r) for r in suffixes.repeated_passages(documents(spark, texts)).collect()}
+    assert out == {(0, 7, 120, 1, 20, 67, 60), (1, 20, 60, 0, 67, 20, 60), (2, 0, 60, 0, 7, 0, 60)}
