@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 from lexspark.sources import acts as sources
-from lexspark.staging import staged
+from lexspark.staging import at_once, staged
 
 from . import store
 from .versions import Versions
@@ -110,36 +110,42 @@ def judged(acts: DataFrame, dim: int) -> DataFrame:
 
 
 def merged(tables: dict[str, DataFrame], acts: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
-    """The tables after acts that are judged valid, one for each identifier. Every table is staged: ids are given once."""
+    """The tables after acts that are judged valid, one for each identifier. Every table is staged: ids are given once. Tables that do not need each other are merged side by side."""
     source = acts.select(*[F.col(f).alias(c) for c, f in FIELDS.items()], F.coalesce("naslov", F.lit("")).alias("naslov"), T.parse_date(F.col("datum")).cast("timestamp_ntz").alias("publication_date"))
     out = {"documents": staged(store.upsert_documents(tables["documents"], source, now), "documents")}
     known = acts.join(out["documents"].select("eli", F.col("id").alias("document_id")), "eli")
 
-    # acts with a model are stored anew: their segments go, and the vectors of those segments, of whatever model
-    anew = known.where("model <> ''").select("document_id", "model")
-    segments = tables["document_segments"].join(anew.select("document_id"), "document_id", "left_anti").select(*tables["document_segments"].columns)
-    lost = tables["document_segments"].join(anew.select("document_id"), "document_id", "left_semi").select(F.col("id").alias("segment_id"))
-    vectors = tables["document_embeddings"].join(lost, "segment_id", "left_anti")
-    same = anew.select("document_id", F.col("model").alias("model_name"), F.lit("segment").alias("embedding_type"))
-    vectors = vectors.join(same, ["document_id", "model_name", "embedding_type"], "left_anti").select(*tables["document_embeddings"].columns)
-
-    rows = known.select("document_id", F.posexplode("articles").alias("segment_order", "a")).select("document_id", "segment_order", F.col("a.label").alias("clanak_label"), F.col("a.text").alias("text"))
-    out["document_segments"] = staged(store.upsert_segments(segments, rows), "segments")
-    placed = rows.withColumn("h", T.text_hash(F.col("text"))).drop("clanak_label", "text").join(out["document_segments"].select("document_id", "segment_order", "id"), ["document_id", "segment_order"])
-    named = placed.groupBy("document_id", "h").agg(F.max(F.struct("segment_order", "id")).alias("z")).select("document_id", "h", F.col("z.id").alias("segment_id"))
-
-    texts = known.select("document_id", "model", F.explode("texts").alias("t")).select("document_id", F.col("t.type").alias("summary_type"), F.col("t.text").alias("text"), F.col("model").alias("model_name"))
-    out["document_summaries"] = staged(store.upsert_summaries(tables["document_summaries"], texts), "summaries")
-    info = known.where(F.coalesce(*[F.col(f"key_information.{c}") for c in LISTS]).isNotNull()).select("document_id", "key_information.*")
-    out["document_key_information"] = staged(store.upsert_key_information(tables["document_key_information"], info), "information")
-
-    each = known.select("document_id", F.col("model").alias("model_name"), F.coalesce("embeddings.embedding_dim", F.lit(DIMENSION)).alias("embedding_dim"), F.posexplode("vectors").alias("at", "v")).select("*", "v.*").drop("v")
-    flat = each.where("type <> 'segment'").withColumn("segment_id", _none("long"))
-    own = each.where("type = 'segment'").withColumn("h", T.text_hash(F.col("text"))).join(named, ["document_id", "h"]).drop("h")
-    both = flat.unionByName(own).withColumnRenamed("type", "embedding_type").drop("text")
-    last = store.last_of(both, store.KEYS["document_embeddings"], "at").drop("at")
-    out["document_embeddings"] = staged(store.upsert(vectors, last, store.KEYS["document_embeddings"], ("id", "embedding_dim")), "vectors")
-    return out
+    def segments_and_vectors() -> tuple[DataFrame, DataFrame]:
+        # acts with a model are stored anew: their segments go, and the vectors of those segments, of whatever model
+        anew = known.where("model <> ''").select("document_id", "model")
+        segments = tables["document_segments"].join(anew.select("document_id"), "document_id", "left_anti").select(*tables["document_segments"].columns)
+        lost = tables["document_segments"].join(anew.select("document_id"), "document_id", "left_semi").select(F.col("id").alias("segment_id"))
+        vectors = tables["document_embeddings"].join(lost, "segment_id", "left_anti")
+        same = anew.select("document_id", F.col("model").alias("model_name"), F.lit("segment").alias("embedding_type"))
+        vectors = vectors.join(same, ["document_id", "model_name", "embedding_type"], "left_anti").select(*tables["document_embeddings"].columns)
+
+        rows = known.select("document_id", F.posexplode("articles").alias("segment_order", "a")).select("document_id", "segment_order", F.col("a.label").alias("clanak_label"), F.col("a.text").alias("text"))
+        segments = staged(store.upsert_segments(segments, rows), "segments")
+        placed = rows.withColumn("h", T.text_hash(F.col("text"))).drop("clanak_label", "text").join(segments.select("document_id", "segment_order", "id"), ["document_id", "segment_order"])
+        named = placed.groupBy("document_id", "h").agg(F.max(F.struct("segment_order", "id")).alias("z")).select("document_id", "h", F.col("z.id").alias("segment_id"))
+
+        each = known.select("document_id", F.col("model").alias("model_name"), F.coalesce("embeddings.embedding_dim", F.lit(DIMENSION)).alias("embedding_dim"), F.posexplode("vectors").alias("at", "v")).select("*", "v.*").drop("v")
+        flat = each.where("type <> 'segment'").withColumn("segment_id", _none("long"))
+        own = each.where("type = 'segment'").withColumn("h", T.text_hash(F.col("text"))).join(named, ["document_id", "h"]).drop("h")
+        both = flat.unionByName(own).withColumnRenamed("type", "embedding_type").drop("text")
+        last = store.last_of(both, store.KEYS["document_embeddings"], "at").drop("at")
+        return segments, staged(store.upsert(vectors, last, store.KEYS["document_embeddings"], ("id", "embedding_dim")), "vectors")
+
+    def summaries() -> DataFrame:
+        texts = known.select("document_id", "model", F.explode("texts").alias("t")).select("document_id", F.col("t.type").alias("summary_type"), F.col("t.text").alias("text"), F.col("model").alias("model_name"))
+        return staged(store.upsert_summaries(tables["document_summaries"], texts), "summaries")
+
+    def information() -> DataFrame:
+        info = known.where(F.coalesce(*[F.col(f"key_information.{c}") for c in LISTS]).isNotNull()).select("document_id", "key_information.*")
+        return staged(store.upsert_key_information(tables["document_key_information"], info), "information")
+
+    (segments, vectors), texts, info = at_once(acts.sparkSession, segments_and_vectors, summaries, information)
+    return out | {"document_segments": segments, "document_summaries": texts, "document_key_information": info, "document_embeddings": vectors}
 
 
 def import_acts(spark: SparkSession, versions: Versions, acts: DataFrame, dim: int, now: Column | None = None, base: int | None = None, notes: dict | None = None) -> Outcome:
@@ -166,7 +172,8 @@ def import_acts(spark: SparkSession, versions: Versions, acts: DataFrame, dim: i
     valid = staged(rows.where(good).withColumn("turn", F.row_number().over(turn)), "turns")
     for k in range(1, (valid.agg(F.max("turn")).first()[0] or 0) + 1):
         tables = changed = merged(tables, valid.where(F.col("turn") == k).drop("turn"), now)
-    kept = {"streams": versions.commit_of(base)["notes"].get("streams", {})} if base else {}
+    streams = versions.commit_of(base)["notes"].get("streams")
+    kept = {"streams": streams} if streams else {}
     version = versions.commit(changed, base, dim, kept | {"processed": found["processed"], "errors": found["errors"]} | (notes or {}))
     return Outcome(version, found["processed"], found["errors"], outcomes)
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
+from lexspark.staging import at_once
+
 from . import store
 
 #: Child tables and the columns by which they belong to a row of another: (child, column, parent), each to the parent's id.
@@ -110,19 +112,24 @@ class Versions:
             out[name] = self.spark.read.schema(nullable).parquet(path) if path else self.spark.createDataFrame([], nullable)
         return out
 
-    def commit(self, changed: dict[str, DataFrame], base: int, dim: int | None = None, notes: dict | None = None) -> int:
-        """Write the changed tables as the version after `base`; the others stay as they are. Checks come after the writes and before the commit."""
+    def commit(self, changed: dict[str, DataFrame], base: int, dim: int | None = None, notes: dict | None = None, check: bool = True) -> int:
+        """Write the changed tables as the version after `base`; the others stay as they are. The writes go side by side; checks come after them and before
+        the commit. check: False where constraints can't break, as for empty tables that no other refers to."""
         before = self.commit_of(base) if base else {"version": 0, "tables": {}, "dim": None, "notes": {}}
         dim = before["dim"] if dim is None else dim
-        paths = dict(before["tables"])
-        for name, df in changed.items():
-            paths[name] = f"{self.root}/{name}/v={base + 1}-{uuid.uuid4().hex}"
-            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema(name, dim)]).write.parquet(paths[name])
-        after = {name: self.spark.read.parquet(paths[name]) if name in paths else self.spark.createDataFrame([], schema(name)) for name in store.SCHEMAS}
-        parents = {parent for _, _, parent in REFERENCES if parent in changed}
-        why = broken([n for n in store.SCHEMAS if n in changed or any(c == n and p in parents for c, _, p in REFERENCES)], after)
-        if why:
-            raise Violation(why)
+        paths = before["tables"] | {name: f"{self.root}/{name}/v={base + 1}-{uuid.uuid4().hex}" for name in changed}
+
+        def write(name: str) -> None:
+            kinds = schema(name, dim)
+            changed[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in kinds]).write.parquet(paths[name])
+
+        at_once(self.spark, *[lambda name=name: write(name) for name in changed])
+        if check:
+            after = {name: self.spark.read.parquet(paths[name]) if name in paths else self.spark.createDataFrame([], schema(name)) for name in store.SCHEMAS}
+            parents = {parent for _, _, parent in REFERENCES if parent in changed}
+            why = broken([n for n in store.SCHEMAS if n in changed or any(c == n and p in parents for c, _, p in REFERENCES)], after)
+            if why:
+                raise Violation(why)
         self._publish({"version": base + 1, "tables": paths, "dim": dim, "notes": notes or {}})
         return base + 1
 
@@ -147,9 +154,9 @@ class Versions:
         """All tables for vectors of this dimension: what is there stays, but vectors of another dimension are dropped."""
         commit = self.commit_of()
         if commit["version"] == 0:
-            self.commit({name: store.empty(self.spark, name) for name in store.SCHEMAS}, 0, dim)
+            self.commit({name: store.empty(self.spark, name) for name in store.SCHEMAS}, 0, dim, check=False)
         elif commit["dim"] != dim:
-            self.commit({"document_embeddings": store.empty(self.spark, "document_embeddings")}, commit["version"], dim)
+            self.commit({"document_embeddings": store.empty(self.spark, "document_embeddings")}, commit["version"], dim, check=False)
         return self.tables()
 
     def vacuum(self, keep: int = 2) -> list[str]:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +27,12 @@ def staged(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def at_once(spark: SparkSession, *works: Callable) -> list:
+    """What the functions give, in their order, their jobs run side by side under this thread's tags. If one fails, the others still come to their end
+    before its error is raised."""
+    wrap = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max(1, len(works))) as pool:
+        running = [pool.submit(wrap(work) if callable(wrap) else work) for work in works]
+    return [each.result() for each in running]
