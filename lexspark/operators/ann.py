@@ -9,9 +9,11 @@ raise the recall; `recall` measures it against all pairs. `exact_nearest` looks
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,17 +86,117 @@ def nearest_in(index: DataFrame, queries: DataFrame, planes: Planes, k: int = 10
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def exact_nearest(df: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", digits: int = 6, block: int = 256) -> DataFrame:
-    """The same by all pairs: queries in blocks of `block`, each matched with every row."""
+def exact_nearest(df: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", digits: int = 6, block: int = 512, rows: int = 8192) -> DataFrame:
+    """The same by all pairs: queries in blocks of about `block` meet all rows in blocks of about `rows`; each pair of blocks is a product of matrices that gives
+    the best k of each query. Pairs are as many as queries by rows; what is shuffled is each row once a block of queries and each query once a block of rows."""
     asked = queries.where(F.col(id).isNotNull()).select(F.col(id).alias("query_id"), F.col(vector).alias("q"))
-    blocks = asked.groupBy(F.floor(F.monotonically_increasing_id() / block).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    rows = df.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(vector).alias("v"))
-    pairs = rows.join(blocks, F.col("id").isNotNull() & (F.size("qs") > 0)).select("id", "v", F.explode("qs").alias("z")).where("id <> z.query_id")
-    scored = pairs.select(F.col("z.query_id").alias("query_id"), "id", F.round(V.cosine(F.col("z.q"), F.col("v")), digits).alias("score"))
+    every = df.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(vector).alias("v"))
+    n_asked, n_every = -(-asked.count() // block) or 1, -(-every.count() // rows) or 1
+    left = asked.withColumns({"b": _part("query_id", n_asked), "r": F.explode(F.sequence(F.lit(0), F.lit(n_every - 1)))})
+    right = every.withColumns({"r": _part("id", n_every), "b": F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))})
+
+    def best_of(asked: pa.Table, every: pa.Table) -> pa.Table:
+        both = np.unique(np.concatenate([asked["query_id"].to_numpy(), every["id"].to_numpy()]), return_inverse=True)[1]
+        i, j, score, none = _best(Rows.of(asked["q"]), Rows.of(every["v"]), both[len(asked) :], k, digits, both[: len(asked)])
+        return pa.table({"query_id": asked["query_id"].take(i), "id": every["id"].take(j), "score": pa.array(score, mask=none)})
+
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {every.schema['id'].dataType.simpleString()}, score double"
+    scored = left.groupBy("b", "r").cogroup(right.groupBy("b", "r")).applyInArrow(best_of, kinds).withColumn("score", F.round("score", digits))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def _part(column: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+
+
+#: No pairs: places of queries and rows, scores, and where a score is null.
+_NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
+#: Pairs of a query and a row that are compared at a time.
+_PAIRS = 1 << 20
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Vectors side by side, as columns; one that is null or holds a null has size -1 and length 0. Sums go by component as in vectors.dot, so they are the same."""
+
+    columns: np.ndarray
+    size: np.ndarray
+    length: np.ndarray
+
+    @staticmethod
+    def of(vectors: pa.ChunkedArray) -> Rows:
+        lists = vectors.combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        filled = np.arange(sizes.max(initial=0)) < sizes[:, None]
+        out, gaps = np.zeros(filled.shape), np.zeros(filled.shape, bool)
+        out[filled] = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False)
+        gaps[filled] = flat.is_null().to_numpy(zero_copy_only=False)
+        bad = lists.is_null().to_numpy(zero_copy_only=False) | gaps.any(axis=1)
+        columns, squares = np.ascontiguousarray(out.T), np.zeros(len(sizes))
+        with np.errstate(all="ignore"):
+            for x in columns:
+                squares += x * x
+        return Rows(columns, np.where(bad, -1, sizes), np.where(bad, 0.0, np.sqrt(squares)))
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def __getitem__(self, places) -> Rows:
+        return Rows(self.columns[:, places], self.size[places], self.length[places])
+
+
+def _cosines(dots: np.ndarray, lengths: np.ndarray, alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """vectors.cosine of products, and where it is null: for vectors of two sizes."""
+    some = (lengths > 0) | np.isnan(lengths)
+    return np.where(some, dots / lengths, 0.0), some & ~alike
+
+
+def _key(scores: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """What scores are ordered by, the greatest first: NaN before all numbers, null after them."""
+    return np.where(none, -np.inf, np.where(np.isnan(scores), np.inf, scores))
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """x in units of its last digit, halves away from zero, as the engine rounds; near a half by its decimal digits."""
+    units = np.abs(x) * 10.0**digits
+    out = np.floor(units + 0.5)
+    for i in np.nonzero(np.abs(units - np.floor(units) - 0.5) < 1e-4)[0]:
+        out[i] = float(Decimal(repr(float(abs(x[i])))).scaleb(digits).quantize(Decimal(1), ROUND_HALF_UP))
+    return np.where(np.isnan(x), x, np.copysign(out, x))
+
+
+def _first(i: np.ndarray, j: np.ndarray, score: np.ndarray, none: np.ndarray, code: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, ...]:
+    """Of pairs of a query i and a row j each query's first k by the rounded score, then by the row's code."""
+    order = np.lexsort((code[j], -_key(_rounded(score, digits), none), i))
+    i = i[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[order][kept], score[order][kept], none[order][kept]
+
+
+@np.errstate(all="ignore")
+def _best(q: Rows, v: Rows, code: np.ndarray, k: int, digits: int, own: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(query, row, score, null) of each query's first k rows; own: rows of this code are left out for the query. Products of matrices rule out what lies below the
+    k-th by more than rounding can make good; the rest is summed anew, component by component."""
+    out, d, step = [_NONE], min(len(q.columns), len(v.columns)), max(1, _PAIRS // max(1, len(v)))
+    for lo in range(0, len(q) if len(v) else 0, step):
+        some = q[slice(lo, lo + step)]
+        near = _key(*_cosines(some.columns[:d].T @ v.columns[:d], some.length[:, None] * v.length, some.size[:, None] == v.size))
+        allowed = np.ones(near.shape, bool) if own is None else own[lo : lo + step, None] != code
+        if len(v) > k:
+            least = np.partition(np.where(allowed, near, -np.inf), len(v) - k, axis=1)[:, len(v) - k]
+            allowed &= near >= (least - 2 * 10.0**-digits)[:, None]
+        i, j = np.nonzero(allowed)
+        dots = np.zeros(len(i))
+        for a, b in zip(some.columns, v.columns, strict=False):
+            dots += a[i] * b[j]
+        score, none = _cosines(dots, some.length[i] * v.length[j], some.size[i] == v.size[j])
+        i, j, score, none = _first(i, j, score, none, code, k, digits)
+        out.append((i + lo, j, score, none))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(query_id, wanted, found): how many of a query's exact neighbours were found; equal scores count as found, whichever of them was."""
     last = exact.groupBy("query_id").agg(F.count("*").alias("wanted"), F.min("score").alias("least"))

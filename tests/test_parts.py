@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexspark import encoders
@@ -166,3 +167,19 @@ def test_pairs_are_encoded_one_by_one(spark):
     want = [float(V.encoded([a or ""])[0] @ V.encoded([b or ""])[0]) for a, b, _ in rows]
     assert [r.s for r in df.collect()] == pytest.approx(want)
     assert evaluate.separation(df, F.col("s"), F.col("label")).first()["mean_similar"] == pytest.approx((want[0] + want[3]) / 2, abs=1e-6)
+
+
+def test_exact_neighbours_by_products_of_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(60)] + [(100 + i, [1.0, 2.0, 0.0, 1.0]) for i in range(30)]
+    rows += [(200, None), (201, [1.0, None, 2.0, 0.0]), (202, [0.0] * 4), (203, [1.0, 2.0]), (204, [float("nan")] * 4), (205, [1e30, -1e30, 0.0, 0.0]), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 10 = 0 or vec_id > 200")
+    a, b = asked.where("vec_id is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), df.where("vec_id is not null").select(F.col("vec_id").alias("id"), "embedding")
+    pairs = a.join(b, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 7").select("query_id", "rank", "id", "score")
+    found = ann.exact_nearest(df, asked, 7, block=4, rows=9)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert ann.exact_nearest(df.limit(0), asked, 7).count() == 0 == ann.exact_nearest(df, asked.limit(0), 7).count()
