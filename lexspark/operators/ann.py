@@ -17,8 +17,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.functions import vectors as V
-
 
 @dataclass(frozen=True)
 class Planes:
@@ -75,15 +73,44 @@ def hyperplane_index(df: DataFrame, planes: Planes, id: str = "vec_id", vector:
     return own.select("vector", "ids", F.explode(buckets(F.col("vector"), planes)).alias("bucket"))
 
 
-def nearest_in(index: DataFrame, queries: DataFrame, planes: Planes, k: int = 10, id: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
+def nearest_in(index: DataFrame, queries: DataFrame, planes: Planes, k: int = 10, id: str = "vec_id", vector: str = "embedding", digits: int = 6, parts: int = 1) -> DataFrame:
     """(query_id, rank, id, score): the k nearest of what each query meets in the index, its own id left out; ties to the smaller id. k is below the ids that an
-    index row holds. A query that meets fewer rows has fewer results."""
-    asked = queries.where(F.col(id).isNotNull()).select(F.col(id).alias("query_id"), F.col(vector).alias("q")).withColumn("bucket", F.explode(buckets(F.col("q"), planes, True)))
-    met = asked.join(index, "bucket").select("query_id", "ids", F.round(V.cosine(F.col("q"), F.col("vector")), digits).alias("score"))
+    index row holds. A query that meets fewer rows has fewer results. Each task takes a table's buckets, or one of `parts` parts of their rows, and 4,096 queries; it compares
+    the queries of a bucket with its rows by products of matrices of limited size, and gives the best of each query."""
+    asked = queries.where(F.col(id).isNotNull()).select(F.col(id).alias("query_id"), F.col(vector).alias("q"))
+    blocks = -(-asked.count() // 4096) or 1
+    near = asked.withColumn("keys", buckets(F.col("q"), planes, True)).select("query_id", "q", F.explode(_by_table(F.col("keys"), planes)).alias("near"))
+    near = near.withColumns({"t": F.shiftright(F.get("near", F.lit(0)), planes.bits).cast("int"), "p": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "b": _part("query_id", blocks)})
+    rows = index.withColumns({"t": F.shiftright("bucket", planes.bits).cast("int"), "p": _part("vector", parts), "b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+
+    def best_of(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        q, v = Rows.of(asked["q"]), Rows.of(rows["vector"])
+        ids = rows["ids"].combine_chunks()
+        ids = ids.cast(pa.list_(ids.type.value_type))  # items that may be null, as the result's type has them
+        code = np.unique(pc.list_element(ids, 0).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        own = rows["bucket"].to_numpy()
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        probes = asked["near"].combine_chunks()
+        meets, who = probes.flatten().to_numpy(), np.repeat(np.arange(len(q)), pc.list_value_length(probes).to_numpy())
+        by = np.argsort(meets, kind="stable")
+        meets, who = meets[by], who[by]
+        found = [_NONE]
+        for bucket in np.intersect1d(own, meets):
+            some = order[np.searchsorted(own, bucket) : np.searchsorted(own, bucket, "right")]
+            askers = who[np.searchsorted(meets, bucket) : np.searchsorted(meets, bucket, "right")]
+            i, j, score, none = _best(q[askers], v[some], code[some], k + 1, digits)
+            found.append((askers[i], some[j], score, none))
+        # a vector is in one bucket of a table; those before it in the order have k + 1 ids, of which one may be the query's own
+        i, j, score, none = _first(*map(np.concatenate, zip(*found, strict=True)), code, k + 1, digits)
+        return pa.table({"query_id": asked["query_id"].take(i), "ids": ids.take(pa.array(j)), "score": pa.array(score, mask=none)})
+
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, ids {index.schema['ids'].dataType.simpleString()}, score double"
+    met = near.groupBy("t", "p", "b").cogroup(rows.groupBy("t", "p", "b")).applyInArrow(best_of, kinds).withColumn("score", F.round("score", digits))
     # each row of the index once a query: equal ids are of one vector, so of one score
-    rows = met.select("query_id", "score", F.explode(F.slice("ids", 1, k + 1)).alias("id")).where("id <> query_id").dropDuplicates(["query_id", "id"])
+    each = met.select("query_id", "score", F.explode(F.slice("ids", 1, k + 1)).alias("id")).where("id <> query_id").dropDuplicates(["query_id", "id"])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def exact_nearest(df: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", digits: int = 6, block: int = 512, rows: int = 8192) -> DataFrame:
@@ -110,6 +137,12 @@ def _part(column: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
 
 
+def _by_table(keys: Column, planes: Planes) -> Column:
+    """The buckets that a query meets as one array for each table; keys() gives as many for every table, one after the other."""
+    each = planes.probes + 1
+    return F.when(F.size(keys) > 0, F.transform(F.sequence(F.lit(0), F.lit(planes.tables - 1)), lambda t: F.slice(keys, t * each + 1, F.lit(each))))
+
+
 #: No pairs: places of queries and rows, scores, and where a score is null.
 _NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
 #: Pairs of a query and a row that are compared at a time.

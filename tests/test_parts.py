@@ -183,3 +183,14 @@ def test_exact_neighbours_by_products_of_blocks(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     assert ann.exact_nearest(df.limit(0), asked, 7).count() == 0 == ann.exact_nearest(df, asked.limit(0), 7).count()
+
+
+def test_hyperplane_buckets_in_parts(spark, sf_dir):
+    rows, planes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), ann.Planes(64)
+    asked, index = rows.where("vec_id % 50 = 0"), ann.hyperplane_index(rows, planes)
+    met = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode(ann.buckets(F.col("embedding"), planes, True)).alias("bucket")).join(index, "bucket")
+    each = met.select("query_id", F.round(V.cosine(F.col("q"), F.col("vector")), 6).alias("score"), F.explode("ids").alias("id")).where("id <> query_id").distinct()
+    want = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 10").select("query_id", "rank", "id", "score")
+    for parts in (1, 3):
+        assert sorted(map(str, ann.nearest_in(index, asked, planes, parts=parts).collect())) == sorted(map(str, want.collect()))
+    assert "Join" not in ann.nearest_in(index, asked, planes)._jdf.queryExecution().executedPlan().toString()
