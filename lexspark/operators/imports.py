@@ -110,39 +110,40 @@ def judged(acts: DataFrame, dim: int) -> DataFrame:
 
 
 def merged(tables: dict[str, DataFrame], acts: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
-    """The tables after acts that are judged valid, one for each identifier. Every table is staged: ids are given once. Tables that do not need each other are merged side by side."""
+    """The tables after acts that are judged valid, one for each identifier. Ids are given once, to keys that are staged; texts and vectors go from the acts
+    into the tables that the caller writes. Tables that do not need each other are merged side by side."""
     source = acts.select(*[F.col(f).alias(c) for c, f in FIELDS.items()], F.coalesce("naslov", F.lit("")).alias("naslov"), T.parse_date(F.col("datum")).cast("timestamp_ntz").alias("publication_date"))
-    out = {"documents": staged(store.upsert_documents(tables["documents"], source, now), "documents")}
-    known = acts.join(out["documents"].select("eli", F.col("id").alias("document_id")), "eli")
+    out = {"documents": store.upsert_documents(tables["documents"], source, now)}
+    known = acts.join(staged(out["documents"].select("eli", F.col("id").alias("document_id")), "ids"), "eli")
 
     def segments_and_vectors() -> tuple[DataFrame, DataFrame]:
         # acts with a model are stored anew: their segments go, and the vectors of those segments, of whatever model
-        anew = known.where("model <> ''").select("document_id", "model")
+        anew = staged(known.where("model <> ''").select("document_id", "model"), "anew")
         segments = tables["document_segments"].join(anew.select("document_id"), "document_id", "left_anti").select(*tables["document_segments"].columns)
         lost = tables["document_segments"].join(anew.select("document_id"), "document_id", "left_semi").select(F.col("id").alias("segment_id"))
         vectors = tables["document_embeddings"].join(lost, "segment_id", "left_anti")
         same = anew.select("document_id", F.col("model").alias("model_name"), F.lit("segment").alias("embedding_type"))
         vectors = vectors.join(same, ["document_id", "model_name", "embedding_type"], "left_anti").select(*tables["document_embeddings"].columns)
 
-        rows = known.select("document_id", F.posexplode("articles").alias("segment_order", "a")).select("document_id", "segment_order", F.col("a.label").alias("clanak_label"), F.col("a.text").alias("text"))
-        segments = staged(store.upsert_segments(segments, rows), "segments")
-        placed = rows.withColumn("h", T.text_hash(F.col("text"))).drop("clanak_label", "text").join(segments.select("document_id", "segment_order", "id"), ["document_id", "segment_order"])
+        each = lambda df: df.select("document_id", F.posexplode("articles").alias("segment_order", "a")).select("document_id", "segment_order", F.col("a.label").alias("clanak_label"), F.col("a.text").alias("text"))
+        segments = store.upsert_segments(segments, each(known))
+        placed = each(known.where(F.exists("vectors", lambda v: v["type"] == "segment"))).withColumn("h", T.text_hash(F.col("text"))).drop("clanak_label", "text").join(segments.select("document_id", "segment_order", "id"), ["document_id", "segment_order"])
         named = placed.groupBy("document_id", "h").agg(F.max(F.struct("segment_order", "id")).alias("z")).select("document_id", "h", F.col("z.id").alias("segment_id"))
 
         each = known.select("document_id", F.col("model").alias("model_name"), F.coalesce("embeddings.embedding_dim", F.lit(DIMENSION)).alias("embedding_dim"), F.posexplode("vectors").alias("at", "v")).select("*", "v.*").drop("v")
         flat = each.where("type <> 'segment'").withColumn("segment_id", _none("long"))
         own = each.where("type = 'segment'").withColumn("h", T.text_hash(F.col("text"))).join(named, ["document_id", "h"]).drop("h")
         both = flat.unionByName(own).withColumnRenamed("type", "embedding_type").drop("text")
-        last = store.last_of(both, store.KEYS["document_embeddings"], "at").drop("at")
-        return segments, staged(store.upsert(vectors, last, store.KEYS["document_embeddings"], ("id", "embedding_dim")), "vectors")
+        last = staged(store.last_of(both, store.KEYS["document_embeddings"], "at").drop("at"), "vectors")
+        return segments, store.upsert(vectors, last, store.KEYS["document_embeddings"], ("id", "embedding_dim"))
 
     def summaries() -> DataFrame:
         texts = known.select("document_id", "model", F.explode("texts").alias("t")).select("document_id", F.col("t.type").alias("summary_type"), F.col("t.text").alias("text"), F.col("model").alias("model_name"))
-        return staged(store.upsert_summaries(tables["document_summaries"], texts), "summaries")
+        return store.upsert_summaries(tables["document_summaries"], texts)
 
     def information() -> DataFrame:
         info = known.where(F.coalesce(*[F.col(f"key_information.{c}") for c in LISTS]).isNotNull()).select("document_id", "key_information.*")
-        return staged(store.upsert_key_information(tables["document_key_information"], info), "information")
+        return store.upsert_key_information(tables["document_key_information"], info)
 
     (segments, vectors), texts, info = at_once(acts.sparkSession, segments_and_vectors, summaries, information)
     return out | {"document_segments": segments, "document_summaries": texts, "document_key_information": info, "document_embeddings": vectors}
@@ -161,7 +162,9 @@ def import_acts(spark: SparkSession, versions: Versions, acts: DataFrame, dim: i
     tables, changed = versions.tables(base), {}
     counts = Observation("import")
     good = F.col("message").isNull()
-    rows = staged(judged(acts, dim).observe(counts, F.count(F.when(good, 1)).alias("processed"), F.count(F.when(~good, 1)).alias("errors")), "acts")
+    # what articles, vectors and texts were made of is not staged beside them
+    whole = judged(acts, dim).withColumns({"embeddings": F.struct("embeddings.embedding_dim"), "__row": F.monotonically_increasing_id()}).drop("doc_segmented", "summaries")
+    rows = staged(whole.observe(counts, F.count(F.when(good, 1)).alias("processed"), F.count(F.when(~good, 1)).alias("errors")), "acts")
     found = counts.get
     name = F.element_at(F.split("path", "/"), -1)
     outcomes = rows.select("path", "eli", F.when(good, "processed").otherwise("error").alias("status"), F.when(~good, F.concat_ws(": ", name, "message")).alias("message"))
@@ -169,9 +172,12 @@ def import_acts(spark: SparkSession, versions: Versions, acts: DataFrame, dim: i
         return Outcome(base, 0, found["errors"], outcomes)
     # paths are ordered part by part
     turn = Window.partitionBy("eli").orderBy(F.split("path", "/"))
-    valid = staged(rows.where(good).withColumn("turn", F.row_number().over(turn)), "turns")
-    for k in range(1, (valid.agg(F.max("turn")).first()[0] or 0) + 1):
-        tables = changed = merged(tables, valid.where(F.col("turn") == k).drop("turn"), now)
+    later = staged(rows.where(good).select("eli", "path", "__row").withColumn("turn", F.row_number().over(turn)).where("turn > 1").select("__row", "turn"), "turns")
+    last = later.agg(F.max("turn")).first()[0] or 1
+    for k in range(1, last + 1) if found["processed"] else ():
+        own = rows.where(good).join(later, "__row", "left_anti") if k == 1 else rows.join(later.where(F.col("turn") == k).select("__row"), "__row", "left_semi")
+        changed = merged(tables, own.drop("__row"), now)
+        tables = changed if k == last else {name: staged(df, name) for name, df in changed.items()}
     streams = versions.commit_of(base)["notes"].get("streams")
     kept = {"streams": streams} if streams else {}
     version = versions.commit(changed, base, dim, kept | {"processed": found["processed"], "errors": found["errors"]} | (notes or {}))

@@ -121,7 +121,7 @@ class Versions:
 
         def write(name: str) -> None:
             kinds = schema(name, dim)
-            changed[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in kinds]).write.parquet(paths[name])
+            changed[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in kinds]).write.option("compression", "zstd").parquet(paths[name])
 
         at_once(self.spark, *[lambda name=name: write(name) for name in changed])
         if check:

@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """df, written once and read from there."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -211,3 +211,15 @@ def test_dimension_is_known_without_reading_vectors(spark, tmp_path):
     assert versions.create(DIM)["document_embeddings"].count() == 2
     left = versions.create(DIM + 1)
     assert left["document_embeddings"].count() == 0 and dimension(left["document_embeddings"]) == DIM + 1 and left["documents"].count() == 1
+
+
+def test_texts_are_staged_once(spark, tmp_path, monkeypatch):
+    """What an import stages beside the tables: each act's text and its articles' texts, and no more of them."""
+    letters = random.Random(5)
+    texts = [hashlib.sha512(str(letters.random()).encode()).hexdigest() * 2 + "".join(chr(letters.randrange(0x4E00, 0x9000)) for _ in range(20000)) for _ in range(6)]
+    rows = [{"eli": f"e{i}", "naslov": "n", "doc_cleaned": t, "doc_segmented": [{"glava": "g", "članci": [{"članak": "1", "stavci": [{"stavak": None, "točke": [t]}]}]}]} for i, t in enumerate(texts)]
+    df = spark.read.schema(imports.ENRICHED + ", path string").json(spark.sparkContext.parallelize([json.dumps(r | {"path": r["eli"]}) for r in rows], 1))
+    monkeypatch.setattr("lexspark.staging.shared_folder", lambda _: f"file://{tmp_path}/staged")
+    done = imports.import_acts(spark, Versions(spark, f"file://{tmp_path}/store"), df, DIM)
+    assert (done.processed, done.errors) == (6, 0)
+    assert sum(f.stat().st_size for f in (tmp_path / "staged").rglob("*.parquet")) < 2.2 * sum(len(t.encode()) for t in texts)
