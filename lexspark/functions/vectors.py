@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.staging import arrow
+
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -62,7 +64,7 @@ def encoded(texts: list[str], size: int = 64) -> np.ndarray:
 def hashed(texts: Column, size: int = 64) -> Column:
     """encoded() as a Column, of an array of texts to an array of vectors."""
 
-    @F.arrow_udf("array<array<double>>")
+    @arrow("array<array<double>>")
     def run(many: pa.Array) -> pa.Array:
         return pa.array([encoded(row or [], size).tolist() for row in many.to_pylist()], pa.list_(pa.list_(pa.float64())))
 

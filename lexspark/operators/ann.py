@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.staging import arrow
+
 
 @dataclass(frozen=True)
 class Planes:
@@ -51,7 +53,7 @@ class Planes:
 def buckets(vector: Column, planes: Planes, probe: bool = False) -> Column:
     """The buckets of a vector, an array of longs; of one that is null or not of the planes' dimension none."""
 
-    @F.arrow_udf("array<bigint>")
+    @arrow("array<bigint>")
     def run(vectors: pa.Array) -> pa.Array:
         rows = vectors.to_pylist()
         good = [i for i, v in enumerate(rows) if v is not None and len(v) == planes.dimensions and None not in v]

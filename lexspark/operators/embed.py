@@ -17,6 +17,7 @@ from lexspark.encoders import DEFAULT, Encoder
 from lexspark.encoders import encoder as encoder_of
 from lexspark.functions import text as T
 from lexspark.functions import vectors as V
+from lexspark.staging import arrow
 
 from .summarize import packed, words
 
@@ -46,7 +47,7 @@ def embed(texts: DataFrame, keys: list[str], text: str, tokens: int = 512, encod
     """(keys, embedding): a text's chunks stay in its row, so they need no shuffle to meet again, and are encoded and pooled in one pass.
     Texts for which `long` does not hold are one chunk."""
 
-    @F.arrow_udf("array<double>")
+    @arrow("array<double>")
     def pooled(whole: pa.Array, many: pa.Array) -> pa.Array:
         out = []
         for one, sentences in zip(whole.to_pylist(), many.to_pylist(), strict=True):

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.staging import arrow
+
 
 def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -32,7 +34,7 @@ def separation(df: DataFrame, similarity: Column, label: Column, digits: int = 6
 def pair_similarity(a: Column, b: Column, encoder: Callable[[list[str]], np.ndarray]) -> Column:
     """The cosine of the vectors of two texts, each encoded by itself, so no filling up of batches and no mask takes part; 0 if one has no length."""
 
-    @F.arrow_udf("double")
+    @arrow("double")
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):

@@ -20,6 +20,7 @@ from pyspark.sql.types import LongType, StructType
 
 from lexspark.functions import fuzzy as fuzzy_texts
 from lexspark.functions import text as T
+from lexspark.staging import arrow
 
 from .deadline import within
 from .index import newest_first
@@ -127,7 +128,7 @@ def fuzzy_match(query: str, weights: dict[str, float] = WEIGHTS, threshold: floa
     gives the errors with which the query stands in it and the runs of the query's letters (functions/fuzzy)."""
     names, values, total = list(weights), list(weights.values()), sum(weights.values())
 
-    @F.arrow_udf("score double, highlights array<string>")
+    @arrow("score double, highlights array<string>")
     def run(*columns: pa.Array) -> pa.Array:
         scores, marks = fuzzy_texts.weighted([c.to_pylist() for c in columns], [w / total for w in values], query, threshold, RUN, MARKS)
         found = pa.array(1 - scores, pa.float64(), mask=np.isnan(scores))

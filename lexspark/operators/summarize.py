@@ -18,6 +18,7 @@ from lexspark.encoders import DEFAULT, Encoder
 from lexspark.encoders import encoder as encoder_of
 from lexspark.functions import text as T
 from lexspark.functions import vectors as V
+from lexspark.staging import arrow
 
 # Name, number of sentences and lambda of the summaries that a document gets; the third is of the scope text.
 GRID = (("short", 3, 0.75), ("detailed", 8, 0.65), ("sto_zakon_ureduje", 2, 0.80), ("na_koga_se_odnosi", 2, 0.45), ("sto_uvodi_ili_mijenja", 2, 0.60))
@@ -50,7 +51,7 @@ def chosen(vectors: np.ndarray, query: np.ndarray, k: int, weight: float, digits
 def mmr(vectors: Column, query: Column, k: int, weight: float, digits: int | None = None) -> Column:
     """Places (from 0) as array<int>; vectors is an array of vectors."""
 
-    @F.arrow_udf("array<int>")
+    @arrow("array<int>")
     def run(many: pa.Array, one: pa.Array) -> pa.Array:
         out = []
         for vs, q in zip(many, one, strict=True):
@@ -89,7 +90,7 @@ def ranked(df: DataFrame, text: str, k: int = 3, weight: float = 0.7, out: str =
     """df with the summary of k sentences, however short the text, and all sentences as `ranked` (idx, sentence, score) by
     their cosine with the whole text, the greatest first and equal ones in order. A text without sentences has an empty summary."""
 
-    @F.arrow_udf("struct<summary string, ranked array<struct<idx int, sentence string, score double>>>")
+    @arrow("struct<summary string, ranked array<struct<idx int, sentence string, score double>>>")
     def run(texts: pa.Array, many: pa.Array) -> pa.Array:
         rows = []
         for whole, items in zip(texts.to_pylist(), many.to_pylist(), strict=True):
@@ -116,7 +117,7 @@ def summaries(df: DataFrame, text: str, grid: tuple = GRID, limit: int = 100, en
     `limit` sentences is summed up in overlapping chunks first, three sentences each that say most of the chunk, and then
     once more: what these say together is what the sentences are then held against."""
 
-    @F.arrow_udf("array<string>")
+    @arrow("array<string>")
     def run(texts: pa.Array, many: pa.Array) -> pa.Array:
         return pa.array([_summed(t or "", s or [], grid, limit, encoder) for t, s in zip(texts.to_pylist(), many.to_pylist(), strict=True)], pa.list_(pa.string()))
 

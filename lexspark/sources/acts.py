@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import clean_html, decode_references
+from lexspark.staging import arrow
 
 RAW = "dio string, vrsta string, izdanje string, izdanjeUrl string, brojDokumenta string, stranica string, donositelj string, datum string, eli string, eliUrl string, naslov string, doc string"
 
@@ -130,7 +131,7 @@ def html_blocks(html: Column, container: str = "div") -> Column:
     """The texts of the container's direct children that are not blank; bare text beside them is left out. The container is
     the first element of that name, else the page's body, else the page itself."""
 
-    @F.arrow_udf("array<string>")
+    @arrow("array<string>")
     def run(pages: pa.Array) -> pa.Array:
         out = []
         for page in pages.to_pylist():

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.config import Config
-from lexspark.staging import staged
+from lexspark.staging import arrow, staged
 
 #: Files of a crawl at most, as configured by default.
 MOST = 25000
@@ -33,7 +33,7 @@ def _read(xml: str | None, name: str) -> dict:
 def items(xml: Column, name: str = "loc") -> Column:
     """A struct of kind (index, page or unreadable) and locs, the texts of elements at depth two whose name ends in `name`."""
 
-    @F.arrow_udf("struct<kind: string, locs: array<string>>")
+    @arrow("struct<kind: string, locs: array<string>>")
     def run(files: pa.Array) -> pa.Array:
         return pa.array([_read(x, name) for x in files.to_pylist()], pa.struct([("kind", pa.string()), ("locs", pa.list_(pa.string()))]))
 

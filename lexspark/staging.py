@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +37,27 @@ def at_once(spark: SparkSession, *works: Callable) -> list:
     with ThreadPoolExecutor(max(1, len(works))) as pool:
         running = [pool.submit(wrap(work) if callable(wrap) else work) for work in works]
     return [each.result() for each in running]
+
+
+#: Rows and bytes of an Arrow batch handed to Python.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Lower the rows and bytes of an Arrow batch where the session allows more: a worker holds a batch several times over (as Arrow, as strings, and what is made of
+    them), and texts and pages can be long."""
+    for key, most, default in (("maxRecordsPerBatch", rows, "10000"), ("maxBytesPerBatch", size, "67108864b")):
+        key = "spark.sql.execution.arrow." + key
+        now = int(spark.conf.get(key, default).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def arrow(kind: str) -> Callable:
+    """F.arrow_udf in small batches: how each Arrow function of the engine is declared."""
+
+    def declared(function: Callable):
+        small_batches(SparkSession.active())
+        return F.arrow_udf(function, kind)
+
+    return declared

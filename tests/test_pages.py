@@ -132,3 +132,17 @@ def test_references_without_a_semicolon_stay_text_where_only_closed_ones_count(s
     got = df.select(pages.text_of(F.col("html"), "article > h1", True), pages.markup_of(F.col("html"), "article", True), pages.text_of(F.col("html"), "article > h1")).collect()
     assert tuple(got[0]) == ("a&b &lt &am & c&amp", '<article a="x&amp;amp"><h1>a&amp;b &amp;lt &amp;am &amp; c&amp;amp</h1><!-- &amp --><script>&amp</script></article>', "a&b < &am & c&")
     assert tuple(got[1]) == (None, None, None) and got[2][0] == "&amp"
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        for make in (acts.html_blocks, pages.fields, lambda c: pages.text_of(c, "p"), lambda c: pages.markup_of(c, "p")):
+            spark.conf.set(names[0], "10000")
+            spark.conf.set(names[1], "64")
+            df = spark.range(700).select(make(F.lit("<p>a</p><p>b</p>")).alias("x"))
+            assert [spark.conf.get(n) for n in names] == ["256", "64"] and df.count() == 700
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
