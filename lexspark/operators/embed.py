@@ -6,7 +6,9 @@ at most `tokens` words; a text's vector is the mean of its chunks' vectors, of l
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +51,15 @@ def embed(texts: DataFrame, keys: list[str], text: str, tokens: int = 512, encod
 
     @arrow("array<double>")
     def pooled(whole: pa.Array, many: pa.Array) -> pa.Array:
-        out = []
-        for one, sentences in zip(whole.to_pylist(), many.to_pylist(), strict=True):
-            total = encoder(_packed(sentences, tokens) if sentences else [one]).sum(axis=0)
-            out.append((total / (np.linalg.norm(total) or 1.0)).tolist())
-        return pa.array(out, pa.list_(pa.float64()))
+        chunked = [_packed(sentences, tokens) if sentences else [one] for one, sentences in zip(whole.to_pylist(), many.to_pylist(), strict=True)]
+        ends = np.cumsum([0, *map(len, chunked)])
+        # all chunks of a batch at once: the encoder takes as many at a time as it is told to
+        vectors = np.asarray(encoder([c for row in chunked for c in row]), np.float64)
+        out = np.zeros((len(chunked), vectors.shape[1]))
+        for i, (lo, hi) in enumerate(pairwise(ends.tolist())):
+            total = vectors[lo] if hi - lo == 1 else vectors[lo:hi].sum(axis=0)
+            out[i] = total / (math.sqrt(total @ total) or 1.0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32()), pa.array(out.reshape(-1)))
 
     body = F.coalesce(text, F.lit(""))
     cut = T.sentences(body) if long is None else F.when(long, T.sentences(body))
@@ -67,7 +73,7 @@ def _packed(sentences: list[str], tokens: int) -> list[str]:
     """chunks() of sentences that are cut already: each is counted once."""
     out, now, n = [], [], 0
     for sentence in sentences:
-        own = sum(1 for _ in _WORD.finditer(sentence))
+        own = len(_WORD.findall(sentence))
         if now and n + own > tokens:
             out.append(" ".join(now))
             now, n = [], 0

@@ -194,3 +194,31 @@ def test_hyperplane_buckets_in_parts(spark, sf_dir):
     for parts in (1, 3):
         assert sorted(map(str, ann.nearest_in(index, asked, planes, parts=parts).collect())) == sorted(map(str, want.collect()))
     assert "Join" not in ann.nearest_in(index, asked, planes)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_with_a_memory_of_limited_size():
+    known = encoders.HashedWords(8)
+    known._most = 3
+    texts = ["Porez je porez İstanbul ΟΔΟΣ straße_x", "", "a b c d e f a b", "x" * 50 + " " + "x" * 50]
+    for most in (512, 3):
+        want = []
+        for text in texts:
+            ids = np.array(known.tokens(text)[0][:most], np.int64)[None, :]
+            want.append(known.vectors(ids, np.ones(ids.shape))[0].mean(axis=0) if ids.size else np.zeros(8))
+        assert np.allclose(known.counted(texts, most), want) and len(known._bins) <= 3 and max(map(len, known._bins)) <= 40
+
+
+def test_texts_of_a_batch_are_encoded_together(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(texts):
+        calls.add(1)
+        return V.encoded(texts)
+
+    rows = [(i, f"Porez {i}. Dohodak je {'porez ' * i}." if i % 7 else "") for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    got = {r["id"]: r["embedding"] for r in embed.embed(df, ["id"], "text", 10, counting).collect()}
+    assert calls.value == 1
+    for i, text in rows:
+        total = V.encoded(embed._packed([s for s in text.split(". ") if s], 10) or [text]).sum(axis=0)
+        assert np.allclose(got[i], total / (np.linalg.norm(total) or 1))
