@@ -28,20 +28,25 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def chosen(vectors: np.ndarray, query: np.ndarray, k: int, weight: float, digits: int | None = None) -> list[int]:
+def chosen(vectors: np.ndarray, query: np.ndarray, k: int, weight: float, digits: int | None = None, seen: dict | None = None) -> list[int]:
     """Places of the k vectors of greatest marginal relevance, in order of place; ties go to the first.
 
-    digits: similarities and scores are rounded so, to be the same wherever they are summed."""
+    digits: similarities and scores are rounded so, to be the same wherever they are summed. seen: what calls with the same vectors, query and digits share."""
     if not len(vectors):
         return []
     around = (lambda x: np.round(x, digits)) if digits is not None else (lambda x: x)
-    length = np.linalg.norm(vectors, axis=1)
-    unit = vectors / np.where(length > 0, length, 1)[:, None]
-    own = np.linalg.norm(query)
-    relevance = around(unit @ (query / own if own > 0 else query))
+    seen = {} if seen is None else seen
+    if not seen:
+        length = np.linalg.norm(vectors, axis=1)
+        seen["unit"] = vectors / np.where(length > 0, length, 1)[:, None]
+        own = np.linalg.norm(query)
+        seen["relevance"] = around(seen["unit"] @ (query / own if own > 0 else query))
+    unit, relevance = seen["unit"], seen["relevance"]
     out, most = [int(relevance.argmax())], np.full(len(vectors), -np.inf)
     while len(out) < min(k, len(vectors)):
-        most = np.maximum(most, around(unit @ unit[out[-1]]))
+        if out[-1] not in seen:
+            seen[out[-1]] = around(unit @ unit[out[-1]])
+        most = np.maximum(most, seen[out[-1]])
         score = around(weight * relevance - (1 - weight) * most)
         score[out] = -np.inf
         out.append(int(score.argmax()))
@@ -138,6 +143,7 @@ def _summed(text: str, items: list[str], grid: tuple, limit: int, encoder: Encod
     parts = [np.arange(a, min(a + limit, n)) for a in range(0, n, max(1, limit - 5))] if n > limit else []
     of_parts = encoder([joined(p) for p in parts]) if parts else None
     out: list[str | None] = []
+    seen: dict = {}
     for _, k, weight in grid:
         places, query = np.arange(n), whole
         if parts and n > k:
@@ -145,8 +151,10 @@ def _summed(text: str, items: list[str], grid: tuple, limit: int, encoder: Encod
             query = encoder([joined(places)])[0]
         if n <= k:
             out.append(None)
+        elif len(places) <= k:
+            out.append(joined(places))
         else:
-            out.append(joined(places if len(places) <= k else places[chosen(vectors[places], query, k, weight)]))
+            out.append(joined(places[chosen(vectors[places], query, k, weight)] if parts else chosen(vectors, query, k, weight, seen=seen)))
     return out
 
 

@@ -208,6 +208,13 @@ def test_words_are_counted_with_a_memory_of_limited_size():
         assert np.allclose(known.counted(texts, most), want) and len(known._bins) <= 3 and max(map(len, known._bins)) <= 40
 
 
+def test_picks_are_the_same_whether_or_not_products_are_shared():
+    rng, seen = np.random.default_rng(1), {}
+    vectors, query = rng.normal(size=(30, 8)), rng.normal(size=8)
+    for k, weight in ((3, 0.75), (8, 0.65), (2, 0.8), (2, 0.45)):
+        assert summarize.chosen(vectors, query, k, weight, seen=seen) == summarize.chosen(vectors, query, k, weight)
+
+
 def test_texts_of_a_batch_are_encoded_together(spark):
     calls = spark.sparkContext.accumulator(0)
 
